@@ -28,10 +28,17 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).drop("set_key")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.language_id import language_of
+
+    return language_of(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op5_decontamination": op5_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_language_id": op10_language_id,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
