@@ -22,6 +22,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.merge_dropout import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.decontamination import contamination
 
@@ -43,6 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
+    "op4_merge_dropout": op4_merge_dropout,
     "op5_decontamination": op5_decontamination,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
