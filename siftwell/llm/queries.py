@@ -34,6 +34,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.line_templates import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.jaccard_groups import classes
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_merge_dropout": op4_merge_dropout,
     "op5_decontamination": op5_decontamination,
+    "op8_line_templates": op8_line_templates,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
 }
@@ -83,6 +90,27 @@ items AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op8_line_templates": r"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l0 AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS l FROM raw),
+l1 AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(l, '[ \t\r\f\x0B]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM l0),
+l2 AS (SELECT *, string_split(line, ' ') AS t FROM l1 WHERE line <> ''),
+l3 AS (SELECT doc_id, pos, line, t, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM l2),
+l4 AS (SELECT *, coalesce(lag(leaf) OVER w, lead(leaf) OVER w, '') AS context FROM l3 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+leaves AS (SELECT leaf FROM l4 GROUP BY leaf HAVING count(DISTINCT context) >= 5),
+lines AS (SELECT leaf, line, t, count(DISTINCT context) AS n FROM l4 WHERE leaf IN (FROM leaves) GROUP BY leaf, line, t),
+tok AS (SELECT leaf, line, n, unnest(range(0, len(t))) AS place, unnest(t) AS token FROM lines),
+often AS (SELECT leaf, place, token FROM tok GROUP BY ALL HAVING sum(n) >= 5),
+shown AS (
+  SELECT k.leaf, k.line, k.n, string_agg(CASE WHEN o.leaf IS NULL THEN '<*>' ELSE k.token END, ' ' ORDER BY k.place) AS template,
+    avg(CASE WHEN o.leaf IS NOT NULL AND k.token <> '<*>' THEN 1.0 ELSE 0.0 END) AS constant
+  FROM tok k LEFT JOIN often o ON o.leaf = k.leaf AND o.place = k.place AND o.token = k.token GROUP BY k.leaf, k.line, k.n),
+recurs AS (SELECT template FROM shown WHERE constant >= 0.7 GROUP BY template HAVING sum(n) >= 5),
+gone AS (SELECT DISTINCT line FROM shown WHERE constant >= 0.7 AND template IN (FROM recurs)),
+cut AS (SELECT l0.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(l0.l, chr(10) ORDER BY l0.pos) FILTER (WHERE g.line IS NULL), '') AS text
+  FROM l0 JOIN l1 USING (doc_id, pos) LEFT JOIN gone g ON g.line = l1.line GROUP BY l0.doc_id)
+SELECT d.doc_id, cut.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM documents d LEFT JOIN cut USING (doc_id)
 """,
     "op9_ngram_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
