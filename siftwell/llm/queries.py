@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import table
 
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.topk_search import vector_top_k
 
@@ -22,6 +25,40 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.licences import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
+def _licence_sql() -> str:
+    from siftwell.llm.licences import TEMPLATES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+    pairs = lambda text: rf"regexp_extract_all(translate({text}, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    set_of = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return rf"""
+WITH t AS (SELECT k, name, {set_of} AS b FROM (SELECT k, name, {pairs("text")} AS w FROM (VALUES {rows}) v(k, name, text))),
+d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM d),
+u AS (
+  SELECT doc_id, text AS u FROM d
+  UNION SELECT doc_id, unnest(string_split_regex(text, '
+[ 	]*
+')) FROM d
+  UNION SELECT * FROM l
+  UNION SELECT doc_id, unnest(string_split(regexp_replace(u, '([.!?]) +', '' || chr(10), 'g'), chr(10))) FROM l),
+s AS (SELECT doc_id, u, {set_of} AS b FROM (SELECT doc_id, u, {pairs("u")} AS w FROM u)),
+m AS (
+  SELECT doc_id, u, name, max(2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b))) AS dice
+  FROM s JOIN t ON len(s.b) BETWEEN len(t.b) * 0.8 / 1.2 - 1e-9 AND len(t.b) * 1.2 / 0.8 + 1e-9
+  WHERE len(s.b) > 0 AND 2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) >= 0.8 GROUP BY ALL),
+g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, round(max(dice), 6) AS best_score, count(*) AS n_matches FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(licences, '') AS licences, coalesce(best_score, 0.0) AS best_score, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.merge_dropout import encoded
 
@@ -55,6 +92,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
+    "op3_licences": op3_licences,
     "op4_merge_dropout": op4_merge_dropout,
     "op5_decontamination": op5_decontamination,
     "op8_line_templates": op8_line_templates,
@@ -62,8 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-
 ORACLE: dict[str, str] = {
     "op1_topk_search": """
 WITH v AS (
@@ -73,6 +109,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) A
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
+    "op3_licences": _licence_sql(),
     "op5_decontamination": rf"""
 WITH it AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (
