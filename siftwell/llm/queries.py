@@ -45,7 +45,8 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS u FROM d),
 u AS (
   SELECT doc_id, text AS u FROM d
   UNION SELECT doc_id, unnest(string_split_regex(text, '
-[ 	]*
+[ 	
+]*
 ')) FROM d
   UNION SELECT * FROM l
   UNION SELECT doc_id, unnest(string_split(regexp_replace(u, '([.!?]) +', '' || chr(10), 'g'), chr(10))) FROM l),
@@ -71,6 +72,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.line_templates import deduplicated
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licences": op3_licences,
     "op4_merge_dropout": op4_merge_dropout,
     "op5_decontamination": op5_decontamination,
+    "op7_quality": op7_quality,
     "op8_line_templates": op8_line_templates,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_language_id": op10_language_id,
