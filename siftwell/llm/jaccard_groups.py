@@ -31,21 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import byte_texts, discard, mixed, slices, stored
+from siftwell.llm.common import byte_texts, discard, mixed, packed, slices, stored
 
 WORDS = 5
 PERCENT = 75
 SLICE_BYTES = 2 << 20
 #: Shingles that this many documents of a shard share are reported as frequent; so many at most are ordered by count.
-FREQUENT_IN_SHARD = 8
+FREQUENT_IN_SHARD = 3
 FREQUENT_MOST = 1 << 20
-SHARD_SHINGLES = 3 << 20
+SHARD_SHINGLES = 3 << 19
 #: Prefix shingles in a range, and in the packets that a task sends out.
-RANGE_ENTRIES = 2_000_000
-PACKET_ENTRIES = 3_000_000
+RANGE_ENTRIES = 600_000
+PACKET_ENTRIES = 1_000_000
 BLOCK = 64
-#: Ids sent to all tasks at most (8 bytes each); beyond that a join selects the rows.
-IDS_SENT = 1 << 20
+#: A run longer than this makes its shingle count as frequent, and prefixes are then taken anew.
+LONG_RUN = 1024
+#: log2 of the bits, at most, of the filter over ids that is sent to all tasks (8 MB).
+FILTER_BITS = 26
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -207,7 +209,7 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
 
 def _runs(packets: DataFrame) -> DataFrame:
     """Per range: its runs of two groups or more (ends of runs; group and n per entry), and these groups' members."""
-    schema = "range bigint, ends binary, groups binary, n binary, member_groups binary, member_ids binary"
+    schema = "range bigint, ends binary, groups binary, n binary, member_groups binary, member_ids binary, long binary, lengths binary"
 
     def joined(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
         return [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
@@ -235,10 +237,11 @@ def _runs(packets: DataFrame) -> DataFrame:
         several = pairs[0][1:][pairs[0][1:] == pairs[0][:-1]]
         kept = np.isin(pairs[0], np.union1d(several, group))
         ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)) if len(token) else np.empty(0)
-        return pa.Table.from_pydict(
-            {"range": table.column("range")[:1], "ends": [ends.astype(np.int64).tobytes()], "groups": [group.tobytes()], "n": [size.astype(np.int32).tobytes()], "member_groups": [pairs[0][kept].tobytes()], "member_ids": [pairs[1][kept].tobytes()]},
-            schema=pa.schema([("range", pa.int64()), ("ends", pa.binary()), ("groups", pa.binary()), ("n", pa.binary()), ("member_groups", pa.binary()), ("member_ids", pa.binary())]),
-        )
+        ends = ends.astype(np.int64)
+        lengths = np.diff(np.concatenate(([0], ends)))
+        of_run = token[ends - 1][lengths > LONG_RUN] if len(ends) else token
+        row = {"ends": ends, "groups": group, "n": size.astype(np.int32), "member_groups": pairs[0][kept], "member_ids": pairs[1][kept], "long": of_run, "lengths": lengths[lengths > LONG_RUN]}
+        return pa.Table.from_pydict({"range": table.column("range")[:1]} | {k: [packed(v)] for k, v in row.items()}, schema=pa.schema([("range", pa.int64()), *((k, pa.binary()) for k in row)]))
 
     return packets.groupBy("range").applyInArrow(run, schema)
 
@@ -263,56 +266,135 @@ def _neighbours(percent: int):
     def make(range_no, ends, groups, n, member_groups, member_ids):
         """Pairs of groups in a run, a block's first with the rest, and block firsts in turn: larger, smaller, shared shingles."""
         if not len(ends):
-            return (np.empty(0, np.int64),) * 3
+            return (np.empty(0, np.int64),) * 4
         begins = np.concatenate(([0], ends[:-1]))
         place = np.arange(len(groups)) - np.repeat(begins, ends - begins)
         other = np.where(place % BLOCK, place - place % BLOCK, place - BLOCK)
         has = other >= 0
         to = (np.repeat(begins, ends - begins) + other)[has]
         fit = 100 * n[to].astype(np.int64) >= percent * n[has].astype(np.int64)
-        pairs, counts = np.unique(np.stack([groups[has][fit], groups[to][fit]]), axis=1, return_counts=True)
-        return pairs[0], pairs[1], counts.astype(np.int64)
+        pairs, counts = np.unique(np.stack([groups[has][fit], groups[to][fit], n[has][fit]]), axis=1, return_counts=True)
+        return pairs[0], pairs[1], pairs[2], counts.astype(np.int64)
 
     return make
 
 
-def _entries(range_no, ends, groups, n, member_groups, member_ids):
-    if not len(ends):
-        return (np.empty(0, np.int64),) * 4
-    of = np.repeat(np.arange(len(ends), dtype=np.int64), np.diff(np.concatenate(([0], ends))))
-    return np.full(len(of), range_no, dtype=np.int64), of, groups, n.astype(np.int64)
+def _ranged(range_no, ends, groups, n, member_groups, member_ids):
+    own = np.unique(groups)
+    return np.full(len(own), range_no, dtype=np.int64), own
+
+
+def _open_pairs(runs: DataFrame, of_group: DataFrame, percent: int) -> DataFrame:
+    """g1, g2, n1, n2 and the number of prefix shingles shared, of the pairs of groups in a run that aren't in one class."""
+    labels = _unpacked(runs, "range bigint, g bigint", ["range", "g"], _ranged).join(of_group, "g").select("range", "g", "c")
+    schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("shared", pa.int64())])
+
+    def counted(found: list[np.ndarray]) -> list[np.ndarray]:
+        if not found:
+            return []
+        every = np.concatenate(found, axis=1)
+        order = np.lexsort((every[1], every[0]))
+        every = every[:, order]
+        new = np.flatnonzero(np.concatenate(([True], (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1]))))
+        out = every[:, new]
+        out[4] = np.add.reduceat(every[4], new)
+        return [out]
+
+    def run(run_table: pa.Table, label_table: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        if run_table.num_rows and label_table.num_rows:
+            ends, groups, n = (np.frombuffer(run_table.column(x)[0].as_py(), dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32)))
+            known, label = label_table.column("g").to_numpy(), label_table.column("c").to_numpy()
+            order = np.argsort(known)
+            c = label[order][np.searchsorted(known[order], groups)]
+            begins = np.concatenate(([0], ends[:-1]))
+            several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins) if len(ends) else []
+            size, many = n.astype(np.int64), 0
+            for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
+                own, of, m = groups[first:last], c[first:last], size[first:last]  # in order of size
+                values, counts = np.unique(of, return_counts=True)
+                largest = values[np.argmax(counts)]
+                for k in np.flatnonzero(of != largest).tolist():
+                    low, high = np.searchsorted(m, -(-percent * m[k] // 100)), np.searchsorted(m, 100 * m[k] // percent, side="right")
+                    # With the largest class every pair counts here, with others the pair counts at its first.
+                    other = np.arange(low, high)
+                    other = other[(of[low:high] == largest) | ((of[low:high] != of[k]) & (other > k))]
+                    if len(other):
+                        x, y = np.full(len(other), own[k]), own[other]
+                        swap = x > y
+                        nx, ny = np.full(len(other), m[k]), m[other]
+                        found.append(np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny), np.ones(len(other), np.int64)]))
+                        many += len(other)
+                if many > 2_000_000:
+                    found = counted(found)
+                    many = found[0].shape[1] if found[0].shape[1] < 1_000_000 else 0
+        out = counted(found)
+        return pa.Table.from_arrays([pa.array(x) for x in (out[0] if out else np.empty((5, 0), np.int64))], schema=schema)
+
+    pairs = runs.select("range", "ends", "groups", "n").groupBy("range").cogroup(labels.groupBy("range")).applyInArrow(run, "g1 bigint, g2 bigint, n1 bigint, n2 bigint, shared bigint")
+    pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.sum("shared").alias("shared"))
+    # What two sets share beyond their prefixes is at most the longer rest of one of them.
+    rest = F.ceil(F.greatest("n1", "n2") * percent / 100) - 1
+    return pairs.where((F.col("shared") + rest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+
+
+def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map over doc_id that lets all of them through and few others; of a bounded size."""
+    bits = min(FILTER_BITS, max(16, math.ceil(math.log2(12 * ids.count() + 1))))
+    schema = pa.schema([("word", pa.int64()), ("held", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in _bits_of(batch.column("doc_id").to_numpy(), bits):
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], schema=schema)
+
+    held = ids.mapInArrow(run, "word bigint, held bigint").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    words = np.zeros(1 << (bits - 6), dtype=np.int64)
+    words[held.column("word").to_numpy()] = held.column("held").to_numpy()
+    return words, bits
+
+
+def _bits_of(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    spread = mixed(ids.astype(np.int64).view(np.uint64) + _U64(1))
+    return (spread >> _U64(64 - bits)).astype(np.int64), (spread & _U64((1 << bits) - 1)).astype(np.int64)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame) -> DataFrame:
-    """key, values (packed hashes) of the wanted set ids, each once."""
-    first = described.where("kind = 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    needed = first.join(wanted.select("key"), "key").where("doc_id is not null")
-    lost = described.where("kind = 0 and doc_id is null").limit(1).count() > 0  # then texts are chosen by set id alone
-    sent = None
-    if not lost and needed.count() <= IDS_SENT:
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(needed.select("doc_id").toArrow().column("doc_id").to_numpy()))
+    """key, values (packed hashes) of the wanted set ids, and of few others."""
+    first = described.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    ids = first.join(wanted, "key", "left_semi").where("doc_id is not null").select("doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(stored(ids)))
     schema = pa.schema([("key", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = shared.value
         for batch in batches:
-            if sent is not None:
-                ids, known = batch.column("doc_id").to_numpy(zero_copy_only=False), sent.value
-                at = np.searchsorted(known, ids)
-                at[at == len(known)] = 0
-                batch = batch.filter(pa.array(known[at] == ids if len(known) else np.zeros(len(ids), bool)))
-            for part in slices(batch, "text", SLICE_BYTES):
+            ids = batch.column("doc_id")
+            keep = ids.is_null().to_numpy(zero_copy_only=False)  # without an id only the set id tells
+            one, two = _bits_of(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)
+            keep |= ((words[one >> 6] >> (one & 63)) & (words[two >> 6] >> (two & 63)) & 1).astype(bool)
+            for part in slices(batch.filter(pa.array(keep)), "text", SLICE_BYTES):
                 sets = [s for s in shingle_sets(byte_texts(part.column("text"))) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    rows = _texts(docs)
-    if sent is None and not lost:
-        rows = rows.join(needed.select("doc_id"), "doc_id", "left_semi")
-    sets = rows.mapInArrow(run, "key bigint, values binary")
-    return sets.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("values").alias("values"))
+    return _texts(docs).mapInArrow(run, "key bigint, values binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs a, b whose sets link."""
+def _with_long_runs(frequent: tuple[np.ndarray, np.ndarray], runs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """The frequent shingles with those of long runs, and whether any of these is new and fits."""
+    rows = runs.where(F.octet_length("long") > 0).select("long", "lengths").toArrow()
+    keys = np.concatenate([np.empty(0, _U64), *(np.frombuffer(x, dtype=np.uint64) for x in rows.column("long").to_pylist())])
+    counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, dtype=np.int64) for x in rows.column("lengths").to_pylist())])
+    new = np.flatnonzero(~np.isin(keys, frequent[0]))
+    new = new[np.argsort(-counts[new], kind="stable")][: max(0, 2 * FREQUENT_MOST - len(frequent[0]))]
+    keys, counts = np.concatenate((frequent[0], keys[new])), np.concatenate((frequent[1], counts[new]))
+    order = np.argsort(keys)
+    return (keys[order], counts[order]), len(new) > 0
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Those of the (stored) pairs a, b whose sets link."""
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), described)
     a = sets.select(F.col("key").alias("a"), F.col("values").alias("a_values"))
     b = sets.select(F.col("key").alias("b"), F.col("values").alias("b_values"))
 
@@ -329,6 +411,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    a = a.join(pairs.select("a").distinct(), "a", "left_semi")
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_values", "b_values").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -358,37 +441,35 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = _frequent(described)
     short = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     entries = described.where("kind = 0 and n > 0").agg(F.sum(short)).first()[0] or 0
-    runs = stored(_runs(_packets(docs, frequent, math.ceil((entries + 1) / RANGE_ENTRIES), percent)))
+    ranges = math.ceil((entries + 1) / RANGE_ENTRIES)
+    while True:
+        runs = stored(_runs(_packets(docs, frequent, ranges, percent)))
+        frequent, more = _with_long_runs(frequent, runs)
+        if not more:
+            break
+        discard(runs)
 
     members = stored(_unpacked(runs, "g bigint, key bigint", ["g", "key"], _members).distinct())
     heads = members.groupBy("g").agg(F.min("key").alias("key"))
-    near = _unpacked(runs, "g bigint, h bigint, shared bigint", ["g", "h", "shared"], _neighbours(percent)).groupBy("g", "h").agg(F.sum("shared").alias("shared"))
-    near = near.groupBy("g").agg(F.max_by("h", F.struct("shared", "h")).alias("h"))
+    near = _unpacked(runs, "g bigint, h bigint, n bigint, shared bigint", ["g", "h", "n", "shared"], _neighbours(percent)).groupBy("g", "h", "n").agg(F.sum("shared").alias("shared"))
+    # Few shared shingles promise no link; the second pass takes such pairs where they matter.
+    near = near.where(20 * F.col("shared") >= F.col("n")).groupBy("g").agg(F.max_by("h", F.struct("shared", "h")).alias("h"))
     between = near.join(heads.withColumnRenamed("key", "b"), "g").join(heads.select(F.col("g").alias("h"), F.col("key").alias("a")), "h").select("a", "b")
     within = members.join(heads.withColumnRenamed("key", "a"), "g").where("a <> key").select("a", F.col("key").alias("b"))
-    first = between.unionByName(within).where("a <> b").distinct()
-
-    sets = stored(_sets_of(docs, members.select("key").distinct(), described))
-    found = components(stored(_linked(first, sets, percent)))
+    first = stored(between.unionByName(within).where("a <> b").distinct())
+    found = components(stored(_linked(docs, first, described, percent)))
 
     placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("g", "key", F.coalesce("label", "key").alias("label")))
+    # A group whose members are in several classes is a class of its own here.
     of_group = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    # The runs' entries by the class of their group; a group whose members are in several classes is a class of its own here.
-    entry = _unpacked(runs, "r bigint, k bigint, g bigint, n bigint", ["r", "k", "g", "n"], _entries).join(of_group, "g")
-    entry = entry.withColumn("c", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g"))).drop("low", "high")
-    open_runs = entry.groupBy("r", "k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("r", "k")
-    entry = stored(entry.join(open_runs, ["r", "k"], "left_semi"))
-    sizes = entry.groupBy("r", "k", "c").count().groupBy("r", "k").agg(F.max_by("c", F.struct("count", "c")).alias("largest"))
-    x = entry.join(sizes, ["r", "k"]).where("c <> largest").select("r", "k", F.col("g").alias("g1"), F.col("n").alias("n1"), F.col("c").alias("c1"), "largest")
-    y = entry.select("r", "k", F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    # Of two classes beside the largest, each pair comes once; with the largest, once from the other's side.
-    fits = (F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("largest")) | (F.col("g1") < F.col("g2"))) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    open_pairs = x.join(y, ["r", "k"]).where(fits).select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
+    of_group = of_group.withColumn("c", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")))
+    open_pairs = _open_pairs(runs, of_group.select("g", "c"), percent).select("g1", "g2")
     split_groups = of_group.where("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     a = placed.select(F.col("g").alias("g1"), F.col("key").alias("a"), F.col("label").alias("la"))
     b = placed.select(F.col("g").alias("g2"), F.col("key").alias("b"), F.col("label").alias("lb"))
     rest = open_pairs.unionByName(split_groups).join(a, "g1").join(b, "g2").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = stored(_linked(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, percent))
+    rest = stored(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    late = stored(_linked(docs, rest, described, percent))
 
     label = placed.select("key", "label").distinct()
     bridges = late.join(label.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))

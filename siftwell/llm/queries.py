@@ -72,6 +72,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm.main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.quality import quality
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licences": op3_licences,
     "op4_merge_dropout": op4_merge_dropout,
     "op5_decontamination": op5_decontamination,
+    "op6_main_text": op6_main_text,
     "op7_quality": op7_quality,
     "op8_line_templates": op8_line_templates,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
