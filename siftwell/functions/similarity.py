@@ -5,37 +5,63 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import bigrams, fingerprint, search_title, tokens, grams_of
+from siftwell.functions.text import fingerprint, grams_of, let, search_title, tokens
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+
+    def share(s: Column) -> Column:
+        both, n = F.size(F.array_intersect(s["a"], s["b"])), F.size(F.array_union(s["a"], s["b"]))
+        return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), both / n).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def multiset_dice(a: Column, b: Column) -> Column:
     """Of two arrays with repeats: twice the sum of the smaller counts, by both sizes."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    both = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2 * both / (F.size(a) + F.size(b))).otherwise(F.lit(0.0))
+
+    def share(s: Column) -> Column:
+        both = F.aggregate(F.array_intersect(s["a"], s["b"]), F.lit(0), lambda n, x: n + F.least(count(s["a"], x), count(s["b"], x)))
+        return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), 2 * both / (F.size(s["a"]) + F.size(s["b"]))).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
+
+
+def _forms(a: Column, b: Column, use) -> Column:
+    """use() of the fingerprints fa and fb and tokens ta and tb."""
+    return let(F.struct(fingerprint(a).alias("fa"), fingerprint(b).alias("fb"), tokens(a).alias("ta"), tokens(b).alias("tb")), use)
 
 
 def similar_titles(a: Column, b: Column, least_jaccard: float = 0.72, least_dice: float = 0.88) -> Column:
     """Equal fingerprints, or tokens or bigrams close enough; never with an empty title."""
-    fa, fb = fingerprint(a), fingerprint(b)
-    close = (fa == fb) | (jaccard(tokens(a), tokens(b)) >= least_jaccard) | (multiset_dice(bigrams(a), bigrams(b)) >= least_dice)
-    return (fa != "") & (fb != "") & close
+
+    def close(s: Column) -> Column:
+        near = (s["fa"] == s["fb"]) | (jaccard(s["ta"], s["tb"]) >= least_jaccard) | (multiset_dice(grams_of(s["fa"]), grams_of(s["fb"])) >= least_dice)
+        return (s["fa"] != "") & (s["fb"] != "") & near
+
+    return _forms(a, b, close)
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    fa, fb = fingerprint(a), fingerprint(b)
-    return F.when((fa != "") & (fa == fb), F.lit(1.0)).otherwise(F.greatest(jaccard(tokens(a), tokens(b)), multiset_dice(bigrams(a), bigrams(b))))
+    """1 for equal fingerprints, else the larger of both measures."""
+
+    def close(s: Column) -> Column:
+        return F.when((s["fa"] != "") & (s["fa"] == s["fb"]), F.lit(1.0)).otherwise(F.greatest(jaccard(s["ta"], s["tb"]), multiset_dice(grams_of(s["fa"]), grams_of(s["fb"]))))
+
+    return _forms(a, b, close)
 
 
 def search_similarity(a: Column, b: Column) -> Column:
     """Equal 1; contained, the share of the length; else Dice of bigram sets."""
-    x, y = search_title(a), search_title(b)
-    gx, gy = F.array_distinct(grams_of(x)), F.array_distinct(grams_of(y))
-    dice = F.when(F.size(gx) + F.size(gy) > 0, 2 * F.size(F.array_intersect(gx, gy)) / (F.size(gx) + F.size(gy))).otherwise(F.lit(0.0))
-    within = x.contains(y) | y.contains(x)
-    return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when(within, F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(dice)
+
+    def close(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        gx, gy = F.array_distinct(grams_of(x)), F.array_distinct(grams_of(y))
+        dice = F.when(F.size(gx) + F.size(gy) > 0, 2 * F.size(F.array_intersect(gx, gy)) / (F.size(gx) + F.size(gy))).otherwise(F.lit(0.0))
+        within = x.contains(y) | y.contains(x)
+        share = F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))
+        return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when(within, share).otherwise(dice)
+
+    return let(F.struct(search_title(a).alias("x"), search_title(b).alias("y")), close)

@@ -18,6 +18,11 @@ _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = rf"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def regex(pattern: str, ignore_case: bool = True) -> str:
     """A pack's pattern for Spark: ASCII word boundaries, wide white space, case folding over all letters."""
     out, in_class, k = [], False, 0
@@ -124,8 +129,8 @@ def bigrams(text: Column, full: bool = False) -> Column:
 
 
 def grams_of(form: Column) -> Column:
-    n = F.length(form)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(form, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    own = lambda f: F.when(F.length(f) >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.length(f) - 1, F.lit(1))), lambda i: F.substr(f, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return let(form, own)
 
 
 def search_form(text: Column) -> Column:
@@ -148,13 +153,13 @@ def without_particles(text: Column, pack) -> Column:
 def sentences(text: Column) -> Column:
     """Runs up to `.`, `!`, `?` or the ideographic full stop; line ends count as full stops. Decimals split."""
     flat = clean(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r?\n+", ". "))
-    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"[^.!?。]+[.!?。]?"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"[^.!?。]+[.!?。]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentences_with_decimals(text: Column) -> Column:
     """As sentences, but a full stop between digits ends nothing."""
     flat = clean(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r?\n+", ". "))
-    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"(?:[^.!?。]|(?<=\d)\.(?=\d))+[.!?。]?"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(flat, F.lit(r"(?:[^.!?。]|(?<=\d)\.(?=\d))+[.!?。]?"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def count_of(text: Column, pattern: str) -> Column:

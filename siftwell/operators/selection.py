@@ -47,6 +47,26 @@ def _steps(limits: Limits) -> list[tuple[bool, bool, int]]:
     return [(True, True, limits.min_domestic), (True, False, limits.max_final), (False, True, limits.min_domestic), (False, False, limits.min_final)]
 
 
+def _step(limits: Limits, strict: bool, domestic_only: bool, target: int):
+    """A pass's step: the chosen rows with x, if it may be added."""
+    low_d, low_o = (limits.strict_domestic, limits.strict_overseas) if strict else (limits.relaxed_domestic, limits.relaxed_overseas)
+
+    def step(acc: Column, x: Column) -> Column:
+        many = lambda test: F.size(F.filter(acc, test))
+        count = many(lambda y: y["is_domestic"]) if domestic_only else F.size(acc)
+        good = x["score"] >= F.when(x["is_domestic"], low_d).otherwise(low_o)
+        fits = (F.size(acc) < limits.max_final) & ~F.exists(acc, lambda y: y["id"] == x["id"]) & (many(lambda y: y["category"] == x["category"]) < limits.per_category)
+        fits = fits & (x["is_domestic"] | (many(lambda y: ~y["is_domestic"]) < limits.max_overseas)) & ((x["source"] == "") | (many(lambda y: y["source"] == x["source"]) < limits.per_source))
+        fits = fits & good & (count < target)
+        if strict:
+            fits = fits & x["allowed"]
+        if domestic_only:
+            fits = fits & x["is_domestic"]
+        return F.when(fits, F.concat(acc, F.array(x))).otherwise(acc)
+
+    return step
+
+
 def constrained(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Selection in four passes under caps on total, category, source and overseas rows.
 
@@ -64,22 +84,7 @@ def constrained(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noq
     kind = held.schema["items"].dataType.simpleString()
     chosen = F.array().cast(kind)
     for strict, domestic_only, target in _steps(limits):
-        low_d, low_o = (limits.strict_domestic, limits.strict_overseas) if strict else (limits.relaxed_domestic, limits.relaxed_overseas)
-
-        def step(acc: Column, x: Column, strict=strict, domestic_only=domestic_only, target=target, low_d=low_d, low_o=low_o) -> Column:
-            many = lambda test: F.size(F.filter(acc, test))
-            count = many(lambda y: y["is_domestic"]) if domestic_only else F.size(acc)
-            good = x["score"] >= F.when(x["is_domestic"], low_d).otherwise(low_o)
-            fits = (F.size(acc) < limits.max_final) & ~F.exists(acc, lambda y: y["id"] == x["id"]) & (many(lambda y: y["category"] == x["category"]) < limits.per_category)
-            fits = fits & (x["is_domestic"] | (many(lambda y: ~y["is_domestic"]) < limits.max_overseas)) & ((x["source"] == "") | (many(lambda y: y["source"] == x["source"]) < limits.per_source))
-            fits = fits & good & (count < target)
-            if strict:
-                fits = fits & x["allowed"]
-            if domestic_only:
-                fits = fits & x["is_domestic"]
-            return F.when(fits, F.concat(acc, F.array(x))).otherwise(acc)
-
-        held = held.withColumn("chosen", F.aggregate("items", chosen, step))
+        held = held.withColumn("chosen", F.aggregate("items", chosen, _step(limits, strict, domestic_only, target)))
         chosen = F.col("chosen")
     return held.select(F.inline("chosen")).withColumnRenamed("allowed", "source_allowed")
 
@@ -89,6 +94,15 @@ def shortages(selected: DataFrame, limits: Limits = Limits()) -> DataFrame:  # n
     return out.withColumn("reasons", F.array_compact(F.array(F.when(F.col("domestic") < limits.min_domestic, "domestic_shortage"), F.when(F.col("total") < limits.min_final, "final_shortage"))))
 
 
+def _with_next(items: Column, chosen: Column, bonus: int) -> Column:
+    """The chosen and the best that is left."""
+    left = F.filter(items, lambda x: ~F.exists(chosen, lambda y: y["event_key"] == x["event_key"]))
+    worth = lambda x: x["importance"] + F.when(F.exists(chosen, lambda y: y["category"] == x["category"]), 0).otherwise(bonus)
+    ranked = F.transform(left, lambda x: F.struct((-worth(x)).alias("minus"), x["id"].alias("key"), x.alias("item")))
+    top = F.get(F.array_sort(ranked), F.lit(0))["item"]
+    return F.when(top.isNotNull(), F.concat(chosen, F.array(top))).otherwise(chosen)
+
+
 def diversified(rows: DataFrame, k: int = 3, bonus: int = 7) -> DataFrame:
     """k rows (id, importance, category, event_key): each time the best of importance plus a bonus for an unused
     category, event keys not used before. Per category only the best of each event key, k deep, can be chosen."""
@@ -98,10 +112,7 @@ def diversified(rows: DataFrame, k: int = 3, bonus: int = 7) -> DataFrame:
     kind = out.schema["items"].dataType.simpleString()
     chosen = F.array().cast(kind)
     for n in range(k):
-        left = F.filter("items", lambda x, chosen=chosen: ~F.exists(chosen, lambda y: y["event_key"] == x["event_key"]))
-        worth = F.transform(left, lambda x, chosen=chosen: F.struct((-(x["importance"] + F.when(F.exists(chosen, lambda y: y["category"] == x["category"]), 0).otherwise(bonus))).alias("minus"), x["id"].alias("key"), x.alias("item")))
-        top = F.get(F.array_sort(worth), F.lit(0))["item"]
-        out = out.withColumn(f"c{n}", F.when(top.isNotNull(), F.concat(chosen, F.array(top))).otherwise(chosen))
+        out = out.withColumn(f"c{n}", _with_next(F.col("items"), chosen, bonus))
         chosen = F.col(f"c{n}")
     return out.select(F.posexplode(chosen).alias("place", "x")).select((F.col("place") + 1).alias("place"), "x.*")
 
