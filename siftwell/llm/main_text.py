@@ -119,9 +119,11 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             flush()
         if tag[1]:
             if name in (x for x, _ in stack):
-                flush()
                 while stack:
-                    x, state = stack.pop()
+                    x, before = stack.pop()
+                    if x in BLOCKS or before != state:
+                        flush()
+                    state = before
                     if x == name:
                         break
             continue
