@@ -1,7 +1,8 @@
 """N-gram Jaccard join: grouped prefix join over sets of word shingles, and the classes that its links make.
 
 Two documents link when the Jaccard coefficient of their sets of distinct 5-word shingles is 0.75 or more
-(`percent * union <= 100 * intersection`, in integers). Shingles are 64-bit hashes; so are set ids.
+(`percent * union <= 100 * intersection`, in integers). Shingles are 64-bit hashes; so are set ids. Where two
+sets are compared, their hashes' lower 40 bits travel.
 
 1. Every text gives its set, its set id and size; equal sets are one member from here on.
 2. Shingles are ordered: first those that no shard of the corpus found frequent, by hash, then frequent ones by
@@ -35,17 +36,20 @@ from siftwell.llm.common import byte_texts, discard, mixed, packed, slices, stor
 
 WORDS = 5
 PERCENT = 75
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Shingles that this many documents of a shard share are reported as frequent; so many at most are ordered by count.
 FREQUENT_IN_SHARD = 3
 FREQUENT_MOST = 1 << 20
 SHARD_SHINGLES = 3 << 19
 #: Prefix shingles in a range, and in the packets that a task sends out.
 RANGE_ENTRIES = 600_000
+RANGES_LEAST = 64
 PACKET_ENTRIES = 1_000_000
 BLOCK = 64
 #: A run longer than this makes its shingle count as frequent, and prefixes are then taken anew.
 LONG_RUN = 1024
+#: Edges that one task contracts at most (16 bytes each); beyond that components are found by all tasks in rounds.
+FEW_EDGES = 500_000
 #: log2 of the bits, at most, of the filter over ids that is sent to all tasks (8 MB).
 FILTER_BITS = 26
 
@@ -53,6 +57,18 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = mixed(np.arange(1, WORDS + 65, dtype=np.uint64)) | np.uint64(1)
 _U64 = np.uint64
+_LOW = np.uint64((1 << 40) - 1)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The lower five bytes of each hash, packed: all that comparing two sets or finding a run needs to move."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
 
 
 def shingle_sets(texts: list[bytes | None], width: int = WORDS) -> list[np.ndarray]:
@@ -143,46 +159,46 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             least = 2 ** (row["level"] + 1)
             break
     found = counts.where(F.col("n") >= least).toArrow()
-    keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+    keys, first = np.unique(found.column("key").to_numpy().view(np.uint64) & _LOW, return_index=True)
+    return keys, found.column("n").to_numpy()[first]
 
 
 def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     keep = prefix_size(len(values), percent)
     keys, counts = frequent
     if len(keys):
-        at = np.searchsorted(keys, values)
+        low = values & _LOW
+        at = np.searchsorted(keys, low)
         at[at == len(keys)] = 0
-        count = np.where(keys[at] == values, counts[at], 0)
+        count = np.where(keys[at] == low, counts[at], 0)
         if count.any():
             return values[np.argsort(count, kind="stable")][:keep]
     return values[:keep]
 
 
 def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int, percent: int) -> DataFrame:
-    """Prefix shingles of groups, packed per range of shingles: range, ids, groups, n per member; tokens, owner per entry."""
+    """Prefix shingles of groups, packed per range of shingles: groups and n, tokens and owner (a place in groups) per
+    entry. Rows of a negative range hold members instead: groups, and set ids as tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("range", pa.int64()), ("ids", pa.binary()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary())])
-
-    def packet(members: list[tuple[int, int, int]], tokens: list[np.ndarray], owners: list[int]) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate(tokens)
-        owner = np.repeat(np.array(owners, dtype=np.int64), [len(t) for t in tokens])
-        to = ((token >> _U64(32)) * _U64(ranges)) >> _U64(32)
+    schema = pa.schema([("range", pa.int64()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary())])
+
+    def row(at: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(schema.names[1:], columns, strict=True)}, schema=schema)
+
+    def packet(members: list[tuple[int, int]], heads: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        both = np.array(members, dtype=np.int64)
+        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.empty(0))
+        token = np.concatenate([h[2] for h in heads])
+        owner = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h[2]) for h in heads])
+        group, n = np.array([h[0] for h in heads], dtype=np.int64), np.array([h[1] for h in heads], dtype=np.int32)
+        to = (((token >> _U64(32)) * _U64(ranges)) >> _U64(32)).astype(np.int32)
         order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.diff(to[order])) + 1
-        ids, groups, n = (np.array(c, dtype=t) for c, t in zip(zip(*members, strict=True), (np.int64, np.int64, np.int32), strict=True))
-        of_group = np.argsort(groups, kind="stable")
-        for mine in np.split(order, cuts):
-            used = np.unique(groups[owner[mine]])
-            own = of_group[np.isin(groups[of_group], used)]
-            yield pa.RecordBatch.from_pydict(
-                {"range": [int(to[mine[0]])], "ids": [ids[own].tobytes()], "groups": [groups[own].tobytes()], "n": [n[own].tobytes()], "tokens": [token[mine].tobytes()], "owner": [np.searchsorted(groups[own], groups[owner[mine]]).astype(np.int32).tobytes()]},
-                schema=schema,
-            )
+        for mine in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            used, at = np.unique(owner[mine], return_inverse=True)
+            yield row(int(to[mine[0]]), group[used], n[used], narrow(token[mine]), at.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, tokens, owners, many = [], [], [], 0
+        members, heads, many = [], [], 0
         seen, grouped = set(), set()
         for part in (x for b in batches for x in slices(b, "text", SLICE_BYTES)):
             for s in shingle_sets(byte_texts(part.column("text"))):
@@ -193,57 +209,59 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
                 group = set_id(np.append(head, _U64(len(s))))
                 if group not in grouped:
                     grouped.add(group)
-                    tokens.append(head)
-                    owners.append(len(members))
+                    heads.append((group, len(s), head))
                     many += len(head)
-                members.append((key, group, len(s)))
+                members.append((key, group))
+            pa.default_memory_pool().release_unused()
             if many >= PACKET_ENTRIES:
-                yield from packet(members, tokens, owners)
-                members, tokens, owners, many = [], [], [], 0
+                yield from packet(members, heads)
+                members, heads, many = [], [], 0
                 seen, grouped = set(), set()
         if members:
-            yield from packet(members, tokens, owners)
+            yield from packet(members, heads)
 
-    return _texts(docs).mapInArrow(run, "range bigint, ids binary, groups binary, n binary, tokens binary, owner binary")
+    return _texts(docs).mapInArrow(run, "range bigint, groups binary, n binary, tokens binary, owner binary")
 
 
 def _runs(packets: DataFrame) -> DataFrame:
-    """Per range: its runs of two groups or more (ends of runs; group and n per entry), and these groups' members."""
-    schema = "range bigint, ends binary, groups binary, n binary, member_groups binary, member_ids binary, long binary, lengths binary"
+    """Per range: its runs of two groups or more (ends of runs; group and n per entry), or members (groups and ids)."""
+    names = ["ends", "groups", "n", "member_groups", "member_ids", "long", "lengths"]
+    schema = pa.schema([("range", pa.int64()), *((k, pa.binary()) for k in names)])
+    none = np.empty(0, dtype=np.int64)
 
     def joined(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
         return [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
 
     def run(table: pa.Table) -> pa.Table:
-        ids, groups, n = joined(table, "ids", np.int64), joined(table, "groups", np.int64), joined(table, "n", np.int32)
-        token = np.concatenate(joined(table, "tokens", np.uint64))
-        owner = joined(table, "owner", np.int32)
-        group = np.concatenate([g[o] for g, o in zip(groups, owner, strict=True)])
-        size = np.concatenate([s[o] for s, o in zip(n, owner, strict=True)])
-        order = np.argsort(token)
-        token = token[order]
-        same = token[1:] == token[:-1]
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        order, token = order[shared], token[shared]
-        group, size = group[order], size[order]
-        order = np.lexsort((group, size, token))
-        token, group, size = token[order], group[order], size[order]
-        if len(token):
-            new = np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])))
-            token, group, size = token[new], group[new], size[new]
-        all_ids, all_groups = np.concatenate(ids), np.concatenate(groups)
-        # A group of several members counts even if it shares no shingle with another group.
-        pairs = np.unique(np.stack([all_groups, all_ids]), axis=1)
-        several = pairs[0][1:][pairs[0][1:] == pairs[0][:-1]]
-        kept = np.isin(pairs[0], np.union1d(several, group))
-        ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)) if len(token) else np.empty(0)
-        ends = ends.astype(np.int64)
-        lengths = np.diff(np.concatenate(([0], ends)))
-        of_run = token[ends - 1][lengths > LONG_RUN] if len(ends) else token
-        row = {"ends": ends, "groups": group, "n": size.astype(np.int32), "member_groups": pairs[0][kept], "member_ids": pairs[1][kept], "long": of_run, "lengths": lengths[lengths > LONG_RUN]}
-        return pa.Table.from_pydict({"range": table.column("range")[:1]} | {k: [packed(v)] for k, v in row.items()}, schema=pa.schema([("range", pa.int64()), *((k, pa.binary()) for k in row)]))
-
-    return packets.groupBy("range").applyInArrow(run, schema)
+        at = table.column("range")[0].as_py()
+        groups, n = joined(table, "groups", np.int64), joined(table, "n", np.int32)
+        if at < 0:
+            pairs = np.unique(np.stack([np.concatenate(groups), np.concatenate(joined(table, "tokens", np.int64))]), axis=1)
+            columns = (none, none, none, pairs[0], pairs[1], none, none)
+        else:
+            token = np.concatenate([wide(x) for x in table.column("tokens").to_pylist()])
+            owner = joined(table, "owner", np.int32)
+            group = np.concatenate([g[o] for g, o in zip(groups, owner, strict=True)])
+            size = np.concatenate([s[o] for s, o in zip(n, owner, strict=True)])
+            order = np.argsort(token)
+            token = token[order]
+            same = token[1:] == token[:-1]
+            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            order, token = order[shared], token[shared]
+            group, size = group[order], size[order]
+            order = np.lexsort((group, size, token))
+            token, group, size = token[order], group[order], size[order]
+            if len(token):
+                new = np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])))
+                token, group, size = token[new], group[new], size[new]
+            ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)).astype(np.int64) if len(token) else none
+            lengths = np.diff(np.concatenate(([0], ends)))
+            keep = np.repeat(lengths > 1, lengths)  # a group may have met itself only
+            of_run = token[ends - 1][lengths > LONG_RUN] if len(ends) else token
+            columns = (np.cumsum(lengths[lengths > 1]), group[keep], size[keep].astype(np.int32), none, none, of_run, lengths[lengths > LONG_RUN])
+        return pa.Table.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(names, columns, strict=True)}, schema=schema)
+
+    return packets.groupBy("range").applyInArrow(run, "range bigint, " + ", ".join(f"{k} binary" for k in names))
 
 
 def _unpacked(runs: DataFrame, schema: str, names: list[str], make) -> DataFrame:
@@ -284,55 +302,69 @@ def _ranged(range_no, ends, groups, n, member_groups, member_ids):
     return np.full(len(own), range_no, dtype=np.int64), own
 
 
-def _open_pairs(runs: DataFrame, of_group: DataFrame, percent: int) -> DataFrame:
-    """g1, g2, n1, n2 and the number of prefix shingles shared, of the pairs of groups in a run that aren't in one class."""
-    labels = _unpacked(runs, "range bigint, g bigint", ["range", "g"], _ranged).join(of_group, "g").select("range", "g", "c")
+def _open_pairs(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """g1 < g2, n1, n2 and the number of prefix shingles shared, of the pairs of groups in a run that aren't in one class.
+
+    With `nearest`, only each group outside a run's largest class and the one of that class next to it in size.
+    """
+    labels = _unpacked(runs, "range bigint, g bigint", ["range", "g"], _ranged).join(of_group, "g")
+    labels = labels.groupBy("range").agg(F.collect_list(F.struct("g", "c")).alias("held")).select("range", F.col("held.g").alias("known"), F.col("held.c").alias("label"))
     schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("shared", pa.int64())])
 
-    def counted(found: list[np.ndarray]) -> list[np.ndarray]:
-        if not found:
-            return []
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(found, axis=1)
+        swap = every[0] > every[1]
+        every[:, swap] = every[[1, 0, 3, 2]][:, swap]
         order = np.lexsort((every[1], every[0]))
         every = every[:, order]
         new = np.flatnonzero(np.concatenate(([True], (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1]))))
-        out = every[:, new]
-        out[4] = np.add.reduceat(every[4], new)
-        return [out]
-
-    def run(run_table: pa.Table, label_table: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = []
-        if run_table.num_rows and label_table.num_rows:
-            ends, groups, n = (np.frombuffer(run_table.column(x)[0].as_py(), dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32)))
-            known, label = label_table.column("g").to_numpy(), label_table.column("c").to_numpy()
-            order = np.argsort(known)
-            c = label[order][np.searchsorted(known[order], groups)]
-            begins = np.concatenate(([0], ends[:-1]))
-            several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins) if len(ends) else []
-            size, many = n.astype(np.int64), 0
-            for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-                own, of, m = groups[first:last], c[first:last], size[first:last]  # in order of size
-                values, counts = np.unique(of, return_counts=True)
-                largest = values[np.argmax(counts)]
-                for k in np.flatnonzero(of != largest).tolist():
-                    low, high = np.searchsorted(m, -(-percent * m[k] // 100)), np.searchsorted(m, 100 * m[k] // percent, side="right")
-                    # With the largest class every pair counts here, with others the pair counts at its first.
-                    other = np.arange(low, high)
-                    other = other[(of[low:high] == largest) | ((of[low:high] != of[k]) & (other > k))]
-                    if len(other):
-                        x, y = np.full(len(other), own[k]), own[other]
-                        swap = x > y
-                        nx, ny = np.full(len(other), m[k]), m[other]
-                        found.append(np.stack([np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny), np.ones(len(other), np.int64)]))
-                        many += len(other)
-                if many > 2_000_000:
-                    found = counted(found)
-                    many = found[0].shape[1] if found[0].shape[1] < 1_000_000 else 0
-        out = counted(found)
-        return pa.Table.from_arrays([pa.array(x) for x in (out[0] if out else np.empty((5, 0), np.int64))], schema=schema)
-
-    pairs = runs.select("range", "ends", "groups", "n").groupBy("range").cogroup(labels.groupBy("range")).applyInArrow(run, "g1 bigint, g2 bigint, n1 bigint, n2 bigint, shared bigint")
+        counts = np.diff(np.append(new, every.shape[1]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*every[:, new], counts)], schema=schema)
+
+    def pairs_of(own: np.ndarray, of: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of a run, whose entries come in order of size."""
+        values, counts = np.unique(of, return_counts=True)
+        largest = values[np.argmax(counts)]
+        inner = np.flatnonzero(of == largest)
+        outer = np.flatnonzero(of != largest)
+        if nearest:
+            at = np.searchsorted(inner, outer)
+            near = np.where((at > 0) & ((at == len(inner)) | (outer - inner[np.maximum(at - 1, 0)] <= inner[np.minimum(at, len(inner) - 1)] - outer)), inner[np.maximum(at - 1, 0)], inner[np.minimum(at, len(inner) - 1)])
+            fit = 100 * np.minimum(m[outer], m[near]) >= percent * np.maximum(m[outer], m[near])
+            yield np.stack([own[outer], own[near], m[outer], m[near]])[:, fit]
+            return
+        for k in outer.tolist():
+            low, high = np.searchsorted(m, -(-percent * m[k] // 100)), np.searchsorted(m, 100 * m[k] // percent, side="right")
+            # With the largest class every pair counts here, with others the pair counts at its first.
+            other = np.arange(low, high)
+            other = other[(of[low:high] == largest) | ((of[low:high] != of[k]) & (other > k))]
+            yield np.stack([np.full(len(other), own[k]), own[other], np.full(len(other), m[k]), m[other]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ends, groups, n = (np.frombuffer(batch.column(x)[r].as_py(), dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32)))
+                known, label = (batch.column(x)[r].values.to_numpy() for x in ("known", "label"))
+                order = np.argsort(known)
+                c = label[order][np.searchsorted(known[order], groups)]
+                begins = np.concatenate(([0], ends[:-1]))
+                several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins)
+                found, many = [], 0
+                for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
+                    for x in pairs_of(groups[first:last], c[first:last], n[first:last].astype(np.int64)):
+                        found.append(x)
+                        many += x.shape[1]
+                        if many > 200_000:
+                            yield counted(found)
+                            found, many = [], 0
+                if many:
+                    yield counted(found)
+            pa.default_memory_pool().release_unused()
+
+    pairs = runs.select("range", "ends", "groups", "n").join(labels, "range").mapInArrow(run, "g1 bigint, g2 bigint, n1 bigint, n2 bigint, shared bigint")
     pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.sum("shared").alias("shared"))
+    if nearest:
+        return pairs.where(20 * F.col("shared") >= F.least("n1", "n2"))
     # What two sets share beyond their prefixes is at most the longer rest of one of them.
     rest = F.ceil(F.greatest("n1", "n2") * percent / 100) - 1
     return pairs.where((F.col("shared") + rest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
@@ -375,7 +407,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame) -> DataFr
             keep |= ((words[one >> 6] >> (one & 63)) & (words[two >> 6] >> (two & 63)) & 1).astype(bool)
             for part in slices(batch.filter(pa.array(keep)), "text", SLICE_BYTES):
                 sets = [s for s in shingle_sets(byte_texts(part.column("text"))) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(narrow(s)) for s in sets], pa.binary())], schema=schema)
 
     return _texts(docs).mapInArrow(run, "key bigint, values binary")
 
@@ -402,12 +434,9 @@ def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: in
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("a_values"), batch.column("b_values"), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                if len(one) > len(two):
-                    one, two = two, one
-                at = np.searchsorted(two, one)
-                at[at == len(two)] = 0
-                both = int((two[at] == one).sum())
+                one, two = wide(x.as_buffer()), wide(y.as_buffer())
+                every = np.sort(np.concatenate((one, two)))
+                both = int((every[1:] == every[:-1]).sum())
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -415,9 +444,33 @@ def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: in
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_values", "b_values").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (its component's smallest node) for the nodes of the edges a, b: alternating stars, each round stored."""
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, label of the edges u, v by union and find."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up] if up in root else up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "label"])
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """node, label (its component's smallest node) for the nodes of the edges a, b.
+
+    One task contracts `few` edges at most, whose size is counted first; more go through alternating stars, each round
+    stored.
+    """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if e.count() <= few:
+        return e.coalesce(1).mapInArrow(_contracted, "node bigint, label bigint")
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -441,7 +494,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     frequent = _frequent(described)
     short = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     entries = described.where("kind = 0 and n > 0").agg(F.sum(short)).first()[0] or 0
-    ranges = math.ceil((entries + 1) / RANGE_ENTRIES)
+    ranges = max(RANGES_LEAST, math.ceil(entries / RANGE_ENTRIES))
     while True:
         runs = stored(_runs(_packets(docs, frequent, ranges, percent)))
         frequent, more = _with_long_runs(frequent, runs)
@@ -449,7 +502,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         discard(runs)
 
-    members = stored(_unpacked(runs, "g bigint, key bigint", ["g", "key"], _members).distinct())
+    members = stored(_unpacked(runs.where("range < 0"), "g bigint, key bigint", ["g", "key"], _members).distinct())
+    runs = runs.where("range >= 0 and octet_length(ends) > 0")
     heads = members.groupBy("g").agg(F.min("key").alias("key"))
     near = _unpacked(runs, "g bigint, h bigint, n bigint, shared bigint", ["g", "h", "n", "shared"], _neighbours(percent)).groupBy("g", "h", "n").agg(F.sum("shared").alias("shared"))
     # Few shared shingles promise no link; the second pass takes such pairs where they matter.
@@ -460,21 +514,31 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = components(stored(_linked(docs, first, described, percent)))
 
     placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("g", "key", F.coalesce("label", "key").alias("label")))
-    # A group whose members are in several classes is a class of its own here.
-    of_group = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    of_group = of_group.withColumn("c", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")))
-    open_pairs = _open_pairs(runs, of_group.select("g", "c"), percent).select("g1", "g2")
-    split_groups = of_group.where("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    a = placed.select(F.col("g").alias("g1"), F.col("key").alias("a"), F.col("label").alias("la"))
-    b = placed.select(F.col("g").alias("g2"), F.col("key").alias("b"), F.col("label").alias("lb"))
-    rest = open_pairs.unionByName(split_groups).join(a, "g1").join(b, "g2").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = stored(rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    late = stored(_linked(docs, rest, described, percent))
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for nearest in (True, False):
+        # A group whose members are in several classes is a class of its own here.
+        of_group = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        of_group = of_group.withColumn("c", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")))
+        open_pairs = stored(_open_pairs(runs, of_group.select("g", "c"), percent, nearest))
+        a = placed.select(F.col("g").alias("g1"), F.col("key").alias("a"), F.col("label").alias("la"))
+        b = placed.select(F.col("g").alias("g2"), F.col("key").alias("b"), F.col("label").alias("lb"))
+        if nearest:
+            # One partner for each group, member for member of the smallest ids.
+            both = open_pairs.select("g1", "g2", "shared").unionByName(open_pairs.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), "shared"))
+            open_pairs = both.groupBy("g1").agg(F.max_by("g2", F.struct("shared", "g2")).alias("g2"))
+            a, b = (x.groupBy(x.columns[0]).agg(F.min(x.columns[1]).alias(x.columns[1]), F.min_by(*x.columns[:0:-1]).alias(x.columns[2])) for x in (a, b))
+        else:
+            open_pairs = open_pairs.select("g1", "g2").unionByName(of_group.where("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
+        rest = open_pairs.join(a, "g1").join(b, "g2").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(rest)
+        late = stored(_linked(docs, rest, described, percent))
+        label = placed.select("key", "label").distinct()
+        bridges = late.join(label.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = components(bridges)
+        placed = stored(placed.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("g", "key", F.coalesce("root", "label").alias("label")))
 
     label = placed.select("key", "label").distinct()
-    bridges = late.join(label.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    merged = components(bridges)
-    label = label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("key", F.coalesce("root", "label").alias("label"))
 
     rows = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"))
     ids = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"))
