@@ -317,6 +317,14 @@ def test_jaccard_classes(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [k for k, _, c in got if k == c] and kept.columns == df.columns
 
 
+def test_components_in_rounds_and_in_one_task(spark):
+    edges = [(k + 1, k) for k in range(300)] + [(1000, 900), (901, 900), (5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 10**6):
+        got = {r["node"]: r["label"] for r in jaccard_groups.components(df, few).collect()}
+        assert got == {k: 0 for k in range(301)} | {k: 900 for k in (900, 901, 1000)}
+
+
 def test_jaccard_hot_group_and_empty(spark):
     rng = random.Random(10)
     base = prose(rng, 80).split()
