@@ -44,14 +44,19 @@ def local_date(ts: Column) -> Column:
     return F.date_format(F.from_utc_timestamp(ts, ZONE), "yyyy-MM-dd")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970; times without a zone are taken in the session's."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def freshness(ts: Column, start: Column, end: Column) -> Column:
     """0 to 4, halves up."""
-    share = (F.unix_micros(end) - F.unix_micros(ts)) / (F.unix_micros(end) - F.unix_micros(start))
+    share = (micros(end) - micros(ts)) / (micros(end) - micros(start))
     return F.greatest(F.lit(0), F.least(F.lit(4), F.floor(4 * (1 - share) + 0.5).cast("int")))
 
 
 def healthy(success: Column, ran: Column, now: Column, hours: int = 36) -> Column:
-    age = F.unix_micros(now) - F.unix_micros(ran)
+    age = micros(now) - micros(ran)
     return success & (age >= 0) & (age <= hours * 3_600_000_000)
 
 
