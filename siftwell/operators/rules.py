@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import times
-from siftwell.functions.text import any_matches, clean, contains_keyword, hits, match_form, matches, regex
+from siftwell.functions.text import any_matches, clean, contains_keyword, hits, let, match_form, matches, regex
 from siftwell.packs import Pack
 
 
@@ -118,12 +118,16 @@ def category_score(pack: Pack, category: str, title: Column, description: Column
 
 def category_scores(pack: Pack, title: Column, description: Column, hints: Column) -> Column:
     """Array of (score, category, matched), best first; ties in the pack's order."""
-    rows = []
-    for k, name in enumerate(pack.categories):
-        matched = (hits(match_form(title), pack.categories[name]) + hits(match_form(description), pack.categories[name])) > 0
-        rows.append(F.struct((-category_score(pack, name, title, description, hints)).alias("minus"), F.lit(k).alias("place"), F.lit(name).alias("category"), matched.alias("matched")))
-    ranked = F.array_sort(F.array(*rows))
-    return F.transform(ranked, lambda r: F.struct((-r["minus"]).alias("score"), r["category"].alias("category"), r["matched"].alias("matched")))
+
+    def ranked(s: Column) -> Column:
+        rows = []
+        for k, (name, words) in enumerate(pack.categories.items()):
+            in_title, in_description = hits(s["t"], words), hits(s["d"], words)
+            score = F.least(in_title, F.lit(3)) * 7 + F.least(in_description, F.lit(4)) * 3 + F.when(F.coalesce(F.array_contains(hints, name), F.lit(False)), 2).otherwise(0)
+            rows.append(F.struct((-score).alias("minus"), F.lit(k).alias("place"), F.lit(name).alias("category"), (in_title + in_description > 0).alias("matched")))
+        return F.transform(F.array_sort(F.array(*rows)), lambda r: F.struct((-r["minus"]).alias("score"), r["category"].alias("category"), r["matched"].alias("matched")))
+
+    return let(F.struct(match_form(title).alias("t"), match_form(description).alias("d")), ranked)
 
 
 def category(pack: Pack, title: Column, description: Column, hints: Column, best: Column | None, domestic: Column, kind: Column) -> Column:
