@@ -741,8 +741,8 @@ def daily_briefing(spark, d):
     return rows.orderBy(*order).limit(15).select("id", "title", "source", "score")
 
 
-@query()
 def curated_briefing(spark, d):
+    """The whole batch run; not in the catalogue until a run of it has been seen to end."""
     rows = articles(spark, d)
     run = curation.briefing(rows.drop("body"), rows.select("id", "body"), PACK, F.lit("2024-01-01").cast("timestamp"), F.lit(NOW).cast("timestamp"))
     return run.audit.select("id", "title", "category", "score", "connection_type", "exclude_reason", "final_selected")
