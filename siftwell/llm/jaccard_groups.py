@@ -12,8 +12,13 @@ sets are compared, their hashes' lower 40 bits travel.
    runs of groups that share a shingle.
 4. First pass: each member is compared with the one neighbour it shares most prefix shingles with (block pivots
    within a run, neighbours within a group), so that a class of n near copies costs about n comparisons.
-5. Second pass: every pair of groups in a run (and of members in a group) that the first pass left in different
-   classes, and whose sizes allow a link, is expanded to members and compared. None is capped, so classes are exact.
+5. Second pass: a group outside its run's largest class is compared with the one of that class next to it in size.
+6. Third pass: blocks hold groups that the first passes brought together, linked or not, of a bounded number of
+   shingles. A group goes to each block that holds a group of another class whose size and place in a shared run allow
+   a link, and is compared there with all members by term-at-a-time accumulation over the block's postings. None is
+   capped, so classes are exact, and rows number groups times blocks, not pairs. (Place: the first shingle that two
+   linked sets share stands early enough in both for the needed overlap to follow. Each run tests this on its own, and
+   that first shingle's run always passes it.)
 
 Only set ids, prefixes and the sets of members with a partner travel; texts don't.
 
@@ -46,6 +51,8 @@ RANGE_ENTRIES = 600_000
 RANGES_LEAST = 64
 PACKET_ENTRIES = 1_000_000
 BLOCK = 64
+#: Shingles in a block of the third pass, and of the groups that one task holds against it (five bytes each).
+BLOCK_SHINGLES = 1 << 20
 #: A run longer than this makes its shingle count as frequent, and prefixes are then taken anew.
 LONG_RUN = 1024
 #: Edges that one task contracts at most (16 bytes each); beyond that components are found by all tasks in rounds.
@@ -177,25 +184,26 @@ def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
 
 
 def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int, percent: int) -> DataFrame:
-    """Prefix shingles of groups, packed per range of shingles: groups and n, tokens and owner (a place in groups) per
-    entry. Rows of a negative range hold members instead: groups, and set ids as tokens."""
+    """Prefix shingles of groups, packed per range of shingles: groups and n; tokens, owner (a place in groups) and rest
+    (how many shingles of the set come from here on) per entry. Rows of a negative range hold members instead: groups, and set ids as tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("range", pa.int64()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary())])
+    schema = pa.schema([("range", pa.int64()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary()), ("rest", pa.binary())])
 
     def row(at: int, *columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(schema.names[1:], columns, strict=True)}, schema=schema)
 
     def packet(members: list[tuple[int, int]], heads: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         both = np.array(members, dtype=np.int64)
-        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.empty(0))
+        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.empty(0), np.empty(0))
         token = np.concatenate([h[2] for h in heads])
         owner = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h[2]) for h in heads])
         group, n = np.array([h[0] for h in heads], dtype=np.int64), np.array([h[1] for h in heads], dtype=np.int32)
+        rest = np.concatenate([np.arange(h[1], h[1] - len(h[2]), -1, dtype=np.int32) for h in heads])
         to = (((token >> _U64(32)) * _U64(ranges)) >> _U64(32)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
             used, at = np.unique(owner[mine], return_inverse=True)
-            yield row(int(to[mine[0]]), group[used], n[used], narrow(token[mine]), at.astype(np.int32))
+            yield row(int(to[mine[0]]), group[used], n[used], narrow(token[mine]), at.astype(np.int32), rest[mine])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, heads, many = [], [], 0
@@ -220,12 +228,12 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
         if members:
             yield from packet(members, heads)
 
-    return _texts(docs).mapInArrow(run, "range bigint, groups binary, n binary, tokens binary, owner binary")
+    return _texts(docs).mapInArrow(run, "range bigint, groups binary, n binary, tokens binary, owner binary, rest binary")
 
 
 def _runs(packets: DataFrame) -> DataFrame:
-    """Per range: its runs of two groups or more (ends of runs; group and n per entry), or members (groups and ids)."""
-    names = ["ends", "groups", "n", "member_groups", "member_ids", "long", "lengths"]
+    """Per range: its runs of two groups or more (ends of runs; group, n and rest per entry), or members (groups and ids)."""
+    names = ["ends", "groups", "n", "rest", "member_groups", "member_ids", "long", "lengths"]
     schema = pa.schema([("range", pa.int64()), *((k, pa.binary()) for k in names)])
     none = np.empty(0, dtype=np.int64)
 
@@ -237,28 +245,29 @@ def _runs(packets: DataFrame) -> DataFrame:
         groups, n = joined(table, "groups", np.int64), joined(table, "n", np.int32)
         if at < 0:
             pairs = np.unique(np.stack([np.concatenate(groups), np.concatenate(joined(table, "tokens", np.int64))]), axis=1)
-            columns = (none, none, none, pairs[0], pairs[1], none, none)
+            columns = (none, none, none, none, pairs[0], pairs[1], none, none)
         else:
             token = np.concatenate([wide(x) for x in table.column("tokens").to_pylist()])
             owner = joined(table, "owner", np.int32)
             group = np.concatenate([g[o] for g, o in zip(groups, owner, strict=True)])
             size = np.concatenate([s[o] for s, o in zip(n, owner, strict=True)])
+            rest = np.concatenate(joined(table, "rest", np.int32))
             order = np.argsort(token)
             token = token[order]
             same = token[1:] == token[:-1]
             shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             order, token = order[shared], token[shared]
-            group, size = group[order], size[order]
+            group, size, rest = group[order], size[order], rest[order]
             order = np.lexsort((group, size, token))
-            token, group, size = token[order], group[order], size[order]
+            token, group, size, rest = token[order], group[order], size[order], rest[order]
             if len(token):
                 new = np.concatenate(([True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])))
-                token, group, size = token[new], group[new], size[new]
+                token, group, size, rest = token[new], group[new], size[new], rest[new]
             ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)).astype(np.int64) if len(token) else none
             lengths = np.diff(np.concatenate(([0], ends)))
             keep = np.repeat(lengths > 1, lengths)  # a group may have met itself only
             of_run = token[ends - 1][lengths > LONG_RUN] if len(ends) else token
-            columns = (np.cumsum(lengths[lengths > 1]), group[keep], size[keep].astype(np.int32), none, none, of_run, lengths[lengths > LONG_RUN])
+            columns = (np.cumsum(lengths[lengths > 1]), group[keep], size[keep].astype(np.int32), rest[keep].astype(np.int32), none, none, of_run, lengths[lengths > LONG_RUN])
         return pa.Table.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(names, columns, strict=True)}, schema=schema)
 
     return packets.groupBy("range").applyInArrow(run, "range bigint, " + ", ".join(f"{k} binary" for k in names))
@@ -302,72 +311,71 @@ def _ranged(range_no, ends, groups, n, member_groups, member_ids):
     return np.full(len(own), range_no, dtype=np.int64), own
 
 
-def _open_pairs(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """g1 < g2, n1, n2 and the number of prefix shingles shared, of the pairs of groups in a run that aren't in one class.
+def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """g, other and shared of the groups in a run with one of another class (g, c, block) that they may link with.
 
-    With `nearest`, only each group outside a run's largest class and the one of that class next to it in size.
+    With `nearest`, for each group outside a run's largest class the one of that class next to it in size, and in how
+    many runs; else the blocks that hold any.
     """
     labels = _unpacked(runs, "range bigint, g bigint", ["range", "g"], _ranged).join(of_group, "g")
-    labels = labels.groupBy("range").agg(F.collect_list(F.struct("g", "c")).alias("held")).select("range", F.col("held.g").alias("known"), F.col("held.c").alias("label"))
-    schema = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("n1", pa.int64()), ("n2", pa.int64()), ("shared", pa.int64())])
+    labels = labels.groupBy("range").agg(F.collect_list(F.struct("g", "c", "block")).alias("held"))
+    labels = labels.select("range", F.col("held.g").alias("known"), F.col("held.c").alias("label"), F.col("held.block").alias("block"))
+    schema = pa.schema([("g", pa.int64()), ("other", pa.int64()), ("shared", pa.int64())])
 
-    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(found: list[np.ndarray]) -> np.ndarray:
         every = np.concatenate(found, axis=1)
-        swap = every[0] > every[1]
-        every[:, swap] = every[[1, 0, 3, 2]][:, swap]
-        order = np.lexsort((every[1], every[0]))
-        every = every[:, order]
+        every = every[:, np.lexsort((every[1], every[0]))]
         new = np.flatnonzero(np.concatenate(([True], (every[0, 1:] != every[0, :-1]) | (every[1, 1:] != every[1, :-1]))))
-        counts = np.diff(np.append(new, every.shape[1]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*every[:, new], counts)], schema=schema)
+        return np.stack([every[0, new], every[1, new], np.add.reduceat(every[2], new)])
 
-    def pairs_of(own: np.ndarray, of: np.ndarray, m: np.ndarray) -> Iterator[np.ndarray]:
-        """Pairs of a run, whose entries come in order of size."""
+    def fits(m1: np.ndarray, m2: np.ndarray, rest1: np.ndarray, rest2: np.ndarray) -> np.ndarray:
+        """Whether sets of m1 and m2 shingles can link if this is the first one they share."""
+        return (100 + percent) * np.minimum(rest1, rest2) >= percent * (m1 + m2)
+
+    def of_run(own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray) -> Iterator[np.ndarray]:
+        """What a run yields; its entries come in order of size."""
         values, counts = np.unique(of, return_counts=True)
         largest = values[np.argmax(counts)]
-        inner = np.flatnonzero(of == largest)
         outer = np.flatnonzero(of != largest)
         if nearest:
+            inner = np.flatnonzero(of == largest)
             at = np.searchsorted(inner, outer)
             near = np.where((at > 0) & ((at == len(inner)) | (outer - inner[np.maximum(at - 1, 0)] <= inner[np.minimum(at, len(inner) - 1)] - outer)), inner[np.maximum(at - 1, 0)], inner[np.minimum(at, len(inner) - 1)])
-            fit = 100 * np.minimum(m[outer], m[near]) >= percent * np.maximum(m[outer], m[near])
-            yield np.stack([own[outer], own[near], m[outer], m[near]])[:, fit]
+            fit = fits(m[outer], m[near], rest[outer], rest[near])
+            yield np.stack([own[outer], own[near], np.ones(len(outer), np.int64)])[:, fit]
             return
         for k in outer.tolist():
             low, high = np.searchsorted(m, -(-percent * m[k] // 100)), np.searchsorted(m, 100 * m[k] // percent, side="right")
             # With the largest class every pair counts here, with others the pair counts at its first.
-            other = np.arange(low, high)
-            other = other[(of[low:high] == largest) | ((of[low:high] != of[k]) & (other > k))]
-            yield np.stack([np.full(len(other), own[k]), own[other], np.full(len(other), m[k]), m[other]])
+            other = (of[low:high] == largest) | ((of[low:high] != of[k]) & (np.arange(low, high) > k))
+            to = np.unique(block[low:high][other & fits(m[k], m[low:high], rest[k], rest[low:high])])
+            yield np.stack([np.full(len(to), own[k]), to, np.ones(len(to), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ends, groups, n = (np.frombuffer(batch.column(x)[r].as_py(), dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32)))
-                known, label = (batch.column(x)[r].values.to_numpy() for x in ("known", "label"))
+                ends, groups, n, rest = (np.frombuffer(batch.column(x)[r].as_py(), dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32), ("rest", np.int32)))
+                known, label, block = (batch.column(x)[r].values.to_numpy() for x in ("known", "label", "block"))
                 order = np.argsort(known)
-                c = label[order][np.searchsorted(known[order], groups)]
+                at = order[np.searchsorted(known[order], groups)]
+                c, b = label[at], block[at]
                 begins = np.concatenate(([0], ends[:-1]))
                 several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins)
                 found, many = [], 0
                 for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-                    for x in pairs_of(groups[first:last], c[first:last], n[first:last].astype(np.int64)):
-                        found.append(x)
-                        many += x.shape[1]
-                        if many > 200_000:
-                            yield counted(found)
-                            found, many = [], 0
-                if many:
-                    yield counted(found)
+                    for x in of_run(groups[first:last], c[first:last], b[first:last], n[first:last].astype(np.int64), rest[first:last].astype(np.int64)):
+                        if x.shape[1]:
+                            found.append(x)
+                            many += x.shape[1]
+                    if many > 500_000:
+                        found = [counted(found)]
+                        many = 0
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted(found)], schema=schema)
             pa.default_memory_pool().release_unused()
 
-    pairs = runs.select("range", "ends", "groups", "n").join(labels, "range").mapInArrow(run, "g1 bigint, g2 bigint, n1 bigint, n2 bigint, shared bigint")
-    pairs = pairs.groupBy("g1", "g2", "n1", "n2").agg(F.sum("shared").alias("shared"))
-    if nearest:
-        return pairs.where(20 * F.col("shared") >= F.least("n1", "n2"))
-    # What two sets share beyond their prefixes is at most the longer rest of one of them.
-    rest = F.ceil(F.greatest("n1", "n2") * percent / 100) - 1
-    return pairs.where((F.col("shared") + rest) * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+    rows = runs.select("range", "ends", "groups", "n", "rest").join(labels, "range").mapInArrow(run, "g bigint, other bigint, shared bigint")
+    return rows.groupBy("g", "other").agg(F.sum("shared").alias("shared"))
 
 
 def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
@@ -444,6 +452,44 @@ def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: in
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_values", "b_values").mapInArrow(run, "a bigint, b bigint")
 
 
+def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes that a link joins, of the members g that visit a block and those (g, key, label, n, block) in it.
+
+    Visitors of a block are dealt over tasks by their number of shingles; each of these tasks holds the whole block.
+    """
+    visitors = visits.join(placed.select("g", "key", "label", "n"), "g").select("block", "key", "label", "n")
+    tasks = visitors.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("tasks"))
+    task = F.xxhash64("block", "part").alias("task")
+    come = visitors.join(tasks, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("tasks"))).select(task, "key", "label", F.lit(True).alias("visits"))
+    held = placed.join(tasks, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).select(task, "key", "label", F.lit(False).alias("visits"))
+    rows = stored(come.unionByName(held).distinct())
+    sets = _sets_of(docs, rows.select("key").distinct(), described).dropDuplicates(["key"])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        visits = table.column("visits").to_numpy()
+        label = table.column("label").to_numpy()
+        sets = [wide(x.as_buffer()) for x in table.column("values")]
+        at = np.flatnonzero(~visits)
+        found: set[tuple[int, int]] = set()
+        if len(at):
+            size = np.array([len(sets[k]) for k in at.tolist()])
+            token = np.concatenate([sets[k] for k in at.tolist()])
+            order = np.argsort(token)
+            token, owner = token[order], np.repeat(np.arange(len(at)), size)[order]
+            for k in np.flatnonzero(visits).tolist():
+                low, high = np.searchsorted(token, sets[k]), np.searchsorted(token, sets[k], side="right")
+                many = high - low
+                place = np.arange(int(many.sum())) + np.repeat(low - np.cumsum(many) + many, many)
+                both = np.bincount(owner[place], minlength=len(at))
+                linked = label[at][100 * both >= percent * (len(sets[k]) + size - both)]
+                found.update((int(label[k]), x) for x in np.unique(linked[linked != label[k]]).tolist())
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return rows.join(sets, "key").select("task", "label", "visits", "values").groupBy("task").applyInArrow(run, "a bigint, b bigint")
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, label of the edges u, v by union and find."""
     root: dict[int, int] = {}
@@ -513,30 +559,39 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = stored(between.unionByName(within).where("a <> b").distinct())
     found = components(stored(_linked(docs, first, described, percent)))
 
-    placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("g", "key", F.coalesce("label", "key").alias("label")))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for nearest in (True, False):
-        # A group whose members are in several classes is a class of its own here.
-        of_group = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        of_group = of_group.withColumn("c", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")))
-        open_pairs = stored(_open_pairs(runs, of_group.select("g", "c"), percent, nearest))
-        a = placed.select(F.col("g").alias("g1"), F.col("key").alias("a"), F.col("label").alias("la"))
-        b = placed.select(F.col("g").alias("g2"), F.col("key").alias("b"), F.col("label").alias("lb"))
-        if nearest:
-            # One partner for each group, member for member of the smallest ids.
-            both = open_pairs.select("g1", "g2", "shared").unionByName(open_pairs.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), "shared"))
-            open_pairs = both.groupBy("g1").agg(F.max_by("g2", F.struct("shared", "g2")).alias("g2"))
-            a, b = (x.groupBy(x.columns[0]).agg(F.min(x.columns[1]).alias(x.columns[1]), F.min_by(*x.columns[:0:-1]).alias(x.columns[2])) for x in (a, b))
-        else:
-            open_pairs = open_pairs.select("g1", "g2").unionByName(of_group.where("low <> high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
-        rest = open_pairs.join(a, "g1").join(b, "g2").where("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = stored(rest.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(rest)
-        late = stored(_linked(docs, rest, described, percent))
-        label = placed.select("key", "label").distinct()
-        bridges = late.join(label.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        merged = components(bridges)
-        placed = stored(placed.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("g", "key", F.coalesce("root", "label").alias("label")))
+    sizes = described.where("kind = 0 and n > 0").groupBy("key").agg(F.first("n").alias("n"))
+    placed = members.join(sizes, "key").join(found.withColumnRenamed("node", "key"), "key", "left")
+    placed = stored(placed.select("g", "key", "n", F.coalesce("label", "key").alias("label")))
+
+    def of_groups(placed: DataFrame) -> DataFrame:
+        """g, c (its class; a group whose members are in several classes is a class of its own here), mixed."""
+        ends = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("key"), F.sum("n").alias("n"))
+        return ends.select("g", "key", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("c"), (F.col("low") != F.col("high")).alias("mixed"))
+
+    def merged(placed: DataFrame, bridges: DataFrame) -> DataFrame:
+        root = components(bridges)
+        joined = placed.join(root.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+        return stored(joined.withColumn("label", F.coalesce("root", "label")).drop("root"))
+
+    # Second pass: one partner for each group, by the members of the smallest ids.
+    near = _open(runs, of_groups(placed).select("g", "c", F.lit(0).cast("bigint").alias("block")), percent, nearest=True)
+    near = near.groupBy("g").agg(F.max_by("other", F.struct("shared", "other")).alias("h"))
+    pairs = near.join(heads.withColumnRenamed("key", "x"), "g").join(heads.select(F.col("g").alias("h"), F.col("key").alias("y")), "h")
+    second = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    late = stored(_linked(docs, second, described, percent))
+    label = placed.select("key", "label").distinct()
+    bridges = late.join(label.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
+    placed = merged(placed, bridges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+    # Third pass, in blocks of what was compared so far.
+    near = components(first.unionByName(second)).select(F.col("node").alias("key"), F.col("label").alias("about"))
+    groups = of_groups(placed).join(near, "key", "left").withColumn("about", F.coalesce("about", "key"))
+    parts = groups.groupBy("about").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    groups = groups.join(parts, "about").withColumn("block", F.xxhash64("about", F.pmod(F.xxhash64("g"), F.col("parts"))))
+    groups = stored(groups.select("g", "c", "mixed", "block"))
+    visits = _open(runs, groups.select("g", "c", "block"), percent, nearest=False).select("g", F.col("other").alias("block"))
+    visits = stored(visits.unionByName(groups.where("mixed").select("g", "block")).distinct())
+    placed = merged(placed, stored(_bridges(docs, visits, placed.join(groups.select("g", "block"), "g"), described, percent)))
 
     label = placed.select("key", "label").distinct()
 
