@@ -15,8 +15,8 @@ sets are compared, their hashes' lower 40 bits travel.
 5. Second pass: a group outside its run's largest class is compared with the one of that class next to it in size.
 6. Third pass: blocks hold groups that the first passes brought together, linked or not, of a bounded number of
    shingles. A group goes to each block that holds a group of another class whose size and place in a shared run allow
-   a link, and is compared there with all members by term-at-a-time accumulation over the block's postings. None is
-   capped, so classes are exact, and rows number groups times blocks, not pairs. (Place: the first shingle that two
+   a link, and meets all members there by term-at-a-time accumulation over the block's postings: prefixes first, then
+   whole sets where what prefixes share leaves a link possible. None is capped, so classes are exact, and rows number groups times blocks, not pairs. (Place: the first shingle that two
    linked sets share stands early enough in both for the needed overlap to follow. Each run tests this on its own, and
    that first shingle's run always passes it.)
 
@@ -399,8 +399,8 @@ def _bits_of(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (spread >> _U64(64 - bits)).astype(np.int64), (spread & _U64((1 << bits) - 1)).astype(np.int64)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame) -> DataFrame:
-    """key, values (packed hashes) of the wanted set ids, and of few others."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame, head=None) -> DataFrame:
+    """key, values (packed hashes; of the set's `head` if there is one) of the wanted set ids, and of few others."""
     first = described.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     ids = first.join(wanted, "key", "left_semi").where("doc_id is not null").select("doc_id")
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(stored(ids)))
@@ -415,7 +415,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame) -> DataFr
             keep |= ((words[one >> 6] >> (one & 63)) & (words[two >> 6] >> (two & 63)) & 1).astype(bool)
             for part in slices(batch.filter(pa.array(keep)), "text", SLICE_BYTES):
                 sets = [s for s in shingle_sets(byte_texts(part.column("text"))) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(narrow(s)) for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(narrow(head(s) if head else s)) for s in sets], pa.binary())], schema=schema)
 
     return _texts(docs).mapInArrow(run, "key bigint, values binary")
 
@@ -452,23 +452,26 @@ def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: in
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_values", "b_values").mapInArrow(run, "a bigint, b bigint")
 
 
-def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: DataFrame, percent: int, frequent=None) -> DataFrame:
     """a, b: classes that a link joins, of the members g that visit a block and those (g, key, label, n, block) in it.
 
+    With the frequent shingles, prefixes meet instead, and the visits (a: g, b: block) that may find a link return.
     Visitors of a block are dealt over tasks by their number of shingles; each of these tasks holds the whole block.
     """
-    visitors = visits.join(placed.select("g", "key", "label", "n"), "g").select("block", "key", "label", "n")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent) if frequent else None
+    visitors = visits.join(placed.select("g", "key", "label", "n"), "g").select("g", "block", "key", "label", "n")
     tasks = visitors.groupBy("block").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("tasks"))
     task = F.xxhash64("block", "part").alias("task")
-    come = visitors.join(tasks, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("tasks"))).select(task, "key", "label", F.lit(True).alias("visits"))
-    held = placed.join(tasks, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).select(task, "key", "label", F.lit(False).alias("visits"))
+    come = visitors.join(tasks, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("tasks"))).select(task, "block", "g", "key", "label", "n", F.lit(True).alias("visits"))
+    held = placed.join(tasks, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).select(task, "block", "g", "key", "label", "n", F.lit(False).alias("visits"))
     rows = stored(come.unionByName(held).distinct())
-    sets = _sets_of(docs, rows.select("key").distinct(), described).dropDuplicates(["key"])
+    head = (lambda s: _prefix(s, shared.value, percent)) if shared else None
+    sets = _sets_of(docs, rows.select("key").distinct(), described, head).dropDuplicates(["key"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         visits = table.column("visits").to_numpy()
-        label = table.column("label").to_numpy()
+        label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
         sets = [wide(x.as_buffer()) for x in table.column("values")]
         at = np.flatnonzero(~visits)
         found: set[tuple[int, int]] = set()
@@ -482,12 +485,18 @@ def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: D
                 many = high - low
                 place = np.arange(int(many.sum())) + np.repeat(low - np.cumsum(many) + many, many)
                 both = np.bincount(owner[place], minlength=len(at))
-                linked = label[at][100 * both >= percent * (len(sets[k]) + size - both)]
-                found.update((int(label[k]), x) for x in np.unique(linked[linked != label[k]]).tolist())
+                if shared:  # what two sets share beyond their prefixes is at most the longer rest of one of them
+                    both += -(-percent * np.maximum(n[k], n[at]) // 100) - 1
+                linked = label[at][(100 + percent) * both >= percent * (n[k] + n[at])]
+                linked = linked[linked != label[k]]
+                if shared and len(linked):
+                    found.add((table.column("g")[k].as_py(), table.column("block")[k].as_py()))
+                elif len(linked):
+                    found.update((int(label[k]), x) for x in np.unique(linked).tolist())
         pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-    return rows.join(sets, "key").select("task", "label", "visits", "values").groupBy("task").applyInArrow(run, "a bigint, b bigint")
+    return rows.join(sets, "key").select("task", "block", "g", "label", "n", "visits", "values").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,7 +584,8 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # Second pass: one partner for each group, by the members of the smallest ids.
     near = _open(runs, of_groups(placed).select("g", "c", F.lit(0).cast("bigint").alias("block")), percent, nearest=True)
-    near = near.groupBy("g").agg(F.max_by("other", F.struct("shared", "other")).alias("h"))
+    near = near.groupBy("g").agg(F.max_by("other", F.struct("shared", "other")).alias("h"), F.max("shared").alias("shared"))
+    near = near.join(of_groups(placed).select("g", "n"), "g").where(40 * F.col("shared") >= F.col("n")).select("g", "h")
     pairs = near.join(heads.withColumnRenamed("key", "x"), "g").join(heads.select(F.col("g").alias("h"), F.col("key").alias("y")), "h")
     second = stored(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     late = stored(_linked(docs, second, described, percent))
@@ -591,7 +601,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = stored(groups.select("g", "c", "mixed", "block"))
     visits = _open(runs, groups.select("g", "c", "block"), percent, nearest=False).select("g", F.col("other").alias("block"))
     visits = stored(visits.unionByName(groups.where("mixed").select("g", "block")).distinct())
-    placed = merged(placed, stored(_bridges(docs, visits, placed.join(groups.select("g", "block"), "g"), described, percent)))
+    held = stored(placed.join(groups.select("g", "block"), "g"))
+    visits = _bridges(docs, visits, held, described, percent, frequent).select(F.col("a").alias("g"), F.col("b").alias("block"))
+    placed = merged(placed, stored(_bridges(docs, stored(visits.distinct()), held, described, percent)))
 
     label = placed.select("key", "label").distinct()
 
