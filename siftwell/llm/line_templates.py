@@ -6,14 +6,14 @@ stands at its place in lines of at least `CONTEXTS` contexts; others are variabl
 template; a template with a share of `CONSTANT` kept tokens at least, met in `CONTEXTS` contexts or more, recurs, and
 its lines are dropped from all documents.
 
-A context is the leaf of the line before (of the line after for a first line): boilerplate turns up behind ever other
-lines, while the lines of copied documents keep their neighbours, however many copies there are. Copies are thus left
-to whoever removes copies.
+A context is a document's shape, the leaves of its lines in order: boilerplate turns up in ever other documents, alone
+or in blocks of lines, while copies of a document share its shape and count once, however many there are. Copies are
+thus left to whoever removes copies. A document counts once for a token or a template, however many of its lines have it.
 
 Lines travel as hashes (128 bits for a line, 64 for a leaf); the text of a line travels only where its leaf recurs,
 and of a document once, to lose its lines.
 
-Defined cases: a null text stays null; an empty one stays; blank lines stay, are no context and count as lines; a text
+Defined cases: a null text stays null; an empty one stays; blank lines stay, are no part of a shape and count as lines; a text
 whose lines all recur becomes empty; a null doc_id is a document like others; repeated rows give repeated rows; extra
 columns are kept, and `n_chars`, where there is one, follows the text. Only \\n ends a line.
 """
@@ -28,6 +28,7 @@ from siftwell.llm.common import stored
 CONTEXTS = 5
 DEPTH = 3
 CONSTANT = 0.7
+SPREAD = 16
 
 
 def masked(line: Column) -> Column:
@@ -47,12 +48,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, *carried: str) -> DataFrame:
-    """Non-blank lines: pos (from 0), line (masked), leaf, context, and the columns carried."""
+    """Non-blank lines: pos (from 0), line (masked), leaf, context (the document's shape), and the columns carried."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), masked(x).alias("line")))
     full = docs.withColumn("ls", F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.xxhash64(_path(x["line"])).alias("leaf"))))
-    beside = lambda i: F.when(i > 0, F.get("ls", i - 1)).otherwise(F.get("ls", F.lit(1)))["leaf"]
-    with_context = F.transform("ls", lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), x["leaf"].alias("leaf"), F.coalesce(beside(i), F.lit(0).cast("long")).alias("context")))
-    return full.select(*carried, F.inline(with_context))
+    return full.select(*carried, F.xxhash64("ls.leaf").alias("context"), F.inline("ls"))
 
 
 def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
@@ -64,18 +63,27 @@ def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONST
     leaves = places.groupBy("leaf", "context").count().groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf")
     # How many contexts a line has; its text comes along for lines of recurring leaves only.
     met = _lines(keyed.select("text")).join(leaves, "leaf", "left_semi").select("leaf", "line", "context")
-    lines = stored(met.groupBy("leaf", "line", "context").count().groupBy("leaf", "line").agg(F.count("*").alias("n")))
+    met = stored(met.distinct())
+    lines = stored(met.groupBy("leaf", "line").agg(F.count("*").alias("n")))
 
+    each = met.select("leaf", "context", F.posexplode(F.split("line", " ")).alias("at", "token")).groupBy("leaf", "at", "token", "context").count()
     tokens = lines.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    often = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("m")).where(F.col("m") >= contexts).select("leaf", "at", "token", F.lit(True).alias("kept"))
+    often = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("leaf", "at", "token", F.lit(True).alias("kept"))
     shown = tokens.join(often, ["leaf", "at", "token"], "left")
     shown = shown.groupBy("leaf", "line", "n").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise("<*>").alias("token")))).alias("tokens"),
         F.avg(F.when(F.col("kept") & (F.col("token") != "<*>"), 1.0).otherwise(0.0)).alias("constant"),
     )
-    shown = shown.select("line", "n", "constant", F.concat_ws(" ", F.col("tokens.token")).alias("template"))
-    templates = shown.where(F.col("constant") >= constant).groupBy("template").agg(F.sum("n").alias("m")).where(F.col("m") >= contexts).select("template")
-    return places, stored(shown.where(F.col("constant") >= constant).join(templates, "template", "left_semi").select("line", "template", k1, k2))
+    shown = stored(shown.where(F.col("constant") >= constant).select("leaf", "line", "n", F.concat_ws(" ", F.col("tokens.token")).alias("template")))
+    # A line in enough contexts decides for its template; where only several lines together may reach them, theirs are
+    # counted (spread by context, as a line may be very common).
+    sums = shown.groupBy("template").agg(F.max("n").alias("most"), F.sum("n").alias("m"))
+    unsure = shown.join(sums.where((F.col("most") < contexts) & (F.col("m") >= contexts)), "template", "left_semi")
+    unsure = unsure.select("leaf", "line", "template", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    theirs = met.withColumn("part", F.pmod("context", F.lit(SPREAD)).cast("int")).join(unsure, ["leaf", "line", "part"]).groupBy("template", "context").count()
+    reached = theirs.groupBy("template").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("template")
+    templates = sums.where(F.col("most") >= contexts).select("template").union(reached)
+    return places, stored(shown.join(templates, "template", "left_semi").select("line", "template", k1, k2))
 
 
 def deduplicated(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, counts: bool = False) -> DataFrame:

@@ -272,6 +272,40 @@ def test_line_templates(spark):
     assert line_templates.deduplicated(df.limit(0)).count() == 0
 
 
+def brute_lines(texts, least=5, constant=0.7):
+    """The texts without recurring lines, documents of one shape counted once."""
+    mask = lambda x: re.sub("[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[ \t\r\f\x0B]+", " ", x).strip(" "))
+    leaf = lambda x: (len(x.split(" ")), *x.split(" ")[:3])
+    full = [[m for x in (t or "").split("\n") if (m := mask(x))] for t in texts]
+    shapes = [tuple(map(leaf, f)) for f in full]
+    at, held = {}, {}
+    for f, shape in zip(full, shapes):
+        for x in f:
+            for k, token in enumerate(x.split(" ")):
+                at.setdefault((leaf(x), k, token), set()).add(shape)
+    gone = {}
+    for x in {x for f in full for x in f}:
+        kept = [len(at[leaf(x), k, token]) >= least for k, token in enumerate(x.split(" "))]
+        if sum(good and token != "<*>" for good, token in zip(kept, x.split(" "))) / len(kept) >= constant:
+            gone[x] = " ".join(token if good else "<*>" for good, token in zip(kept, x.split(" ")))
+    for f, shape in zip(full, shapes):
+        for x in f:
+            held.setdefault(gone.get(x), set()).add(shape)
+    return [None if t is None else "\n".join(x for x in t.split("\n") if not mask(x) or mask(x) not in gone or len(held[gone[mask(x)]]) < least) for t in texts]
+
+
+def test_line_templates_count_documents(spark):
+    rng = random.Random(18)
+    notice = "this notice has\nmore than one\nand ends here"
+    texts = [f"{notice}\n{prose(rng, 9)}\n{notice}\n{prose(rng, 7)}" for _ in range(9)] + [f"{prose(rng, 8)}\n{notice}" for _ in range(3)]
+    listed = "\n".join(f"one item more in the list is {w}" for w in WORDS[:8]) + "\n" + prose(rng, 6)
+    texts += [listed] * 7 + [notice.split("\n")[1], prose(rng, 5) + "\n" + prose(rng, 5)]
+    texts += [f"{prose(rng, 4 + k)}\nthe desk of our house says {WORDS[k]}" for k in range(6)]
+    got = [r["text"] for r in line_templates.deduplicated(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert not any(x in t for t in got for x in notice.split("\n")) and got[12] == listed
+    assert all("says" not in t for t in got[-6:]) and got == brute_lines(texts)
+
+
 # 9
 
 
