@@ -6,6 +6,10 @@ Dice is at most 2 min(a, b) / (a + b), so a template of b bigrams can reach the
 b t / (2 - t) to b (2 - t) / t of them: other templates are pruned by size, and those that share no bigram are never
 looked at.
 
+A licence that no unit matches is looked for in windows of consecutive pieces (lines, cut at sentence ends), so wording
+may be wrapped, parted by blank lines or followed by more. Such a window shares at least t b / (2 - t) of a template's
+bigrams, so only texts that do are gone through. The best window of each name counts once.
+
 Defined cases: null and empty texts, and units of one word, match nothing; a document with several licences has them
 all; equal units count each; ties in score go to the name first in order; rows with a null doc_id and repeated rows
 get a row each; without templates nothing matches; extra columns are ignored.
@@ -57,6 +61,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 PARAGRAPH = re.compile(r"\n[ \t\r\f\v]*\n")
+PIECE = re.compile(r"[^\n]+?(?:(?<=[.!?])(?= )|(?=\n)|\Z)")
 SENTENCE = re.compile(r"(?<=[.!?]) +")
 
 
@@ -100,6 +105,39 @@ class Scanner:
                 found[self.names[k]] = dice
         return sorted(found.items())
 
+    def windows(self, text: str, known: set[str]) -> list[tuple[str, float, str, str]]:
+        """The best window of consecutive pieces for each licence that isn't known yet."""
+        met: dict[int, int] = {}
+        for pair in bigrams(text) & self.holders.keys():
+            for k in self.holders[pair]:
+                met[k] = met.get(k, 0) + 1
+        left = {k for k, n in met.items() if n >= self.bounds[k][0] and self.names[k] not in known}
+        if not left:
+            return []
+        most = max(self.bounds[k][1] for k in left)
+        pieces = [(m.start(), m.end(), m[0].encode().translate(ALNUM).split()) for m in PIECE.finditer(text)]
+        pieces = [x for x in pieces if x[2]]
+        best: dict[str, tuple[float, str]] = {}
+        for i, (begin, _, _) in enumerate(pieces):
+            own, last, shared = set(), None, dict.fromkeys(left, 0)
+            for _, end, words in pieces[i:]:
+                for pair in zip([last, *words] if last else words, words if last else words[1:], strict=False):
+                    if pair not in own:
+                        own.add(pair)
+                        for k in self.holders.get(pair, ()):
+                            if k in left:
+                                shared[k] += 1
+                last = words[-1]
+                if len(own) > most:
+                    break
+                for k, both in shared.items():
+                    dice = 2 * both / (len(own) + self.sizes[k])
+                    if dice >= self.threshold and dice > best.get(self.names[k], (0.0, ""))[0]:
+                        best[self.names[k]] = (dice, text[begin:end])
+                if all(both == self.sizes[k] for k, both in shared.items()):
+                    break
+        return [(name, dice, "window", unit) for name, (dice, unit) in sorted(best.items())]
+
     def __call__(self, text: str | None) -> list[tuple[str, float, str, str]]:
         """name, Dice, kind of unit and unit, for all units of the text that match; nested equal units once."""
         if not text:
@@ -111,7 +149,7 @@ class Scanner:
                     continue
                 seen.add(unit)
                 out += [(name, dice, kind, unit) for name, dice in self.unit(unit)]
-        return out
+        return out + self.windows(text, {name for name, *_ in out})
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -136,6 +136,18 @@ def test_licences(spark):
     assert rows[0]["best_score"] == 1.0 and licences.licences(docs_of(spark, texts), []).agg(F.sum("n_matches")).first()[0] == 0
 
 
+def test_licences_over_several_lines():
+    scan = licences.Scanner(licences.TEMPLATES)
+    bsd = dict(licences.TEMPLATES)["BSD-2-Clause"].replace("met: 1.", "met:\n\n1.").replace("disclaimer. 2.", "disclaimer.\n\n2.")
+    bsd = f"Copyright (c) 2020, X\nAll rights reserved.\n\n{bsd}\n\nTHIS SOFTWARE IS PROVIDED AS IS AND ANY WARRANTIES ARE DISCLAIMED. " + prose(random.Random(13), 120)
+    gpl = next(text for name, text in licences.TEMPLATES if name == "GPL-3.0" and "redistribute" in text)
+    gpl = gpl.replace("the terms", "\n# the terms").replace("either", "\n# either") + " This program is distributed in the hope that it will be useful, but WITHOUT ANY\n# WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS. " + prose(random.Random(14), 60)
+    for text, name in ((bsd, "BSD-2-Clause"), (f"import x\nx.run()\n# {gpl}\ny = 1", "GPL-3.0")):
+        found = {m[0]: m for m in scan(text)}
+        assert found[name][1] > 0.95 and found[name][2] == "window" and found[name][3] in text
+    assert not scan(bsd.replace("Redistribution", "Sale").split("forms")[0].replace("All rights reserved.", ""))
+
+
 # 4
 
 
