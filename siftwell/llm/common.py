@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,19 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in LOWER)
 
 
+#: Rows in a batch that goes to a Python worker.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session names none."""
+    """The folder that all executors share. Only a session within one process may leave it unset; on a cluster that is an error."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -32,17 +40,43 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes the files of what stored() returned."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/siftwell-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/siftwell-" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def frugal(spark: SparkSession) -> None:
+    """Bounds what an executor holds for its Python workers: Arrow batches of `BATCH_ROWS` rows of text, not of 10,000."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def returned() -> None:
+    """Hands memory that a worker no longer uses back to the system, as workers stay for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with memory handed back when the task's rows are through."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        returned()
+
+    return wrapped
 
 
 def in_thirds(doc_id: Column) -> Column:

@@ -3,15 +3,17 @@
 The lexicon is learned: words and beginnings of words (4 to 6 letters) that stand out, by documents, in toxic rows.
 Features per text: densities and counts of lexicon words and beginnings, how near they stand to second-person words,
 capitals, punctuation, repeated marks, obfuscation (digits or marks inside words, spaced letters), lengths. Trees are
-grown on histograms of quantile bins with second-order steps; scores of rows that a fold's trees have not seen fit
-the isotonic calibration.
+grown on histograms of quantile bins with second-order steps. The labelled rows are dealt into `FOLDS` folds: a row's
+features for learning come from the lexicon of the other folds, and the isotonic calibration is fitted on scores that
+neither the lexicon nor the trees learned from.
 
 Only labelled rows that are not held out teach, `SAMPLE_ROWS` at most by hash of the id; that bound is the one
 limit, every text is scored whole. doc_id, source and lang are never features.
 
 Defined cases: null and empty texts have features of zero and are scored like others; rows with a null doc_id are
 scored (held_out false) and never learned from; a repeated doc_id among labels or documents teaches once per pair of
-rows; with no labels or one class only, the score is that class's share (0 without labels); extra columns are ignored.
+rows; with no labels or one class only, the score is that class's share (0 without labels); texts of another type are cast
+to strings; extra columns are ignored, in `without_toxic` kept.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import in_thirds, slices
+from siftwell.llm.common import frugal, in_thirds, returned, slices, tidy
 
 SAMPLE_ROWS = 8000
 LEXICON = 1500
 THRESHOLD = 0.7
-SLICE_BYTES = 3 << 20
-CACHED_WORDS = 400_000
+FOLDS = 3
+SLICE_BYTES = 2 << 20
+CACHED_WORDS = 60_000
 
 #: Second-person words of the languages met.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer ti tú tus usted ustedes vosotros".split())
@@ -98,25 +101,37 @@ class Features:
         ]
 
 
-def lexicon_of(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
-    """Words and beginnings that stand out in toxic rows, with their log odds; rows: text, toxic."""
+def lexicons_of(rows: DataFrame, folds: int = FOLDS, most: int = LEXICON) -> list[dict[str, float]]:
+    """Words and beginnings that stand out in toxic rows, with their log odds: of all rows, then without each fold.
+
+    rows: text, toxic, fold.
+    """
+    kinds = [("clean", 0), ("toxic", 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found[toxic].update({b for w in {w.lower() for w in _TOKEN.findall(text or "")} for b in beginnings(w)})
-            flat = [(f, found[0][f], found[1][f]) for f in {**found[0], **found[1]}]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["feature", "clean", "toxic"])
-
-    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    clean, toxic = size.get(0, 0), size.get(1, 0)
-    if not clean or not toxic:
-        return {}
-    counts = rows.mapInArrow(count, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.25) / (toxic + 0.5)) - F.log((F.col("clean") + 0.25) / (clean + 0.5))
-    chosen = counts.where("toxic >= 4").withColumn("odds", odds).where("odds > 2").withColumn("rank", F.col("odds") * F.sqrt("toxic"))
-    return {r["feature"]: round(r["odds"], 6) for r in chosen.orderBy(F.desc("rank"), "feature").limit(most).collect()}
+            found: dict[tuple[int, int], Counter] = {}
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                found.setdefault((fold, toxic), Counter()).update({b for w in {w.lower() for w in _TOKEN.findall(text or "")} for b in beginnings(w)})
+            flat = [(f, fold, toxic, n) for (fold, toxic), own in found.items() for f, n in own.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["feature", "fold", "toxic", "n"])
+
+    size = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
+    of = lambda name, value, without: F.coalesce(F.sum(F.when((F.col("toxic") == value) & (F.col("fold") != without), F.col("n"))), F.lit(0)).alias(f"{name}_{without}")
+    every = range(-1, folds)
+    counts = rows.mapInArrow(tidy(count), "feature string, fold int, toxic int, n bigint").groupBy("feature").agg(*(of(name, value, k) for name, value in kinds for k in every))
+    counts = counts.where(F.col("toxic_-1") >= 4).persist()
+    out = []
+    for k in every:
+        clean, toxic = (sum(n for (fold, value), n in size.items() if value == wanted and fold != k) for wanted in (0, 1))
+        if not clean or not toxic:
+            out.append({})
+            continue
+        odds = F.log((F.col(f"toxic_{k}") + 0.25) / (toxic + 0.5)) - F.log((F.col(f"clean_{k}") + 0.25) / (clean + 0.5))
+        chosen = counts.where(F.col(f"toxic_{k}") >= 4).withColumn("odds", odds).where("odds > 2").withColumn("rank", F.col("odds") * F.sqrt(f"toxic_{k}"))
+        out.append({r["feature"]: round(r["odds"], 6) for r in chosen.orderBy(F.desc("rank"), "feature").limit(most).collect()})
+    counts.unpersist()
+    return out
 
 
 class Trees:
@@ -200,17 +215,22 @@ class Isotonic:
 
 
 class Model:
-    """Lexicon, trees and calibration; constant where there was nothing to learn."""
+    """Lexicon, trees and calibration; constant where there was nothing to learn.
+
+    x has a row's features by the lexicon without each fold, along the first axis; fold tells the fold of each row.
+    """
 
-    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, folds: int = 3):
+    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         self.lexicon, self.constant = lexicon, float(y.mean()) if len(y) else 0.0
         self.trees = None
         if len(y) >= 20 and 0 < y.mean() < 1:
-            self.trees = Trees().fit(x, y)
-            fold = np.arange(len(y)) % folds
+            unseen = x[fold, np.arange(len(y))]
+            self.trees = Trees().fit(unseen, y)
             out = np.zeros(len(y))
-            for k in range(folds):
-                out[fold == k] = Trees().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
+            for k in range(len(x)):
+                own = fold == k
+                if own.any() and not own.all():
+                    out[own] = Trees().fit(unseen[~own], y[~own]).margin(x[k][own])
             self.calibration = Isotonic().fit(out, y)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -226,43 +246,48 @@ def learned(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     labels = labels.where(~in_thirds(F.col("__id")))
     n = labels.count()
     drawn = labels.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < min(1.0, sample_rows / max(n, 1)) * (1 << 20))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    lexicon = lexicon_of(rows)
+    fold = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", fold)
+    lexicons = lexicons_of(rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(lexicon)
+        features = [Features(lexicon) for lexicon in lexicons[1:]]
         for batch in batches:
-            x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            x = [[v for of in features for v in of(t)] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "toxic", "fold")), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
 
-    table = rows.mapInArrow(describe, f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, x array<double>").orderBy(F.xxhash64("doc_id"), "toxic", "x").toArrow()
-    x = np.array(table.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
-    return Model(lexicon, x, table.column("toxic").to_numpy().astype(float))
+    table = rows.mapInArrow(tidy(describe), f"doc_id {dict(rows.dtypes)['doc_id']}, toxic int, fold int, x array<double>").orderBy(F.xxhash64("doc_id"), "toxic", "x").toArrow()
+    x = np.array(table.column("x").to_pylist(), dtype=float).reshape(-1, FOLDS, len(NAMES)).swapaxes(0, 1)
+    return Model(lexicons[0], x, table.column("toxic").to_numpy().astype(float), table.column("fold").to_numpy())
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, with toxicity (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = next(f for f in docs.schema.fields if f.name == "text").dataType.simpleString()
-    assert kind == "string", kind
+def score(text: Column, model: Model, spark) -> Column:
+    """The likelihood that each text is toxic; of a row only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def likelihood(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         features = Features(model.lexicon)
-        for part in (x for b in batches for x in slices(b, "text", SLICE_BYTES)):
-            x = np.array([features(t) for t in part.column("text").to_pylist()], dtype=float)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model(x))], names=[*part.schema.names, "__toxicity"])
+        for texts in batches:
+            found = [np.empty(0)]
+            for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE_BYTES):
+                found.append(model(np.array([features(t) for t in part.column("text").to_pylist()], dtype=float).reshape(-1, len(NAMES))))
+            yield pa.array(np.concatenate(found))
+        del features
+        returned()
 
-    schema = type(docs.schema)([*docs.schema.fields]).add("__toxicity", "double")
-    return docs.mapInArrow(run, schema)
+    return likelihood(text.cast("string"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted; learned from labels' rows of docs that aren't held out."""
-    found = scored(docs.select("doc_id", "text"), learned(docs, labels))
-    return found.select("doc_id", F.coalesce(in_thirds(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__toxicity").alias("score"), (F.col("__toxicity") >= threshold).cast("int").alias("predicted"))
+    frugal(docs.sparkSession)
+    found = docs.select("doc_id", score(F.col("text"), learned(docs, labels), docs.sparkSession).alias("score"))
+    return found.select("doc_id", F.coalesce(in_thirds(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, whose score is below the threshold."""
-    return scored(docs, learned(docs, labels)).where(F.col("__toxicity") < threshold).drop("__toxicity")
+    frugal(docs.sparkSession)
+    return docs.where(score(F.col("text"), learned(docs, labels), docs.sparkSession) < threshold)
