@@ -1,15 +1,15 @@
 """N-gram Jaccard join: grouped prefix join over sets of word shingles, and the classes that its links make.
 
 Two documents link when the Jaccard coefficient of their sets of distinct 5-word shingles is 0.75 or more
-(`percent * union <= 100 * intersection`, in integers). Shingles are 64-bit hashes; so are set ids. Where two
-sets are compared, their hashes' lower 40 bits travel.
+(`percent * union <= 100 * intersection`, in integers). Shingles are 64-bit hashes; so are set ids. To find sets that
+share a shingle, lower 40 bits travel; where two sets are compared, all 64.
 
 1. Every text gives its set, its set id and size; equal sets are one member from here on.
 2. Shingles are ordered: first those that no shard of the corpus found frequent, by hash, then frequent ones by
    count. (Any one order gives the same links. It keeps passages that many documents share out of the prefixes.)
 3. A set's prefix holds its first n - ceil(0.75 n) + 1 shingles: linked sets share a prefix shingle. Members with
-   the same prefix and size are one group; groups are packed by ranges of shingles, and each range yields its
-   runs of groups that share a shingle.
+   the same prefix and size are one group; groups are packed by ranges of scrambled shingles, of about equal numbers of
+   entries, and each range yields its runs of groups that share a shingle.
 4. First pass: each member is compared with the one neighbour it shares most prefix shingles with (block pivots
    within a run, neighbours within a group), so that a class of n near copies costs about n comparisons.
 5. Second pass: a group outside its run's largest class is compared with the one of that class next to it in size.
@@ -25,6 +25,7 @@ Only set ids, prefixes and the sets of members with a partner travel; texts don'
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own class; fewer
 than five words make one shingle of the whole sequence. Equal texts under one doc_id or several are linked. A null
 doc_id takes its class's smallest id (null if there is none). Extra columns are ignored, in `deduplicated` kept.
+A text hash of 64 bits tells rows of one doc_id apart.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import byte_texts, discard, mixed, packed, slices, stored
+from siftwell.llm.common import byte_texts, discard, frugal, mixed, packed, slices, stored, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -47,12 +48,12 @@ FREQUENT_IN_SHARD = 3
 FREQUENT_MOST = 1 << 20
 SHARD_SHINGLES = 3 << 19
 #: Prefix shingles in a range, and in the packets that a task sends out.
-RANGE_ENTRIES = 600_000
+RANGE_ENTRIES = 200_000
 RANGES_LEAST = 64
-PACKET_ENTRIES = 1_000_000
+PACKET_ENTRIES = 600_000
 BLOCK = 64
-#: Shingles in a block of the third pass, and of the groups that one task holds against it (five bytes each).
-BLOCK_SHINGLES = 1 << 20
+#: Shingles in a block of the third pass, and of the groups that one task holds against it (eight bytes each).
+BLOCK_SHINGLES = 1 << 19
 #: A run longer than this makes its shingle count as frequent, and prefixes are then taken anew.
 LONG_RUN = 1024
 #: Edges that one task contracts at most (16 bytes each); beyond that components are found by all tasks in rounds.
@@ -122,18 +123,19 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, key (set id), n; kind 1: a shingle frequent in a shard as key, with its count as n."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+    """kind 0: doc_id, text_key, key (set id), n; kind 1: a shingle frequent in a shard as key, with its count as n."""
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= FREQUENT_IN_SHARD
         n = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many, seen = [], 0, set()
@@ -141,7 +143,7 @@ def _described(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(byte_texts(part.column("text")))
             ids = [set_id(s) for s in sets]
             n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), part.column("text_key"), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], schema=schema)
             for s, key in zip(sets, ids, strict=True):
                 if len(s) and key not in seen:
                     seen.add(key)
@@ -153,7 +155,7 @@ def _described(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return _texts(docs).mapInArrow(run, "kind tinyint, doc_id bigint, key bigint, n bigint")
+    return _texts(docs).mapInArrow(tidy(run), "kind tinyint, doc_id bigint, text_key bigint, key bigint, n bigint")
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +181,8 @@ def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
         at[at == len(keys)] = 0
         count = np.where(keys[at] == low, counts[at], 0)
         if count.any():
-            return values[np.argsort(count, kind="stable")][:keep]
-    return values[:keep]
+            return values[np.argsort(count, kind="stable")[:keep]]
+    return values[:keep].copy()  # not a view that holds the whole set
 
 
 def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int, percent: int) -> DataFrame:
@@ -199,7 +201,7 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
         owner = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h[2]) for h in heads])
         group, n = np.array([h[0] for h in heads], dtype=np.int64), np.array([h[1] for h in heads], dtype=np.int32)
         rest = np.concatenate([np.arange(h[1], h[1] - len(h[2]), -1, dtype=np.int32) for h in heads])
-        to = (((token >> _U64(32)) * _U64(ranges)) >> _U64(32)).astype(np.int32)
+        to = (((mixed(token) >> _U64(32)) * _U64(ranges)) >> _U64(32)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
             used, at = np.unique(owner[mine], return_inverse=True)
@@ -228,7 +230,7 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
         if members:
             yield from packet(members, heads)
 
-    return _texts(docs).mapInArrow(run, "range bigint, groups binary, n binary, tokens binary, owner binary, rest binary")
+    return _texts(docs).drop("text_key").mapInArrow(tidy(run), "range bigint, groups binary, n binary, tokens binary, owner binary, rest binary")
 
 
 def _runs(packets: DataFrame) -> DataFrame:
@@ -282,7 +284,7 @@ def _unpacked(runs: DataFrame, schema: str, names: list[str], make) -> DataFrame
                 for at in range(0, len(arrays[0]), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 18)]) for a in arrays], names=names)
 
-    return runs.mapInArrow(run, schema)
+    return runs.mapInArrow(tidy(run), schema)
 
 
 def _members(range_no, ends, groups, n, member_groups, member_ids):
@@ -374,7 +376,7 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted(found)], schema=schema)
             pa.default_memory_pool().release_unused()
 
-    rows = runs.select("range", "ends", "groups", "n", "rest").join(labels, "range").mapInArrow(run, "g bigint, other bigint, shared bigint")
+    rows = runs.select("range", "ends", "groups", "n", "rest").join(labels, "range").mapInArrow(tidy(run), "g bigint, other bigint, shared bigint")
     return rows.groupBy("g", "other").agg(F.sum("shared").alias("shared"))
 
 
@@ -388,7 +390,7 @@ def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
             for at in _bits_of(batch.column("doc_id").to_numpy(), bits):
                 yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], schema=schema)
 
-    held = ids.mapInArrow(run, "word bigint, held bigint").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    held = ids.mapInArrow(tidy(run), "word bigint, held bigint").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
     words = np.zeros(1 << (bits - 6), dtype=np.int64)
     words[held.column("word").to_numpy()] = held.column("held").to_numpy()
     return words, bits
@@ -415,9 +417,9 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame, head=None
             keep |= ((words[one >> 6] >> (one & 63)) & (words[two >> 6] >> (two & 63)) & 1).astype(bool)
             for part in slices(batch.filter(pa.array(keep)), "text", SLICE_BYTES):
                 sets = [s for s in shingle_sets(byte_texts(part.column("text"))) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(narrow(head(s) if head else s)) for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(head(s) if head else s) for s in sets], pa.binary())], schema=schema)
 
-    return _texts(docs).mapInArrow(run, "key bigint, values binary")
+    return _texts(docs).drop("text_key").mapInArrow(tidy(run), "key bigint, values binary")
 
 
 def _with_long_runs(frequent: tuple[np.ndarray, np.ndarray], runs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
@@ -442,14 +444,14 @@ def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: in
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("a_values"), batch.column("b_values"), strict=True):
-                one, two = wide(x.as_buffer()), wide(y.as_buffer())
+                one, two = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 every = np.sort(np.concatenate((one, two)))
                 both = int((every[1:] == every[:-1]).sum())
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a = a.join(pairs.select("a").distinct(), "a", "left_semi")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_values", "b_values").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_values", "b_values").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: DataFrame, percent: int, frequent=None) -> DataFrame:
@@ -472,7 +474,7 @@ def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: D
     def run(table: pa.Table) -> pa.Table:
         visits = table.column("visits").to_numpy()
         label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
-        sets = [wide(x.as_buffer()) for x in table.column("values")]
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("values")]
         at = np.flatnonzero(~visits)
         found: set[tuple[int, int]] = set()
         if len(at):
@@ -521,11 +523,13 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """node, label (its component's smallest node) for the nodes of the edges a, b.
 
     One task contracts `few` edges at most, whose size is counted first; more go through alternating stars, each round
-    stored.
+    stored. Both give the same labels. The result is a stored table.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if e.count() <= few:
-        return e.coalesce(1).mapInArrow(_contracted, "node bigint, label bigint")
+        found = stored(e.coalesce(1).mapInArrow(tidy(_contracted), "node bigint, label bigint"))
+        discard(e)
+        return found
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -540,11 +544,14 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         if now == state:
             break
         state = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    found = stored(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    discard(e)
+    return found
 
 
-def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, set_key."""
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Per document row: doc_id, text_key, n_shingles, component_id, class_key; and the stored tables that this reads."""
+    frugal(docs.sparkSession)
     described = stored(_described(docs))
     frequent = _frequent(described)
     short = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -566,11 +573,14 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     between = near.join(heads.withColumnRenamed("key", "b"), "g").join(heads.select(F.col("g").alias("h"), F.col("key").alias("a")), "h").select("a", "b")
     within = members.join(heads.withColumnRenamed("key", "a"), "g").where("a <> key").select("a", F.col("key").alias("b"))
     first = stored(between.unionByName(within).where("a <> b").distinct())
-    found = components(stored(_linked(docs, first, described, percent)))
+    links = stored(_linked(docs, first, described, percent))
+    found = components(links)
+    discard(links)
 
     sizes = described.where("kind = 0 and n > 0").groupBy("key").agg(F.first("n").alias("n"))
     placed = members.join(sizes, "key").join(found.withColumnRenamed("node", "key"), "key", "left")
     placed = stored(placed.select("g", "key", "n", F.coalesce("label", "key").alias("label")))
+    discard(found)
 
     def of_groups(placed: DataFrame) -> DataFrame:
         """g, c (its class; a group whose members are in several classes is a class of its own here), mixed."""
@@ -580,7 +590,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def merged(placed: DataFrame, bridges: DataFrame) -> DataFrame:
         root = components(bridges)
         joined = placed.join(root.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
-        return stored(joined.withColumn("label", F.coalesce("root", "label")).drop("root"))
+        after = stored(joined.withColumn("label", F.coalesce("root", "label")).drop("root"))
+        discard(root, placed)
+        return after
 
     # Second pass: one partner for each group, by the members of the smallest ids.
     near = _open(runs, of_groups(placed).select("g", "c", F.lit(0).cast("bigint").alias("block")), percent, nearest=True)
@@ -592,9 +604,11 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     label = placed.select("key", "label").distinct()
     bridges = late.join(label.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
     placed = merged(placed, bridges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    discard(late)
 
     # Third pass, in blocks of what was compared so far.
-    near = components(first.unionByName(second)).select(F.col("node").alias("key"), F.col("label").alias("about"))
+    about = components(first.unionByName(second))
+    near = about.select(F.col("node").alias("key"), F.col("label").alias("about"))
     groups = of_groups(placed).join(near, "key", "left").withColumn("about", F.coalesce("about", "key"))
     parts = groups.groupBy("about").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
     groups = groups.join(parts, "about").withColumn("block", F.xxhash64("about", F.pmod(F.xxhash64("g"), F.col("parts"))))
@@ -602,27 +616,45 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     visits = _open(runs, groups.select("g", "c", "block"), percent, nearest=False).select("g", F.col("other").alias("block"))
     visits = stored(visits.unionByName(groups.where("mixed").select("g", "block")).distinct())
     held = stored(placed.join(groups.select("g", "block"), "g"))
-    visits = _bridges(docs, visits, held, described, percent, frequent).select(F.col("a").alias("g"), F.col("b").alias("block"))
-    placed = merged(placed, stored(_bridges(docs, stored(visits.distinct()), held, described, percent)))
+    near = stored(_bridges(docs, visits, held, described, percent, frequent).select(F.col("a").alias("g"), F.col("b").alias("block")).distinct())
+    last = stored(_bridges(docs, near, held, described, percent))
+    placed = merged(placed, last)
+    discard(runs, members, first, second, about, groups, visits, held, near, last)
 
     label = placed.select("key", "label").distinct()
 
-    rows = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"))
+    rows = described.where("kind = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("key").alias("set_key"))
     ids = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"))
     ids = ids.join(label.withColumnRenamed("key", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     roots = ids.groupBy("label").agg(F.min("low").alias("component_id"))
-    ids = ids.join(roots, "label").select("set_key", "component_id")
+    ids = ids.join(roots, "label").select("set_key", "component_id", F.col("label").alias("class_key"))
     full = rows.where("n_shingles > 0").join(ids, "set_key")
-    empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    return full.select("doc_id", "n_shingles", "component_id", "set_key").unionByName(empty.select("doc_id", "n_shingles", "component_id", "set_key"))
+    empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "class_key": F.col("set_key")})
+    names = ["doc_id", "text_key", "n_shingles", "component_id", "class_key"]
+    return full.select(*names).unionByName(empty.select(*names)), [described, placed]
+
+
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id."""
+    return _classes(docs, percent)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, without those whose class holds one with a smaller doc_id, and repeats of a row's id and text."""
-    held = classes(docs, percent)
-    gone = held.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    repeated = held.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    rows = rows.join(gone, "__id", "left_anti")
-    once = rows.join(repeated, "__id", "left_semi").dropDuplicates(["__id"])
-    return rows.join(repeated, "__id", "left_anti").unionByName(once).drop("__id")
+    """The documents, all columns, with one row of each class: that of the smallest doc_id (null last), then text hash.
+
+    Documents without a shingle all stay.
+    """
+    found, tables = _classes(docs, percent)
+    held = stored(found.where("n_shingles > 0").select("doc_id", "text_key", "class_key"))
+    discard(*tables)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
+    best = held.groupBy("class_key").agg(F.min(order).alias("best"))
+    each = held.groupBy("doc_id", "text_key", "class_key").agg(F.count("*").alias("n")).join(best, "class_key")
+    mine = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text"))
+    marked = each.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), mine.alias("__best"), "n").where("not __best or n > 1")
+    text = F.col("text").cast("string")
+    same = lambda t: F.col("doc_id").cast("long").eqNullSafe(t["__id"]) & (F.xxhash64(text) == t["__key"])
+    gone, repeated = marked.where("not __best").select("__id", "__key"), marked.where("__best").select("__id", "__key")
+    left = docs.join(gone, same(gone), "left_anti")
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, same(repeated), "left_anti").unionByName(once)

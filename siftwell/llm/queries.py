@@ -93,7 +93,7 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.jaccard_groups import classes
 
-    return classes(table(spark, sf_dir, "documents")).drop("set_key")
+    return classes(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
