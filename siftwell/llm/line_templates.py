@@ -10,12 +10,13 @@ A context is a document's shape, the leaves of its lines in order: boilerplate t
 or in blocks of lines, while copies of a document share its shape and count once, however many there are. Copies are
 thus left to whoever removes copies. A document counts once for a token or a template, however many of its lines have it.
 
-Lines travel as hashes (128 bits for a line, 64 for a leaf); the text of a line travels only where its leaf recurs,
-and of a document once, to lose its lines.
+Texts are cut into lines once, and the lines kept in a table with hashes (128 bits for a document's row and for a line,
+64 for a leaf). From there a line's text travels only where its leaf recurs, and a document's once, to lose its lines.
 
 Defined cases: a null text stays null; an empty one stays; blank lines stay, are no part of a shape and count as lines; a text
 whose lines all recur becomes empty; a null doc_id is a document like others; repeated rows give repeated rows; extra
-columns are kept, and `n_chars`, where there is one, follows the text. Only \\n ends a line.
+columns are kept, and `n_chars`, where there is one, follows the text; with `counts`, columns n_lines and n_dropped are
+replaced. Only \\n ends a line.
 """
 
 from __future__ import annotations
@@ -23,50 +24,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import stored
+from siftwell.llm.common import discard, stored
 
 CONTEXTS = 5
 DEPTH = 3
 CONSTANT = 0.7
 SPREAD = 16
+#: Recurring leaves that are sent to all tasks (16 bytes each); more are joined, spread over tasks.
+FEW_LEAVES = 250_000
 
 
-def masked(line: Column) -> Column:
-    """The line with single spaces and `<*>` for tokens with a digit."""
-    even = F.trim(F.when(line.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")).otherwise(line))
-    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(even)
+def masked(text: Column) -> Column:
+    """The text with single spaces within lines and `<*>` for tokens with a digit."""
+    even = F.when(text.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")).otherwise(text)
+    return F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", "<*>")).otherwise(even)
 
 
 def _path(line: Column) -> Column:
-    tokens = F.split(line, " ")
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("string").alias("doc"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text"))
-
-
-def _lines(docs: DataFrame, *carried: str) -> DataFrame:
-    """Non-blank lines: pos (from 0), line (masked), leaf, context (the document's shape), and the columns carried."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), masked(x).alias("line")))
-    full = docs.withColumn("ls", F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), F.xxhash64(_path(x["line"])).alias("leaf"))))
-    return full.select(*carried, F.xxhash64("ls.leaf").alias("context"), F.inline("ls"))
-
-
-def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
-    """Two tables: every line's place (doc, h1, h2, pos, k1, k2), and the lines (line, template, k1, k2) whose template recurs."""
-    keyed = _keyed(docs)
-    k1, k2 = F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")
-    places = stored(_lines(keyed, "doc", "h1", "h2").select("doc", "h1", "h2", "pos", "leaf", "context", k1, k2))
-
-    leaves = places.groupBy("leaf", "context").count().groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf")
-    # How many contexts a line has; its text comes along for lines of recurring leaves only.
-    met = _lines(keyed.select("text")).join(leaves, "leaf", "left_semi").select("leaf", "line", "context")
-    met = stored(met.distinct())
+    n_tokens = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.concat(n_tokens.cast("string"), F.lit(" "), F.substring_index(line, " ", DEPTH))
+
+
+def _row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's doc_id and text."""
+    doc, text = F.col("doc_id").cast("string"), F.col("text").cast("string")
+    return F.xxhash64(doc, text), F.xxhash64(F.lit(7), doc, text)
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Non-blank lines: h1, h2 (the row), pos (from 0), line (masked), its hashes k1, k2, leaf, context (the document's shape)."""
+    h1, h2 = _row_key(docs)
+    rows = docs.select(h1.alias("h1"), h2.alias("h2"), F.split(masked(F.col("text").cast("string")), "\n", -1).alias("raw"))
+    cut = F.transform("raw", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+    rows = rows.select("h1", "h2", F.filter(cut, lambda x: x["line"] != "").alias("cut"))
+    rows = rows.select("h1", "h2", "cut", F.transform("cut", lambda x: F.xxhash64(_path(x["line"]))).alias("leaves"))
+    rows = rows.select("h1", "h2", F.xxhash64("leaves").alias("context"), F.inline(F.arrays_zip("cut", "leaves")))
+    line = F.col("cut.line")
+    return rows.select("h1", "h2", "cut.pos", "context", F.col("leaves").alias("leaf"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"), line.alias("line"))
+
+
+def _of(rows: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
+    """The rows whose leaf is among leaves."""
+    if few:
+        return rows.join(F.broadcast(leaves), "leaf", "left_semi")
+    spread = leaves.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.withColumn("part", F.pmod("k1", F.lit(SPREAD)).cast("int")).join(spread, ["leaf", "part"], "left_semi").drop("part")
+
+
+def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, few_leaves: int = FEW_LEAVES) -> tuple[DataFrame, DataFrame]:
+    """Two tables: places (h1, h2, pos, k1, k2) of lines in recurring leaves, and the lines (line, template, k1, k2) whose template recurs."""
+    every = stored(_lines(docs))
+    leaves = stored(every.groupBy("leaf", "context").agg(F.lit(1).alias("one")).groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf"))
+    places = stored(_of(every, leaves, leaves.count() <= few_leaves))
+    discard(every, leaves)
+    met = stored(places.select("leaf", "line", "context").distinct())
     lines = stored(met.groupBy("leaf", "line").agg(F.count("*").alias("n")))
 
-    each = met.select("leaf", "context", F.posexplode(F.split("line", " ")).alias("at", "token")).groupBy("leaf", "at", "token", "context").count()
+    each = met.select("leaf", "context", F.posexplode(F.split("line", " ")).alias("at", "token")).distinct()
     tokens = lines.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
     often = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("leaf", "at", "token", F.lit(True).alias("kept"))
     shown = tokens.join(often, ["leaf", "at", "token"], "left")
@@ -80,21 +94,22 @@ def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONST
     sums = shown.groupBy("template").agg(F.max("n").alias("most"), F.sum("n").alias("m"))
     unsure = shown.join(sums.where((F.col("most") < contexts) & (F.col("m") >= contexts)), "template", "left_semi")
     unsure = unsure.select("leaf", "line", "template", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    theirs = met.withColumn("part", F.pmod("context", F.lit(SPREAD)).cast("int")).join(unsure, ["leaf", "line", "part"]).groupBy("template", "context").count()
+    theirs = met.withColumn("part", F.pmod("context", F.lit(SPREAD)).cast("int")).join(unsure, ["leaf", "line", "part"]).select("template", "context").distinct()
     reached = theirs.groupBy("template").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("template")
     templates = sums.where(F.col("most") >= contexts).select("template").union(reached)
-    return places, stored(shown.join(templates, "template", "left_semi").select("line", "template", k1, k2))
+    found = stored(shown.join(templates, "template", "left_semi").select("line", "template", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")))
+    discard(met, lines, shown)
+    return places.select("h1", "h2", "pos", "k1", "k2"), found
 
 
 def deduplicated(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, counts: bool = False) -> DataFrame:
     """The documents, all columns, without lines whose template recurs; `counts` adds n_lines and n_dropped."""
     places, lines = recurring(docs, contexts, constant)
     gone = places.join(lines.select("k1", "k2"), ["k1", "k2"], "left_semi")
-    gone = gone.groupBy("doc", "h1", "h2").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "__gone")
+    gone = gone.groupBy(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).agg(F.collect_set("pos").alias("__gone"))
     text = F.col("text").cast("string")
-    same = F.col("doc_id").cast("string").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(7), text) == F.col("__h2"))
-    found = docs.join(gone, same, "left")
+    h1, h2 = _row_key(docs)
+    found = docs.join(gone, (h1 == gone["__h1"]) & (h2 == gone["__h2"]), "left")
     left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
     out = found.withColumn("__text", F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(left, "\n")))
     if counts:
@@ -104,4 +119,4 @@ def deduplicated(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CO
     changed = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.withColumns(changed).drop("__text", "__gone", "__doc", "__h1", "__h2")
+    return out.withColumns(changed).drop("__text", "__gone", "__h1", "__h2")

@@ -149,16 +149,19 @@ l0 AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS l FROM raw
 l1 AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(l, '[ \t\r\f\x0B]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM l0),
 l2 AS (SELECT *, string_split(line, ' ') AS t FROM l1 WHERE line <> ''),
 l3 AS (SELECT doc_id, pos, line, t, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM l2),
-l4 AS (SELECT *, coalesce(lag(leaf) OVER w, lead(leaf) OVER w, '') AS context FROM l3 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+shape AS (SELECT doc_id, md5(string_agg(leaf, chr(10) ORDER BY pos)) AS context FROM l3 GROUP BY doc_id),
+l4 AS MATERIALIZED (SELECT DISTINCT context, leaf, line, t FROM l3 JOIN shape USING (doc_id)),
 leaves AS (SELECT leaf FROM l4 GROUP BY leaf HAVING count(DISTINCT context) >= 5),
-lines AS (SELECT leaf, line, t, count(DISTINCT context) AS n FROM l4 WHERE leaf IN (FROM leaves) GROUP BY leaf, line, t),
-tok AS (SELECT leaf, line, n, unnest(range(0, len(t))) AS place, unnest(t) AS token FROM lines),
-often AS (SELECT leaf, place, token FROM tok GROUP BY ALL HAVING sum(n) >= 5),
+met AS MATERIALIZED (SELECT * FROM l4 WHERE leaf IN (FROM leaves)),
+often AS (
+  SELECT leaf, place, token FROM (SELECT leaf, context, unnest(range(0, len(t))) AS place, unnest(t) AS token FROM met)
+  GROUP BY leaf, place, token HAVING count(DISTINCT context) >= 5),
+tok AS (SELECT leaf, line, unnest(range(0, len(t))) AS place, unnest(t) AS token FROM (SELECT DISTINCT leaf, line, t FROM met)),
 shown AS (
-  SELECT k.leaf, k.line, k.n, string_agg(CASE WHEN o.leaf IS NULL THEN '<*>' ELSE k.token END, ' ' ORDER BY k.place) AS template,
+  SELECT k.leaf, k.line, string_agg(CASE WHEN o.leaf IS NULL THEN '<*>' ELSE k.token END, ' ' ORDER BY k.place) AS template,
     avg(CASE WHEN o.leaf IS NOT NULL AND k.token <> '<*>' THEN 1.0 ELSE 0.0 END) AS constant
-  FROM tok k LEFT JOIN often o ON o.leaf = k.leaf AND o.place = k.place AND o.token = k.token GROUP BY k.leaf, k.line, k.n),
-recurs AS (SELECT template FROM shown WHERE constant >= 0.7 GROUP BY template HAVING sum(n) >= 5),
+  FROM tok k LEFT JOIN often o ON o.leaf = k.leaf AND o.place = k.place AND o.token = k.token GROUP BY k.leaf, k.line),
+recurs AS (SELECT template FROM shown JOIN met USING (leaf, line) WHERE constant >= 0.7 GROUP BY template HAVING count(DISTINCT context) >= 5),
 gone AS (SELECT DISTINCT line FROM shown WHERE constant >= 0.7 AND template IN (FROM recurs)),
 cut AS (SELECT l0.doc_id, count(*) AS n_lines, count(g.line) AS n_dropped, coalesce(string_agg(l0.l, chr(10) ORDER BY l0.pos) FILTER (WHERE g.line IS NULL), '') AS text
   FROM l0 JOIN l1 USING (doc_id, pos) LEFT JOIN gone g ON g.line = l1.line GROUP BY l0.doc_id)
