@@ -1,14 +1,18 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-`positional_index` cuts documents into shards of a bounded number of words and stores, per shard, the positions
-of every term that a test set uses (its postings). `phrase_hits` intersects offset-adjusted postings, from the
-term that is rarest in the shard on, and so finds the exact phrases; `near_hits` finds all terms of a phrase
-within a span of words. Shards follow the documents, so no posting is shuffled and a common term, source or
-copied text spreads over all shards.
+`positional_index` cuts documents into shards of a bounded size and stores, per shard, every term with its positions
+(its postings). It doesn't depend on a test set, so one index serves many. `phrase_hits` intersects offset-adjusted
+postings, from the test term that is rarest in the shard on, and so finds the exact phrases; `near_hits` finds all
+terms of a phrase within a span of words. Shards follow the documents, so no posting is shuffled and a common term,
+source or copied text spreads over all shards.
+
+A test set is taken in passes of `ITEM_BYTES` of text over the index, one or many by the same plan: a pass returns
+the spans of documents with hits only, and the passes' spans are joined per document before words are counted.
 
 Defined cases: a null or empty text has no words and no hits; null doc_id rows keep a row each; repeated rows
-give repeated rows; an empty test set gives no hits; columns besides those named are ignored. Items without
-words have no window. A repeated item_id counts once; a null one counts as the id ''.
+give repeated rows; an empty test set gives no hits; columns besides those named are ignored, in
+`without_contaminated` kept. Items without words have no window. A repeated item_id counts once; a null one counts
+as the id ''.
 """
 
 from __future__ import annotations
@@ -17,19 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ALNUM, byte_texts, slices, stored
+from siftwell.llm.common import ALNUM, byte_texts, discard, frugal, slices, stored, tidy
 
 WINDOW = 10
-#: Bytes of item text that one pass over the index handles; a larger test set takes several passes.
-ITEM_BYTES = 16 << 20
+#: Bytes of item text that one pass over the index handles (its windows take about 20 times that on the driver and in a worker).
+ITEM_BYTES = 2 << 20
 #: Bytes of text in a shard, one document at least.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 
-INDEX = "row_no array<int>, doc_id array<bigint>, text_key array<bigint>, n_words array<int>, terms array<int>, sizes array<int>, postings binary"
-HITS = "doc_id bigint, text_key bigint, n_words bigint, n_hit bigint, item_ids array<string>"
+INDEX = pa.schema([("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("text_key", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("sizes", pa.binary()), ("postings", pa.binary())])
+HITS = "shard bigint, row_no int, starts array<int>, ends array<int>, item_ids array<string>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -38,67 +43,65 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """Windows of a test set: term ids per window, grouped by length, and the items that hold each."""
+    """Windows of a test set by length: rows of term ids, and the items that hold each."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
         self.names = sorted({name or "" for name, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
-        found: dict[tuple[int, ...], set[int]] = {}
+        held: dict[int, list[tuple[np.ndarray, int]]] = {}
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(number[name or ""])
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int32)
+            if len(ids):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                held.setdefault(rows.shape[1], []).append((rows, number[name or ""]))
         self.by_length = []
-        for length in sorted({len(x) for x in found}):
-            rows = [x for x in found if len(x) == length]
-            self.by_length.append((np.array(rows, dtype=np.int32), [sorted(found[x]) for x in rows]))
+        for length in sorted(held):
+            rows, which = np.unique(np.concatenate([r for r, _ in held[length]]), axis=0, return_inverse=True)
+            owner = np.repeat([k for _, k in held[length]], [len(r) for r, _ in held[length]])
+            pairs = np.unique(np.stack([which.reshape(-1), owner]), axis=1)
+            self.by_length.append((rows, np.split(pairs[1], np.flatnonzero(np.diff(pairs[0])) + 1)))
 
 
-def positional_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """One row per shard: its documents, and the postings of the vocabulary's terms as packed int32 positions."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def positional_index(docs: DataFrame) -> DataFrame:
+    """A stored table with a row per shard: its documents; its terms, their sizes and their postings, packed."""
+    frugal(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.get
+        shard = TaskContext.get().partitionId() << 32
         for part in (x for batch in batches for x in slices(batch, "text", SHARD_BYTES)):
+            vocabulary: dict[bytes, int] = {}
             lengths, codes = [], []
             for text in byte_texts(part.column("text")):
                 words = words_of(text)
                 lengths.append(len(words))
-                codes.extend([known(w, -1) for w in words])
+                codes += [vocabulary.setdefault(w, len(vocabulary)) for w in words]
                 codes.append(-1)  # no phrase runs from one document into the next
             codes = np.array(codes, dtype=np.int32)
-            places = np.flatnonzero(codes >= 0).astype(np.int32)
-            order = np.argsort(codes[places], kind="stable")
-            terms, sizes = np.unique(codes[places], return_counts=True)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "row_no": [np.arange(len(lengths), dtype=np.int32)],
-                    "doc_id": [part.column("doc_id").to_pylist()],
-                    "text_key": [part.column("text_key").to_pylist()],
-                    "n_words": [lengths],
-                    "terms": [terms],
-                    "sizes": [sizes.astype(np.int32)],
-                    "postings": [places[order].tobytes()],
-                },
-                schema=pa.schema([("row_no", pa.list_(pa.int32())), ("doc_id", pa.list_(pa.int64())), ("text_key", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("postings", pa.binary())]),
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(build, INDEX)
+            order = np.argsort(codes, kind="stable").astype(np.int32)[len(lengths) :]
+            sizes = np.bincount(codes[codes >= 0], minlength=len(vocabulary)).astype(np.int32)
+            columns = [[shard], [part.column("doc_id").to_pylist()], [part.column("text_key").to_pylist()], [lengths], [b" ".join(vocabulary)], [sizes.tobytes()], [order.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, INDEX.types, strict=True)], schema=INDEX)
+            shard += 1
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return stored(rows.mapInArrow(tidy(build), "shard bigint, doc_id array<bigint>, text_key array<bigint>, n_words array<int>, terms binary, sizes binary, postings binary"))
 
 
 class Shard:
-    """The postings of one shard, opened."""
+    """One shard opened for a test set: sizes and postings by the test set's term ids."""
 
-    def __init__(self, row: dict, n_terms: int):
+    def __init__(self, row: dict, vocabulary: dict[bytes, int]):
         self.lengths = np.array(row["n_words"], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)))
-        self.size = np.zeros(n_terms, dtype=np.int64)
-        self.size[row["terms"]] = row["sizes"]
-        self.begin = np.zeros(n_terms, dtype=np.int64)
-        self.begin[row["terms"]] = np.cumsum([0, *row["sizes"]])[:-1]
+        sizes = np.frombuffer(row["sizes"], dtype=np.int32)
+        begins = np.cumsum(sizes) - sizes
+        self.size, self.begin = (np.zeros(len(vocabulary), dtype=np.int64) for _ in (0, 1))
+        if row["terms"]:
+            ids = [vocabulary.get(w, -1) for w in row["terms"].split(b" ")]
+            ids = np.array(ids)
+            met = ids >= 0
+            self.size[ids[met]], self.begin[ids[met]] = sizes[met], begins[met]
         self.places = np.frombuffer(row["postings"], dtype=np.int32)
 
     def postings(self, term: int) -> np.ndarray:
@@ -139,61 +142,45 @@ class Shard:
 
 
 def _probe(index: DataFrame, phrases: Phrases, schema: str, match) -> DataFrame:
+    """match(row, shard, phrases) over the index's shards, as rows of the schema."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k] for name in batch.schema.names}
-                row = {name: v.values.to_numpy(zero_copy_only=False) if name in ("n_words", "terms", "sizes") else v.as_py() for name, v in row.items()}
-                if len(row["n_words"]):
-                    yield match(row, shared.value)
-
-    return index.mapInArrow(probe, schema)
-
+                row = {name: batch.column(name)[k].as_py() for name in ("shard", "doc_id", "n_words", "terms", "sizes", "postings")}
+                yield match(row, Shard(row, shared.value.vocabulary), shared.value)
 
-def _phrases_in(row: dict, phrases: Phrases) -> pa.RecordBatch:
-    shard = Shard(row, len(phrases.vocabulary))
-    hit = np.zeros(int(shard.starts[-1]) + 1, dtype=np.int32)
-    named: list[set[int]] = [set() for _ in row["doc_id"]]
-    for windows, holders in phrases.by_length:
-        for w in np.flatnonzero(shard.size[windows].min(axis=1) > 0):
-            if len(starts := shard.phrase(windows[w])):
-                np.add.at(hit, starts, 1)
-                np.add.at(hit, starts + windows.shape[1], -1)
-                for doc in np.unique(np.searchsorted(shard.starts, starts, side="right") - 1):
-                    named[doc].update(holders[w])
-    inside = np.concatenate(([0], np.cumsum(np.cumsum(hit) > 0)))
-    n_hit = inside[shard.starts[1:] - 1] - inside[shard.starts[:-1]]
-    return pa.RecordBatch.from_pydict(
-        {
-            "doc_id": pa.array(row["doc_id"], pa.int64()),
-            "text_key": pa.array(row["text_key"], pa.int64()),
-            "n_words": pa.array(shard.lengths, pa.int64()),
-            "n_hit": pa.array(n_hit, pa.int64()),
-            "item_ids": pa.array([[phrases.names[x] for x in sorted(s)] for s in named], pa.list_(pa.string())),
-        }
-    )
+    return index.mapInArrow(tidy(probe), schema)
 
 
-def _spans_in(row: dict, phrases: Phrases) -> pa.RecordBatch:
-    shard = Shard(row, len(phrases.vocabulary))
-    out: dict[str, list] = {"row_no": [], "doc_id": [], "text_key": [], "n_words": [], "starts": [], "ends": [], "item_ids": []}
-    spans: list[list[tuple[int, int]]] = [[] for _ in row["doc_id"]]
-    named: list[set[int]] = [set() for _ in row["doc_id"]]
+def _spans_in(row: dict, shard: Shard, phrases: Phrases) -> pa.RecordBatch:
+    """Of the documents with hits: their place in the shard, spans of words and items."""
+    rows, starts, ends, names = [], [], [], []
+    found: list[tuple[np.ndarray, int]] = []
+    held: dict[int, set[int]] = {}
     for windows, holders in phrases.by_length:
         for w in np.flatnonzero(shard.size[windows].min(axis=1) > 0):
-            for start in shard.phrase(windows[w]).tolist():
-                doc = int(np.searchsorted(shard.starts, start, side="right") - 1)
-                spans[doc].append((start - int(shard.starts[doc]), start - int(shard.starts[doc]) + windows.shape[1]))
-                named[doc].update(holders[w])
-    for k, own in enumerate(spans):
-        for name, v in (("row_no", k), ("doc_id", row["doc_id"][k]), ("text_key", row["text_key"][k]), ("n_words", int(shard.lengths[k])), ("starts", [a for a, _ in own]), ("ends", [b for _, b in own]), ("item_ids", [phrases.names[x] for x in sorted(named[k])])):
-            out[name].append(v)
-    return pa.RecordBatch.from_pydict(out, schema=pa.schema([("row_no", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("item_ids", pa.list_(pa.string()))]))
-
-
-def near_hits(docs: DataFrame, items: list[tuple[str, str]], span: int) -> DataFrame:
+            if len(at := shard.phrase(windows[w])):
+                found.append((at, windows.shape[1]))
+                for doc in np.unique(np.searchsorted(shard.starts, at, side="right") - 1).tolist():
+                    held.setdefault(doc, set()).update(holders[w].tolist())
+    if found:
+        begin = np.concatenate([at for at, _ in found])
+        size = np.repeat([n for _, n in found], [len(at) for at, _ in found])
+        order = np.argsort(begin, kind="stable")
+        begin, size = begin[order], size[order]
+        doc = np.searchsorted(shard.starts, begin, side="right") - 1
+        begin = begin - shard.starts[doc]
+        rows, cuts = np.unique(doc, return_index=True)
+        rows = rows.tolist()
+        starts, ends = np.split(begin, cuts[1:]), np.split(begin + size, cuts[1:])
+        names = [[phrases.names[x] for x in sorted(held[d])] for d in rows]
+    ints = pa.list_(pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(starts, ints), pa.array(ends, ints), pa.array(names, pa.list_(pa.string()))], names=["shard", "row_no", "starts", "ends", "item_ids"])
+
+
+def near_hits(index: DataFrame, items: list[tuple[str, str]], span: int) -> DataFrame:
     """Documents with all words of an item (any order) within `span` words: doc_id, item_id, first, last.
 
     For a stated, short list of items; first and last count the document's words from 0.
@@ -201,8 +188,7 @@ def near_hits(docs: DataFrame, items: list[tuple[str, str]], span: int) -> DataF
     held = [(name, text.encode()) for name, text in items]
     phrases = Phrases(held, max([1, *(len(words_of(t)) for _, t in held)]))
 
-    def match(row: dict, phrases: Phrases) -> pa.RecordBatch:
-        shard = Shard(row, len(phrases.vocabulary))
+    def match(row: dict, shard: Shard, phrases: Phrases) -> pa.RecordBatch:
         rows = []
         for windows, holders in phrases.by_length:
             for w in np.flatnonzero(shard.size[windows].min(axis=1) > 0):
@@ -212,56 +198,53 @@ def near_hits(docs: DataFrame, items: list[tuple[str, str]], span: int) -> DataF
         columns = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "first", "last"])
 
-    return _probe(positional_index(docs, phrases.vocabulary), phrases, "doc_id bigint, item_id string, first bigint, last bigint", match)
-
+    return _probe(index, phrases, "doc_id bigint, item_id string, first bigint, last bigint", match)
 
-def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """Per document row: doc_id, text_key (hash of its text), n_words, n_hit, item_ids of the items found.
 
-    The items are taken in passes of about `item_bytes` of text, so what is broadcast has a bound; with more than
-    one pass, each pass's spans are joined per document before words are counted.
-    """
+def _passes(index: DataFrame, items: DataFrame, window: int, item_bytes: int) -> DataFrame:
+    """Per document with hits: shard, row_no, spans (sorted), item_ids."""
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = int(size // item_bytes) + 1
     chunk = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    if passes == 1:
-        phrases = Phrases([(r.item_id, r.text and r.text.encode()) for r in items.collect()], window)
-        return _probe(positional_index(docs, phrases.vocabulary), phrases, HITS, _phrases_in)
-    rows = stored(docs.select("doc_id", "text"))  # so that each pass sees the same shards
-    found = []
+    union = None
     for k in range(passes):
         phrases = Phrases([(r.item_id, r.text and r.text.encode()) for r in items.where(chunk == k).collect()], window)
-        one = _probe(positional_index(rows, phrases.vocabulary), phrases, "row_no int, doc_id bigint, text_key bigint, n_words bigint, starts array<int>, ends array<int>, item_ids array<string>", _spans_in)
-        found.append(one)
-    union = found[0]
-    for one in found[1:]:
-        union = union.unionByName(one)
-    # Equal texts have equal spans: a row of each doc_id and text stands for its repeats, which are counted per pass.
-    merged = union.groupBy("doc_id", "text_key", "n_words").agg(
-        (F.count("*") / passes).cast("int").alias("copies"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
-    )
+        one = _probe(index, phrases, HITS, _spans_in)
+        union = one if union is None else union.unionByName(one)
+    spans = F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))))
+    return union.groupBy("shard", "row_no").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+
+
+def _documents(index: DataFrame) -> DataFrame:
+    """shard, row_no, doc_id, text_key, n_words of the index's documents."""
+    return index.select("shard", F.posexplode(F.arrays_zip("doc_id", "text_key", "n_words")).alias("row_no", "d")).select("shard", "row_no", "d.*")
+
+
+def phrase_hits(index: DataFrame, items: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """Per document row of the index: doc_id, text_key (hash of its text), n_words, n_hit, item_ids of the items found."""
+    found = _documents(index).join(_passes(index, items, window, item_bytes), ["shard", "row_no"], "left")
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["upto"], s["ends"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["ends"] - F.greatest(s["starts"], a["upto"]))).alias("n")),
         lambda a: a["n"],
     )
-    out = merged.select("doc_id", "text_key", "n_words", covered.alias("n_hit"), "item_ids", "copies")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+    names = F.coalesce(F.sort_array("item_ids"), F.array().cast("array<string>"))
+    return found.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), F.coalesce(covered, F.lit(0).cast("long")).alias("n_hit"), names.alias("item_ids"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
-    hits = phrase_hits(docs, items, window)
-    names = F.sort_array("item_ids")
-    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), names.alias("item_ids"))
+    hits = phrase_hits(positional_index(docs), items, window)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without those that hold a window of an item."""
-    hit = phrase_hits(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    index = positional_index(docs)
+    hit = _documents(index).join(_passes(index, items, window, ITEM_BYTES), ["shard", "row_no"])
+    hit = stored(hit.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
+    discard(index)
+    same = F.col("doc_id").cast("long").eqNullSafe(hit["__id"]) & (F.xxhash64(F.col("text").cast("string")) == hit["__key"])
     return docs.join(hit, same, "left_anti")

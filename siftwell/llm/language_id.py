@@ -7,6 +7,8 @@ Over the words of a text, Viterbi finds the labelling with the highest sum of sc
 texts of several languages split into spans. The language with the most letters is the prediction; the share of
 letters in its spans, times how clearly its words speak for it, is the score.
 
+A letter is a character of a Unicode category L; digits, fractions and numerals of other scripts are none.
+
 Defined cases: null, empty or letterless texts give `und`, score 0 and no spans; so do all texts if nothing could be
 learned; rows with a null doc_id are scored but not learned from (held_out false); rows with null lang teach nothing;
 ties go to the language first in order of name; repeated rows give repeated rows; other columns are ignored.
@@ -15,6 +17,8 @@ ties go to the language first in order of name; repeated rows give repeated rows
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import in_thirds, slices
+from siftwell.llm.common import frugal, in_thirds, slices, tidy
 
 #: Rows of a language that are learned from, about; their trigrams and words that occur twice at least.
 SAMPLE_ROWS = 600
 SWITCH = 12.0
-SLICE_BYTES = 3 << 20
-CACHED_WORDS = 400_000
+SLICE_BYTES = 2 << 20
+CACHED_WORDS = 100_000
 NO = -1e6
 
 #: First and last code points of the scripts told apart; letters elsewhere count as "other".
@@ -51,7 +55,10 @@ SCRIPTS = {
 }
 _NAMES = [*SCRIPTS, "other"]
 _STARTS, _ENDS, _OF = (np.array(x) for x in zip(*sorted((a, b, k) for k, name in enumerate(SCRIPTS) for a, b in SCRIPTS[name]), strict=True))
-_WORD = re.compile(r"[^\W\d_]+")
+#: What counts as alphanumeric but is no letter, within and beyond the basic plane; the latter is rare and taken out first.
+_ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isdecimal() and unicodedata.category(c)[0] != "L"]
+_WORD = re.compile(rf"[^\W\d_{''.join(c for c in _ODD if c <= '\uffff')}]+")
+_FAR = dict.fromkeys((ord(c) for c in _ODD if c > "\uffff"), " ")
 
 
 def script_of(word: str) -> int:
@@ -61,6 +68,13 @@ def script_of(word: str) -> int:
     return int(_OF[k]) if k >= 0 and code <= _ENDS[k] else len(SCRIPTS)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    if not text.isascii() and max(text) > "\uffff":
+        text = text.translate(_FAR)
+    return _WORD.findall(text.lower())
+
+
 def features(word: str) -> list[str]:
     """Letter trigrams with word ends, and the word itself behind a space."""
     ends = f"<{word}>"
@@ -79,14 +93,14 @@ def counts(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = found.setdefault(lang, Counter())
-                for word, n in Counter(_WORD.findall(text.lower())).items():
+                for word, n in Counter(words_of(text)).items():
                     for f in features(word):
                         own[f] += n
                     own[f"#{script_of(word)}"] += n
             flat = [(lang, f, n) for lang, own in found.items() for f, n in own.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "feature", "n"])
 
-    return drawn.mapInArrow(count, "lang string, feature string, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    return drawn.mapInArrow(tidy(count), "lang string, feature string, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -133,7 +147,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> n
     order = np.argsort(-sizes, kind="stable")
     begin, size = starts[order], sizes[order]
     active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right")
-    best = np.zeros(n_words, dtype=np.int8)  # before each word
+    best = np.zeros(n_words, dtype=np.int32)  # before each word
     moved = np.zeros((n_words, n_langs), dtype=bool)
     value = np.zeros((len(order), n_langs))
     for t, n in enumerate(active.tolist()):
@@ -146,8 +160,8 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> n
             moved[at] = now < fresh
             np.maximum(now, fresh, out=now)
         now += scores[at]
-    labels = np.zeros(n_words, dtype=np.int8)
-    last = value.argmax(axis=1).astype(np.int8)
+    labels = np.zeros(n_words, dtype=np.int32)
+    last = value.argmax(axis=1).astype(np.int32)
     for t in range(len(active) - 1, -1, -1):
         n = int(active[t])
         at = begin[:n] + t
@@ -163,28 +177,29 @@ class Labeller:
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch = model, switch
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.empty((1024, len(model.langs)))
 
     def __call__(self, texts: list[str | None], spans: bool) -> list[tuple[str, float, list[dict]]]:
         und = ("und", 0.0, [])
         if not self.model.langs:
             return [und for _ in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known, self.rows = {}, []
+            self.known = {}
         held, words = [], []
         for text in texts:
-            own = _WORD.findall(text.lower()) if text else []
+            own = words_of(text) if text else []
             held.append(len(words))
             words += own
         if not words:
             return [und for _ in texts]
         known = self.known
         for w in set(words).difference(known):
-            known[w] = len(self.rows)
-            self.rows.append(self.model.score(w))
-        table = np.array(self.rows)
+            if len(known) == len(self.rows):
+                self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+            self.rows[len(known)] = self.model.score(w)
+            known[w] = len(known)
         codes = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-        scores = table[codes]
+        scores = self.rows[codes]
         letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         starts = np.array(held)
         full = np.flatnonzero(np.diff(np.append(starts, len(words))) > 0)
@@ -218,6 +233,7 @@ def learned(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def identified(docs: DataFrame, model: Model, spans: bool = True, switch: float = SWITCH) -> DataFrame:
     """Per document row: doc_id, lang_pred, score, spans (lang, and the first and last word of each, from 0)."""
+    frugal(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
@@ -228,7 +244,7 @@ def identified(docs: DataFrame, model: Model, spans: bool = True, switch: float
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], kind)], names=["doc_id", "lang_pred", "score", "spans"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double, spans array<struct<lang:string,first:bigint,last:bigint>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double, spans array<struct<lang:string,first:bigint,last:bigint>>")
 
 
 def held_out(doc_id: Column) -> Column:

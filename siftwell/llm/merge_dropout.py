@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import mixed, slices
+from siftwell.llm.common import frugal, mixed, slices, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20240501
 VARIANTS = 8
-SLICE_BYTES = 6 << 20
-WORDS_AT_ONCE = 60_000
+SLICE_BYTES = 3 << 20
+WORDS_AT_ONCE = 40_000
 #: Longer runs without a word end go through a heap of their own.
 LONG = 48
 SPACE = "▁"
@@ -221,7 +221,7 @@ class Encoder:
         if not len(odd):
             return sym, np.bincount(word, minlength=n_words)
         extra = {v: k for k, v in self.pieces.symbols.items() if v >= len(self.pieces.text)}
-        spelled = {s: [int(self.pieces.bytes[b]) for b in (extra[s] if s in extra else chr(s - self.pieces.base)).replace("﷐", SPACE).encode()] for s in set(sym[odd].tolist())}
+        spelled = {s: [int(self.pieces.bytes[b]) for b in (extra[s] if s in extra else chr(s - self.pieces.base)).replace(LITERAL, SPACE).encode()] for s in set(sym[odd].tolist())}
         size = np.ones(len(sym), dtype=np.int64)
         size[odd] = [len(spelled[s]) for s in sym[odd].tolist()]
         out = np.repeat(sym, size)
@@ -234,8 +234,8 @@ class Encoder:
         known: dict[str, int] = {}
         codes, sizes = [], []
         for text in texts:
-            # A literal U+2581 goes as a noncharacter that is spelled in its bytes; the noncharacter itself as it is.
-            shown = SPACE + text.replace("﷐", "﷑﷑").replace(SPACE, "﷐").replace(" ", SPACE) if text and (SPACE in text or "﷐" in text) else SPACE + text.replace(" ", SPACE) if text else ""
+            # A literal U+2581 goes as a lone surrogate, which no text holds, and is spelled in its bytes.
+            shown = SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
             own = self.split.findall(shown)
             sizes.append(len(own))
             codes.extend([known.setdefault(w, len(known)) for w in own])
@@ -295,6 +295,7 @@ def _pieces(model: bytes) -> Pieces:
 def encoded(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, digest: bool = False) -> DataFrame:
     """Per document row: doc_id, n_chars (code points), n_tokens, and ids, or with `digest` ids_sha256 (of the ids as
     little-endian int32) and lossless (whether decoding gave back the text)."""
+    frugal(docs.sparkSession)
     shared = _model(docs, model)
     last = [("ids_sha256", pa.string()), ("lossless", pa.bool_())] if digest else [("ids", pa.list_(pa.int32()))]
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), *last])
@@ -314,7 +315,7 @@ def encoded(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_chars bigint, n_tokens bigint, " + ("ids_sha256 string, lossless boolean" if digest else "ids array<int>"))
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, n_tokens bigint, " + ("ids_sha256 string, lossless boolean" if digest else "ids array<int>"))
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -326,4 +327,4 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if x is None else decode(x) for x in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, text string")

@@ -109,6 +109,17 @@ def test_language_learns_and_splits(spark, labelled):
     assert {r["lang_pred"] for r in language_id.language_of(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_letters_and_many_languages(spark):
+    import numpy as np
+
+    assert language_id.words_of("½ ² Ⅷ \U00012400 Éa x1y") == ["éa", "x", "y"]
+    docs = spark.createDataFrame([(0, "½ ² Ⅷ 12", "aa"), (2, "alom", "aa")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.language_of(docs).collect()}[0] == "und"
+    scores = np.full((2, 200), -9.0)
+    scores[:, 150] = 0
+    assert language_id.viterbi(scores, np.array([0])).tolist() == [150, 150]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -155,7 +166,7 @@ def test_merge_dropout(spark):
     import sentencepiece
 
     rng = random.Random(4)
-    odd = ["", " ", "  two  spaces ", "é日本\x00x\t\r\n", "▁▁ a▁b", "x" * 300, "\n\n a\n", "\U0001f600 <s> <0x0A>", None, prose(rng, 3000)]
+    odd = ["", " ", "  two  spaces ", "é日本\x00x\t\r\n", "▁▁ a▁b", "x" * 300, "\n\n a\n", "\U0001f600 <s> <0x0A>\ufdd0▁\ufdd1", None, prose(rng, 3000)]
     df = docs_of(spark, odd + odd[:2])
     model = sentencepiece.SentencePieceProcessor(model_file=merge_dropout.MODEL)
     plain = {r["doc_id"]: r["ids"] for r in merge_dropout.encoded(df, rate=0.0).collect()}
@@ -214,7 +225,7 @@ def test_decontamination(spark, item_bytes):
     texts += [None, "", "é", "é one TWO x", texts[0], texts[0], "É one"]
     df = docs_of(spark, texts)
     bench = spark.createDataFrame([(int(a), b) for a, b in items], "item_id long, text string")
-    hits = decontamination.phrase_hits(df, bench, item_bytes=item_bytes)
+    hits = decontamination.phrase_hits(decontamination.positional_index(df), bench, item_bytes=item_bytes)
     got = sorted((r["doc_id"], r["n_words"], r["n_hit"], len(r["item_ids"])) for r in hits.collect())
     want = brute_hits(texts, items, 10)
     assert got == [(k, w[0], w[1], w[2]) for k, w in enumerate(want)]
@@ -228,7 +239,7 @@ def test_decontamination(spark, item_bytes):
 
 def test_proximity(spark):
     df = docs_of(spark, ["a x b y c", "c b a", "a q q q q b c", None])
-    got = {(r["doc_id"], r["first"], r["last"]) for r in decontamination.near_hits(df, [("i", "a b c")], 5).collect()}
+    got = {(r["doc_id"], r["first"], r["last"]) for r in decontamination.near_hits(decontamination.positional_index(df), [("i", "a b c")], 5).collect()}
     assert got == {(0, 0, 4), (1, 0, 2)}
 
 
