@@ -18,8 +18,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in LOWER)
 
 
-#: Rows in a batch that goes to a Python worker.
+#: Rows and bytes in a batch that goes to a Python worker (one row at least).
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +56,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def frugal(spark: SparkSession) -> None:
-    """Bounds what an executor holds for its Python workers: Arrow batches of `BATCH_ROWS` rows of text, not of 10,000."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bounds what an executor holds for its Python workers: Arrow batches of `BATCH_ROWS` rows and `BATCH_BYTES` at most."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(str(spark.conf.get(f"spark.sql.execution.arrow.{key}")).removesuffix("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
 def returned() -> None:

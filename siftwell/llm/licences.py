@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import ALNUM, slices
+from siftwell.llm.common import ALNUM, frugal, slices, tidy
 
 THRESHOLD = 0.8
 SLICE_BYTES = 4 << 20
@@ -154,6 +154,7 @@ class Scanner:
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: doc_id and matches (licence, score, kind, unit) of its distinct units."""
+    frugal(docs.sparkSession)
     kind = pa.list_(pa.struct([("licence", pa.string()), ("score", pa.float64()), ("kind", pa.string()), ("unit", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thres
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], names=["doc_id", "matches"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, matches array<struct<licence:string,score:double,kind:string,unit:string>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, matches array<struct<licence:string,score:double,kind:string,unit:string>>")
 
 
 def licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import byte_texts, in_thirds, slices
+from siftwell.llm.common import byte_texts, frugal, in_thirds, slices, tidy
 
 LABELLED_ROWS = 6000
 POOL_ROWS = 6000
@@ -80,7 +80,7 @@ def _views(rows: DataFrame) -> DataFrame:
             b = [metadata(*m) for m in zip(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(a, pa.list_(pa.float64())), pa.array(b, pa.list_(pa.float64()))], names=[*keep, "content", "metadata"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep) + ", content array<double>, metadata array<double>")
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep) + ", content array<double>, metadata array<double>")
 
 
 class Logistic:
@@ -166,6 +166,7 @@ def learned(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_RO
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, content_score, metadata_score, score (likelihood of label 1), predicted."""
+    frugal(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learned(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,5 +176,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
             b = np.array([metadata(*m) for m in zip(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, model((a, b)))], names=["doc_id", "content_score", "metadata_score", "score"])
 
-    found = _typed(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, content_score double, metadata_score double, score double")
+    found = _typed(docs).mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, content_score double, metadata_score double, score double")
     return found.select("doc_id", F.coalesce(in_thirds(F.col("doc_id")), F.lit(False)).alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,7 +2,7 @@
 
 Vectors are sparse rows of integer weights over terms (the dimensions). Candidates are dealt into blocks by a hash of
 their id; a block stores postings, per term the slots that hold it and their weights. Queries are dealt into chunks
-the same way. Every chunk meets every block: each query row scatters its weighted postings into a dense score array
+the same way. Every chunk meets every block (chunks are repeated, as queries are the fewer): each query row scatters its weighted postings into a dense score array
 over the block's slots, a partition selection takes the block's best, and a window over the blocks' few best merges
 them. Blocks and chunks have a bounded number of rows, whatever one source or copied vector makes of the table.
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import frugal, tidy
+
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 1024
 
@@ -77,11 +79,12 @@ def best_in_block(q_ids: np.ndarray, q: tuple, b_ids: np.ndarray, b: tuple, k: i
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """rows: vec_id, weights array<long>. Returns query_id, rank, vec_id, score."""
+    frugal(rows.sparkSession)
     rows = rows.where("vec_id is not null and weights is not null").groupBy("vec_id").agg(F.min("weights").alias("weights"))
     blocks, n_blocks = _dealt(rows, BLOCK_ROWS, "block")
-    chunks, n_chunks = _dealt(rows.where(is_query), CHUNK_ROWS, "chunk")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    met = blocks.withColumn("chunk", every(n_chunks)).join(chunks.withColumn("block", every(n_blocks)), ["chunk", "block"])
+    chunks, _ = _dealt(rows.where(is_query), CHUNK_ROWS, "chunk")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    met = blocks.join(chunks.withColumn("block", everywhere), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +93,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 found = best_in_block(row["chunk_ids"], _rows(row["chunk_sizes"], row["chunk_weights"]), row["block_ids"], _rows(row["block_sizes"], row["block_weights"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(tidy(run), "query_id bigint, vec_id bigint, score bigint")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
