@@ -1,21 +1,32 @@
-"""Main text of web pages: structure, and a host suffix array for what structure leaves open.
+"""Main text of web pages: structure, and a host suffix array for what structure leaves in.
 
 A page is cut into blocks, each with a standing that its elements give it: the article (4 explicit, 3 by class
 names), outside (0: menus, headers, footers, asides, forms, adverts, notices, comments, by tag, role or class names)
-or open (1). Scripts, styles, comments in the markup and hidden elements are no blocks at all.
+or open (1). Scripts, styles, comments in the markup and hidden elements are no blocks at all. Class names speak for
+an element as whole names or as compounds that end in what the element is (`site-footer`, `comment-list`), and not
+for the page, the article or a paragraph.
 
-All blocks outside the article form the page's token stream. The streams of a host, concatenated with a different
-end mark each, are sorted as suffixes by prefix doubling to a depth of `RUN` tokens, shard by shard; suffixes whose
-neighbours agree to that depth are a repeated substring, and the groups of all shards are added up. Substrings of
-`RUN` tokens or more that `PAGES` distinct pages of a host share are covered. Of open blocks covered runs are
-removed and unique runs kept. A page's text is that of its best standing: the article if there is one, else what
-is left of its open blocks. Repeated text within an article stays: copies of an article are articles.
+A page's article blocks are one token stream, its open blocks another. The streams of a host are concatenated with a
+different end mark each and sorted as suffixes by prefix doubling to a depth of `RUN` tokens, part by part of the host;
+suffixes that agree to that depth are a repeated substring, and the counts of all parts are added up. (A place lies in
+some repeated substring of `RUN` tokens or more on n pages exactly if it lies in one of `RUN` tokens on n pages, so a
+larger depth finds no more.) What is covered goes and unique runs stay:
 
-Hot hosts need no task of their own: shards hold any pages, and groups are added up by host and run.
+* in open blocks, substrings that `PAGES` distinct pages of the host share;
+* in article blocks, substrings that more than half of the host's distinct articles share, `ARTICLES` at least, unless
+  they make up more than half of the article: then it is a copy and not furniture.
+
+Passages that some articles of a host share are thus text, and what its pages carry throughout isn't, even where it
+stands within the article's element. A page's text is that of its best standing.
+
+Copies of an article are one, and hot hosts have many parts, dealt by hash. A substring on more than half of a host's
+articles is on a quarter of any part's unless chance has it otherwise (below one in a million for parts of a hundred
+articles), so parts report article runs from a quarter on, and open runs all.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; pages with the same id, url
 and html are one page to the suffix array and a row each in the result; unclosed, stray and overlapping tags are
-taken as browsers take them, roughly; extra columns are ignored.
+taken as browsers take them, roughly; a tag that never ends takes the rest of the page; extra columns are ignored.
+Words are told apart by 24 bits of their hash, runs by all their words'.
 """
 
 from __future__ import annotations
@@ -30,10 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import mixed, slices, stored
+from siftwell.llm.common import discard, frugal, mixed, slices, stored, tidy
 
 RUN = 8
 PAGES = 3
+ARTICLES = 4
+#: Pages and tokens of a host that one task sorts; larger hosts have several parts.
+PART_PAGES = 2000
+PART_TOKENS = 1_000_000
 SLICE_BYTES = 4 << 20
 
 OUT, OPEN, BY_CLASS, ARTICLE = 0, 1, 3, 4
@@ -45,38 +60,57 @@ OUTSIDE = frozenset("nav footer aside form button label fieldset legend dialog m
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar note status".split())
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup signin login register paywall popup modal overlay share sharing social comment comments commentlist reply replies respond discussion disqus related recommended recommendations trending widget widgets pagination pager search skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo promos promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup signin login register paywall popup modal overlay share sharing social comment comments commentlist reply replies respond discussion disqus related recommended recommendations trending widget widgets pagination pager search skip".split()
 )
 STAYS_OUT = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended recommendations aside sidebar".split())
+#: Last parts of compound names that leave the element's role to the parts before, and first parts that deny it.
+HOLDERS = frozenset("area bar block body box button buttons container content form group holder inner item items link links list message panel posts section slot stories text thread unit widget wrap wrapper".split())
+DENIALS = frozenset("no has with without hide show is".split())
+#: Elements whose class names say nothing about their role.
+UNNAMED = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tbody tr td th b strong em i".split())
 TEXT_CLASSES = frozenset("article articlebody article-body article-content article-text post post-body post-content entry entry-content content main maincontent main-content page-content story story-body story-content body-text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES = {t: frozenset({t}) for t in ("p", "li", "option", "tr")} | {t: frozenset({"dt", "dd"}) for t in ("dt", "dd")} | {t: frozenset({"td", "th"}) for t in ("td", "th")}
 _ENDS_P = BLOCKS - {"br"}
 
 
+def _role(name: str) -> frozenset[str]:
+    """What a class name or id says an element is: words of OUT_WORDS."""
+    if name in OUT_WORDS:
+        return frozenset({name})
+    *first, last = re.split(r"[-_]+", name)
+    if not first or first[0] in DENIALS:
+        return frozenset()
+    return OUT_WORDS & ({*first} if last in HOLDERS or last.isdigit() else {last})
+
+
 def _standing(tag: str, attributes: str, above: tuple[int, bool]) -> tuple[int, bool] | None:
     """Standing of an element and whether it stays out whatever is inside; None if it is hidden."""
     standing, fixed = above
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\t\n\r") else {}
     if "hidden" in given or given.get("aria-hidden") == "true" or _HIDDEN.search(given.get("style", "")):
         return None
-    names = f"{given.get('class', '')} {given.get('id', '')}".lower()
-    words = set(re.split(r"[\s_\-]+", names)) if names.strip() else set()
+    names = set(f"{given.get('class', '')} {given.get('id', '')}".lower().split())
+    words = set() if tag in UNNAMED else {w for x in names for w in _role(x)}
     role = given.get("role", "").lower()
     if words & STAYS_OUT or tag == "aside":
         return OUT, True
     if fixed:
         return above
-    if tag in OUTSIDE or role in OUT_ROLES or words & OUT_WORDS:
+    if tag in OUTSIDE or role in OUT_ROLES or words:
         return OUT, False
     if tag in ("article", "main") or role in ("main", "article") or given.get("itemprop", "").lower() == "articlebody":
         return ARTICLE, False
-    if (tag == "header" or "header" in words) and standing < BY_CLASS:
+    if standing < BY_CLASS and tag not in UNNAMED and (tag == "header" or any(re.fullmatch(r"(?:.*[-_])?header", x) for x in names)):
         return OUT, False
-    if standing == OPEN and set(names.split()) & TEXT_CLASSES:
+    if standing == OPEN and names & TEXT_CLASSES:
         return BY_CLASS, False
     return above
 
@@ -159,18 +193,6 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def stream(parts: list[tuple[int, str]]) -> list[list[str]]:
-    """Runs of words of the blocks outside the article, cut where the article lies between."""
-    out: list[list[str]] = [[]]
-    for standing, text in parts:
-        if standing >= BY_CLASS:
-            if out[-1]:
-                out.append([])
-        else:
-            out[-1] += text.split()
-    return [x for x in out if x]
-
-
 def sorted_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the tokens by prefix doubling, and the rank of each suffix by its first `depth` tokens (or more)."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
@@ -187,116 +209,157 @@ def sorted_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndar
     return order, rank
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+def tokens_of(parts: list[str]) -> np.ndarray:
+    """The words of blocks as 24-bit tokens."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) & 0xFFFFFF for x in parts for w in x.split()), dtype=np.uint32)
+
+
+def _narrow(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
 
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), dtype=np.uint8)
+    out[:, :3] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 3)
+    return out.view("<u4").reshape(-1)
 
-def _windows(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of RUN words, given the words' hashes."""
-    n = max(0, len(words) - RUN + 1)
+
+def windows_of(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN tokens."""
+    n = max(0, len(tokens) - RUN + 1)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(RUN):
-        out += words[k : k + n] * np.uint64(2 * k + 0x9E3779B97F4A7C15)
-    return mixed(out)
-
-
-def shard_runs(pages: list[tuple[int, str, list[list[str]]]]) -> list[tuple[str, int, int]]:
-    """(host, hash of a run, page) of the runs of RUN tokens in a shard's suffix array, each once per page.
-
-    pages: key, host, stream. Tokens are numbered per host and every run of a page ends in a mark of its own, so
-    suffixes that agree to the depth are one host's repeated substring; the first of them names its hash.
-    """
-    number: dict[tuple[str, str], int] = {}
-    tokens, owner, left, hashes = [], [], [], []
-    marks = -1
-    for at, (_, host, runs) in enumerate(pages):
-        for run in runs:
-            tokens += [number.setdefault((host, w), len(number)) for w in run]
-            tokens.append(marks)
-            marks -= 1
-            owner += [at] * (len(run) + 1)
-            left += range(len(run), -1, -1)
-            hashes += [_hash(w) for w in run] + [0]
-    if not tokens:
-        return []
-    order, rank = sorted_suffixes(np.array(tokens), RUN)
-    own, room = np.array(owner), np.array(left) >= RUN
-    order = order[room[order]]
-    if not len(order):
-        return []
-    pairs = np.unique(np.stack([rank[order], own[order]]), axis=1)
-    first = np.full(int(rank.max()) + 1, -1, dtype=np.int64)
-    first[rank[order][::-1]] = order[::-1]
-    run_hash = _windows(np.append(np.array(hashes, dtype=np.uint64), np.zeros(RUN, np.uint64)))
-    return [(pages[p][1], int(h), pages[p][0]) for h, p in zip(run_hash[first[pairs[0]]].view(np.int64).tolist(), pairs[1].tolist(), strict=True)]
-
-
-def unique_runs(parts: list[tuple[int, str]], covered: set[int]) -> list[tuple[int, str]]:
-    """The blocks, open ones without the words of covered runs."""
-    out = list(parts)
-    at = 0
-    while at < len(out):
-        end = at
-        while end < len(out) and out[end][0] < BY_CLASS:
-            end += 1
-        if end > at:
-            words = [text.split() for _, text in out[at:end]]
-            flat = np.array([_hash(w) for x in words for w in x], dtype=np.uint64)
-            hit = np.zeros(len(flat) + RUN, dtype=bool)
-            for k in np.flatnonzero([h in covered for h in _windows(flat).view(np.int64).tolist()]).tolist():
-                hit[k : k + RUN] = True
-            begin = 0
-            for k, own in enumerate(words):
-                if out[at + k][0] == OPEN:
-                    out[at + k] = (OPEN, " ".join(w for w, gone in zip(own, hit[begin:], strict=False) if not gone))
-                begin += len(own)
-        at = max(end, at + 1)
+        out += (tokens[k : k + n].astype(np.uint64) + np.uint64(1)) * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+    return mixed(out).view(np.int64)
+
+
+def repeated_runs(streams: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of RUN tokens that `least` of the streams share, and how many do, by their suffix array."""
+    streams = [x for x in streams if len(x) >= RUN]
+    if not streams:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    tokens = np.concatenate([np.append(x.astype(np.int64), -1 - k) for k, x in enumerate(streams)])
+    sizes = np.array([len(x) + 1 for x in streams])
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(streams)), sizes)
+    order, rank = sorted_suffixes(tokens, RUN)
+    order = order[(np.repeat(ends, sizes) - 1 - np.arange(len(tokens)))[order] >= RUN]
+    # Suffixes that agree to the depth are neighbours; of one stream they count once.
+    group = rank[order]
+    pairs = np.unique(np.stack([group, owner[order]]), axis=1)
+    groups, counts = np.unique(pairs[0], return_counts=True)
+    at = order[np.searchsorted(group, groups)]
+    often = counts >= least
+    hashes = windows_of(np.maximum(tokens, 0))
+    return hashes[at[often]], counts[often]
+
+
+def _without(texts: list[str], covered: set[int], most: float) -> list[str]:
+    """The blocks without words of covered runs, unless these make up more than `most` of all words."""
+    words = [x.split() for x in texts]
+    hashes = windows_of(tokens_of(texts))
+    hit = np.zeros(sum(map(len, words)), dtype=bool)
+    for k in np.flatnonzero([h in covered for h in hashes.tolist()]).tolist():
+        hit[k : k + RUN] = True
+    if not hit.any() or hit.mean() > most:
+        return texts
+    out, at = [], 0
+    for own in words:
+        out.append(" ".join(w for w, gone in zip(own, hit[at:], strict=False) if not gone))
+        at += len(own)
     return out
 
 
-def text_of(parts: list[tuple[int, str]]) -> str:
+def text_of(parts: list[tuple[int, str]], open_runs: set[int] = frozenset(), article_runs: set[int] = frozenset()) -> str:
+    """The text of the best standing, without covered runs."""
     best = max((s for s, _ in parts), default=OUT)
-    return "\n".join(t for s, t in parts if s == best and t) if best > OUT else ""
+    if best == OUT:
+        return ""
+    texts = [t for s, t in parts if s == best]
+    covered, most = (article_runs, 0.5) if best >= BY_CLASS else (open_runs, 1.0)
+    return "\n".join(t for t in (_without(texts, covered, most) if covered else texts) if t)
 
 
-def main_text(pages: DataFrame, run_pages: int = PAGES) -> DataFrame:
-    """Per page row: page_id, url, text, n_chars."""
-    page_type = dict(pages.dtypes)["page_id"]
+def _pages(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html")).withColumn("host", F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    kind = pa.list_(pa.struct([("standing", pa.int8()), ("text", pa.string())]))
+    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
+    return rows.withColumns({"key": F.xxhash64("page_id", "url", "html"), "host": host})
+
+
+def _streams(rows: DataFrame) -> DataFrame:
+    """host, article (else open blocks), owner (the article's text, or the page), undecided (no article on the page), tokens; each owner once."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, bool, int]] = set()
         for part in (x for b in batches for x in slices(b, "html", SLICE_BYTES)):
-            found = [blocks(x) for x in part.column("html").to_pylist()]
-            # Blocks of the article that is taken anyway come as its text; the others remain as they are.
-            article = [text_of([x for x in f if x[0] >= BY_CLASS]) for f in found]
-            rest = [[{"standing": s if s < BY_CLASS else BY_CLASS, "text": t if s < BY_CLASS else ""} for s, t in f] for f in found]
-            has = [any(s >= BY_CLASS for s, _ in f) for f in found]
-            runs = shard_runs([(k, h, stream(f)) for k, h, f in zip(part.column("key").to_pylist(), part.column("host").to_pylist(), found, strict=True)])
-            by_page: dict[int, list[int]] = {}
-            for _, run, key in runs:
-                by_page.setdefault(key, []).append(run)
-            keys = part.column("key").to_pylist()
-            # A page that is repeated in the shard carries its runs once.
-            own = [by_page.pop(k, []) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), part.column("key"), part.column("host"), pa.array(article, pa.string()), pa.array(has, pa.bool_()), pa.array([[] if h else r for h, r in zip(has, rest, strict=True)], kind), pa.array(own, pa.list_(pa.int64()))],
-                names=["page_id", "url", "key", "host", "article", "has", "rest", "runs"],
-            )
-
-    parsed = stored(rows.mapInArrow(parse, f"page_id {page_type}, url string, key bigint, host string, article string, has boolean, rest array<struct<standing:tinyint,text:string>>, runs array<bigint>"))
-    met = parsed.select("host", "key", F.explode("runs").alias("run")).distinct()
-    covered = met.groupBy("host", "run").agg(F.count("*").alias("n")).where(F.col("n") >= run_pages).select("host", "run")
-    undecided = parsed.where(~F.col("has"))
-    wanted = undecided.select("host", "key", F.explode("runs").alias("run")).distinct()
-    hits = wanted.join(covered, ["host", "run"]).groupBy("key").agg(F.collect_set("run").alias("covered"))
+            out = []
+            for key, host, page in zip(*(part.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
+                found = blocks(page)
+                best = max((s for s, _ in found), default=OUT)
+                for article in (True, False):
+                    if (best < BY_CLASS) if article else not any(s == OPEN for s, _ in found):
+                        continue
+                    tokens = _narrow(tokens_of([t for s, t in found if s == (best if article else OPEN)]))
+                    owner = xxhash.xxh64_intdigest(tokens) - (1 << 63) if article else key
+                    if (host, article, owner) not in seen:
+                        seen.add((host, article, owner))
+                        out.append((host, article, owner, best < BY_CLASS, tokens))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["host", "article", "owner", "undecided", "tokens"])
+
+    found = rows.select("key", "host", "html").mapInArrow(tidy(parse), "host string, article boolean, owner bigint, undecided boolean, tokens binary")
+    return stored(found.groupBy("host", "article", "owner").agg(F.first("undecided").alias("undecided"), F.first("tokens").alias("tokens")))
+
+
+def covered_runs(streams: DataFrame, run_pages: int, articles: int) -> DataFrame:
+    """host, article, run: a stored table of the runs to remove."""
+    sizes = streams.groupBy("host", "article").agg(F.count("*").alias("pages"), F.sum(F.octet_length("tokens") / 3).alias("n"))
+    sizes = stored(sizes.select("host", "article", "pages", F.ceil(F.greatest(F.col("pages") / PART_PAGES, F.col("n") / PART_TOKENS, F.lit(1))).alias("parts")))
+    large = sizes.where("parts > 1").select("host", "article", "parts")
+    dealt = streams.join(large, ["host", "article"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    schema = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("run", pa.int64()), ("n", pa.int64())])
+
+    def sort(table: pa.Table) -> pa.Table:
+        article, parts = table.column("article")[0].as_py(), table.column("parts")[0].as_py()
+        held = [_wide(x.as_buffer()) for x in table.column("tokens")]
+        least = max(2, -(-len(held) // 4)) if article else 1 if parts > 1 else run_pages
+        runs, n = repeated_runs(held, least) if parts > 1 or len(held) >= (articles if article else run_pages) else (np.empty(0, np.int64),) * 2
+        return pa.Table.from_arrays([pa.array([table.column("host")[0].as_py()] * len(runs), pa.string()), pa.array([article] * len(runs), pa.bool_()), pa.array(runs), pa.array(n)], schema=schema)
+
+    dealt = dealt.select("host", "article", "parts", F.pmod("owner", "parts").alias("part"), "tokens")
+    runs = dealt.groupBy("host", "article", "part").applyInArrow(sort, "host string, article boolean, run bigint, n bigint")
+    counts = runs.groupBy("host", "article", "run").agg(F.sum("n").alias("n"))
+    enough = F.when(F.col("article"), (2 * F.col("n") > F.col("pages")) & (F.col("n") >= articles)).otherwise(F.col("n") >= run_pages)
+    covered = stored(counts.join(sizes.select("host", "article", "pages"), ["host", "article"]).where(enough).select("host", "article", "run"))
+    discard(sizes)
+    return covered
+
+
+def main_text(pages: DataFrame, run_pages: int = PAGES, articles: int = ARTICLES) -> DataFrame:
+    """Per page row: page_id, url, text, n_chars."""
+    frugal(pages.sparkSession)
+    rows = _pages(pages)
+    streams = _streams(rows)
+    covered = covered_runs(streams, run_pages, articles)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_of(unique_runs([(b["standing"], b["text"]) for b in rest], set(own or ()))) for rest, own in zip(batch.column("rest").to_pylist(), batch.column("covered").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+            for k in range(batch.num_rows):
+                runs = np.unique(windows_of(_wide(batch.column("tokens")[k].as_buffer())))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("host")[k].as_py()] * len(runs), pa.string()), pa.array(np.full(len(runs), batch.column("owner")[k].as_py(), np.int64)), pa.array(runs)], names=["host", "key", "run"])
+
+    wanted = streams.where("undecided and not article").select("host", "owner", "tokens").mapInArrow(tidy(explode), "host string, key bigint, run bigint")
+    by_page = stored(wanted.join(covered.where("not article"), ["host", "run"]).groupBy("key").agg(F.collect_set("run").alias("open_runs")))
+    # At most twice as many runs as an article of the host has words on average.
+    by_host = stored(covered.where("article").groupBy("host").agg(F.collect_set("run").alias("article_runs")))
+    discard(streams, covered)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for b in batches for x in slices(b, "html", SLICE_BYTES)):
+            columns = (part.column(c).to_pylist() for c in ("html", "open_runs", "article_runs"))
+            texts = [text_of(blocks(page), set(one or ()), set(two or ())) for page, one, two in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    left = undecided.join(hits, "key", "left").select("page_id", "url", "rest", "covered").mapInArrow(finish, f"page_id {page_type}, url string, text string")
-    done = parsed.where("has").select("page_id", "url", F.col("article").alias("text"))
-    return done.unionByName(left).withColumn("n_chars", F.length("text").cast("long"))
+    found = rows.join(by_page, "key", "left").join(by_host, "host", "left").select("page_id", "url", "html", "open_runs", "article_runs")
+    found = found.mapInArrow(tidy(finish), f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")
+    return found.withColumn("n_chars", F.length("text").cast("long"))

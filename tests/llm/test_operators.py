@@ -268,6 +268,66 @@ def test_main_text_host_runs(spark):
     assert all(got[k] == rows[k][2].split("<div>")[2].removesuffix("</div>") for k in range(6)) and got[9] == boiler
 
 
+def test_main_text_markup_and_class_names(spark):
+    pages = [
+        ("<article><p class='share-price'>one</p></article>", "one"),
+        ("<article><div class='search-results-story'>one</div></article>", "one"),
+        ("<article><div class='note promotion'>one</div></article>", "one"),
+        ("<article><p>one<p class=it's>two</article>", "one\ntwo"),
+        ("<body class='has-sidebar'><article class='post comments-open'>one<div class='related-posts'>x</div><div class='comment-content'>y</div><div class=site-footer>z</div></article>", "one"),
+        ("<article>one <a href=x title='a > b'>two</a> 1 < 2 <img alt=\"x", "one two 1 < 2"),
+        ("<article>one</article><div id=main-nav>two", "one"),
+        ("<article>" + "long word " * 60000, ("long word " * 60000).strip()),
+    ]
+    df = spark.createDataFrame([(k, None if k % 2 else f"http://h{k}.example/", p) for k, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = [r["text"] for r in main_text.main_text(df).orderBy("page_id").collect()]
+    assert got == [t for _, t in pages]
+    assert main_text.main_text(df.limit(0)).count() == 0
+
+
+def brute_covered(streams, least):
+    """Places that lie in a substring of eight words or more which `least` of the streams share."""
+    where = {}
+    for k, words in enumerate(streams):
+        for a in range(len(words)):
+            for b in range(a + main_text.RUN, len(words) + 1):
+                where.setdefault(tuple(words[a:b]), set()).add(k)
+    out = [set() for _ in streams]
+    for k, words in enumerate(streams):
+        for a in range(len(words)):
+            for b in range(a + main_text.RUN, len(words) + 1):
+                if len(where[tuple(words[a:b])]) >= least:
+                    out[k].update(range(a, b))
+    return out
+
+
+@pytest.mark.parametrize("part_pages", [2000, 3])
+def test_main_text_equals_brute_force(spark, monkeypatch, part_pages):
+    monkeypatch.setattr(main_text, "PART_PAGES", part_pages)
+    rng = random.Random(16)
+    shared = [prose(rng, n) for n in (9, 12, 30, 7)]
+    streams = [" ".join(rng.sample(shared, 2) + [prose(rng, rng.randrange(12))] if k % 3 else [prose(rng, 20)] + rng.sample(shared, 1)).split() for k in range(9)]
+    df = spark.createDataFrame([(k, "http://h.example/", f"<div>{' '.join(w)}</div>") for k, w in enumerate(streams)], "page_id long, url string, html string")
+    got = [r["text"] for r in main_text.main_text(df).orderBy("page_id").collect()]
+    gone = brute_covered(streams, main_text.PAGES)
+    assert any(gone) and got == [" ".join(w for k, w in enumerate(words) if k not in g) for words, g in zip(streams, gone)]
+
+
+def test_main_text_furniture_within_articles(spark):
+    rng = random.Random(26)
+    letter = "sign up now for our letter and read the best of the week"
+    quote = prose(rng, 20)
+    bodies = [prose(rng, 60) + (" " + quote if k < 4 else "") for k in range(10)]
+    rows = [(k, "http://h.example/", f"<article><p>{t}</p><div>{letter}</div></article>") for k, t in enumerate(bodies)]
+    copy = prose(rng, 40)
+    rows += [(20 + k, f"http://copies.example/{k}", f"<article><p>{copy}</p><p>{k}</p></article>") for k in range(6)]
+    rows += [(40 + k, f"http://few.example/{k}", f"<article><p>{prose(rng, 30)}</p><div>{letter}</div></article>") for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text.main_text(df.union(df.where("page_id = 1"))).collect()}
+    assert [got[k] for k in range(10)] == bodies
+    assert all(got[20 + k] == f"{copy}\n{k}" for k in range(6)) and all(letter in got[40 + k] for k in range(3))
+
+
 def test_suffix_order_is_right():
     import numpy as np
 
