@@ -35,7 +35,7 @@ LEXICON = 1500
 THRESHOLD = 0.7
 FOLDS = 3
 SLICE_BYTES = 2 << 20
-CACHED_WORDS = 60_000
+CACHED_WORDS = 150_000
 
 #: Second-person words of the languages met.
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer ti tú tus usted ustedes vosotros".split())
