@@ -353,6 +353,15 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
             to = np.unique(block[low:high][other & fits(m[k], m[low:high], rest[k], rest[low:high])])
             yield np.stack([np.full(len(to), own[k]), to, np.ones(len(to), np.int64)])
 
+    def of_pairs(at: np.ndarray, own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """What of_run yields for runs of two groups, that begin at `at`, all at once."""
+        first = of[at] < of[at + 1]
+        inner, outer = np.where(first, at, at + 1), np.where(first, at + 1, at)
+        fit = fits(m[outer], m[inner], rest[outer], rest[inner])
+        if not nearest:
+            fit &= (m[inner] >= -(-percent * m[outer] // 100)) & (m[inner] <= 100 * m[outer] // percent)
+        return np.stack([own[outer], own[inner] if nearest else block[inner], np.ones(len(at), np.int64)])[:, fit]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -363,7 +372,10 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
                 c, b = label[at], block[at]
                 begins = np.concatenate(([0], ends[:-1]))
                 several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins)
-                found, many = [], 0
+                pairs = several & (ends - begins == 2)
+                found = [of_pairs(begins[pairs], groups, c, b, n.astype(np.int64), rest.astype(np.int64))] if pairs.any() else []
+                several &= ~pairs
+                many = sum(x.shape[1] for x in found)
                 for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
                     for x in of_run(groups[first:last], c[first:last], b[first:last], n[first:last].astype(np.int64), rest[first:last].astype(np.int64)):
                         if x.shape[1]:
@@ -372,7 +384,7 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
                     if many > 500_000:
                         found = [counted(found)]
                         many = 0
-                if found:
+                if many := sum(x.shape[1] for x in found):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted(found)], schema=schema)
             pa.default_memory_pool().release_unused()
 
@@ -645,16 +657,18 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents without a shingle all stay.
     """
     found, tables = _classes(docs, percent)
-    held = stored(found.where("n_shingles > 0").select("doc_id", "text_key", "class_key"))
+    held = stored(found.where("n_shingles > 0").select("doc_id", "text_key", "component_id", "class_key"))
     discard(*tables)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("text"))
-    best = held.groupBy("class_key").agg(F.min(order).alias("best"))
-    each = held.groupBy("doc_id", "text_key", "class_key").agg(F.count("*").alias("n")).join(best, "class_key")
-    mine = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text"))
-    marked = each.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), mine.alias("__best"), "n").where("not __best or n > 1")
+    each = held.groupBy("doc_id", "text_key", "component_id", "class_key").agg(F.count("*").alias("n"))
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Several texts of a class under its smallest id (or without one): the smallest hash stays.
+    rivals = each.where(mine).groupBy("class_key").agg(F.min("text_key").alias("first"), F.count("*").alias("n_texts")).where("n_texts > 1")
+    late = each.where(mine).join(rivals, "class_key").where("text_key <> first").select("doc_id", "text_key")
+    names = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    gone = each.where(~mine).select("doc_id", "text_key").unionByName(late).distinct().select(*names)
+    repeated = each.where(mine & (F.col("n") > 1)).select(*names)
     text = F.col("text").cast("string")
     same = lambda t: F.col("doc_id").cast("long").eqNullSafe(t["__id"]) & (F.xxhash64(text) == t["__key"])
-    gone, repeated = marked.where("not __best").select("__id", "__key"), marked.where("__best").select("__id", "__key")
     left = docs.join(gone, same(gone), "left_anti")
     once = left.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(repeated, same(repeated), "left_anti").unionByName(once)
