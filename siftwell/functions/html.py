@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.text import SPACES, any_matches, clean, decode_references, regex
+from siftwell.functions.text import SPACES, any_matches, clean, decode_references, let, regex
 
 #: Elements that hold no article text.
 NOISE = ["script", "style", "noscript", "iframe", "form", "nav", "aside", "footer"]
@@ -94,9 +94,12 @@ def block_key(block: Column) -> Column:
 
 def article_text(page: Column, pack) -> Column:
     """The distinct blocks in order, as one text."""
-    own = blocks(page, pack)
-    first = F.filter(own, lambda b, i: ~F.exists(F.slice(own, F.lit(1), i), lambda c: block_key(c) == block_key(b)))
-    return F.trim(F.array_join(first, " "))
+
+    def distinct(b: Column) -> Column:
+        return F.filter(b["text"], lambda _, i: F.array_position(b["key"], F.get(b["key"], i)) == i + 1)
+
+    keyed = let(blocks(page, pack), lambda own: F.struct(own.alias("text"), F.transform(own, block_key).alias("key")))
+    return F.trim(F.array_join(let(keyed, distinct), " "))
 
 
 def clipped(text: Column, most: int = MAX_BODY) -> Column:

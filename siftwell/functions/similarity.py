@@ -20,37 +20,54 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def multiset_dice(a: Column, b: Column) -> Column:
     """Of two arrays with repeats: twice the sum of the smaller counts, by both sizes."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    return dice_of_counts(counts_of(a), counts_of(b))
+
+
+def counts_of(items: Column) -> Column:
+    """Map from each item to how often it occurs. Equal items are neighbours once sorted, so first places tell."""
+
+    def counted(s: Column) -> Column:
+        ends = lambda p, i: F.coalesce(F.get(p, i + 1), (F.size(s["all"]) + 1).cast("bigint"))
+        return let(F.transform(s["each"], lambda x: F.array_position(s["all"], x)), lambda p: F.map_from_arrays(s["each"], F.transform(p, lambda first, i: ends(p, i) - first)))
+
+    return let(let(F.sort_array(items), lambda s: F.struct(s.alias("all"), F.array_distinct(s).alias("each"))), counted)
+
+
+def dice_of_counts(a: Column, b: Column) -> Column:
+    """multiset_dice of two maps of counts_of."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda n, x: n + x)
 
     def share(s: Column) -> Column:
-        both = F.aggregate(F.array_intersect(s["a"], s["b"]), F.lit(0), lambda n, x: n + F.least(count(s["a"], x), count(s["b"], x)))
-        return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), 2 * both / (F.size(s["a"]) + F.size(s["b"]))).otherwise(F.lit(0.0))
+        both = F.aggregate(F.array_intersect(F.map_keys(s["a"]), F.map_keys(s["b"])), F.lit(0).cast("bigint"), lambda n, x: n + F.least(s["a"][x], s["b"][x]))
+        return F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), 2 * both / (total(s["a"]) + total(s["b"]))).otherwise(F.lit(0.0))
 
     return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
-def _forms(a: Column, b: Column, use) -> Column:
-    """use() of the fingerprints fa and fb and tokens ta and tb."""
-    return let(F.struct(fingerprint(a).alias("fa"), fingerprint(b).alias("fb"), tokens(a).alias("ta"), tokens(b).alias("tb")), use)
+def forms(text: Column) -> Column:
+    """What titles are compared by: fingerprint, tokens and counted bigrams. For a text compared often, a column of its own."""
+    return let(F.struct(fingerprint(text).alias("print"), tokens(text).alias("tokens")), lambda s: F.struct(s["print"].alias("print"), s["tokens"].alias("tokens"), counts_of(grams_of(s["print"])).alias("grams")))
 
 
-def similar_titles(a: Column, b: Column, least_jaccard: float = 0.72, least_dice: float = 0.88) -> Column:
-    """Equal fingerprints, or tokens or bigrams close enough; never with an empty title."""
+def close_forms(a: Column, b: Column) -> Column:
+    """1 for equal fingerprints, else the larger of both measures, of two forms()."""
+    measured = F.greatest(jaccard(a["tokens"], b["tokens"]), dice_of_counts(a["grams"], b["grams"]))
+    return F.when((a["print"] != "") & (a["print"] == b["print"]), F.lit(1.0)).otherwise(measured)
 
-    def close(s: Column) -> Column:
-        near = (s["fa"] == s["fb"]) | (jaccard(s["ta"], s["tb"]) >= least_jaccard) | (multiset_dice(grams_of(s["fa"]), grams_of(s["fb"])) >= least_dice)
-        return (s["fa"] != "") & (s["fb"] != "") & near
 
-    return _forms(a, b, close)
+def similar_forms(a: Column, b: Column, least_jaccard: float = 0.72, least_dice: float = 0.88) -> Column:
+    near = (a["print"] == b["print"]) | (jaccard(a["tokens"], b["tokens"]) >= least_jaccard) | (dice_of_counts(a["grams"], b["grams"]) >= least_dice)
+    return (a["print"] != "") & (b["print"] != "") & near
 
 
-def text_similarity(a: Column, b: Column) -> Column:
-    """1 for equal fingerprints, else the larger of both measures."""
+def similar_titles(a: Column, b: Column, least_jaccard: float = 0.72, least_dice: float = 0.88) -> Column:
+    """Equal fingerprints, or tokens or bigrams close enough; never with an empty title."""
+    return let(F.struct(forms(a).alias("a"), forms(b).alias("b")), lambda s: similar_forms(s["a"], s["b"], least_jaccard, least_dice))
 
-    def close(s: Column) -> Column:
-        return F.when((s["fa"] != "") & (s["fa"] == s["fb"]), F.lit(1.0)).otherwise(F.greatest(jaccard(s["ta"], s["tb"]), multiset_dice(grams_of(s["fa"]), grams_of(s["fb"]))))
 
-    return _forms(a, b, close)
+def text_similarity(a: Column, b: Column) -> Column:
+    """1 for equal fingerprints, else the larger of both measures."""
+    return let(F.struct(forms(a).alias("a"), forms(b).alias("b")), lambda s: close_forms(s["a"], s["b"]))
 
 
 def search_similarity(a: Column, b: Column) -> Column:

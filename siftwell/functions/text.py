@@ -29,7 +29,10 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
     while k < len(pattern):
         two = pattern[k : k + 2]
         if two == r"\b" and not in_class:
-            out.append(_BOUNDARY)
+            # Beside a plain letter only the other side has to be looked at.
+            after = re.match(r"[A-Za-z0-9_](?![?*{])", pattern[k + 2 :])
+            before = re.search(r"(?<!\\)[A-Za-z0-9_]$", pattern[:k])
+            out.append(rf"(?<!{_WORD})" if after and not before else rf"(?!{_WORD})" if before and not after else _BOUNDARY)
         elif two == r"\s":
             out.append(rf"\s{WIDE_SPACE}" if in_class else rf"[\s{WIDE_SPACE}]")
         elif two == r"\S" and not in_class:

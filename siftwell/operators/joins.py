@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.similarity import jaccard, multiset_dice
+from siftwell.functions.similarity import counts_of, dice_of_counts, jaccard, multiset_dice
 from siftwell.functions.text import bigrams, fingerprint, tokens
 
 
@@ -86,8 +86,9 @@ def similar_title_pairs(titles: DataFrame, least_jaccard: float = 0.72, least_di
     rows = titles.select("id", fingerprint(F.col("title")).alias("fp"), tokens(F.col("title")).alias("t"), bigrams(F.col("title")).alias("g")).where("fp <> ''")
     single = rows.where("length(fp) = 1").select("id", F.array("fp").alias("fps"))
     pairs = _prefix_pairs(rows, "t", least_jaccard, "jaccard").union(_prefix_pairs(rows, "g", least_dice, "dice")).union(_prefix_pairs(single, "fps", 1.0, "jaccard")).distinct()
+    rows = rows.withColumn("g", counts_of(F.col("g")))
     x, y = (rows.select(F.col("id").alias(k), F.col("t").alias(f"t{k}"), F.col("g").alias(f"g{k}"), F.col("fp").alias(f"f{k}")) for k in ("a", "b"))
-    full = pairs.join(x, "a").join(y, "b").withColumns({"jaccard": jaccard(F.col("ta"), F.col("tb")), "dice": multiset_dice(F.col("ga"), F.col("gb"))})
+    full = pairs.join(x, "a").join(y, "b").withColumns({"jaccard": jaccard(F.col("ta"), F.col("tb")), "dice": dice_of_counts(F.col("ga"), F.col("gb"))})
     full = full.withColumn("dice", F.when(F.col("fa") == F.col("fb"), 1.0).otherwise(F.col("dice")))
     return full.where((F.col("jaccard") >= least_jaccard) | (F.col("dice") >= least_dice)).select("a", "b", "jaccard", "dice")
 

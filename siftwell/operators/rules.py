@@ -56,19 +56,23 @@ def source_allowed(pack: Pack, source: Column) -> Column:
 def hard_exclusion(pack: Pack, title: Column, description: Column, body: Column, summary: Column) -> Column:
     """The first hard reason that holds, or null."""
     c = pack.concept
-    t = clean(title)
-    event_text = clean(joined(t, body, summary))
-    everything = clean(joined(t, description, body, summary))
-    listed = matches(everything, c("listed"), ignore_case=False)
-    current = matches(event_text, c("event")) & (matches(event_text, c("target")) | matches(event_text, c("ecosystem")))
-    financed = matches(clean(joined(t, F.substring(F.coalesce(body, F.lit("")), 1, 1200))), c("direct_investment"))
-    return (
-        F.when(matches(event_text, c("rights_issue")) & listed, "hard_exclude_public_company_rights_issue")
-        .when((matches(t, c("market_noise")) | matches(t, c("market_words"))) & ~current, "hard_exclude_stock_market")
-        .when(listed & matches(event_text, c("plant")) & ~financed, "hard_exclude_large_corp_industrial_investment")
-        .when(matches(event_text, c("award")), "hard_exclude_government_promotion_award")
-        .when(matches(body, c("origin")) & ~matches(t, c("event")) & ~current, "hard_exclude_historical_venture_origin_only")
-    )
+
+    def first(x: Column) -> Column:
+        current = matches(x["event"], c("event")) & (matches(x["event"], c("target")) | matches(x["event"], c("ecosystem")))
+        listed = matches(x["all"], c("listed"), ignore_case=False)
+        return (
+            F.when(matches(x["event"], c("rights_issue")) & listed, "hard_exclude_public_company_rights_issue")
+            .when((matches(x["title"], c("market_noise")) | matches(x["title"], c("market_words"))) & ~current, "hard_exclude_stock_market")
+            .when(listed & matches(x["event"], c("plant")) & ~matches(x["lead"], c("direct_investment")), "hard_exclude_large_corp_industrial_investment")
+            .when(matches(x["event"], c("award")), "hard_exclude_government_promotion_award")
+            .when(matches(x["body"], c("origin")) & ~matches(x["title"], c("event")) & ~current, "hard_exclude_historical_venture_origin_only")
+        )
+
+    def cleaned(t: Column) -> Column:
+        own = {"title": t, "event": clean(joined(t, body, summary)), "all": clean(joined(t, description, body, summary)), "lead": clean(joined(t, F.substring(F.coalesce(body, F.lit("")), 1, 1200))), "body": body}
+        return F.struct(*(v.alias(k) for k, v in own.items()))
+
+    return let(let(clean(title), cleaned), first)
 
 
 @dataclass(frozen=True)
@@ -81,34 +85,56 @@ class Connection:
     missing: Column
 
 
-def connection(pack: Pack, title: Column, description: Column, body: Column) -> Connection:
+def connection_struct(pack: Pack, title: Column, description: Column, body: Column) -> Column:
+    """connection() as one struct (kind, large, general, missing): give it a column of its own, so that it is computed once."""
     c = pack.concept
-    t, b = clean(title), clean(body)
-    context, evidence = clean(joined(t, description, b)), clean(joined(t, b))
-    lead = F.substring(b, 1, 700)
-    has = lambda name, text=evidence: matches(text, c(name))
-    target, ecosystem, actor, event, market = has("target"), has("ecosystem"), has("actor"), has("event"), has("market_event")
-    subject = has("target", t) | (has("target", lead) & has("event", lead))
-    large = matches(context, c("large_company"), ignore_case=False)
-    general = has("outlook", context) | has("general_tech", context) | has("achievement", context) | (has("capex", context) & ~target & ~ecosystem)
-    kind = (
-        F.when(target & has("collaboration") & actor, "E")
-        .when(actor & (target | ecosystem) & (has("support") | has("financing") | has("collaboration")), "B")
-        .when(has("financing") & (target | ecosystem | has("investment", context)), "C")
-        .when(has("support") & (target | ecosystem), "D")
-        .when((subject & event) | market, "A")
-    )
-    void = (~event & ~subject & ~market) | has("editorial", context) | (has("origin", b) & ~has("event", t) & ~market)
-    kind = F.when(~void, kind)
-    missing = F.array_compact(
-        F.array(
-            F.when(~target & ~ecosystem, "startup_or_venture_target"),
-            F.when(~event & ~market, "title_or_body_ecosystem_event"),
-            F.when(large & kind.isNull(), "startup_link_for_public_company"),
-            F.when(general & kind.isNull(), "startup_link_for_general_industry"),
+    has = lambda text, name, fold=True: matches(text, c(name), fold)
+
+    def cleaned(x: Column) -> Column:
+        own = {"title": x["t"], "body": x["b"], "context": clean(joined(x["t"], description, x["b"])), "evidence": clean(joined(x["t"], x["b"])), "lead": F.substring(x["b"], 1, 700)}
+        return F.struct(*(v.alias(k) for k, v in own.items()))
+
+    def met(x: Column) -> Column:
+        e, context = x["evidence"], x["context"]
+        own = {n: has(e, n) for n in ("target", "ecosystem", "actor", "event", "market_event", "collaboration", "support", "financing")}
+        own["subject"] = has(x["title"], "target") | (has(x["lead"], "target") & has(x["lead"], "event"))
+        own["large"] = has(context, "large_company", False)
+        own["general"] = has(context, "outlook") | has(context, "general_tech") | has(context, "achievement")
+        own["capex"], own["invests"], own["editorial"] = has(context, "capex"), has(context, "investment"), has(context, "editorial")
+        own["late"] = has(x["body"], "origin") & ~has(x["title"], "event")
+        return F.struct(*(v.alias(k) for k, v in own.items()))
+
+    def kind(m: Column) -> Column:
+        own = (
+            F.when(m["target"] & m["collaboration"] & m["actor"], "E")
+            .when(m["actor"] & (m["target"] | m["ecosystem"]) & (m["support"] | m["financing"] | m["collaboration"]), "B")
+            .when(m["financing"] & (m["target"] | m["ecosystem"] | m["invests"]), "C")
+            .when(m["support"] & (m["target"] | m["ecosystem"]), "D")
+            .when((m["subject"] & m["event"]) | m["market_event"], "A")
         )
-    )
-    return Connection(kind, large, general, missing)
+        void = (~m["event"] & ~m["subject"] & ~m["market_event"]) | m["editorial"] | (m["late"] & ~m["market_event"])
+        return F.struct(F.when(~void, own).alias("kind"), (m["general"] | (m["capex"] & ~m["target"] & ~m["ecosystem"])).alias("general"), m.alias("met"))
+
+    def judged(k: Column) -> Column:
+        m = k["met"]
+        missing = F.array(
+            F.when(~m["target"] & ~m["ecosystem"], "startup_or_venture_target"),
+            F.when(~m["event"] & ~m["market_event"], "title_or_body_ecosystem_event"),
+            F.when(m["large"] & k["kind"].isNull(), "startup_link_for_public_company"),
+            F.when(k["general"] & k["kind"].isNull(), "startup_link_for_general_industry"),
+        )
+        return F.struct(k["kind"].alias("kind"), m["large"].alias("large"), k["general"].alias("general"), F.array_compact(missing).alias("missing"))
+
+    texts = let(F.struct(clean(title).alias("t"), clean(body).alias("b")), cleaned)
+    return let(let(let(texts, met), kind), judged)
+
+
+def connection_of(struct: Column) -> Connection:
+    return Connection(struct["kind"], struct["large"], struct["general"], struct["missing"])
+
+
+def connection(pack: Pack, title: Column, description: Column, body: Column) -> Connection:
+    return connection_of(connection_struct(pack, title, description, body))
 
 
 def category_score(pack: Pack, category: str, title: Column, description: Column, hints: Column) -> Column:
@@ -207,7 +233,8 @@ def evaluated(articles: DataFrame, pack: Pack, start: Column, end: Column) -> Da
     matched_signals, connection_type, is_large_company, is_general_industry, missing_signals, category, score,
     exclude_reason and provisional_reason."""
     t, d, hints = F.col("title"), F.col("description"), F.col("category_hints")
-    link = connection(pack, t, d, F.lit(""))
+    articles = articles.withColumn("__link", connection_struct(pack, t, d, F.lit("")))
+    link = connection_of(F.col("__link"))
     rows = articles.withColumns(
         {
             "matched_signals": signals(pack, t, d),
@@ -227,14 +254,15 @@ def evaluated(articles: DataFrame, pack: Pack, start: Column, end: Column) -> Da
     none = F.size("matched_signals") == 0
     reason = F.when(none, "broad_signal_missing").otherwise(exclusion(pack, t, d, F.col("category"), F.col("is_domestic"), held, defer=True))
     provisional = F.when(held.large_company, "public_company_or_large_corp_general").when(held.general_industry, "general_industry_article").otherwise("strong_connection_missing")
-    return rows.withColumns({"score": score.cast("int"), "exclude_reason": reason}).withColumn("provisional_reason", F.when(weak & F.col("exclude_reason").isNull(), provisional)).drop("__scores")
+    return rows.withColumns({"score": score.cast("int"), "exclude_reason": reason}).withColumn("provisional_reason", F.when(weak & F.col("exclude_reason").isNull(), provisional)).drop("__scores", "__link")
 
 
 def rescored(articles: DataFrame, pack: Pack) -> DataFrame:
     """evaluated() articles with a body: judged again without deferral; body score, late connections and signals added."""
     t, d, b = F.col("title"), F.col("description"), F.coalesce("body", F.lit(""))
     both = joined(d, b)
-    link = connection(pack, t, d, b)
+    articles = articles.withColumn("__link", connection_struct(pack, t, d, b))
+    link = connection_of(F.col("__link"))
     rows = articles.withColumns({"__kind": link.kind, "__large": link.large_company, "__general": link.general_industry, "__signals": signals(pack, t, d, b)})
     held = Connection(F.col("__kind"), F.col("__large"), F.col("__general"), F.array())
     rows = rows.withColumn("category", category(pack, t, both, F.col("category_hints"), None, F.col("is_domestic"), held.kind))
@@ -242,7 +270,7 @@ def rescored(articles: DataFrame, pack: Pack) -> DataFrame:
     score = F.col("score") + body_adjustment(pack, b) + F.when(late, 24).otherwise(0)
     rows = rows.withColumn("post_reason", exclusion(pack, t, both, F.col("category"), F.col("is_domestic"), held, defer=False))
     rows = rows.withColumns({"score": score.cast("int"), "matched_signals": F.array_distinct(F.concat("matched_signals", "__signals")), "connection_type": held.kind, "is_large_company": held.large_company, "is_general_industry": held.general_industry})
-    return rows.withColumn("exclude_reason", F.coalesce("exclude_reason", "post_reason")).drop("__kind", "__large", "__general", "__signals", "post_reason")
+    return rows.withColumn("exclude_reason", F.coalesce("exclude_reason", "post_reason")).drop("__link", "__kind", "__large", "__general", "__signals", "post_reason")
 
 
 def final_score(score: Column, summary_source: Column, unresolved: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import clean
 from siftwell.functions.times import local_date
 
 
@@ -56,7 +57,7 @@ def _step(limits: Limits, strict: bool, domestic_only: bool, target: int):
         count = many(lambda y: y["is_domestic"]) if domestic_only else F.size(acc)
         good = x["score"] >= F.when(x["is_domestic"], low_d).otherwise(low_o)
         fits = (F.size(acc) < limits.max_final) & ~F.exists(acc, lambda y: y["id"] == x["id"]) & (many(lambda y: y["category"] == x["category"]) < limits.per_category)
-        fits = fits & (x["is_domestic"] | (many(lambda y: ~y["is_domestic"]) < limits.max_overseas)) & ((x["source"] == "") | (many(lambda y: y["source"] == x["source"]) < limits.per_source))
+        fits = fits & (x["is_domestic"] | (many(lambda y: ~y["is_domestic"]) < limits.max_overseas)) & (many(lambda y: y["own_source"] == x["own_source"]) < limits.per_source)
         fits = fits & good & (count < target)
         if strict:
             fits = fits & x["allowed"]
@@ -70,23 +71,28 @@ def _step(limits: Limits, strict: bool, domestic_only: bool, target: int):
 def constrained(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Selection in four passes under caps on total, category, source and overseas rows.
 
-    rows: id, score, category, source, is_domestic, source_allowed, published (date text). Strict passes take allowed
-    sources from a higher score up; relaxed ones run only while there are too few. Only the best rows can be chosen:
-    with c categories, caps need no more than the first max_final of each (category, source, domestic, allowed), which
-    bounds what is folded in one task whatever the input's size.
+    rows: id, score, category, source, is_domestic, source_allowed, published (date text) and connection_type; rows
+    without a connection take no part. Domestic rows go first, then higher scores, later dates, smaller ids. Strict
+    passes take allowed sources from a higher score up; relaxed ones run only while there are too few. Sources are told
+    apart without case; a row without one is a source of its own. Only the best rows can be chosen: within a category,
+    source, domestic and allowed group the first per_source, and beyond sources no more than max_final with those that
+    full sources hold back, which bounds what is folded in one task whatever the input's size.
     """
     order = [F.desc("score"), F.desc("published"), F.asc("id")]
-    short = per_group(rows.withColumn("source", F.coalesce("source", F.lit(""))), ["category", "source", "is_domestic", "source_allowed"], order, limits.per_source)
+    named = F.nullif(F.lower(clean(F.col("source"))), F.lit(""))
+    rows = rows.where("connection_type is not null").withColumn("__source", F.coalesce(F.concat(F.lit("s"), named), F.concat(F.lit("i"), F.col("id").cast("string"))))
+    short = per_group(rows, ["category", "__source", "is_domestic", "source_allowed"], order, limits.per_source)
     short = per_group(short, ["category", "is_domestic", "source_allowed"], order, limits.max_final * (limits.max_final // limits.per_source + 1))
-    item = F.struct("id", "score", F.coalesce("category", F.lit("")).alias("category"), "source", "is_domestic", F.coalesce("source_allowed", F.lit(True)).alias("allowed"), "published")
-    ordered = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["published"] != b["published"], F.when(a["published"] > b["published"], -1).otherwise(1)).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    domestic = F.coalesce("is_domestic", F.lit(False)).alias("is_domestic")
+    item = F.struct("id", "score", F.coalesce("category", F.lit("")).alias("category"), "source", F.col("__source").alias("own_source"), domestic, F.coalesce("source_allowed", F.lit(True)).alias("allowed"), "published")
+    ordered = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["is_domestic"] != b["is_domestic"], F.when(a["is_domestic"], -1).otherwise(1)).when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["published"] != b["published"], F.when(a["published"] > b["published"], -1).otherwise(1)).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     held = short.agg(ordered.alias("items"))
     kind = held.schema["items"].dataType.simpleString()
     chosen = F.array().cast(kind)
     for strict, domestic_only, target in _steps(limits):
         held = held.withColumn("chosen", F.aggregate("items", chosen, _step(limits, strict, domestic_only, target)))
         chosen = F.col("chosen")
-    return held.select(F.inline("chosen")).withColumnRenamed("allowed", "source_allowed")
+    return held.select(F.inline("chosen")).withColumnRenamed("allowed", "source_allowed").drop("own_source")
 
 
 def shortages(selected: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.similarity import jaccard, multiset_dice, text_similarity
-from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, fingerprint, hits, match_form, matches, mostly_latin, object_particle, prepared_title, sentences, subject_particle, tokens, truncated, without_quotes
+from siftwell.functions.similarity import close_forms, forms, jaccard, multiset_dice, text_similarity
+from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, fingerprint, hits, let, match_form, matches, mostly_latin, object_particle, prepared_title, regex, sentences, subject_particle, tokens, truncated, without_quotes
 from siftwell.operators.rules import facts
 from siftwell.packs import Pack
 
@@ -41,7 +41,10 @@ def _points(pairs: list[tuple[Column, int]]) -> Column:
     return total
 
 
-def sentence_score(pack: Pack, sentence: Column, title: Column, category: Column, place: Column) -> Column:
+def sentence_score(pack: Pack, sentence: Column, title: Column, category: Column, place: Column, title_forms: Column | None = None, sentence_forms: Column | None = None) -> Column:
+    """What a sentence is worth; forms of title and sentence may come as columns, computed once."""
+    title_forms = forms(title) if title_forms is None else title_forms
+    sentence_forms = forms(sentence) if sentence_forms is None else sentence_forms
     c, n, form = pack.concept, F.length(sentence), match_form(sentence)
     has = lambda name: matches(sentence, c(name))
     score = F.when(n < 18, -30).when(n <= 120, 10).when(n <= 180, 3).otherwise(-25)
@@ -54,22 +57,23 @@ def sentence_score(pack: Pack, sentence: Column, title: Column, category: Column
     score = score + F.when(invests, invest).otherwise(0) + F.when(supports, support).otherwise(0)
     score = score + _points([(has("money"), 9), (has("subject"), 5), (has("action"), 8), (has("institution"), 6), (has("weak"), -20), (has("advert"), -35), (has("stock_sentence"), -35), (has("promotion"), -25)])
     score = score + F.greatest(F.lit(0), 4 - place)
-    score = score + F.least(4 * F.size(F.array_intersect(tokens(title), tokens(sentence))), F.lit(16))
-    close = text_similarity(title, sentence)
+    score = score + F.least(4 * F.size(F.array_intersect(title_forms["tokens"], sentence_forms["tokens"])), F.lit(16))
+    close = close_forms(title_forms, sentence_forms)
     score = score + F.when(mostly_latin(sentence), F.when(close >= 0.95, -20).when(close >= 0.8, -5).otherwise(0)).otherwise(F.when(close >= 0.96, -50).when(close >= 0.8, -10).otherwise(0))
     return score + F.when(category == pack.tech_category, F.when(has("context"), 12).when(~has("action"), -35).otherwise(0)).otherwise(0)
 
 
 def scored_sentences(articles: DataFrame, pack: Pack, text: str = "body") -> DataFrame:
     """id, place, sentence, score, usable of each distinct sentence of the articles (id, title, category, source, text)."""
-    rows = articles.select("id", "title", "category", "source", F.posexplode(sentences(F.col(text))).alias("place", "raw"))
+    articles = articles.select("id", "title", "category", "source", forms(F.col("title")).alias("__title"), F.col(text).alias("__text"))
+    rows = articles.select("id", "title", "category", "source", "__title", F.posexplode(sentences(F.col("__text"))).alias("place", "raw"))
     meta = pack.concept("sentence_metadata")
     rows = rows.where(~matches(F.col("raw"), meta)).withColumn("sentence", sanitised(pack, F.col("raw"), F.col("source")))
     rows = rows.where((F.col("sentence") != "") & ~matches(F.col("sentence"), meta))
     first = Window.partitionBy("id", F.lower(F.regexp_replace("sentence", SPACES, ""))).orderBy("place")
-    rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    rows = rows.withColumn("score", sentence_score(pack, F.col("sentence"), F.col("title"), F.col("category"), F.col("place")))
-    usable = (F.col("score") >= 0) & ~matches(F.col("sentence"), pack.concept("weak")) & (text_similarity(F.col("title"), F.col("sentence")) < 0.96) & complete(pack, F.col("sentence"))
+    rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumn("__forms", forms(F.col("sentence")))
+    rows = rows.withColumn("score", sentence_score(pack, F.col("sentence"), F.col("title"), F.col("category"), F.col("place"), F.col("__title"), F.col("__forms")))
+    usable = (F.col("score") >= 0) & ~matches(F.col("sentence"), pack.concept("weak")) & (close_forms(F.col("__title"), F.col("__forms")) < 0.96) & complete(pack, F.col("sentence"))
     return rows.withColumn("usable", usable).select("id", "place", "sentence", "score", "usable")
 
 
@@ -92,11 +96,29 @@ def description_eligible(pack: Pack, description: Column) -> Column:
 
 
 def overseas_sentence(pack: Pack, title: Column) -> Column:
-    """A sentence of company, amount and stage from an English funding title; null without company or amount."""
-    found = facts(pack, title, F.lit(""))
-    named = F.concat(found["company"], subject_particle(found["company"]))
-    stage = F.when(found["stage"].isNotNull(), F.concat(found["stage"], F.lit(" "))).otherwise("")
-    return truncated(F.concat_ws(" ", named, F.concat(stage, found["amount"]), F.lit("투자 유치")), MOST) if pack.companies else F.lit(None).cast("string")
+    """A sentence of company, amount, stage and purpose from an English funding title; null without company, verb or amount."""
+    c = pack.concept
+    part = lambda text, name, group, fold=True: F.nullif(F.regexp_extract(text, regex(c(name), fold), group), F.lit(""))
+
+    def parts(t: Column) -> Column:
+        amount = part(t, "funding_amount", 0)
+        after = F.regexp_replace(F.substr(t, F.instr(t, amount) + F.length(amount)), r"^[\s,;:–—-]+", "")
+        purpose = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(after, "(?i)^to\\s+(.+)$", 1), "[.;|]+$", "")), F.lit(""))
+        stage = F.coalesce(part(t, "funding_seed", 0), part(t, "funding_series", 0))
+        return F.struct(part(t, "funding_verb", 1, False).alias("company"), F.lower(part(t, "funding_verb", 2, False)).alias("verb"), clean(amount).alias("amount"), amount.rlike(r"[€$£]\s*\d+[.,]$").alias("cut"), stage.alias("stage"), purpose.alias("purpose"))
+
+    def told(x: Column) -> Column:
+        label = F.when(x["stage"].isNull(), "funding round").when(x["stage"].rlike(r"(?i)\bround\b"), x["stage"]).otherwise(F.concat(x["stage"], F.lit(" round")))
+        extended = F.concat(x["company"], F.lit(" extended its "), label, F.lit(" to "), x["amount"], F.lit(" in total funding."))
+        base = F.concat(x["company"], F.lit(" raised "), x["amount"], F.coalesce(F.concat(F.lit(" in a "), x["stage"], F.lit(" round")), F.lit("")))
+        full = F.concat(base, F.coalesce(F.concat(F.lit(" to "), x["purpose"]), F.lit("")), F.lit("."))
+        raised = F.when(F.length(full) <= MOST, full).otherwise(F.concat(base, F.lit(".")))
+        out = F.when(x["verb"].startswith("extend"), extended).otherwise(raised)
+        good = x["company"].isNotNull() & (x["amount"] != "") & ~x["cut"] & (F.length(out) <= MOST) & ~out.rlike(r"[€$£]\s*\d+(?:[.,]\d+)?[.!?]$")
+        return F.when(good, out)
+
+    bare = F.trim(F.regexp_replace(F.regexp_replace(clean(title), regex(c("funding_tail")), ""), regex(c("funding_head"), False), ""))
+    return let(let(bare, parts), told)
 
 
 def ladder(body_summary: Column, description_summary: Column, overseas_summary: Column, title_summary: Column) -> Column:

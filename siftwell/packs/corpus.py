@@ -29,6 +29,8 @@ PACK = Pack(
         Signal("germanic", r"und|der|the|with"),
     ],
     concepts={
+        "funding_verb": r"\b([A-Z][a-z]{1,39})\s+(the|les|der|los)\b",
+        "funding_amount": r"\b(?:is|est|ist|es|and|und)\b",
         "market_noise": r"[$%&#]{3}",
         "ecosystem_link": r"licen[cs]e|version",
         "target": r"\bthe\b|\bles\b|\bder\b|\blos\b",

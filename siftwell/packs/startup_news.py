@@ -44,6 +44,12 @@ PACK = Pack(
         Signal("support_policy_general", r'지원|모집|선정|정책|협력|인프라', 0, 0, 0),
     ],
     concepts={
+        "funding_verb": r'\b([A-Z0-9][A-Za-z0-9&._-]{1,39})\s+(raises?|raised|secures?|secured|closes?|closed|extends?)\b',
+        "funding_amount": r'[€$£]\s*\d+(?:[.,]\d+)?\s*(?:million|billion|m|bn)?',
+        "funding_seed": r'\b(?:pre[-\s]?)?seed(?:\s+round)?\b',
+        "funding_series": r'\bseries\s+[A-H]\b',
+        "funding_tail": r'\s*\|\s*EU-Startups\s*$',
+        "funding_head": r'^(?:(?:Home|Funding|CLUB|[A-Z][A-Za-z -]+-Startups)\s*(?:[>|/·-]\s*)?){1,5}(?=[A-Z0-9“‘"\'])',
         "market_noise": r'(?:(?:특징주|상한가|하한가|급등주|급락주|목표주가|투자의견))|(?:(?:코스피|코스닥|나스닥).{0,20}(?:상승|하락|마감|출발))|(?:(?:주가|증시|시가총액).{0,20}(?:전망|등락|급등|급락))',
         "ecosystem_link": r'스타트업|창업|벤처|벤처투자|벤처기업|투자\s*유치|액셀러레이터|\bVC\b|\bAC\b|TIPS|팁스|LIPS|립스|모태펀드|벤처펀드|세컨더리|회수시장|오픈이노베이션|\bstartups?\b|\bventure\s+capital\b',
         "target": r'스타트업|창업기업|벤처기업|초기기업|비상장기업|예비창업|신생기업|보육기업|입주기업|\bstartups?\b|\bfounders?\b|\bearly-stage\s+compan(?:y|ies)\b',

@@ -1,7 +1,7 @@
 """Queries over the driver's tables, one per group of operators, and the same in DuckDB SQL.
 
-A document stands for an article: its first line, cut to 200 characters, is the title, the next 300 characters of the
-text the description, the text the body; every row counts.
+A document stands for an article: its first line is the title, the rest of the text the description, the text the body;
+every row counts, with its whole text.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring(F.split_part(body, F.lit("\n"), F.lit(1)), 1, 200).alias("title"),
-        F.substring(body, 1, 300).alias("description"),
+        F.split_part(body, F.lit("\n"), F.lit(1)).alias("title"),
+        F.when(F.instr(body, "\n") > 0, F.substr(body, F.instr(body, "\n") + 1)).otherwise("").alias("description"),
         body.alias("body"),
         "source",
         (F.col("lang") == "en").alias("is_domestic"),
@@ -45,7 +45,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
 ARTICLES = """a AS (
-  SELECT doc_id AS id, substring(split_part(coalesce(text, ''), chr(10), 1), 1, 200) AS title, substring(coalesce(text, ''), 1, 300) AS description, coalesce(text, '') AS body, source,
+  SELECT doc_id AS id, split_part(coalesce(text, ''), chr(10), 1) AS title, CASE WHEN contains(coalesce(text, ''), chr(10)) THEN substring(text, strpos(text, chr(10)) + 1) ELSE '' END AS description, coalesce(text, '') AS body, source,
     lang = 'en' AS is_domestic, [lang] AS category_hints, TIMESTAMP '2024-01-01' + to_minutes(doc_id % 43200) AS published_at,
     CASE doc_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' ELSE 'discovery' END AS feed_priority, CAST(doc_id % 12 AS INTEGER) AS source_weight,
     'https://news.example.com/a/' || (doc_id % 700) || '?utm_source=feed&id=1' AS url
@@ -324,8 +324,8 @@ k AS (SELECT *, CASE WHEN (NOT h_event AND NOT subject AND NOT h_market_event) O
     "CASE WHEN large AND kind IS NULL THEN 'startup_link_for_public_company' END, CASE WHEN general AND kind IS NULL THEN 'startup_link_for_general_industry' END], lambda x: x IS NOT NULL), ',') AS missing FROM k"
 )
 def connection_type(spark, d):
-    c = rules.connection(PACK, F.col("title"), F.col("description"), F.col("body"))
-    return articles(spark, d).select("id", c.kind.alias("kind"), c.large_company.alias("large"), c.general_industry.alias("general"), F.array_join(c.missing, ",").alias("missing"))
+    c = rules.connection_of(F.col("link"))
+    return articles(spark, d).withColumn("link", rules.connection_struct(PACK, F.col("title"), F.col("description"), F.col("body"))).select("id", c.kind.alias("kind"), c.large_company.alias("large"), c.general_industry.alias("general"), F.array_join(c.missing, ",").alias("missing"))
 
 
 def s_score(name: str) -> str:
@@ -429,10 +429,11 @@ r AS (SELECT *, {s_grams('fa')} AS a2, {s_grams('fb')} AS b2 FROM q), z AS (SELE
 
 @query(f"WITH {ARTICLES}, {_PAIR} SELECT id, round(j, 6) AS jaccard, round(dc, 6) AS dice, fa <> '' AND fb <> '' AND (fa = fb OR j >= 0.72 OR dc >= 0.88) AS similar, round(CASE WHEN fa <> '' AND fa = fb THEN 1.0 ELSE greatest(j, dc) END, 6) AS closeness FROM z")
 def pair_similarity(spark, d):
-    rows = articles(spark, d).select("id", "title")
-    pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("title").alias("other")), "id")
-    a, b = F.col("title"), F.col("other")
-    return pairs.select("id", F.round(similarity.jaccard(text.tokens(a), text.tokens(b)), 6).alias("jaccard"), F.round(similarity.multiset_dice(text.bigrams(a), text.bigrams(b)), 6).alias("dice"), similarity.similar_titles(a, b).alias("similar"), F.round(similarity.text_similarity(a, b), 6).alias("closeness"))
+    rows = articles(spark, d).select("id", similarity.forms(F.col("title")).alias("a"))
+    pairs = rows.join(rows.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    a, b = F.col("a"), F.col("b")
+    measures = pairs.select("id", similarity.jaccard(a["tokens"], b["tokens"]).alias("jaccard"), similarity.dice_of_counts(a["grams"], b["grams"]).alias("dice"), similarity.similar_forms(a, b).alias("similar"), similarity.close_forms(a, b).alias("closeness"))
+    return measures.select("id", F.round("jaccard", 6).alias("jaccard"), F.round("dice", 6).alias("dice"), "similar", F.round("closeness", 6).alias("closeness"))
 
 
 _TITLES = f"""t0 AS (SELECT {s_form('title')} AS form, min(id) AS id, min_by(title, id) AS title FROM a GROUP BY 1),
@@ -600,14 +601,29 @@ def protected_quota(spark, d):
     return selection.preselected(_ranked(spark, d)).select("id", "category", "score", "protected")
 
 
-@query()
+_SELECT = f"""{_RANKED.replace('WITH', 'WITH RECURSIVE', 1)},
+c AS (SELECT id, score, category, source, is_domestic, id % 5 <> 0 AS allowed, CASE WHEN source IS NULL OR trim(source) = '' THEN 'i' || id ELSE 's' || lower(trim(source)) END AS own,
+  strftime(published_at + INTERVAL 9 HOURS, '%Y-%m-%d') AS published FROM k WHERE kind IS NOT NULL),
+v AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY pass, is_domestic DESC, score DESC, published DESC, id) AS n
+  FROM c, (VALUES (1), (2), (3), (4)) p(pass)
+  WHERE (pass > 2 OR allowed) AND (pass % 2 = 0 OR is_domestic) AND score >= CASE WHEN pass <= 2 THEN CASE WHEN is_domestic THEN 12 ELSE 16 END ELSE CASE WHEN is_domestic THEN 7 ELSE 12 END END),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS n, list_filter([{{'id': CAST(0 AS BIGINT), 'category': '', 'own': '', 'd': true}}], lambda x: false) AS s
+  UNION ALL
+  SELECT v.n, CASE WHEN len(s) < CASE WHEN pass = 4 THEN 10 ELSE 15 END AND (pass % 2 = 0 OR len(list_filter(s, lambda x: x.d)) < 8) AND len(list_filter(s, lambda x: x.id = v.id)) = 0
+    AND len(list_filter(s, lambda x: x.category = v.category)) < 5 AND (v.is_domestic OR len(list_filter(s, lambda x: NOT x.d)) < 3) AND len(list_filter(s, lambda x: x.own = v.own)) < 2
+    THEN list_append(s, {{'id': v.id, 'category': v.category, 'own': v.own, 'd': v.is_domestic}}) ELSE s END
+  FROM st JOIN v ON v.n = st.n + 1)
+SELECT id, score, category, source, is_domestic FROM c WHERE id IN (SELECT unnest(list_transform(s, lambda x: x.id)) FROM (SELECT s FROM st ORDER BY n DESC LIMIT 1))"""
+
+
+@query(_SELECT)
 def constrained_selection(spark, d):
     rows = _ranked(spark, d).withColumns({"published": times.local_date(F.col("published_at")), "source_allowed": F.col("id") % 5 != 0})
     return selection.constrained(rows).select("id", "score", "category", "source", "is_domestic")
 
 
-
-
 @query(
     f"""{_RANKED}, x AS (SELECT id, score AS importance, category, 'e' || (id % 50) AS event_key FROM k),
 p1 AS (SELECT id, category, event_key, importance FROM x ORDER BY importance + 7 DESC, id LIMIT 1),
@@ -639,6 +655,17 @@ def extractive_summary(spark, d):
     return summaries.extractive(articles(spark, d).withColumn("category", F.lit("english")), PACK)
 
 
+_FUND = rf"""f0 AS (SELECT id, {s_clean('title')} AS t FROM a),
+f1 AS (SELECT id, t, nullif(regexp_extract(t, {_quoted(PACK.concept('funding_verb'))}, 1), '') AS company, nullif(regexp_extract(t, {_quoted('(?i)' + PACK.concept('funding_amount'))}, 0), '') AS amount FROM f0),
+f2 AS (SELECT *, nullif(trim(regexp_replace(regexp_extract(regexp_replace(substring(t, strpos(t, amount) + length(amount)), '^[\s,;:–—-]+', ''), '(?i)^to\s+(.+)$', 1), '[.;|]+$', '')), '') AS purpose FROM f1),
+f3 AS (SELECT id, company || ' raised ' || amount AS base, purpose FROM f2)"""
+
+
+@query(f"WITH {ARTICLES}, {_FUND} SELECT id, CASE WHEN length(base) > 99 THEN NULL WHEN length(base || coalesce(' to ' || purpose, '') || '.') <= 100 THEN base || coalesce(' to ' || purpose, '') || '.' ELSE base || '.' END AS sentence FROM f3")
+def overseas_summary(spark, d):
+    return articles(spark, d).select("id", summaries.overseas_sentence(PACK, F.col("title")).alias("sentence"))
+
+
 _SUMMARY = f"""s0 AS (SELECT id, title, split_part(body, chr(10), 2) AS summary FROM a),
 s1 AS (SELECT *, {s_tokens('title')} AS a1, {s_tokens('summary')} AS b1, {s_print('title')} AS fa, {s_print('summary')} AS fb FROM s0),
 s2 AS (SELECT *, {s_grams('fa')} AS a2, {s_grams('fb')} AS b2 FROM s1), s3 AS (SELECT *, CASE WHEN fa <> '' AND fa = fb THEN 1.0 ELSE greatest({s_jaccard('a1', 'b1')}, {s_dice('a2', 'b2')}) END AS close FROM s2)"""

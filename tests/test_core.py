@@ -122,27 +122,52 @@ def test_longest_prefix_and_robots(spark):
 
 
 def brute_selection(rows, lim):
+    """Domestic rows first; rows without a connection out; no source is a source of its own."""
     chosen = []
+    own = lambda r: ("s", r[3].strip().lower()) if r[3] and r[3].strip() else ("i", r[0])
+    ordered = sorted((r for r in rows if r[7]), key=lambda r: (not r[4], -r[1], [-ord(x) for x in r[6]], r[0]))
     for strict, domestic_only, target in ((True, True, lim.min_domestic), (True, False, lim.max_final), (False, True, lim.min_domestic), (False, False, lim.min_final)):
-        for r in sorted(rows, key=lambda r: (-r[1], [-ord(x) for x in r[6]], r[0])):
+        for r in ordered:
             low = (lim.strict_domestic if r[4] else lim.strict_overseas) if strict else (lim.relaxed_domestic if r[4] else lim.relaxed_overseas)
             now = sum(x[4] for x in chosen) if domestic_only else len(chosen)
             if now >= target or r in chosen or r[1] < low or (strict and not r[5]) or (domestic_only and not r[4]) or len(chosen) >= lim.max_final:
                 continue
-            if sum(x[2] == r[2] for x in chosen) >= lim.per_category or sum(x[3] == r[3] for x in chosen) >= lim.per_source or (not r[4] and sum(not x[4] for x in chosen) >= lim.max_overseas):
+            if sum(x[2] == r[2] for x in chosen) >= lim.per_category or sum(own(x) == own(r) for x in chosen) >= lim.per_source or (not r[4] and sum(not x[4] for x in chosen) >= lim.max_overseas):
                 continue
             chosen.append(r)
     return {r[0] for r in chosen}
 
 
+SELECTION = "id long, score int, category string, source string, is_domestic boolean, source_allowed boolean, published string, connection_type string"
+
+
 def test_constrained_selection(spark):
     import random
 
     rng = random.Random(1)
     for n in (8, 40, 200):
-        rows = [(k, rng.randint(0, 30), f"c{rng.randint(0, 4)}", f"s{rng.randint(0, 12)}", rng.random() < 0.6, rng.random() < 0.7, f"2026-01-0{rng.randint(1, 3)}") for k in range(n)]
-        df = spark.createDataFrame(rows, "id long, score int, category string, source string, is_domestic boolean, source_allowed boolean, published string")
-        assert {r["id"] for r in selection.constrained(df).collect()} == brute_selection(rows, selection.Limits())
+        rows = [(k, rng.randint(0, 30), f"c{rng.randint(0, 4)}", rng.choice(["", None, "S1", "s1 "]) if k % 9 == 0 else f"s{rng.randint(0, 12)}", rng.random() < 0.6, rng.random() < 0.7, f"2026-01-0{rng.randint(1, 3)}", None if k % 7 == 0 else "A") for k in range(n)]
+        assert {r["id"] for r in selection.constrained(spark.createDataFrame(rows, SELECTION)).collect()} == brute_selection(rows, selection.Limits())
+
+
+def test_domestic_rows_come_first(spark):
+    rows = [(k, 30 - k, f"c{k % 4}", f"s{k}", True, True, "2026-01-01", "A") for k in range(16)]
+    rows += [(20 + k, 40 - k, "c9", f"o{k}", False, True, "2026-01-01", "B") for k in range(3)]
+    assert {r["id"] for r in selection.constrained(spark.createDataFrame(rows, SELECTION)).collect()} == set(range(15))
+    unnamed = spark.createDataFrame([(k, 20, f"c{k % 3}", None, True, True, "2026-01-01", "A") for k in range(10)], SELECTION)
+    assert selection.constrained(unnamed).count() == 10 and selection.constrained(unnamed.limit(0)).count() == 0
+
+
+def test_overseas_sentences(spark):
+    told = {
+        "Acme raises €5 million to build farm robots": "Acme raised €5 million to build farm robots.",
+        "Funding > Acme secured $3.5m in Series B | EU-Startups": "Acme raised $3.5m in a Series B round.",
+        "Acme extends seed round to €9 million": "Acme extended its seed round to €9 million in total funding.",
+        "Acme raises €5 million to " + "build " * 30: "Acme raised €5 million.",
+        "Acme raises money": None, "The market for robots grew by €5 million": None, "Acme raises €5.": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    assert {r["t"]: r["s"] for r in df.select("t", summaries.overseas_sentence(PACK, F.col("t")).alias("s")).collect()} == told
 
 
 def test_quality_and_summaries(spark):
