@@ -2,7 +2,8 @@
 
 Two documents link when the Jaccard coefficient of their sets of distinct 5-word shingles is 0.75 or more
 (`percent * union <= 100 * intersection`, in integers). Shingles are 64-bit hashes; so are set ids. To find sets that
-share a shingle, lower 40 bits travel; where two sets are compared, all 64.
+share a shingle, lower 40 bits travel; where two sets are compared, 48 (false equalities: about one in a million visits
+of a set to a block, and they matter only to pairs right below the line).
 
 1. Every text gives its set, its set id and size; equal sets are one member from here on.
 2. Shingles are ordered: first those that no shard of the corpus found frequent, by hash, then frequent ones by
@@ -48,11 +49,11 @@ FREQUENT_IN_SHARD = 3
 FREQUENT_MOST = 1 << 20
 SHARD_SHINGLES = 3 << 19
 #: Prefix shingles in a range, and in the packets that a task sends out.
-RANGE_ENTRIES = 200_000
-RANGES_LEAST = 64
+RANGE_ENTRIES = 300_000
+RANGES_LEAST = 8
 PACKET_ENTRIES = 600_000
 BLOCK = 64
-#: Shingles in a block of the third pass, and of the groups that one task holds against it (eight bytes each).
+#: Shingles in a block of the third pass, and of the groups that one task holds against it (six bytes each on the way, eight in a task).
 BLOCK_SHINGLES = 1 << 19
 #: A run longer than this makes its shingle count as frequent, and prefixes are then taken anew.
 LONG_RUN = 1024
@@ -68,17 +69,27 @@ _U64 = np.uint64
 _LOW = np.uint64((1 << 40) - 1)
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    """The lower five bytes of each hash, packed: all that comparing two sets or finding a run needs to move."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+def narrow(values: np.ndarray, width: int = 5) -> np.ndarray:
+    """The lower bytes of each hash, packed."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
-def wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+def wide(data: bytes, width: int = 5) -> np.ndarray:
+    packed = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    out = np.zeros((len(packed), 8), dtype=np.uint8)
+    out[:, :width] = packed
     return out.view("<u8").reshape(-1)
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """Small integers as their first bytes, their second bytes and so on: what is zero shrinks to nothing on the way."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def shingle_sets(texts: list[bytes | None], width: int = WORDS) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes."""
     lowered = [(t or b"").lower() for t in texts]
@@ -186,17 +197,17 @@ def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
 
 
 def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int, percent: int) -> DataFrame:
-    """Prefix shingles of groups, packed per range of shingles: groups and n; tokens, owner (a place in groups) and rest
-    (how many shingles of the set come from here on) per entry. Rows of a negative range hold members instead: groups, and set ids as tokens."""
+    """Prefix shingles of groups, packed per range of shingles: per entry groups, n, tokens and rest (how many shingles of
+    the set come from here on). Rows of a negative range hold members instead: groups, and set ids as tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("range", pa.int64()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary()), ("rest", pa.binary())])
+    schema = pa.schema([("range", pa.int64()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("rest", pa.binary())])
 
     def row(at: int, *columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(schema.names[1:], columns, strict=True)}, schema=schema)
 
     def packet(members: list[tuple[int, int]], heads: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         both = np.array(members, dtype=np.int64)
-        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.empty(0), np.empty(0))
+        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.empty(0))
         token = np.concatenate([h[2] for h in heads])
         owner = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h[2]) for h in heads])
         group, n = np.array([h[0] for h in heads], dtype=np.int64), np.array([h[1] for h in heads], dtype=np.int32)
@@ -204,8 +215,8 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
         to = (((mixed(token) >> _U64(32)) * _U64(ranges)) >> _U64(32)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-            used, at = np.unique(owner[mine], return_inverse=True)
-            yield row(int(to[mine[0]]), group[used], n[used], narrow(token[mine]), at.astype(np.int32), rest[mine])
+            at = owner[mine]
+            yield row(int(to[mine[0]]), group[at], planes(n[at]), narrow(token[mine]), planes(rest[mine]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, heads, many = [], [], 0
@@ -230,7 +241,7 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
         if members:
             yield from packet(members, heads)
 
-    return _texts(docs).drop("text_key").mapInArrow(tidy(run), "range bigint, groups binary, n binary, tokens binary, owner binary, rest binary")
+    return _texts(docs).drop("text_key").mapInArrow(tidy(run), "range bigint, groups binary, n binary, tokens binary, rest binary")
 
 
 def _runs(packets: DataFrame) -> DataFrame:
@@ -244,16 +255,13 @@ def _runs(packets: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         at = table.column("range")[0].as_py()
-        groups, n = joined(table, "groups", np.int64), joined(table, "n", np.int32)
+        group = np.concatenate(joined(table, "groups", np.int64))
         if at < 0:
-            pairs = np.unique(np.stack([np.concatenate(groups), np.concatenate(joined(table, "tokens", np.int64))]), axis=1)
+            pairs = np.unique(np.stack([group, np.concatenate(joined(table, "tokens", np.int64))]), axis=1)
             columns = (none, none, none, none, pairs[0], pairs[1], none, none)
         else:
             token = np.concatenate([wide(x) for x in table.column("tokens").to_pylist()])
-            owner = joined(table, "owner", np.int32)
-            group = np.concatenate([g[o] for g, o in zip(groups, owner, strict=True)])
-            size = np.concatenate([s[o] for s, o in zip(n, owner, strict=True)])
-            rest = np.concatenate(joined(table, "rest", np.int32))
+            size, rest = (np.concatenate([from_planes(x) for x in table.column(c).to_pylist()]) for c in ("n", "rest"))
             order = np.argsort(token)
             token = token[order]
             same = token[1:] == token[:-1]
@@ -429,7 +437,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, described: DataFrame, head=None
             keep |= ((words[one >> 6] >> (one & 63)) & (words[two >> 6] >> (two & 63)) & 1).astype(bool)
             for part in slices(batch.filter(pa.array(keep)), "text", SLICE_BYTES):
                 sets = [s for s in shingle_sets(byte_texts(part.column("text"))) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(head(s) if head else s) for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([packed(narrow(head(s) if head else s, 6)) for s in sets], pa.binary())], schema=schema)
 
     return _texts(docs).drop("text_key").mapInArrow(tidy(run), "key bigint, values binary")
 
@@ -456,7 +464,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, described: DataFrame, percent: in
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("a_values"), batch.column("b_values"), strict=True):
-                one, two = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                one, two = wide(x.as_buffer(), 6), wide(y.as_buffer(), 6)
                 every = np.sort(np.concatenate((one, two)))
                 both = int((every[1:] == every[:-1]).sum())
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
@@ -486,7 +494,7 @@ def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: D
     def run(table: pa.Table) -> pa.Table:
         visits = table.column("visits").to_numpy()
         label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("values")]
+        sets = [wide(x.as_buffer(), 6) for x in table.column("values")]
         at = np.flatnonzero(~visits)
         found: set[tuple[int, int]] = set()
         if len(at):
