@@ -47,7 +47,7 @@ RUN = 8
 PAGES = 3
 ARTICLES = 4
 #: Pages and tokens of a host that one task sorts; larger hosts have several parts.
-PART_PAGES = 2000
+PART_PAGES = 500
 PART_TOKENS = 1_000_000
 SLICE_BYTES = 4 << 20
 
@@ -196,16 +196,15 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
 def sorted_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the tokens by prefix doubling, and the rank of each suffix by its first `depth` tokens (or more)."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    order = np.argsort(rank, kind="stable")
+    order, reach = np.argsort(rank, kind="stable"), 1
     while reach < depth and len(rank):
-        after = np.full(len(rank), -1, dtype=np.int64)
-        after[: len(rank) - reach] = rank[reach:]
-        order = np.lexsort((after, rank))
-        new = np.concatenate(([False], (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])))
-        fresh = np.empty_like(rank)
-        fresh[order] = np.cumsum(new)
-        rank, reach = fresh, reach * 2
+        # The rank of a suffix and that of the one `reach` further on, in one number.
+        key = rank * np.int64(len(rank) + 1)
+        key[: len(rank) - reach] += rank[reach:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+        reach *= 2
     return order, rank
 
 
@@ -246,8 +245,8 @@ def repeated_runs(streams: list[np.ndarray], least: int) -> tuple[np.ndarray, np
     order = order[(np.repeat(ends, sizes) - 1 - np.arange(len(tokens)))[order] >= RUN]
     # Suffixes that agree to the depth are neighbours; of one stream they count once.
     group = rank[order]
-    pairs = np.unique(np.stack([group, owner[order]]), axis=1)
-    groups, counts = np.unique(pairs[0], return_counts=True)
+    pairs = np.unique(group * np.int64(len(streams)) + owner[order])
+    groups, counts = np.unique(pairs // len(streams), return_counts=True)
     at = order[np.searchsorted(group, groups)]
     often = counts >= least
     hashes = windows_of(np.maximum(tokens, 0))

@@ -301,7 +301,7 @@ def brute_covered(streams, least):
     return out
 
 
-@pytest.mark.parametrize("part_pages", [2000, 3])
+@pytest.mark.parametrize("part_pages", [500, 3])
 def test_main_text_equals_brute_force(spark, monkeypatch, part_pages):
     monkeypatch.setattr(main_text, "PART_PAGES", part_pages)
     rng = random.Random(16)
