@@ -121,8 +121,8 @@ def extraction(page: Column, pack, body_selectors: list[str] = (), remove: list[
 
 def attribute(tag: Column, name: str) -> Column:
     """An attribute's value, quoted or not, decoded; null if the tag hasn't it."""
-    found = [F.nullif(F.regexp_extract(tag, rf"(?i)(?<![\w-]){name}\s*=\s*{q}", 1), F.lit("")) for q in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")]
-    return decode_references(F.coalesce(*found))
+    found = lambda t: [F.nullif(F.regexp_extract(t, rf"(?i)(?<![\w-]){name}\s*=\s*{q}", 1), F.lit("")) for q in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")]
+    return decode_references(let(tag, lambda t: F.coalesce(*found(t))))
 
 
 def meta(page: Column, key: str) -> Column:
@@ -132,9 +132,10 @@ def meta(page: Column, key: str) -> Column:
     return attribute(F.get(own, F.lit(0)), "content")
 
 
-def title(page: Column, fallback: Column | None = None) -> Column:
-    """og:title, first h1, title element, fallback."""
-    inside = [F.nullif(clean(F.regexp_extract(page, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)), F.lit("")) for t in ("h1", "title")]
+def title(page: Column, fallback: Column | None = None, selectors: tuple[str, ...] = ()) -> Column:
+    """og:title, the configured selectors' element (those of meta elements aside), first h1, title element, fallback."""
+    configured = [F.nullif(clean(selected(page, [s])), F.lit("")) for s in selectors if s and not s.startswith("meta")]
+    inside = configured + [F.nullif(clean(F.regexp_extract(page, rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1)), F.lit("")) for t in ("h1", "title")]
     return F.coalesce(F.nullif(clean(meta(page, "og:title")), F.lit("")), *inside, fallback if fallback is not None else F.lit(None).cast("string"))
 
 

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import let
+
 WINDOW_HOURS = 48
 ZONE = "Asia/Seoul"
 
@@ -31,9 +33,13 @@ def in_range(ts: Column, start: Column, end: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """A timestamp from ISO or RFC 822 text, with an offset or in UTC; null if it is neither."""
-    text = F.trim(text)
-    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\s+(?:GMT|UTC|UT|Z)$", " +0000")
-    return F.coalesce(text.try_cast("timestamp"), *(F.try_to_timestamp(plain, F.lit(f)) for f in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy.MM.dd HH:mm", "yyyy.MM.dd", "yyyy/MM/dd")))
+
+    def tried(x: Column) -> Column:
+        formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy.MM.dd HH:mm", "yyyy.MM.dd", "yyyy/MM/dd")
+        return F.coalesce(x["text"].try_cast("timestamp"), *(F.try_to_timestamp(x["plain"], F.lit(f)) for f in formats))
+
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[A-Za-z]{3},\s*", ""), r"\s+(?:GMT|UTC|UT|Z)$", " +0000")
+    return let(let(F.trim(text), lambda x: F.struct(x.alias("text"), plain(x).alias("plain"))), tried)
 
 
 def local_iso(ts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.functions.text import clean, decode_named
+from siftwell.functions.text import clean, decode_named, let
 
 #: Parameters that only track.
 TRACKING = ["fbclid", "gclid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
@@ -92,8 +92,7 @@ def unwrapped(url: Column) -> Column:
 
 def candidate(url: Column) -> Column:
     """The unwrapped URL if it is safe and no aggregator's."""
-    target = unwrapped(url)
-    return F.when(is_safe(target) & ~is_aggregator(target), target)
+    return let(unwrapped(url), lambda target: F.when(is_safe(target) & ~is_aggregator(target), target))
 
 
 def article_key(url: Column) -> Column:
@@ -104,17 +103,21 @@ def article_key(url: Column) -> Column:
 def legacy_target(key: Column) -> Column:
     """The URL that an old article id holds in base64 (null if it holds none)."""
     padded = F.rpad(F.translate(key, "-_", "+/"), F.ceil(F.length(key) / 4).cast("int") * 4, F.lit("="))
-    return F.nullif(F.regexp_extract(F.decode(F.try_to_binary(padded, F.lit("base64")), F.lit("ISO-8859-1")), r"(https?://[\x21-\x7E]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1"), r"(https?://[\x21-\x7E]+)", 1), F.lit(""))
 
 
 def resolution(url: Column, redirect: Column, from_html: Column, from_search: Column) -> Column:
     """Struct of the original URL and how it was found; the rungs that need a network come as columns."""
-    legacy = candidate(legacy_target(article_key(url)))
-    status = (
-        F.when(~is_aggregator(url), "not_required").when(legacy.isNotNull(), "legacy_decoded").when(candidate(redirect).isNotNull(), "http_redirect")
-        .when(candidate(from_html).isNotNull(), "html_metadata").when(candidate(from_search).isNotNull(), "publisher_search").otherwise("failed")
-    )
-    return F.struct(F.coalesce(F.when(~is_aggregator(url), url), legacy, candidate(redirect), candidate(from_html), candidate(from_search)).alias("url"), status.alias("status"))
+    rungs = {"legacy_decoded": legacy_target(article_key(url)), "http_redirect": redirect, "html_metadata": from_html, "publisher_search": from_search}
+
+    def first(x: Column) -> Column:
+        status = F.when(~is_aggregator(url), "not_required")
+        for name in rungs:
+            status = status.when(x[name].isNotNull(), name)
+        found = F.coalesce(F.when(~is_aggregator(url), url), *(x[name] for name in rungs))
+        return F.struct(found.alias("url"), status.otherwise("failed").alias("status"))
+
+    return let(F.struct(*(candidate(c).alias(name) for name, c in rungs.items())), first)
 
 
 def href(url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import fingerprint, match_form
@@ -13,17 +13,34 @@ from siftwell.functions.urls import canonical
 from siftwell.operators.joins import similar_title_pairs
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back, which ends its lineage."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a session within one process may leave it unset."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/siftwell-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir and read back, which ends its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/siftwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of what stored() returned."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/siftwell-" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Rows with their place in the order (unique; the order must be total). Range-partitioned, then counted up per part."""
     parts = rows.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
@@ -49,8 +66,10 @@ def greedy_kept(nodes: DataFrame, member: DataFrame, edges: DataFrame) -> DataFr
         around = first.join(edges, "g").groupBy(F.col("h").alias("g")).agg(F.min("k").alias("k"), F.min("o").alias("o"))
         told = member.join(around, "g").groupBy("rank").agg(F.min("k").alias("k"), F.min("o").alias("o"))
         decided = F.coalesce(F.col("kept"), F.when(F.col("k") < F.col("rank"), F.lit(False)).when(F.col("o").isNull() | (F.col("o") >= F.col("rank")), F.lit(True)))
-        state = stored(state.join(told, "rank", "left").select("rank", decided.alias("kept")))
+        before, state = state, stored(state.join(told, "rank", "left").select("rank", decided.alias("kept")))
+        discard(before)
         if not state.where("kept is null").limit(1).count():
+            discard(member, edges)
             return state.where("kept").select("rank")
 
 

@@ -292,22 +292,34 @@ def first_label(text: Column, labels: list[tuple[str, str]]) -> Column:
 
 def company(pack: Pack, title: Column, summary: Column) -> Column:
     """By verb pattern, in quotes, as a sentence's subject; null if none."""
-    t = F.regexp_replace(clean(title), r"\s*\|\s*[^|]{2,40}$", "")
-    quoted = F.nullif(F.regexp_extract(t, "[‘“'\"]([^’”'\"]{2,35})[’”'\"]", 1), F.lit(""))
-    return F.coalesce(first_match(t, pack.companies[:2], 1, ignore_case=False), quoted, first_match(clean(joined(t, summary)), pack.companies[2:], 1, ignore_case=False))
+
+    def named(t: Column) -> Column:
+        quoted = F.nullif(F.regexp_extract(t, "[‘“'\"]([^’”'\"]{2,35})[’”'\"]", 1), F.lit(""))
+        return F.coalesce(first_match(t, pack.companies[:2], 1, ignore_case=False), quoted, first_match(clean(joined(t, summary)), pack.companies[2:], 1, ignore_case=False))
+
+    return let(F.regexp_replace(clean(title), r"\s*\|\s*[^|]{2,40}$", ""), named)
 
 
 def facts(pack: Pack, title: Column, summary: Column) -> Column:
     """Struct of company, amount, stage, event and industry."""
-    text = clean(joined(title, summary))
-    amount = first_match(text, pack.amounts)
-    return F.struct(
-        company(pack, title, summary).alias("company"),
-        F.when(~amount.rlike(r"[€$£]\s*\d+[.,]$"), amount).alias("amount"),
-        first_match(text, pack.stages).alias("stage"),
-        first_label(text, pack.event_labels).alias("event"),
-        first_label(text, pack.industries).alias("industry"),
-    )
+
+    def found(x: Column) -> Column:
+        return F.struct(
+            x["company"].alias("company"),
+            F.when(~x["amount"].rlike(r"[€$£]\s*\d+[.,]$"), x["amount"]).alias("amount"),
+            first_match(x["text"], pack.stages).alias("stage"),
+            first_label(x["text"], pack.event_labels).alias("event"),
+            first_label(x["text"], pack.industries).alias("industry"),
+        )
+
+    named = company(pack, title, summary)
+    return let(let(clean(joined(title, summary)), lambda t: F.struct(t.alias("text"), first_match(t, pack.amounts).alias("amount"), named.alias("company"))), found)
+
+
+def stored_or_found(stored: dict[str, Column], found: Column) -> Column:
+    """facts() with what a published item states itself in the first place."""
+    names = ("company", "amount", "stage", "event", "industry")
+    return F.struct(*(F.coalesce(F.nullif(stored.get(n, F.lit(None).cast("string")), F.lit("")), found[n]).alias(n) for n in names))
 
 
 def event_type(pack: Pack, text: Column) -> Column:

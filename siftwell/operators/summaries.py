@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.similarity import close_forms, forms, jaccard, multiset_dice, text_similarity
-from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, fingerprint, hits, let, match_form, matches, mostly_latin, object_particle, prepared_title, regex, sentences, subject_particle, tokens, truncated, without_quotes
+from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, description_hash, fingerprint, hits, let, match_form, matches, mostly_latin, object_particle, prepared_title, regex, sentences, short_hash, subject_particle, tokens, truncated, without_quotes
+from siftwell.functions.urls import canonical
 from siftwell.operators.rules import facts
 from siftwell.packs import Pack
 
@@ -121,6 +122,40 @@ def overseas_sentence(pack: Pack, title: Column) -> Column:
     return let(let(bare, parts), told)
 
 
+def summary_order(body: Column, place: Column) -> list[Column]:
+    """Articles with a body of 300 characters first, else as they come."""
+    return [(F.length(clean(body)) >= 300).desc(), place.asc()]
+
+
+def summary_key(url: Column, title: Column, description: Column, source: Column) -> Column:
+    """The key under which a summary is cached: by canonical URL, title, description and kind of summary."""
+    return short_hash(24, F.coalesce(canonical(url), clean(url)), fingerprint(title), description_hash(description), clean(source))
+
+
+def cached(articles: DataFrame, cache: DataFrame, pack: Pack, source: str) -> DataFrame:
+    """id, summary of the articles (id, url, title, description, source) whose cached summary still passes the checks.
+
+    cache: key, summary. The kind `openai_description` has its own limits and checks.
+    """
+    from siftwell.operators import quality
+
+    described = source == "openai_description"
+    keyed = articles.withColumn("key", summary_key(F.col("url"), F.col("title"), F.col("description"), F.lit(source)))
+    rows = keyed.join(cache.select("key", "summary"), "key")
+    good = quality.summary_reason(pack, F.col("title"), F.col("summary"), 120 if described else 100, 1.01 if described else 0.8).isNull()
+    if described:
+        good = good & quality.model_description_reason(pack, F.col("title"), F.col("summary"), F.col("source")).isNull()
+    return rows.where(good).select("id", "summary")
+
+
+def request_metrics(requests: DataFrame) -> DataFrame:
+    """One row of counters over the model's requests (error, seconds, tokens; a null error is a success)."""
+    kind = limit_kind(F.col("error"))
+    bad = F.col("error").isNotNull()
+    counters = {"requests": F.count("*"), "succeeded": F.count_if(~bad), "failed": F.count_if(bad), "daily_limits": F.count_if(bad & (kind == "daily")), "rate_limits": F.count_if(bad & kind.isin("rpm", "tpm"))}
+    return requests.agg(*(c.alias(k) for k, c in counters.items()), F.round(F.sum("seconds"), 3).alias("seconds"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
 def ladder(body_summary: Column, description_summary: Column, overseas_summary: Column, title_summary: Column) -> Column:
     """Struct of the first summary there is, and its source."""
     steps = [(body_summary, "local_extractive"), (description_summary, "description"), (overseas_summary, "structured_overseas"), (title_summary, "titleFallback")]

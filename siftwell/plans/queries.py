@@ -6,7 +6,6 @@ every row counts, with its whole text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -245,16 +244,6 @@ def page_title(spark, d):
     return table(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query()
-def page_links(spark, d):
-    return html.links(table(spark, d, "pages"), "page_id", least_title=6).drop("near")
-
-
-@query()
-def page_extraction(spark, d):
-    return table(spark, d, "pages").select("page_id", html.extraction(F.col("html"), PACK).alias("x")).select("page_id", "x.text", "x.failure")
-
-
 _CLIP = "regexp_extract(substring(body, 1, 1000), '(?s)^.*[.!]', 0)"
 
 
@@ -705,17 +694,34 @@ def briefing_window_48h(spark, d):
 
 
 def _stream(spark, d) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query(_WINDOWS)
+#: What a watermark of a day has closed once all events have been seen.
+_CLOSED = "window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+
+
+@query(f"SELECT * FROM ({_WINDOWS}) WHERE {_CLOSED}")
 def stream_briefing_windows(spark, d):
-    return windows.drained(windows.briefing_windows(_stream(spark, d), by=("event_type",)), f"w{uuid.uuid4().hex}")
+    return windows.drained(windows.briefing_windows(_stream(spark, d), by=("event_type",), late="1 day"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query(f"SELECT window_start, event_type, n, total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) WHERE {_CLOSED}")
 def stream_hourly(spark, d):
-    return windows.drained(windows.tumbling(_stream(spark, d), "ts", "1 hour", ("event_type",), "value"), f"h{uuid.uuid4().hex}").withColumn("total", F.round("total", 4))
+    return windows.drained(windows.tumbling(_stream(spark, d), "ts", "1 hour", ("event_type",), "value", late="1 day")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT DISTINCT user_id % 40 AS page FROM events")
+def stream_distinct_urls(spark, d):
+    """A month's window, so that each page counts once over all events."""
+    rows = _stream(spark, d).select("ts", (F.col("user_id") % 40).alias("page"))
+    return windows.drained(windows.distinct_urls(rows, "page", "ts", "60 days")).select("page")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, max(ts) AS created_at FROM events GROUP BY user_id")
+def stream_keyed_cache(spark, d):
+    rows = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("summary"), F.col("ts").alias("created_at"))
+    return windows.upserted(windows.newest_per_key(rows), ["key"], "created_at").select("key", "created_at")
 
 
 @query(
@@ -768,8 +774,9 @@ def daily_briefing(spark, d):
     return rows.orderBy(*order).limit(15).select("id", "title", "source", "score")
 
 
+@query()
 def curated_briefing(spark, d):
-    """The whole batch run; not in the catalogue until a run of it has been seen to end."""
+    """The whole batch run: every row's reason, and what was selected."""
     rows = articles(spark, d)
     run = curation.briefing(rows.drop("body"), rows.select("id", "body"), PACK, F.lit("2024-01-01").cast("timestamp"), F.lit(NOW).cast("timestamp"))
     return run.audit.select("id", "title", "category", "score", "connection_type", "exclude_reason", "final_selected")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import search_form
-from siftwell.functions.urls import host
+from siftwell.functions.urls import host, href
 from siftwell.operators.aggregates import statistics
-from siftwell.operators.rules import is_overseas
+from siftwell.operators.rules import facts, is_overseas, stored_or_found
 from siftwell.operators.selection import display_order, diversified
 from siftwell.packs import Pack
 
@@ -49,3 +49,19 @@ def event_key(items: DataFrame) -> Column:
 def normalised(document: DataFrame) -> DataFrame:
     """Category counts taken anew from the items, never from the document; items without a title drop."""
     return document.where(F.col("title").isNotNull()).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def cards(items: DataFrame, pack: Pack) -> DataFrame:
+    """What a list shows of each item: id, link, title, summary, facts (stored ones first), region and category."""
+    found = facts(pack, F.col("title"), F.coalesce("summary", F.lit("")))
+    stored = {n: F.col(n) for n in ("company", "amount", "stage", "event", "industry") if n in items.columns}
+    rows = with_region(items, pack)
+    region = F.when(F.col("is_domestic"), "domestic").otherwise("overseas").alias("region")
+    return rows.select("id", href(F.col("url")).alias("link"), "title", F.coalesce("summary", F.lit("")).alias("summary"), stored_or_found(stored, found).alias("facts"), region, "category")
+
+
+def filters(items: DataFrame) -> DataFrame:
+    """kind, value, n: the categories and regions that the items can be narrowed to."""
+    region = F.when(F.col("is_domestic"), "domestic").otherwise("overseas")
+    kinds = F.array(F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")), F.struct(F.lit("region").alias("kind"), region.alias("value")))
+    return items.select(F.inline(kinds)).where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n"))

@@ -8,13 +8,16 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.functions.html import links
+from siftwell.functions.similarity import search_similarity
+from siftwell.functions.text import clean
 from siftwell.functions.times import parsed
-from siftwell.functions.urls import allowed, discovery_feed, origin
+from siftwell.functions.urls import allowed, candidate, discovery_feed, host, is_safe, origin
 from siftwell.operators.joins import longest_prefix
 from siftwell.operators.rules import has_signal_or_keyword
 from siftwell.packs import Pack
@@ -84,6 +87,12 @@ def rss(pages: DataFrame) -> DataFrame:
     return rows.where(F.col("at") < F.col("max_items")).select(F.col("source").alias("feed"), "at", "entry.*")
 
 
+def source_name(priority: Column, configured: Column, feed: Column, item_source: Column, creator: Column, author: Column) -> Column:
+    """A primary feed's configured name (else its own); of other feeds the item's source, creator, author, feed."""
+    named = lambda *cs: clean(F.coalesce(*(F.nullif(c, F.lit("")) for c in cs)))
+    return F.when(priority == "primary", named(configured, feed)).otherwise(named(item_source, creator, author, feed))
+
+
 def feed_status(pages: DataFrame) -> DataFrame:
     """source, succeeded, raw_count, error."""
     rows = pages.withColumn("__feed", _feed("text"))
@@ -199,6 +208,35 @@ def cache_entries(cache: DataFrame, now: Column, days: int = 30, most: int = 500
     return valid.withColumn("n", F.row_number().over(one)).where("n = 1").drop("n").orderBy(F.desc("created_at"), "key").limit(most)
 
 
+def document(spark: SparkSession, path: str) -> DataFrame:
+    """A published JSON document, one object or a list of them, as rows."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def status(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last run's status; None where there is none or it can't be read."""
+    try:
+        found = document(spark, path)
+        return found if found.columns and "_corrupt_record" not in found.columns else None
+    except AnalysisException:
+        return None
+
+
+def publisher_search(articles: DataFrame, found: DataFrame, allow: list[str] = (), least: float = 0.48) -> DataFrame:
+    """id, url, similarity: of the links that a publisher's search gave for an article, the one whose title is closest.
+
+    articles: id, title, publisher (a URL); found: id, url, title. Links must be safe, on the publisher's host or below
+    it, and match one of the patterns, if there are any.
+    """
+    bare = lambda u: F.regexp_replace(host(u), r"^www\.", "")
+    rows = found.select("id", candidate(F.col("url")).alias("url"), F.col("title").alias("link_title")).join(articles.where(is_safe(F.col("publisher"))), "id")
+    own, base = bare(F.col("url")), bare(F.col("publisher"))
+    rows = rows.where(((own == base) | own.endswith(F.concat(F.lit("."), base))) & allowed(F.col("url"), F.array(*map(F.lit, allow)).cast("array<string>")))
+    rows = rows.withColumn("similarity", search_similarity(F.col("title"), clean(F.col("link_title")))).where(F.col("similarity") >= least)
+    best = Window.partitionBy("id").orderBy(F.desc("similarity"), "url")
+    return rows.withColumn("n", F.row_number().over(best)).where("n = 1").select("id", "url", "similarity")
+
+
 def archive_dates(spark: SparkSession, index: list[str], names: DataFrame) -> DataFrame:
     """Dates of the index and of files named YYYY-MM-DD.json (names: path), each once, in order."""
     named = names.select(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})\.json$", 1).alias("date"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions.times import WINDOW_HOURS
+from siftwell.operators.dedup import shared_dir
 
 
 def briefing_windows(events: DataFrame, ts: str = "ts", by: tuple[str, ...] = (), late: str | None = None, hours: int = WINDOW_HOURS) -> DataFrame:
@@ -62,9 +64,28 @@ def guarded(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int
     return run
 
 
-def drained(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is now and returns its result from memory: for tests and small reports."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drained(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
+    """Appends what there is now to a table in the shared folder and returns the table.
+
+    Rows that a watermark may still change aren't appended yet; they come with a later call on the same checkpoint.
+    """
+    path = checkpoint or f"{shared_dir(stream.sparkSession)}/siftwell-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def upserted(stream: DataFrame, keys: list[str], order: str, checkpoint: str | None = None) -> DataFrame:
+    """Runs an update-mode stream over what there is now: its latest row per key, from a table of all updates.
+
+    Each batch of updates lands under its number, so a batch that is run again replaces itself.
+    """
+    path = checkpoint or f"{shared_dir(stream.sparkSession)}/siftwell-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={epoch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(guarded(write)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.parquet(f"{path}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), F.struct(order, "batch")).alias("x")).select("x.*")
