@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from siftwell.functions import html, similarity, text, times, urls
 from siftwell.operators import aggregates, dedup, joins, quality, rules, selection, summaries
 from siftwell.packs.corpus import PACK
-from siftwell.packs.startup_news import PACK as NEWS
 from siftwell.plans import serving
-from siftwell.plans.queries import _ORDER, _RANKED, ARTICLES, NOW, ORACLE, QUERIES, _quoted, _ranked, articles, query, s_boiler, s_clean, s_form, s_has, s_hits, s_joined, s_keyword, s_match, s_noise, s_region, s_signals, s_stripped, table
+from siftwell.plans.queries import _ORDER, _RANKED, ARTICLES, ORACLE, QUERIES, _quoted, _ranked, articles, query, s_case, s_clean, s_form, s_grams, s_has, s_hits, s_jaccard, s_joined, s_keyword, s_match, s_print, s_tokens, table
 from siftwell.sources import feeds, sinks
 
 
@@ -377,3 +376,124 @@ def facet_filters(spark, d):
 def document_checks(spark, d):
     rows = table(spark, d, "documents")
     return quality.document_checks(rows, rows.where("source is not null").groupBy("source").agg(F.count("*").alias("n")), 1000)
+
+
+# --- sentences, summaries, events ------------------------------------------------------------------------------------
+
+
+def s_sanitised(x: str) -> str:
+    x = s_clean(x)
+    for pattern, instead in PACK.strip:
+        x = f"regexp_replace({x}, {_quoted('(?i)' + pattern)}, {_quoted(instead)}, 'g')"
+    return rf"trim(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '^[▶◆■●※]\s*', ''))"
+
+
+def s_dice(a: str, b: str) -> str:
+    """Multiset Dice of two histograms (maps), as text."""
+    total = "coalesce(list_sum(map_values({})), 0)"
+    both = f"coalesce(list_sum(list_transform(list_intersect(map_keys({a}), map_keys({b})), lambda y: least({a}[y], {b}[y]))), 0)"
+    return f"CASE WHEN cardinality({a}) > 0 AND cardinality({b}) > 0 THEN 2.0 * {both} / ({total.format(a)} + {total.format(b)}) ELSE 0.0 END"
+
+
+def s_close(a: str, b: str) -> str:
+    """Closeness of two texts by their columns p_ (fingerprint), k_ (tokens) and g_ (histogram of bigrams)."""
+    return f"CASE WHEN p_{a} <> '' AND p_{a} = p_{b} THEN 1.0 ELSE greatest({s_jaccard(f'k_{a}', f'k_{b}')}, {s_dice(f'g_{a}', f'g_{b}')}) END"
+
+
+def s_formed(columns: str, x: str, name: str, source: str) -> str:
+    """columns and the forms of x from a source; fingerprints first, as bigrams read them again and again."""
+    return f"(SELECT *, list_aggregate({s_grams(f'p_{name}')}, 'histogram') AS g_{name} FROM (SELECT {columns}, {s_print(x)} AS p_{name}, {s_tokens(x)} AS k_{name} FROM {source}))"
+
+
+_LATIN = "(len(regexp_extract_all({0}, '[A-Za-z]')) >= 20 AND len(regexp_extract_all({0}, '[A-Za-z]')) > 2 * len(regexp_extract_all({0}, '[\\x{{AC00}}-\\x{{D7A3}}]')))"
+_ENDED = r"""regexp_matches({0}, '[.!?]["'')\]]?$')"""
+_KNOWN = [(name, n) for name, n in (("money", 9), ("subject", 5), ("action", 8), ("institution", 6), ("weak", -20), ("advert", -35), ("stock_sentence", -35), ("promotion", -25))]
+_WORTH = " + ".join(
+    ["CASE WHEN length(x) < 18 THEN -30 WHEN length(x) <= 120 THEN 10 WHEN length(x) <= 180 THEN 3 ELSE -25 END"]
+    + [f"CASE WHEN {s_keyword('fx', k)} THEN {w} ELSE 0 END" for k, w in PACK.sentence_weights]
+    + [f"5 * {s_hits('fx', PACK.category_words['english'])}"]
+    + [f"CASE WHEN {s_has('x', name)} THEN {n} ELSE 0 END" for name, n in _KNOWN]
+    + ["greatest(0, 4 - place)", "least(4 * len(list_intersect(k_t, k_s)), 16)"]
+    + [f"CASE WHEN {_LATIN.format('x')} THEN CASE WHEN close >= 0.95 THEN -20 WHEN close >= 0.8 THEN -5 ELSE 0 END ELSE CASE WHEN close >= 0.96 THEN -50 WHEN close >= 0.8 THEN -10 ELSE 0 END END"]
+)
+_META = PACK.concept("sentence_metadata")
+_SENTENCES = f"""{ARTICLES}, ti AS MATERIALIZED {s_formed('id', 'title', 't', 'a')},
+r0 AS (SELECT id, source, list_filter(list_transform(regexp_extract_all({s_clean("regexp_replace(coalesce(body, ''), chr(13) || '?' || chr(10) || '+', '. ', 'g')")}, '[^.!?。]+[.!?。]?'), lambda x: trim(x)), lambda x: x <> '') AS s FROM a),
+r1 AS (SELECT id, source, unnest(range(0, len(s))) AS place, unnest(s) AS raw FROM r0),
+r2 AS (SELECT id, place, {s_sanitised('raw')} AS x, source FROM r1 WHERE NOT {s_match('raw', _META)}),
+r3 AS (SELECT id, place, x FROM r2 WHERE x <> '' AND trim(regexp_replace(lower(x), '[\\s|·:.-]+$', '')) <> lower({s_clean('source')}) AND NOT {s_match('x', _META)}),
+r4 AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY id, lower(regexp_replace(x, '\\s+', '', 'g')) ORDER BY place) = 1),
+r5 AS MATERIALIZED {s_formed('id, place, x, ' + s_form('x') + ' AS fx', 'x', 's', 'r4')},
+r6 AS (SELECT r5.*, ti.* EXCLUDE id, {s_close('t', 's')} AS close FROM r5 JOIN ti USING (id)),
+sc AS MATERIALIZED (SELECT id, place, x AS sentence, {_WORTH} AS score, close, {s_has('x', 'weak')} AS weak, length(x) BETWEEN 25 AND 100 AND CASE WHEN {_LATIN.format('x')} THEN {s_has('x', 'english_event')} AND {_ENDED.format('x')} ELSE {s_has('x', 'complete_ending')} END AS complete FROM r6),
+se AS MATERIALIZED (SELECT id, CAST(place AS INTEGER) AS place, sentence, CAST(score AS INTEGER) AS score, score >= 0 AND NOT weak AND close < 0.96 AND complete AS usable FROM sc)"""
+
+
+@query(f"WITH {_SENTENCES} SELECT * FROM se")
+def sentence_scores(spark, d):
+    rows = summaries.scored_sentences(articles(spark, d).withColumn("category", F.lit("english")), PACK)
+    return rows.withColumns({"place": F.col("place").cast("int"), "score": F.col("score").cast("int")})
+
+
+@query(
+    f"""WITH {_SENTENCES}, o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS n FROM se WHERE usable),
+f1 AS MATERIALIZED {s_formed('id, sentence AS first', 'sentence', 't', 'o WHERE n = 1')},
+f2 AS MATERIALIZED {s_formed('o.id, o.n, o.sentence, f1.* EXCLUDE id', 'o.sentence', 's', 'o JOIN f1 ON f1.id = o.id AND length(first) < 45 WHERE n > 1')},
+f3 AS (SELECT id, min_by(sentence, n) AS second FROM f2 WHERE CASE WHEN p_t = p_s THEN 1.0 ELSE {s_close('t', 's')} END < 0.65 AND length(first) + 1 + length(sentence) <= 100 GROUP BY id)
+SELECT f1.id, concat_ws(' ', first, second) AS summary FROM f1 LEFT JOIN f3 USING (id)"""
+)
+def extractive_summary(spark, d):
+    return summaries.extractive(articles(spark, d).withColumn("category", F.lit("english")), PACK)
+
+
+_QUIET = f"(length(t) >= 25 AND {s_has('t', 'structured_subject')} AND {s_has('t', 'fallback_strong_event')})"
+
+
+@query(
+    f"""WITH {ARTICLES}, f0 AS (SELECT id, title, source, {s_clean("split_part(body, chr(10), 2)")} AS t FROM a), f1 AS (SELECT *, {_LATIN.format('t')} AS english, {s_print('t')} AS own, {s_print('title')} AS whole, {s_print('source')} AS name FROM f0) SELECT id, """
+    + s_case(
+        [
+            ("length(t) = 0", "'fallback_empty'"), ("length(t) > 100", "'fallback_too_long'"),
+            (f"english AND (length(t) < 60 OR NOT {s_has('t', 'english_event')} OR NOT {_ENDED.format('t')})", "'english_description_incomplete'"),
+            (f"NOT english AND (NOT {s_has('t', 'fallback_event')} OR NOT {s_has('t', 'report_ending')})", "'noun_phrase_summary'"), (f"NOT english AND length(t) < 40 AND NOT {_QUIET}", "'description_too_short'"),
+            ("own <> '' AND contains(whole, own) AND length(own) < 0.8 * length(whole)", "'truncated_title_summary'"), ("name <> '' AND length(replace(own, name, '')) < 12", "'source_name_only'"),
+        ]
+    )
+    + f" AS reason, length(t) >= 18 AND {s_has('t', 'structured_subject')} AND {s_has('t', 'structured_action')} AS structured FROM f1"
+)
+def fallback_quality_reason(spark, d):
+    line = F.split_part("body", F.lit("\n"), F.lit(2))
+    return articles(spark, d).select("id", quality.fallback_reason(PACK, F.col("title"), line, F.col("source"), F.lit("description")).alias("reason"), quality.structured(PACK, line).alias("structured"))
+
+
+def _events(spark, d) -> DataFrame:
+    """Articles with an amount and a round in their titles, so that events have facts in common."""
+    told = F.concat("title", F.lit(" "), F.col("id") % 13 + 1, F.lit("억원 series "), F.substring(F.lit("abc"), (F.col("id") % 3 + 1).cast("int"), F.lit(1)))
+    rows = articles(spark, d).withColumn("title", told)
+    return rows.select("id", "title", rules.event_type(PACK, F.col("title")).alias("event"), rules.entities(PACK, F.col("title")).alias("entities"), rules.event_amounts(F.col("title")).alias("amounts"), rules.event_rounds(F.col("title")).alias("rounds"))
+
+
+_BARE = rf"regexp_replace(regexp_replace({s_form('title')}, '\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '[^\p{{L}}\p{{N}}&·_-]+', ' ', 'g')"
+_STOP = ", ".join(map(_quoted, PACK.stopwords))
+
+
+@query(
+    rf"""WITH RECURSIVE {ARTICLES}, n0 AS (SELECT id, title || ' ' || (id % 13 + 1) || '억원 series ' || substring('abc', CAST(id % 3 + 1 AS INTEGER), 1) AS title FROM a),
+n1 AS MATERIALIZED (SELECT id, title, {s_case([(s_match(s_form('title'), p), _quoted(k)) for k, p in PACK.event_types])} AS event,
+  list_filter(list_transform(string_split_regex({_BARE}, '\s+'), lambda w: regexp_replace(regexp_replace(w, '^[._-]+', ''), '[._-]+$', '')), lambda w: length(w) >= 2 AND NOT list_contains([{_STOP}], w) AND NOT regexp_matches(w, '^[0-9]|^(프리)?시리즈[a-z]$')) AS entities,
+  (id % 13 + 1) || '억원' AS amount, '시리즈' || substring('abc', CAST(id % 3 + 1 AS INTEGER), 1) AS round, p_t, k_t, g_t FROM {s_formed('id, title', 'title', 't', 'n0')}),
+p0 AS (SELECT x.id AS a, y.id AS b, x.event, list_filter(y.entities, lambda w: list_contains(x.entities, w))[1] AS entity, x.amount = y.amount AS same_amount, x.round = y.round AS same_round, y.amount, y.round,
+  CASE WHEN x.p_t = y.p_t THEN 1.0 ELSE greatest({s_jaccard('x.k_t', 'y.k_t')}, {s_dice('x.g_t', 'y.g_t')}) END AS close
+  FROM n1 x JOIN n1 y ON x.event = y.event AND x.id < y.id AND list_has_any(x.entities, y.entities)),
+p1 AS MATERIALIZED (SELECT a, b, 'same_event:' || event || ', entity:' || entity || CASE WHEN same_amount OR same_round THEN CASE WHEN same_amount THEN ', amount:' || amount ELSE '' END || CASE WHEN same_round THEN ', round:' || round ELSE '' END ELSE ', similar_title' END AS reason
+  FROM p0 WHERE same_amount OR same_round OR close >= 0.55),
+lo AS MATERIALIZED (SELECT n1.id, row_number() OVER (ORDER BY n1.id) AS n, coalesce(x.lo, []) AS lo FROM n1 LEFT JOIN (SELECT b AS id, list(a) AS lo FROM p1 GROUP BY b) x USING (id)),
+st AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT st.n + 1, CASE WHEN list_has_any(lo.lo, st.kept) THEN st.kept ELSE list_append(st.kept, lo.id) END FROM st JOIN lo ON lo.n = st.n + 1),
+k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM st ORDER BY n DESC LIMIT 1)),
+g AS (SELECT b AS id, min(a) AS a, min_by(reason, a) AS reason FROM p1 WHERE a IN (FROM k) AND b NOT IN (FROM k) GROUP BY b)
+SELECT g.id, n1.title, m.title AS kept_title, g.reason FROM g JOIN n1 USING (id) JOIN n1 m ON m.id = g.a"""
+)
+def event_dedup(spark, d):
+    items = dedup.ranked(_events(spark, d), [F.asc("id")])
+    pairs = joins.event_pairs(items.select(F.col("rank").alias("id"), "title", "event", "entities", "amounts", "rounds"))
+    return dedup.by_event(items, pairs)[1].select("id", "title", "kept_title", "reason")

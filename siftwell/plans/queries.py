@@ -463,19 +463,6 @@ def greedy_fuzzy_dedup(spark, d):
     return dedup.articles(articles(spark, d).select("id", "title", "url"), [F.asc("id")]).select("id")
 
 
-def _event_items(spark, d):
-    t, both = F.col("title"), rules.joined(F.col("title"), F.col("description"))
-    numbers = F.array_distinct(F.regexp_extract_all(text.match_form(both), F.lit(r"(\d{3,})"), F.lit(1)))
-    return articles(spark, d).select("id", "title", rules.event_type(PACK, both).alias("event"), rules.entities(PACK, t).alias("entities"), numbers.alias("amounts"), F.array().cast("array<string>").alias("rounds"))
-
-
-@query()
-def event_dedup(spark, d):
-    items = dedup.ranked(_event_items(spark, d), [F.asc("id")])
-    pairs = joins.event_pairs(items.select(F.col("rank").alias("id"), "title", "event", "entities", "amounts", "rounds"))
-    return dedup.by_event(items, pairs)[1].select("id", "title", "kept_title", "reason")
-
-
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
@@ -634,16 +621,6 @@ def facet_search(spark, d):
 # --- summaries and quality -------------------------------------------------------------------------------------------
 
 
-@query()
-def sentence_scores(spark, d):
-    return summaries.scored_sentences(articles(spark, d).withColumn("category", F.lit("english")), PACK)
-
-
-@query()
-def extractive_summary(spark, d):
-    return summaries.extractive(articles(spark, d).withColumn("category", F.lit("english")), PACK)
-
-
 _FUND = rf"""f0 AS (SELECT id, {s_clean('title')} AS t FROM a),
 f1 AS (SELECT id, t, nullif(regexp_extract(t, {_quoted(PACK.concept('funding_verb'))}, 1), '') AS company, nullif(regexp_extract(t, {_quoted('(?i)' + PACK.concept('funding_amount'))}, 0), '') AS amount FROM f0),
 f2 AS (SELECT *, nullif(trim(regexp_replace(regexp_extract(regexp_replace(substring(t, strpos(t, amount) + length(amount)), '^[\s,;:–—-]+', ''), '(?i)^to\s+(.+)$', 1), '[.;|]+$', '')), '') AS purpose FROM f1),
@@ -677,12 +654,6 @@ def fallback_ladder(spark, d):
     return table(spark, d, "labels").withColumn("s", step).select("doc_id", "s.summary", "s.summary_source")
 
 
-@query()
-def fallback_quality_reason(spark, d):
-    rows = articles(spark, d)
-    return rows.select("id", quality.fallback_reason(PACK, F.col("title"), F.substring("description", 1, 90), F.col("source"), F.lit("description")).alias("reason"))
-
-
 # --- windows, caches, streams ----------------------------------------------------------------------------------------
 
 _WINDOWS = "SELECT w AS window_start, w + INTERVAL 48 HOURS AS window_end, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY ALL"
