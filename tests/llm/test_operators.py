@@ -86,6 +86,63 @@ def test_toxicity_without_labels(spark, labelled):
     assert kept.columns == [*docs.columns, "label"]
 
 
+def test_isotonic_is_the_least_squares_fit():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, y = rng.permutation(40).astype(float), rng.normal(size=40)
+    got = toxicity.Isotonic().fit(x, y)(x)
+    held = y[np.argsort(x)]
+    best = [max(min(held[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)]
+    assert np.allclose(got[np.argsort(x)], best)
+
+
+def test_trees_take_the_best_split():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, size=(60, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=60) > 3).astype(float)
+    trees = toxicity.Trees(rounds=1, depth=1, bins=64).fit(x, y)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = p - y, np.full(60, p * (1 - p))
+    worth = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    gains = {(j, c): worth(x[:, j] <= c) + worth(x[:, j] > c) for j in range(3) for c in range(6) if min(h[x[:, j] <= c].sum(), h[x[:, j] > c].sum()) >= 2.0}
+    feature, cut, value = trees.trees[0]
+    low = x[:, feature[0]] <= cut[0]
+    assert abs(worth(low) + worth(~low) - max(gains.values())) < 1e-9
+    margin = np.where(low, -0.15 * g[low].sum() / (h[low].sum() + 1), -0.15 * g[~low].sum() / (h[~low].sum() + 1))
+    assert np.allclose(trees.margin(x) - trees.base, margin)
+
+
+def test_views_teach_each_other():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 2, 1200)
+    view = lambda: truth[:, None] * 2.0 + rng.normal(size=(1200, 4))
+    a, b = view(), view()
+    few = quality.CoTrained((a[:60], b[:60]), truth[:60].astype(float), (a[60:900], b[60:900]))
+    alone = quality.CoTrained((a[:60], b[:60]), truth[:60].astype(float), (a[:0], b[:0]), rounds=0)
+    right = lambda m: ((m((a[900:], b[900:]))[2] >= 0.5) == truth[900:]).mean()
+    assert min(few.taught) > 50 and right(few) >= right(alone) - 0.01 and right(few) > 0.95
+
+
+def test_empty_tables_long_texts_and_repeats(spark, labelled):
+    docs, labels = labelled
+    bench = spark.createDataFrame([(1, "alom belur dorat semil " * 3)], "item_id long, text string")
+    long = spark.createDataFrame([(2000, "alom belur dorat semil " * 50000, "aa", "s", None)] * 2, docs.schema)
+    runs = {
+        "toxicity": lambda d: toxicity.toxicity(d, labels),
+        "quality": lambda d: quality.quality(d, labels), "licences": licences.licences, "language": language_id.language_of,
+        "encoding": lambda d: merge_dropout.encoded(d, digest=True), "contamination": lambda d: decontamination.contamination(d, bench),
+    }
+    for name, run in runs.items():
+        assert run(docs.limit(0)).count() == 0, name
+        found = [tuple(r) for r in run(long.withColumns({"key": F.lit(1), "n": F.lit("x")})).collect()]
+        assert len(found) == 2 and found[0] == found[1], name
+
+
 def test_quality_learns(labelled):
     docs, labels = labelled
     rows = [r for r in quality.quality(docs, labels).collect()]
