@@ -118,3 +118,22 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
         last = max(first + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(first, last - first)
         first = last
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices whose texts hold about `most` bytes: small batches are put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        for batch in pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held:
+            yield from slices(batch, column, most)
+
+    for batch in batches:
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield from whole()
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    yield from whole()
