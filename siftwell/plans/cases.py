@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +22,22 @@ def _literal(value) -> str:
     return _quoted(value) if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def stated(name: str, schema: str, results: dict[str, Column], rows: list[tuple]) -> None:
-    """A query over stated rows, given and expected values in each; its SQL states the expected ones."""
+def stated(name: str, schema: str, results: str, of: Callable[[Column, Column, Column], list[Column]], rows: list[tuple]) -> None:
+    """A query over stated rows, given and expected values in each; its SQL states the expected ones.
+
+    results: the results' names; of: the results, from the given columns u, t and e where there are such.
+    """
     n_given = len(schema.split(","))
 
     def run(spark, d):
         given = spark.createDataFrame([(k, *row[:n_given]) for k, row in enumerate(rows)], f"n int, {schema}")
-        return given.select("n", *(c.alias(k) for k, c in results.items()))
+        found = of(F.col("u"), F.col("t"), F.col("e"))
+        return given.select("n", *(c.alias(k) for k, c in zip(results.split(", "), found, strict=True)))
 
     QUERIES[name] = run
     values = ", ".join("(" + ", ".join([str(k), *(_literal(v) for v in row[n_given:])]) + ")" for k, row in enumerate(rows))
-    ORACLE[name] = f"SELECT * FROM (VALUES {values}) v(n, {', '.join(results)})"
-
+    ORACLE[name] = f"SELECT * FROM (VALUES {values}) v(n, {results})"
 
-u, t, e = F.col("u"), F.col("t"), F.col("e")
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
 
@@ -64,7 +67,7 @@ def sitemap_entries(spark, d):
     return feeds.sitemap(pages)
 
 
-stated("fetch_failures", "e string", {"reason": feeds.failure_reason(e)}, [("The operation was aborted", "fetch_timeout"), ("request timed out", "fetch_timeout"), ("getaddrinfo ENOTFOUND x", "fetch_dns"), ("EAI_AGAIN", "fetch_dns"), ("socket hang up", "fetch_network"), ("", "fetch_network")])
+stated("fetch_failures", "e string", "reason", lambda u, t, e: [feeds.failure_reason(e)], [("The operation was aborted", "fetch_timeout"), ("request timed out", "fetch_timeout"), ("getaddrinfo ENOTFOUND x", "fetch_dns"), ("EAI_AGAIN", "fetch_dns"), ("socket hang up", "fetch_network"), ("", "fetch_network")])
 
 
 @query(
@@ -93,7 +96,7 @@ def archive_index(spark, d):
 
 
 stated(
-    "source_names", "p string, c string, f string, s string, a string", {"source": feeds.source_name(F.col("p"), F.col("c"), F.col("f"), F.col("s"), F.lit(None).cast("string"), F.col("a"))},
+    "source_names", "p string, c string, f string, s string, a string", "source", lambda u, t, e: [feeds.source_name(F.col("p"), F.col("c"), F.col("f"), F.col("s"), F.lit(None).cast("string"), F.col("a"))],
     [("primary", "A &amp; B", "Feed", "Item", None, "A & B"), ("primary", "", "Feed", "Item", None, "Feed"), ("discovery", "A", "Feed", " <b>Item</b> ", "W", "Item"), ("discovery", "A", "Feed", "", "W", "W"), ("secondary", "A", "Feed", None, None, "Feed")],
 )
 
@@ -143,14 +146,14 @@ def publisher_title_search(spark, d):
 # --- URLs ------------------------------------------------------------------------------------------------------------
 
 stated(
-    "url_repair", "u string", {"repaired": urls.repaired(u), "collected": urls.collected(u, F.lit("https://x.example/list/"))},
+    "url_repair", "u string", "repaired, collected", lambda u, t, e: [urls.repaired(u), urls.collected(u, F.lit("https://x.example/list/"))],
     [
         ("https://a.example/?a=1&amp;b=2", "https://a.example/?a=1&b=2", "https://a.example/?a=1&b=2"), ("https://a.example/?a=1%26amp%3Bb=2#f", "https://a.example/?a=1&b=2#f", "https://a.example/?a=1&b=2"),
         ("/p?x=1&#38;y=2", "/p?x=1&y=2", "https://x.example/p?x=1&y=2"), ("q.html", "q.html", "https://x.example/list/q.html"), ("mailto:a@b.example", "mailto:a@b.example", None), ("ftp://a.example/x", "ftp://a.example/x", None),
     ],
 )
 stated(
-    "url_safety", "u string", {"safe": urls.is_safe(u), "aggregator": urls.is_aggregator(u), "href": urls.href(u), "origin": urls.publisher_origin(F.lit("no url"), u)},
+    "url_safety", "u string", "safe, aggregator, href, origin", lambda u, t, e: [urls.is_safe(u), urls.is_aggregator(u), urls.href(u), urls.publisher_origin(F.lit("no url"), u)],
     [
         ("https://a.example/x", True, False, "https://a.example/x", "https://a.example"), ("http://localhost/x", False, False, "http://localhost/x", "http://localhost"), ("http://10.1.2.3/", False, False, "http://10.1.2.3/", "http://10.1.2.3"),
         ("http://172.20.0.1/", False, False, "http://172.20.0.1/", "http://172.20.0.1"), ("http://172.40.0.1/", True, False, "http://172.40.0.1/", "http://172.40.0.1"), ("https://news.google.com/articles/x", True, True, "https://news.google.com/articles/x", "https://news.google.com"),
@@ -158,14 +161,14 @@ stated(
     ],
 )
 stated(
-    "url_unwrap", "u string", {"target": urls.unwrapped(u), "candidate": urls.candidate(u), "key": urls.article_key(u)},
+    "url_unwrap", "u string", "target, candidate, key", lambda u, t, e: [urls.unwrapped(u), urls.candidate(u), urls.article_key(u)],
     [
         ("https://r.example/go?url=https%3A%2F%2Fa.example%2Fx%3Fy%3D1", "https://a.example/x?y=1", "https://a.example/x?y=1", None), ("https://r.example/go?q=http%3A%2F%2F127.0.0.1%2F", "http://127.0.0.1/", None, None),
         ("https://news.google.com/rss/articles/CBMiAB?oc=5", "https://news.google.com/rss/articles/CBMiAB?oc=5", None, "CBMiAB"), ("https://a.example/plain", "https://a.example/plain", "https://a.example/plain", None),
     ],
 )
 stated(
-    "url_resolution", "u string, r string, m string", {"url": urls.resolution(u, F.col("r"), F.col("m"), F.lit(None).cast("string"))["url"], "status": urls.resolution(u, F.col("r"), F.col("m"), F.lit(None).cast("string"))["status"]},
+    "url_resolution", "u string, r string, m string", "url, status", lambda u, t, e: [urls.resolution(u, F.col("r"), F.col("m"), F.lit(None).cast("string"))["url"], urls.resolution(u, F.col("r"), F.col("m"), F.lit(None).cast("string"))["status"]],
     [
         ("https://a.example/x", None, None, "https://a.example/x", "not_required"), ("https://news.google.com/articles/abc", "https://b.example/y", None, "https://b.example/y", "http_redirect"),
         ("https://news.google.com/articles/abc", "https://news.google.com/z", "https://c.example/z", "https://c.example/z", "html_metadata"), ("https://news.google.com/articles/abc", None, None, None, "failed"),
@@ -216,7 +219,7 @@ def page_extraction(spark, d):
 
 _HEAD = '<html><head><meta property="og:title" content="A &amp; B"><meta name=description content=\'Some words\'><meta property="og:url" content="https://a.example/o"><meta property="article:published_time" content="2024-03-05T06:07:08Z"></head><body><h1>Head</h1>{}</body></html>'
 stated(
-    "page_metadata", "h string", {"title": html.title(F.col("h")), "configured": html.title(F.col("h"), None, ("meta[x]", ".top")), "description": html.description(F.col("h")), "published": html.published(F.col("h")).cast("string"), "original": html.original_url(F.col("h"))},
+    "page_metadata", "h string", "title, configured, description, published, original", lambda u, t, e: [html.title(F.col("h")), html.title(F.col("h"), None, ("meta[x]", ".top")), html.description(F.col("h")), html.published(F.col("h")).cast("string"), html.original_url(F.col("h"))],
     [
         (_HEAD.format(""), "A & B", "A & B", "Some words", "2024-03-05 06:07:08", "https://a.example/o"),
         ('<link rel="canonical" href="https://c.example/x"><h1> One <b>two</b></h1><div class="top">Top</div><time datetime="2024-01-02"></time>', "One two", "Top", "", "2024-01-02 00:00:00", "https://c.example/x"),
@@ -224,17 +227,17 @@ stated(
         ('<p>on 2024. 5. 6</p>', None, None, "", "2024-05-06 00:00:00", None),
     ],
 )
-stated("title_source", "t string, s string", {"title": html.without_source(t, F.col("s"))}, [("News of today - The Post", "The Post", "News of today"), ("A - B - Post", "Post", "A - B"), ("A | Other", "Post", "A | Other"), ("A - Post", "", "A - Post")])
+stated("title_source", "t string, s string", "title", lambda u, t, e: [html.without_source(t, F.col("s"))], [("News of today - The Post", "The Post", "News of today"), ("A - B - Post", "Post", "A - B"), ("A | Other", "Post", "A | Other"), ("A - Post", "", "A - Post")])
 
 # --- texts and times -------------------------------------------------------------------------------------------------
 
 stated(
-    "title_forms", "t string", {"decoded": text.decode_references(t), "prepared": text.prepared_title(t), "bare": text.without_quotes(t), "comma": text.top_comma(t)},
+    "title_forms", "t string", "decoded, prepared, bare, comma", lambda u, t, e: [text.decode_references(t), text.prepared_title(t), text.without_quotes(t), text.top_comma(t)],
     [("[속보] A&#39;s plan...", "[속보] A's plan...", "A&#39;s plan", "[속보] A&#39;s plan,", -1), ("‘가나’, 다라 1,000억", "‘가나’, 다라 1,000억", "‘가나’, 다라 1,000억", "가나, 다라 1,000억", 4), ("(a, b) c", "(a, b) c", "(a, b) c", "(a, b) c", -1), ("", "", "", "", -1)],
 )
-stated("particles", "t string", {"subject": text.subject_particle(t), "object": text.object_particle(t)}, [("회사", "는", "를"), ("기업", "은", "을"), ("Acme", "는", "를")])
+stated("particles", "t string", "subject, object", lambda u, t, e: [text.subject_particle(t), text.object_particle(t)], [("회사", "는", "를"), ("기업", "은", "을"), ("Acme", "는", "를")])
 stated(
-    "parsed_times", "t string", {"parsed": times.parsed(t).cast("string"), "seconds": times.retry_seconds(t)},
+    "parsed_times", "t string", "parsed, seconds", lambda u, t, e: [times.parsed(t).cast("string"), times.retry_seconds(t)],
     [("Tue, 05 Mar 2024 06:07:08 GMT", "2024-03-05 06:07:08", None), ("2024-03-05T06:07:08+09:00", "2024-03-04 21:07:08", None), ("2024.03.05", "2024-03-05 00:00:00", None), ("1h2m3.5s", None, 3723.5), ("250ms", None, 0.25), ("soon", None, None)],
 )
 
@@ -275,7 +278,7 @@ def importance(spark, d):
 
 
 stated(
-    "search_likeness", "a string, b string", {"closeness": F.round(similarity.search_similarity(F.col("a"), F.col("b")), 4)},
+    "search_likeness", "a string, b string", "closeness", lambda u, t, e: [F.round(similarity.search_similarity(F.col("a"), F.col("b")), 4)],
     [("Acme raises money", "ACME raises money!", 1.0), ("abcd", "abcdefgh", 0.5), ("abcd", "abxy", 0.3333), ("", "abc", 0.0)],
 )
 
@@ -331,9 +334,9 @@ def top_excluded(spark, d):
 
 # --- summaries and checks --------------------------------------------------------------------------------------------
 
-stated("source_ranks", "t string", {"rank": summaries.source_rank(t)}, [("openai_body", 5), ("local_extractive", 3), ("description", 2), ("titleFallback", 1), ("unavailable", 0), ("other", 0)])
-stated("model_limits", "e string", {"kind": summaries.limit_kind(e)}, [("Limit reached: requests per day (RPD)", "daily"), ("tokens per min (TPM)", "tpm"), ("requests per min", "rpm"), ("bad gateway", "unknown")])
-stated("summary_limits", "t string", {"most": quality.limits(t)[0], "similarity": quality.limits(t)[1]}, [("openai_description", 120, 1.01), ("structured_overseas", 100, 1.01), ("local_extractive", 100, 0.97), ("description", 100, 0.8)])
+stated("source_ranks", "t string", "rank", lambda u, t, e: [summaries.source_rank(t)], [("openai_body", 5), ("local_extractive", 3), ("description", 2), ("titleFallback", 1), ("unavailable", 0), ("other", 0)])
+stated("model_limits", "e string", "kind", lambda u, t, e: [summaries.limit_kind(e)], [("Limit reached: requests per day (RPD)", "daily"), ("tokens per min (TPM)", "tpm"), ("requests per min", "rpm"), ("bad gateway", "unknown")])
+stated("summary_limits", "t string", "most, similarity", lambda u, t, e: [quality.limits(t)[0], quality.limits(t)[1]], [("openai_description", 120, 1.01), ("structured_overseas", 100, 1.01), ("local_extractive", 100, 0.97), ("description", 100, 0.8)])
 
 
 @query("SELECT count(*) AS requests, count_if(event_type NOT IN ('click', 'view')) AS succeeded, count_if(event_type IN ('click', 'view')) AS failed, count_if(event_type = 'click') AS daily_limits, count_if(event_type = 'view') AS rate_limits, round(sum(value), 3) AS seconds, CAST(sum(user_id) AS BIGINT) AS tokens FROM events")
