@@ -104,7 +104,9 @@ def contains_keyword(text: Column, keyword: str) -> Column:
     """ASCII keywords as whole words of letters and digits, others as substrings; text in match_form."""
     word = keyword.lower()
     if word.isascii():
-        return text.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){re.escape(word)}(?:$|[^\p{{L}}\p{{N}}])")
+        # The word first, then what stands around it: the search goes from one occurrence to the next.
+        own = re.escape(word)
+        return text.rlike(rf"{own}(?<![\p{{L}}\p{{N}}]{own})(?![\p{{L}}\p{{N}}])")
     return text.contains(word)
 
 
