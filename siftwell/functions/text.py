@@ -28,7 +28,11 @@ def regex(pattern: str, ignore_case: bool = True) -> str:
     out, in_class, k = [], False, 0
     while k < len(pattern):
         two = pattern[k : k + 2]
-        if two == r"\b" and not in_class:
+        if not in_class and (whole := re.match(r"\\b([A-Za-z0-9_]+)\\b", pattern[k:])):
+            # A whole word is searched first, then what stands around it is looked at.
+            out.append(rf"{whole[1]}(?<!{_WORD}{whole[1]})(?!{_WORD})")
+            k += len(whole[0]) - 2
+        elif two == r"\b" and not in_class:
             # Beside a plain letter only the other side has to be looked at.
             after = re.match(r"[A-Za-z0-9_](?![?*{])", pattern[k + 2 :])
             before = re.search(r"(?<!\\)[A-Za-z0-9_]$", pattern[:k])
