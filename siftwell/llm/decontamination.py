@@ -155,7 +155,7 @@ def _probe(index: DataFrame, phrases: Phrases, schema: str, match) -> DataFrame:
 
 
 def _spans_in(row: dict, shard: Shard, phrases: Phrases) -> pa.RecordBatch:
-    """Of the documents with hits: their place in the shard, spans of words and items."""
+    """Of the documents with hits: their place in the shard, the spans of words that are hit, and items."""
     rows, starts, ends, names = [], [], [], []
     found: list[tuple[np.ndarray, int]] = []
     held: dict[int, set[int]] = {}
@@ -167,14 +167,16 @@ def _spans_in(row: dict, shard: Shard, phrases: Phrases) -> pa.RecordBatch:
                     held.setdefault(doc, set()).update(holders[w].tolist())
     if found:
         begin = np.concatenate([at for at, _ in found])
-        size = np.repeat([n for _, n in found], [len(at) for at, _ in found])
+        end = begin + np.repeat([n for _, n in found], [len(at) for at, _ in found])
         order = np.argsort(begin, kind="stable")
-        begin, size = begin[order], size[order]
+        begin, end = begin[order], end[order]
+        # Spans that overlap or touch are one; between documents there is always a gap.
+        first = np.flatnonzero(np.concatenate(([True], begin[1:] > np.maximum.accumulate(end)[:-1])))
+        begin, end = begin[first], np.maximum.reduceat(end, first)
         doc = np.searchsorted(shard.starts, begin, side="right") - 1
-        begin = begin - shard.starts[doc]
         rows, cuts = np.unique(doc, return_index=True)
         rows = rows.tolist()
-        starts, ends = np.split(begin, cuts[1:]), np.split(begin + size, cuts[1:])
+        starts, ends = np.split(begin - shard.starts[doc], cuts[1:]), np.split(end - shard.starts[doc], cuts[1:])
         names = [[phrases.names[x] for x in sorted(held[d])] for d in rows]
     ints = pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(rows), pa.int64()), pa.array(rows, pa.int32()), pa.array(starts, ints), pa.array(ends, ints), pa.array(names, pa.list_(pa.string()))], names=["shard", "row_no", "starts", "ends", "item_ids"])
@@ -212,7 +214,7 @@ def _passes(index: DataFrame, items: DataFrame, window: int, item_bytes: int) ->
         phrases = Phrases([(r.item_id, r.text and r.text.encode()) for r in items.where(chunk == k).collect()], window)
         one = _probe(index, phrases, HITS, _spans_in)
         union = one if union is None else union.unionByName(one)
-    spans = F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))))
+    spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     return union.groupBy("shard", "row_no").agg(spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
 
 
