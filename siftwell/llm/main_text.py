@@ -4,7 +4,8 @@ A page is cut into blocks, each with a standing that its elements give it: the a
 names), outside (0: menus, headers, footers, asides, forms, adverts, notices, comments, by tag, role or class names)
 or open (1). Scripts, styles, comments in the markup and hidden elements are no blocks at all. Class names speak for
 an element as whole names or as compounds that end in what the element is (`site-footer`, `comment-list`), and not
-for the page, the article or a paragraph.
+for the page, the article or a paragraph. A form around most of the page's text is a wrapper and no form. What is out
+within a line (a button, an advert's span) goes without parting the line.
 
 A page's article blocks are one token stream, its open blocks another. The streams of a host are concatenated with a
 different end mark each and sorted as suffixes by prefix doubling to a depth of `RUN` tokens, part by part of the host;
@@ -17,7 +18,9 @@ larger depth finds no more.) What is covered goes and unique runs stay:
   they make up more than half of the article: then it is a copy and not furniture.
 
 Passages that some articles of a host share are thus text, and what its pages carry throughout isn't, even where it
-stands within the article's element. A page's text is that of its best standing.
+stands within the article's element. A page's text is that of its best standing: the article, unless what class names
+call the text is more than `OUTWEIGHS` times as long (then the elements are teasers); and of several articles side by
+side the one that outweighs all others together so, or else all.
 
 Copies of an article are one, and hot hosts have many parts, dealt by hash. A substring on more than half of a host's
 articles is on a quarter of any part's unless chance has it otherwise (below one in a million for parts of a hundred
@@ -48,6 +51,7 @@ PAGES = 3
 ARTICLES = 4
 #: Pages and tokens of a host that one task sorts; larger hosts have several parts.
 PART_PAGES = 500
+OUTWEIGHS = 2
 PART_TOKENS = 1_000_000
 SLICE_BYTES = 4 << 20
 
@@ -58,11 +62,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template title textarea iframe svg math object canvas audio video select".split())
 OUTSIDE = frozenset("nav footer aside form button label fieldset legend dialog menu head".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar note status".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status".split())
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo promos promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup signin login register paywall popup modal overlay share sharing social comment comments commentlist reply replies respond discussion disqus related recommended recommendations trending widget widgets pagination pager search skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense sponsor sponsored sponsors promo promos promoted banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer newsletter subscribe subscription signup signin login register paywall popup modal overlay share sharing social comment comments commentlist reply replies respond response responses discussion disqus related recommended recommendations trending widget widgets pagination pager search skip".split()
 )
-STAYS_OUT = frozenset("comment comments commentlist reply replies respond discussion disqus related recommended recommendations aside sidebar".split())
+STAYS_OUT = frozenset("comment comments commentlist reply replies respond response responses discussion disqus related recommended recommendations aside sidebar".split())
 #: Last parts of compound names that leave the element's role to the parts before, and first parts that deny it.
 HOLDERS = frozenset("area bar block body box button buttons container content form group holder inner item items link links list message panel posts section slot stories text thread unit widget wrap wrapper".split())
 DENIALS = frozenset("no has with without hide show is".split())
@@ -79,6 +83,9 @@ _ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSES = {t: frozenset({t}) for t in ("p", "li", "option", "tr")} | {t: frozenset({"dt", "dd"}) for t in ("dt", "dd")} | {t: frozenset({"td", "th"}) for t in ("td", "th")}
 _ENDS_P = BLOCKS - {"br"}
+_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|\s+", re.S | re.I)
+_PROSE = re.compile(rf"<(?:p|article|main|h1)[\s>]|(?:class|id)\s*=\s*[\"']?(?:{'|'.join(sorted(TEXT_CLASSES))})[\"'\s>]", re.I)
+_FORM_END = re.compile(r"</form\b", re.I)
 
 
 def _role(name: str) -> frozenset[str]:
@@ -91,6 +98,13 @@ def _role(name: str) -> frozenset[str]:
     return OUT_WORDS & ({*first} if last in HOLDERS or last.isdigit() else {last})
 
 
+def _wraps(page: str, begin: int) -> bool:
+    """Whether the form that begins there holds prose, and most of the page's text."""
+    end = _FORM_END.search(page, begin)
+    inner = page[begin : end.start() if end else len(page)]
+    return 2 * len(inner) > len(page) and bool(_PROSE.search(inner)) and 2 * len(_MARKUP.sub("", inner)) > len(_MARKUP.sub("", page))
+
+
 def _standing(tag: str, attributes: str, above: tuple[int, bool]) -> tuple[int, bool] | None:
     """Standing of an element and whether it stays out whatever is inside; None if it is hidden."""
     standing, fixed = above
@@ -115,21 +129,21 @@ def _standing(tag: str, attributes: str, above: tuple[int, bool]) -> tuple[int,
     return above
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
-    """Standing and text of each block, in order."""
-    out: list[tuple[int, str]] = []
+def parsed(page: str | None) -> list[tuple[int, int, str]]:
+    """Standing, number of the outermost article element (0: none) and text of each block, in order."""
+    out: list[tuple[int, int, str]] = []
     if not page:
         return out
     stack: list[tuple[str, tuple[int, bool]]] = []
     state: tuple[int, bool] = (OPEN, False)
     held: list[str] = []
-    at, size = 0, len(page)
+    at, size, articles = 0, len(page), 0
 
     def flush() -> None:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((state[0], text))
+                out.append((state[0], articles if any(x == "article" for x, _ in stack) else 0, text))
             held.clear()
 
     while at < size:
@@ -154,9 +168,10 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if tag[1]:
             if name in (x for x, _ in stack):
                 while stack:
-                    x, before = stack.pop()
+                    x, before = stack[-1]
                     if x in BLOCKS or before != state:
                         flush()
+                    stack.pop()
                     state = before
                     if x == name:
                         break
@@ -164,8 +179,11 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         mine = None if name in RAW else _standing(name, tag[3], state)
-        if mine is None:
-            # Nothing inside counts: on to the element's end.
+        if name == "form" and mine == (OUT, False) and state[0] != OUT and _wraps(page, at):
+            mine = state
+        wrapper = name == "form" and mine == state
+        if mine is None or mine[0] == OUT != state[0] and name not in BLOCKS:
+            # Nothing inside counts, nor parts a line: on to the element's end.
             depth = 1
             closing = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I)
             for end in closing.finditer(page, at):
@@ -186,13 +204,37 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     break
         if mine != state:
             flush()
-        mine = _standing(name, tag[3], state) or state
+        if not wrapper:
+            mine = _standing(name, tag[3], state) or state
+        if name == "article" and not any(x == "article" for x, _ in stack):
+            articles += 1
         stack.append((name, state))
         state = mine
     flush()
     return out
 
 
+def chosen(found: list[tuple[int, int, str]]) -> list[tuple[int, str]]:
+    """Standing and text of the blocks; what lost to a body or an article that outweighs it has standing OUT."""
+    sizes: dict[int, int] = {}
+    for standing, article, text in found:
+        if standing == ARTICLE:
+            sizes[article] = sizes.get(article, 0) + len(text)
+    named = sum(len(t) for s, _, t in found if s == BY_CLASS)
+    if named > OUTWEIGHS * sum(sizes.values()):
+        return [(OUT if s == ARTICLE else s, t) for s, _, t in found]
+    whole = sum(n for k, n in sizes.items() if k)
+    best = max(sizes, key=lambda k: (k > 0, sizes[k]), default=0)
+    if best and sizes[best] > OUTWEIGHS * (whole - sizes[best]):
+        return [(OUT if s == ARTICLE and k not in (0, best) else s, t) for s, k, t in found]
+    return [(s, t) for s, _, t in found]
+
+
+def blocks(page: str | None) -> list[tuple[int, str]]:
+    """Standing and text of each block, in order."""
+    return chosen(parsed(page))
+
+
 def sorted_suffixes(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the tokens by prefix doubling, and the rank of each suffix by its first `depth` tokens (or more)."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
