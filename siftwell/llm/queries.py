@@ -51,10 +51,15 @@ u AS (
   UNION SELECT * FROM l
   UNION SELECT doc_id, unnest(string_split(regexp_replace(u, '([.!?]) +', '' || chr(10), 'g'), chr(10))) FROM l),
 s AS (SELECT doc_id, u, {set_of} AS b FROM (SELECT doc_id, u, {pairs("u")} AS w FROM u)),
-m AS (
+m0 AS (
   SELECT doc_id, u, name, max(2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b))) AS dice
   FROM s JOIN t ON len(s.b) BETWEEN len(t.b) * 0.8 / 1.2 - 1e-9 AND len(t.b) * 1.2 / 0.8 + 1e-9
-  WHERE len(s.b) > 0 AND 2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) >= 0.8 GROUP BY ALL),
+  WHERE len(s.b) > 0 AND 2 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) >= 0.8 GROUP BY ALL
+  QUALIFY row_number() OVER (PARTITION BY doc_id, u ORDER BY dice DESC, name) = 1),
+met AS (SELECT doc_id, list(DISTINCT name) AS names FROM m0 GROUP BY doc_id),
+m AS (
+  SELECT doc_id, u, dice, CASE name WHEN 'BSD-3-Clause/clause' THEN 'BSD-3-Clause' ELSE name END AS name FROM m0 JOIN met USING (doc_id)
+  WHERE NOT (name = 'BSD-2-Clause' AND list_contains(names, 'BSD-3-Clause/clause')) AND NOT (name = 'proprietary' AND len(names) > 1)),
 g AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, round(max(dice), 6) AS best_score, count(*) AS n_matches FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(licences, '') AS licences, coalesce(best_score, 0.0) AS best_score, coalesce(n_matches, 0) AS n_matches FROM documents LEFT JOIN g USING (doc_id)
 """
@@ -141,10 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """,
     "op3_licences": _licence_sql(),

@@ -29,7 +29,7 @@ def docs_of(spark, texts, extra=True):
 def test_topk_matches_brute_force(spark):
     rng = random.Random(1)
     rows = [(k, [rng.randint(-3, 3) / 4 for _ in range(6)]) for k in range(120)]
-    rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] + [0.0] * 5), (50, rows[50][1]), (None, [1.0] * 6)]
+    rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk_search.vector_top_k(df, F.col("vec_id") % 50 == 0).collect()))
     good = {k: [int(256 * x // 1) for x in v] for k, v in rows[:120]}
@@ -40,6 +40,19 @@ def test_topk_matches_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_topk_takes_every_row_but_the_querys_own(spark):
+    rng = random.Random(21)
+    rows = [(k // 3, [rng.randint(-2, 2) / 4 for _ in range(4)]) for k in range(240)] + [(50, [0.5] * 4)] * 3 + [(1, [0.9] * 4), (2, [0.6] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit(1), "rank": F.lit("x"), "query": F.lit(0)})
+    got = sorted(map(tuple, topk_search.vector_top_k(df.repartition(3), F.col("vec_id") % 50 == 0).collect()))
+    whole, want = [[int(256 * x // 1) for x in v] for _, v in rows], []
+    for q, (qid, _) in enumerate(rows):
+        if qid % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), rows[c][0]) for c in range(len(rows)) if c != q)[:5]
+            want += [(qid, r + 1, k, -s) for r, (s, k) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_topk_empty_and_few(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk_search.vector_top_k(df, F.col("vec_id") % 50 == 0).count() == 0
@@ -200,22 +213,98 @@ def test_viterbi_is_the_best_path():
 def test_licences(spark):
     texts = ["Released under the MIT License.", "intro words here\nLicensed under CC BY-NC 4.0.\nmore", "nothing of it", None, "", "All rights reserved. Released under the MIT license"]
     rows = {r["doc_id"]: r for r in licences.licences(docs_of(spark, texts)).collect()}
-    assert [rows[k]["licences"] for k in range(6)] == ["MIT", "CC-BY-NC-4.0", "", "", "", "MIT,proprietary"]
+    assert [rows[k]["licences"] for k in range(6)] == ["MIT", "CC-BY-NC-4.0", "", "", "", "MIT"]
     assert rows[0]["best_score"] == 1.0 and licences.licences(docs_of(spark, texts), []).agg(F.sum("n_matches")).first()[0] == 0
 
 
 def test_licences_over_several_lines():
     scan = licences.Scanner(licences.TEMPLATES)
-    bsd = dict(licences.TEMPLATES)["BSD-2-Clause"].replace("met: 1.", "met:\n\n1.").replace("disclaimer. 2.", "disclaimer.\n\n2.")
+    bsd = next(text for name, text in licences.TEMPLATES if name == "BSD-2-Clause").replace("met: 1.", "met:\n\n1.").replace("disclaimer. 2.", "disclaimer.\n\n2.")
     bsd = f"Copyright (c) 2020, X\nAll rights reserved.\n\n{bsd}\n\nTHIS SOFTWARE IS PROVIDED AS IS AND ANY WARRANTIES ARE DISCLAIMED. " + prose(random.Random(13), 120)
     gpl = next(text for name, text in licences.TEMPLATES if name == "GPL-3.0" and "redistribute" in text)
     gpl = gpl.replace("the terms", "\n# the terms").replace("either", "\n# either") + " This program is distributed in the hope that it will be useful, but WITHOUT ANY\n# WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS. " + prose(random.Random(14), 60)
     for text, name in ((bsd, "BSD-2-Clause"), (f"import x\nx.run()\n# {gpl}\ny = 1", "GPL-3.0")):
         found = {m[0]: m for m in scan(text)}
         assert found[name][1] > 0.95 and found[name][2] == "window" and found[name][3] in text
+    assert {m[0] for m in scan(bsd)} == {"BSD-2-Clause"}
     assert not scan(bsd.replace("Redistribution", "Sale").split("forms")[0].replace("All rights reserved.", ""))
 
 
+def wrapped(text, width=70):
+    out, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            out.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*out, line])
+
+
+def test_licences_are_told_apart():
+    scan = licences.Scanner(licences.TEMPLATES)
+    names = lambda t: sorted({m[0] for m in scan(t)})
+    of = lambda name: [t for n, t in licences.TEMPLATES if n == name]
+    whole, third = of("BSD-2-Clause")[1], "3. " + of("BSD-3-Clause/clause")[0]
+    cuts = [whole.index(x) for x in ("1. ", "2. ", "THIS SOFTWARE")]
+    clauses = [wrapped(whole[a:b]) for a, b in zip([0, *cuts], [*cuts, None])]
+    head = "Copyright (c) 2020, Someone\nAll rights reserved.\n"
+    assert names("\n\n".join([head, *clauses])) == ["BSD-2-Clause"]
+    assert names("\n\n".join([head, *clauses[:3], wrapped(third), clauses[3]])) == ["BSD-3-Clause"]
+    assert names("\n\n".join([head, *clauses[:3], wrapped(third), clauses[3][:150]])) == ["BSD-3-Clause"]
+    assert names("\n".join([*clauses[:3], wrapped(third)])) == ["BSD-3-Clause"]
+    for a, b in (("GPL-2.0", "GPL-3.0"), ("GPL-3.0", "LGPL-2.1"), ("CC-BY-4.0", "CC-BY-SA-4.0")):
+        for name in (a, b):
+            for text in of(name)[:2]:
+                assert names(text) == names(f"words before\n{wrapped(text)}\nwords after it") == [name]
+        assert names(f"{of(a)[0]}\n\nand else\n\n{of(b)[0]}") == sorted([a, b])
+    assert names("  Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n  TERMS AND CONDITIONS") == ["Apache-2.0"]
+    for tag, name in licences.SPDX.items():
+        assert names(f"#!/bin/sh\n# SPDX-License-Identifier: {tag}\nrun it now") == [name]
+    assert names("All rights reserved.") == ["proprietary"] and names("All rights reserved.\nLicensed under CC BY 4.0.") == ["CC-BY-4.0"]
+
+
+def brute_licences(text, templates, threshold=0.8):
+    """Names by every unit and every window against every template, without pruning."""
+    of = lambda x: set(zip(w := re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)), w[1:]))
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+    kept = [(name, of(t)) for name, t in templates]
+    best_of = lambda unit: min((-dice(of(unit), own), name) for name, own in kept)
+    lines = text.split("\n")
+    units = {text, *re.split(r"\n[ \t\r\f\v]*\n", text), *lines, *(x for line in lines for x in re.split(r"(?<=[.!?]) +", line))}
+    found = {name for score, name in map(best_of, units) if -score >= threshold}
+    pieces = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+?(?:(?<=[.!?])(?= )|(?=\n)|\Z)", text) if re.search(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", m[0])]
+    best = {}
+    for i in range(len(pieces)):
+        for j in range(i, len(pieces)):
+            a, b = pieces[i][0], pieces[j][1]
+            for name, own in kept:
+                if (d := dice(of(text[a:b]), own)) >= threshold and d > best.get(name, (0,))[0]:
+                    best[name] = (d, a, b)
+    taken = []
+    for name, (d, a, b) in sorted(best.items(), key=lambda x: (-x[1][0], x[0])):
+        if all(b <= x or y <= a for x, y in taken):
+            taken.append((a, b))
+            found.add(name)
+    if "BSD-3-Clause/clause" in found:
+        found = found - {"BSD-2-Clause", "BSD-3-Clause/clause"} | {"BSD-3-Clause"}
+    return sorted(found - {"proprietary"} or found)
+
+
+def test_licences_equal_brute_force():
+    rng = random.Random(15)
+    few = [x for x in licences.TEMPLATES if len(x[1]) < 420]
+    scan = licences.Scanner(few)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(few)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            parts += [prose(rng, rng.randint(0, 5)), "".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words)]
+        text = rng.choice(["\n", "\n\n", " "]).join(parts)
+        assert sorted({m[0] for m in scan(text)}) == brute_licences(text, few), text
+
+
 # 4
 
 
@@ -316,6 +405,21 @@ def test_main_text_structure(spark):
     assert got == [(1, first, len(first)), (2, "Body words only", 15), (3, "", 0), (4, "", 0), (5, "plain < text", 12), (5, "plain < text", 12)]
 
 
+def test_main_text_keeps_the_article():
+    text = lambda page: main_text.text_of(main_text.blocks(page))
+    long = "a long story told in many words " * 6
+    assert text("<form id=aspnetForm><div id=content><p>one</p></div></form>") == "one"
+    assert text("<form><label>Name</label><input><button>go</button></form><p>told here</p>") == "told here"
+    assert text(f"<p>{long}</p><form><p>your mail?</p><input></form>") == long.strip()
+    assert text("<div class=content><p>main story long</p></div><article><p>teaser</p></article>") == "main story long"
+    assert text("<div class=post><p>main story</p></div><div class=responses><article><p>reader says</p></article></div>") == "main story"
+    assert text("<article><p>Press <button>OK</button> and <label>lab</label> now <span class=ad>buy <b>it</b></span>!</p></article>") == "Press and now !"
+    assert text(f"<article><p>{long}</p></article><article><p>teaser</p></article><article><p>other</p></article>") == long.strip()
+    assert text("<article><p>one part</p></article><article><p>next part</p></article>") == "one part\nnext part"
+    assert text("<main><p>lead</p><article><p>a part</p><div role=note>a note</div></article></main>") == "lead\na part\na note"
+    assert text("<article>a<br>b <span class=ad>never closed<p>c</article>") == "a\nb never closed\nc"
+
+
 def test_main_text_host_runs(spark):
     rng = random.Random(6)
     boiler = "welcome to our site read all about the daily news here today"
