@@ -1,19 +1,21 @@
 """Line dedup by a log-template tree, in DataFrame operations alone.
 
 A line's white space is reduced and tokens with a digit become `<*>`. The tree has a fixed depth: a line's path is its
-number of tokens and its first `DEPTH` tokens, and ends in a leaf. In leaves that recur, a token is kept where it
-stands at its place in lines of at least `CONTEXTS` contexts; others are variable fields, `<*>`. So every line gets a
-template; a template with a share of `CONSTANT` kept tokens at least, met in `CONTEXTS` contexts or more, recurs, and
-its lines are dropped from all documents.
+number of tokens and its first `DEPTH` tokens, and ends in a leaf. As one of these may be a variable field (a name), a line
+also belongs to the leaves of the paths of `DEPTH` + 1 tokens with one of the first `DEPTH` left open. In leaves that recur,
+a token is kept where it stands at its place in lines of at least `CONTEXTS` contexts; others are variable fields, `<*>`. So
+a line gets a template in each of its leaves; a template with a share of `CONSTANT` kept tokens at least, met in `CONTEXTS`
+contexts or more, recurs, and its lines are dropped from all documents.
 
-A context is a document's shape, the leaves of its lines in order: boilerplate turns up in ever other documents, alone
-or in blocks of lines, while copies of a document share its shape and count once, however many there are. Copies are
-thus left to whoever removes copies. A document counts once for a token or a template, however many of its lines have it.
+A context is a document's masked content, its lines in order: exact copies of a document, and copies with other numbers,
+count once, however many there are, and are left to whoever removes copies. Documents that differ in a word are documents
+of their own, so the lines that form letters or near copies share recur and go. A document counts once for a token or a
+template, however many of its lines have it.
 
 Texts are cut into lines once, and the lines kept in a table with hashes (128 bits for a document's row and for a line,
 64 for a leaf). From there a line's text travels only where its leaf recurs, and a document's once, to lose its lines.
 
-Defined cases: a null text stays null; an empty one stays; blank lines stay, are no part of a shape and count as lines; a text
+Defined cases: a null text stays null; an empty one stays; blank lines stay, are no part of a context and count as lines; a text
 whose lines all recur becomes empty; a null doc_id is a document like others; repeated rows give repeated rows; extra
 columns are kept, and `n_chars`, where there is one, follows the text; with `counts`, columns n_lines and n_dropped are
 replaced. Only \\n ends a line.
@@ -40,9 +42,13 @@ def masked(text: Column) -> Column:
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", "<*>")).otherwise(even)
 
 
-def _path(line: Column) -> Column:
-    n_tokens = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.concat(n_tokens.cast("string"), F.lit(" "), F.substring_index(line, " ", DEPTH))
+def _leaves(line: Column) -> Column:
+    """Hashes of the line's paths. A line of no more than `DEPTH` tokens has none with a place left open."""
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    first = F.split(F.substring_index(line, " ", DEPTH + 1), " ")
+    opened = [F.xxhash64(n, F.lit(k), *(F.get(first, F.lit(j)) for j in range(DEPTH + 1) if j != k)) for k in range(DEPTH)]
+    whole = F.xxhash64(n, F.substring_index(line, " ", DEPTH))
+    return F.when(n > DEPTH, F.array(whole, *opened)).otherwise(F.array(whole))
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -52,15 +58,14 @@ def _row_key(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Non-blank lines: h1, h2 (the row), pos (from 0), line (masked), its hashes k1, k2, leaf, context (the document's shape)."""
+    """Non-blank lines: h1, h2 (the row), pos (from 0), line (masked), its hashes k1, k2, leaves, context (the document's masked lines)."""
     h1, h2 = _row_key(docs)
     rows = docs.select(h1.alias("h1"), h2.alias("h2"), F.split(masked(F.col("text").cast("string")), "\n", -1).alias("raw"))
     cut = F.transform("raw", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
     rows = rows.select("h1", "h2", F.filter(cut, lambda x: x["line"] != "").alias("cut"))
-    rows = rows.select("h1", "h2", "cut", F.transform("cut", lambda x: F.xxhash64(_path(x["line"]))).alias("leaves"))
-    rows = rows.select("h1", "h2", F.xxhash64("leaves").alias("context"), F.inline(F.arrays_zip("cut", "leaves")))
-    line = F.col("cut.line")
-    return rows.select("h1", "h2", "cut.pos", "context", F.col("leaves").alias("leaf"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"), line.alias("line"))
+    rows = rows.select("h1", "h2", F.xxhash64(F.col("cut.line")).alias("context"), F.inline("cut"))
+    line = F.col("line")
+    return rows.select("h1", "h2", "pos", "context", _leaves(line).alias("leaves"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"), "line")
 
 
 def _of(rows: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
@@ -74,8 +79,10 @@ def _of(rows: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
 def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, few_leaves: int = FEW_LEAVES) -> tuple[DataFrame, DataFrame]:
     """Two tables: places (h1, h2, pos, k1, k2) of lines in recurring leaves, and the lines (line, template, k1, k2) whose template recurs."""
     every = stored(_lines(docs))
-    leaves = stored(every.groupBy("leaf", "context").agg(F.lit(1).alias("one")).groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf"))
-    places = stored(_of(every, leaves, leaves.count() <= few_leaves))
+    leaves = every.select(F.explode("leaves").alias("leaf"), "context")
+    leaves = stored(leaves.groupBy("leaf", "context").agg(F.lit(1).alias("one")).groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf"))
+    each = every.select("h1", "h2", "pos", "k1", "k2", "context", "line", F.explode("leaves").alias("leaf"))
+    places = stored(_of(each, leaves, leaves.count() <= few_leaves))
     discard(every, leaves)
     met = stored(places.select("leaf", "line", "context").distinct())
     lines = stored(met.groupBy("leaf", "line").agg(F.count("*").alias("n")))
@@ -102,9 +109,9 @@ def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONST
     return places.select("h1", "h2", "pos", "k1", "k2"), found
 
 
-def deduplicated(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, counts: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, counts: bool = False, few_leaves: int = FEW_LEAVES) -> DataFrame:
     """The documents, all columns, without lines whose template recurs; `counts` adds n_lines and n_dropped."""
-    places, lines = recurring(docs, contexts, constant)
+    places, lines = recurring(docs, contexts, constant, few_leaves)
     gone = places.join(lines.select("k1", "k2"), ["k1", "k2"], "left_semi")
     gone = gone.groupBy(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).agg(F.collect_set("pos").alias("__gone"))
     text = F.col("text").cast("string")

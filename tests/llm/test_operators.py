@@ -517,25 +517,49 @@ def test_line_templates(spark):
 
 
 def brute_lines(texts, least=5, constant=0.7):
-    """The texts without recurring lines, documents of one shape counted once."""
+    """The texts without recurring lines, documents of equal masked lines counted once."""
     mask = lambda x: re.sub("[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[ \t\r\f\x0B]+", " ", x).strip(" "))
-    leaf = lambda x: (len(x.split(" ")), *x.split(" ")[:3])
+
+    def leaves(x):
+        t = x.split(" ")
+        return [(len(t), "", *t[:3])] + [(len(t), k, *t[:k], *t[k + 1 : 4]) for k in range(3) if len(t) > 3]
+
     full = [[m for x in (t or "").split("\n") if (m := mask(x))] for t in texts]
-    shapes = [tuple(map(leaf, f)) for f in full]
-    at, held = {}, {}
-    for f, shape in zip(full, shapes):
+    lines, at, held, gone = {x for f in full for x in f}, {}, {}, set()
+    for f in full:
         for x in f:
-            for k, token in enumerate(x.split(" ")):
-                at.setdefault((leaf(x), k, token), set()).add(shape)
-    gone = {}
-    for x in {x for f in full for x in f}:
-        kept = [len(at[leaf(x), k, token]) >= least for k, token in enumerate(x.split(" "))]
-        if sum(good and token != "<*>" for good, token in zip(kept, x.split(" "))) / len(kept) >= constant:
-            gone[x] = " ".join(token if good else "<*>" for good, token in zip(kept, x.split(" ")))
-    for f, shape in zip(full, shapes):
+            for leaf in leaves(x):
+                for k, token in enumerate(x.split(" ")):
+                    at.setdefault((leaf, k, token), set()).add(tuple(f))
+    shown = {}
+    for x in lines:
+        for leaf in leaves(x):
+            kept = [len(at[leaf, k, token]) >= least for k, token in enumerate(x.split(" "))]
+            if sum(good and token != "<*>" for good, token in zip(kept, x.split(" "))) / len(kept) >= constant:
+                shown[x, leaf] = " ".join(token if good else "<*>" for good, token in zip(kept, x.split(" ")))
+    for f in full:
         for x in f:
-            held.setdefault(gone.get(x), set()).add(shape)
-    return [None if t is None else "\n".join(x for x in t.split("\n") if not mask(x) or mask(x) not in gone or len(held[gone[mask(x)]]) < least) for t in texts]
+            for leaf in leaves(x):
+                if (x, leaf) in shown:
+                    held.setdefault(shown[x, leaf], set()).add(tuple(f))
+    gone = {x for (x, _), template in shown.items() if len(held[template]) >= least}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if not mask(x) or mask(x) not in gone) for t in texts]
+
+
+def test_line_templates_of_letters_and_records(spark):
+    rng = random.Random(19)
+    last = "please keep this letter with your papers until the end"
+    letters = [f"Dear {rng.choice(WORDS)} {rng.choice(WORDS)} we write about order {k}\n{rng.choice(WORDS)} will {rng.choice(WORDS)} the {rng.choice(WORDS)} by day {k % 30}\n{last}" for k in range(200)]
+    got = [r["text"] for r in line_templates.deduplicated(docs_of(spark, letters)).orderBy("doc_id").collect()]
+    assert got == brute_lines(letters) and all(last not in t for t in got)
+    records = [f"User {WORDS[k % 10]} logged in from home at noon" for k in range(200)]
+    got = [r["text"] for r in line_templates.deduplicated(docs_of(spark, records)).orderBy("doc_id").collect()]
+    assert got == brute_lines(records) == [""] * 200
+    copies = [prose(rng, 8) + "\n" + prose(rng, 9)] * 50 + [f"{prose(random.Random(20), 9)} page {k}" for k in range(30)]
+    for few in (line_templates.FEW_LEAVES, 0):
+        texts = copies + letters[:20] + records[:20]
+        got = [r["text"] for r in line_templates.deduplicated(docs_of(spark, texts), few_leaves=few).orderBy("doc_id").collect()]
+        assert got == brute_lines(texts) and got[:80] == copies
 
 
 def test_line_templates_count_documents(spark):
