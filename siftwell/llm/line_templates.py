@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree, in DataFrame operations alone.
 
 A line's white space is reduced and tokens with a digit become `<*>`. The tree has a fixed depth: a line's path is its
-number of tokens and its first `DEPTH` tokens, and ends in a leaf. As one of these may be a variable field (a name), a line
-also belongs to the leaves of the paths of `DEPTH` + 1 tokens with one of the first `DEPTH` left open. In leaves that recur,
+number of tokens and its first `DEPTH` tokens, and ends in a leaf. As one of these may be a variable field (a name), lines
+whose leaf doesn't recur go on to the leaves of the paths of `DEPTH` + 1 tokens with one of the first `DEPTH` left open
+(three of them, a line may be in each), which are counted among these lines. In leaves that recur,
 a token is kept where it stands at its place in lines of at least `CONTEXTS` contexts; others are variable fields, `<*>`. So
 a line gets a template in each of its leaves; a template with a share of `CONSTANT` kept tokens at least, met in `CONTEXTS`
 contexts or more, recurs, and its lines are dropped from all documents.
@@ -42,13 +43,13 @@ def masked(text: Column) -> Column:
     return F.when(even.rlike("[0-9]"), F.regexp_replace(even, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", "<*>")).otherwise(even)
 
 
-def _leaves(line: Column) -> Column:
-    """Hashes of the line's paths. A line of no more than `DEPTH` tokens has none with a place left open."""
+def _leaves(line: Column) -> tuple[Column, Column]:
+    """Hash of the line's path, and those of its paths with a place left open. A line of no more than `DEPTH` tokens has none of these."""
     n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     first = F.split(F.substring_index(line, " ", DEPTH + 1), " ")
     opened = [F.xxhash64(n, F.lit(k), *(F.get(first, F.lit(j)) for j in range(DEPTH + 1) if j != k)) for k in range(DEPTH)]
     whole = F.xxhash64(n, F.substring_index(line, " ", DEPTH))
-    return F.when(n > DEPTH, F.array(whole, *opened)).otherwise(F.array(whole))
+    return whole, F.when(n > DEPTH, F.array(*opened)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -58,32 +59,40 @@ def _row_key(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Non-blank lines: h1, h2 (the row), pos (from 0), line (masked), its hashes k1, k2, leaves, context (the document's masked lines)."""
+    """Non-blank lines: h1, h2 (the row), pos (from 0), line (masked), its hashes k1, k2, leaf, opened (leaves), context (the document's masked lines)."""
     h1, h2 = _row_key(docs)
     rows = docs.select(h1.alias("h1"), h2.alias("h2"), F.split(masked(F.col("text").cast("string")), "\n", -1).alias("raw"))
     cut = F.transform("raw", lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
     rows = rows.select("h1", "h2", F.filter(cut, lambda x: x["line"] != "").alias("cut"))
     rows = rows.select("h1", "h2", F.xxhash64(F.col("cut.line")).alias("context"), F.inline("cut"))
     line = F.col("line")
-    return rows.select("h1", "h2", "pos", "context", _leaves(line).alias("leaves"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"), "line")
+    leaf, opened = _leaves(line)
+    return rows.select("h1", "h2", "pos", "context", leaf.alias("leaf"), opened.alias("opened"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"), "line")
 
 
-def _of(rows: DataFrame, leaves: DataFrame, few: bool) -> DataFrame:
-    """The rows whose leaf is among leaves."""
+def _of(rows: DataFrame, leaves: DataFrame, few: bool, how: str = "left_semi") -> DataFrame:
+    """The rows whose leaf is among leaves, or with left_anti the others."""
     if few:
-        return rows.join(F.broadcast(leaves), "leaf", "left_semi")
+        return rows.join(F.broadcast(leaves), "leaf", how)
     spread = leaves.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return rows.withColumn("part", F.pmod("k1", F.lit(SPREAD)).cast("int")).join(spread, ["leaf", "part"], "left_semi").drop("part")
+    return rows.withColumn("part", F.pmod("k1", F.lit(SPREAD)).cast("int")).join(spread, ["leaf", "part"], how).drop("part")
+
+
+def _recurring_leaves(rows: DataFrame, contexts: int) -> DataFrame:
+    return stored(rows.groupBy("leaf", "context").agg(F.lit(1).alias("one")).groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf"))
 
 
 def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONSTANT, few_leaves: int = FEW_LEAVES) -> tuple[DataFrame, DataFrame]:
     """Two tables: places (h1, h2, pos, k1, k2) of lines in recurring leaves, and the lines (line, template, k1, k2) whose template recurs."""
     every = stored(_lines(docs))
-    leaves = every.select(F.explode("leaves").alias("leaf"), "context")
-    leaves = stored(leaves.groupBy("leaf", "context").agg(F.lit(1).alias("one")).groupBy("leaf").count().where(F.col("count") >= contexts).select("leaf"))
-    each = every.select("h1", "h2", "pos", "k1", "k2", "context", "line", F.explode("leaves").alias("leaf"))
-    places = stored(_of(each, leaves, leaves.count() <= few_leaves))
-    discard(every, leaves)
+    leaves = _recurring_leaves(every.select("leaf", "context"), contexts)
+    few = leaves.count() <= few_leaves
+    columns = ["h1", "h2", "pos", "k1", "k2", "context", "leaf"]
+    others = _of(every.select("leaf", "k1", "context", "opened"), leaves, few, "left_anti").select("context", F.explode("opened").alias("leaf"))
+    more = _recurring_leaves(others, contexts)
+    rest = _of(every, leaves, few, "left_anti").drop("leaf").withColumn("leaf", F.explode("opened")).select(*columns, "line")
+    places = stored(_of(every.select(*columns, "line"), leaves, few).select(*columns, "line").union(_of(rest, more, more.count() <= few_leaves).select(*columns, "line")))
+    discard(every, leaves, more)
     met = stored(places.select("leaf", "line", "context").distinct())
     lines = stored(met.groupBy("leaf", "line").agg(F.count("*").alias("n")))
 

@@ -176,13 +176,15 @@ WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documen
 l0 AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS l FROM raw),
 l1 AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(l, '[ \t\r\f\x0B]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM l0),
 l2 AS (SELECT *, string_split(line, ' ') AS t FROM l1 WHERE line <> ''),
-l3 AS (
-  SELECT doc_id, pos, line, t, unnest(CASE WHEN len(t) > 3 THEN [len(t) || ' ' || array_to_string(t[1:3], ' '), len(t) || ' 1 ' || array_to_string(t[2:4], ' '),
-    len(t) || ' 2 ' || t[1] || ' ' || t[3] || ' ' || t[4], len(t) || ' 3 ' || t[1] || ' ' || t[2] || ' ' || t[4]] ELSE [len(t) || ' ' || array_to_string(t[1:3], ' ')] END) AS leaf FROM l2),
+l3 AS (SELECT doc_id, pos, line, t, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM l2),
 whole AS (SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS context FROM l2 GROUP BY doc_id),
 l4 AS MATERIALIZED (SELECT DISTINCT context, leaf, line, t FROM l3 JOIN whole USING (doc_id)),
 leaves AS (SELECT leaf FROM l4 GROUP BY leaf HAVING count(DISTINCT context) >= 5),
-met AS MATERIALIZED (SELECT * FROM l4 WHERE leaf IN (FROM leaves)),
+opened AS MATERIALIZED (
+  SELECT DISTINCT context, line, t, unnest([len(t) || ' 1 ' || array_to_string(t[2:4], ' '), len(t) || ' 2 ' || t[1] || ' ' || t[3] || ' ' || t[4], len(t) || ' 3 ' || t[1] || ' ' || t[2] || ' ' || t[4]]) AS leaf
+  FROM l4 WHERE len(t) > 3 AND leaf NOT IN (FROM leaves)),
+more AS (SELECT leaf FROM opened GROUP BY leaf HAVING count(DISTINCT context) >= 5),
+met AS MATERIALIZED (SELECT context, leaf, line, t FROM l4 WHERE leaf IN (FROM leaves) UNION ALL SELECT context, leaf, line, t FROM opened WHERE leaf IN (FROM more)),
 often AS (
   SELECT leaf, place, token FROM (SELECT leaf, context, unnest(range(0, len(t))) AS place, unnest(t) AS token FROM met)
   GROUP BY leaf, place, token HAVING count(DISTINCT context) >= 5),

@@ -520,11 +520,17 @@ def brute_lines(texts, least=5, constant=0.7):
     """The texts without recurring lines, documents of equal masked lines counted once."""
     mask = lambda x: re.sub("[^ ]*[0-9][^ ]*", "<*>", re.sub(r"[ \t\r\f\x0B]+", " ", x).strip(" "))
 
+    full = [[m for x in (t or "").split("\n") if (m := mask(x))] for t in texts]
+    own = lambda x: (len(x.split(" ")), "", *x.split(" ")[:3])
+    met = {}
+    for f in full:
+        for x in f:
+            met.setdefault(own(x), set()).add(tuple(f))
+
     def leaves(x):
         t = x.split(" ")
-        return [(len(t), "", *t[:3])] + [(len(t), k, *t[:k], *t[k + 1 : 4]) for k in range(3) if len(t) > 3]
+        return [own(x)] if len(met[own(x)]) >= least else [(len(t), k, *t[:k], *t[k + 1 : 4]) for k in range(3) if len(t) > 3]
 
-    full = [[m for x in (t or "").split("\n") if (m := mask(x))] for t in texts]
     lines, at, held, gone = {x for f in full for x in f}, {}, {}, set()
     for f in full:
         for x in f:
