@@ -217,14 +217,19 @@ def top_comma(text: pd.Series) -> pd.Series:
     return text.map(find)
 
 
-def subject_particle(word: Column) -> Column:
-    """The Korean topic particle that fits the word's last syllable."""
+def _closed(word: Column) -> Column:
+    """Whether the word ends in a Hangul syllable with a final consonant."""
     last = F.ascii(F.substring(word, -1, 1))
-    return F.when((last >= 0xAC00) & (last <= 0xD7A3) & ((last - 0xAC00) % 28 > 0), F.lit("은")).otherwise(F.lit("는"))
+    return (last >= 0xAC00) & (last <= 0xD7A3) & ((last - 0xAC00) % 28 > 0)
+
+
+def subject_particle(word: Column) -> Column:
+    """The Korean subject particle that fits the word's last syllable."""
+    return F.when(_closed(word), F.lit("이")).otherwise(F.lit("가"))
 
 
 def object_particle(word: Column) -> Column:
-    return F.when(subject_particle(word) == "은", F.lit("을")).otherwise(F.lit("를"))
+    return F.when(_closed(word), F.lit("을")).otherwise(F.lit("를"))
 
 
 def short_hash(n: int, *parts: Column) -> Column:

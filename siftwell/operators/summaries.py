@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.similarity import close_forms, forms, jaccard, multiset_dice, text_similarity
-from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, description_hash, fingerprint, hits, let, match_form, matches, mostly_latin, object_particle, prepared_title, regex, sentences, short_hash, subject_particle, tokens, truncated, without_quotes
+from siftwell.functions.similarity import close_forms, forms, jaccard, multiset_dice
+from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, description_hash, fingerprint, hits, let, match_form, matches, mostly_latin, regex, sentences, short_hash, tokens
 from siftwell.functions.urls import canonical
-from siftwell.operators.rules import facts
+
 from siftwell.packs import Pack
 
 MOST = 100
@@ -174,35 +173,6 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv])[source], F.lit(0))
 
 
-def title_sentence(pack: Pack, title: Column, description: Column) -> Column:
-    """A report-style sentence by templates: the title's subject with its particle, then its clause and missing facts."""
-    t = without_quotes(prepared_title(title))
-    subject, clause = F.trim(F.split_part(t, F.lit(", "), F.lit(1))), F.trim(F.regexp_extract(t, "^[^,]*, (.*)$", 1))
-    found = facts(pack, title, description)
-    extra = F.when(found["amount"].isNotNull() & ~F.replace(t, F.lit(" "), F.lit("")).contains(F.replace(found["amount"], F.lit(" "), F.lit(""))), F.concat(found["amount"], F.lit(" 규모 "))).otherwise("")
-    sentence = F.when(clause == "", F.concat(extra, t)).otherwise(F.concat(subject, subject_particle(subject), F.lit(" "), extra, clause))
-    return truncated(report_ending(sentence), MOST)
-
-
-def report_ending(text: Column) -> Column:
-    """Verb endings as the noun endings of reports."""
-    for pattern, instead in (("했다[.]?$", "함"), ("됐다[.]?$", "됨"), ("한다[.]?$", "함"), ("된다[.]?$", "됨"), ("나섰다[.]?$", "나섬"), ("받았다[.]?$", "받음"), ("[.]+$", "")):
-        text = F.regexp_replace(text, pattern, instead)
-    return F.trim(text)
-
-
-def with_object(noun: Column) -> Column:
-    return F.concat(noun, object_particle(noun))
-
-
-def supporting_sentence(articles: DataFrame, pack: Pack) -> DataFrame:
-    """id and the description's sentence that tells most beside the title: 18 to 180 characters, not its repeat."""
-    rows = articles.select("id", "title", F.posexplode(sentences(F.col("description"))).alias("place", "sentence"))
-    worth = F.least(F.length("sentence"), F.lit(70)) + 12 * hits(match_form(F.col("sentence")), [w for w, _ in pack.sentence_weights]) + F.when(F.arrays_overlap(tokens(F.col("title")), tokens(F.col("sentence"))), 40).otherwise(0)
-    rows = rows.where(F.length("sentence").between(18, 180) & (text_similarity(F.col("title"), F.col("sentence")) < 0.65)).withColumn("worth", worth)
-    return rows.groupBy("id").agg(F.max_by("sentence", F.struct("worth", -F.col("place"))).alias("sentence"))
-
-
 def model_input(articles: DataFrame, pack: Pack, lead: int = 1500, most: int = 3500, sentences_at_most: int = 8) -> DataFrame:
     """id, text (the body's beginning and key sentences beyond it) and an estimate of its tokens."""
     rows = scored_sentences(articles, pack).join(articles.select("id", F.substring("body", 1, lead).alias("lead")), "id").where(~F.col("lead").contains(F.col("sentence")))
@@ -257,9 +227,3 @@ def summarised_by(articles: DataFrame, model: Callable[[str, str], str], local:
     done = sent.select("id", "title", "text", local).mapInPandas(run, f"id {dict(articles.dtypes)['id']}, summary string, summary_by string, error string")
     rest = articles.join(sent.select("id"), "id", "left_anti").select("id", F.col(local).alias("summary"), F.lit("local").alias("summary_by"), F.lit(None).cast("string").alias("error"))
     return done.unionByName(rest)
-
-
-def quoted_fact(title: str) -> str:
-    """The first quoted part of a title, '' if there is none."""
-    found = re.search("[‘“'\"]([^’”'\"]{2,35})[’”'\"]", title or "")
-    return found[1] if found else ""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwell.packs import Pack, Signal
+from siftwell.packs import Pack, Signal, Template
 
 # All words, patterns and weights of this pack.
 PACK = Pack(
@@ -44,6 +44,14 @@ PACK = Pack(
         Signal("support_policy_general", r'지원|모집|선정|정책|협력|인프라', 0, 0, 0),
     ],
     concepts={
+        "fact_amount": r'(?:약\s*|최대\s*)?(?:\d[\d,.]*\s*(?:조|억|만)\s*원|\d[\d,.]*\s*(?:달러|원)|\$\s*\d[\d,.]*(?:\s*(?:million|billion))?)',
+        "fact_stage": r'(?:프리[-\s]?시리즈\s*[A-Z]|프리[-\s]?[A-Z]|시리즈\s*[A-Z]|Series\s*[A-Z]|시드|브릿지|후속\s*투자|Pre[-\s]?IPO)',
+        "fact_count": r'(?:총\s*|신규\s*|최대\s*)?\d[\d,]*\s*(?:곳|개사|개\s*기업|개팀|명|팀)',
+        "fact_fund": r'(?:신규\s*)?(?:벤처|세컨더리|블라인드|모태|성장|지역)?\s*펀드',
+        "purpose": r'조달|확보한?\s*자금|투자자|참여|목적|사업화|양산|실증|판로|고객|해외|수출|매출|고용|후속|연구개발|R&D|상용|비용|효율|유동성|회수시장|협업|입주공간|컨설팅',
+        "measure": r'투입|활용|확대|강화|추진|제공|공급|지원|연계|확보|개선|진출|구축|검증|운영|개발|상용화|인수|선정',
+        "specific": r'솔루션|플랫폼|서비스|기술|제품|센터',
+        "specific_support": r'솔루션|플랫폼|서비스|기술|제품|정책|지원사업|프로그램|센터|펀드',
         "funding_verb": r'\b([A-Z0-9][A-Za-z0-9&._-]{1,39})\s+(raises?|raised|secures?|secured|closes?|closed|extends?)\b',
         "funding_amount": r'[€$£]\s*\d+(?:[.,]\d+)?\s*(?:million|billion|m|bn)?',
         "funding_seed": r'\b(?:pre[-\s]?)?seed(?:\s+round)?\b',
@@ -271,4 +279,51 @@ PACK = Pack(
         ("핀테크", r'핀테크|fintech'),
         ("SaaS", r'\bSaaS\b|소프트웨어\s*서비스'),
     ],
+    # Words, endings and wordings of headlines.
+    actions=[
+        "투자 유치", "투자유치", "펀드 결성", "펀드 조성", "선정", "모집", "지원", "확대", "출시", "공개", "개발", "고도화", "상용화", "개소", "개최", "수상", "참여",
+        "인수", "합병", "매각", "맞손",
+    ],
+    subject_ends="맞손 선정 모집 지원 출시 개발 결성 조성 개최 개소".split(),
+    nobody=["기술 기업", "스타트업", "기업", "업계", "시장", "정부", "VC"],
+    report_stems=[
+        ("선정", ["됐", "되었", "했다", "한다", "해졌다"]), ("모집", ["했", "한다", "에 나선"]), ("지원", ["했", "한다", "에 나선"]),
+        ("확대", ["했", "한다", "됐다", "되었다"]), ("출시", ["했", "한다", "됐다"]), ("공개", ["했", "한다", "됐다"]), ("개발", ["했", "한다", "에 성공했다"]),
+        ("고도화", ["했", "한다", "됐다"]), ("상용화", ["했", "한다", "됐다"]), ("결성", ["했", "한다", "됐다"]), ("조성", ["했", "한다", "됐다"]),
+        ("개최", ["했", "한다", "됐다"]), ("개소", ["했", "한다", "됐다"]), ("참여", ["했", "한다", "됐다"]), ("수상", ["했", "한다"]),
+        ("투입|활용|확대|강화|추진|제공|공급|지원|연계|확보|개선|진출|구축|검증|운영", [r"할\s*(?:계획|예정|방침)(?:이다)?", "한다", "했다", "된다", "됐다"]),
+    ],
+    report_plans=[(r"(?:할\s*(?:계획|예정|방침)(?:이다)?|할\s*것(?:이다)?|예정이다)$", "추진")],
+    joined_endings=[
+        (r"투자\s*유치$", "투자 유치해"), (r"후속\s*투자$", "후속 투자에 참여해"), (r"펀드\s*(결성|조성)$", "펀드를 $1해"),
+        ("(선정|출시|공개|개발|고도화|상용화|확대|참여|수상|개최|개소|확보)$", "$1해"), ("모집$", "모집하며"), ("지원$", "지원하며"),
+    ],
+    cut_endings="투자 유치|유치|선정|결성|조성|출시|공개|개발|고도화|상용화|확대|모집|지원|참여|수상|개최|개소|매각|인수|합병|추진|퇴장|형성".split("|"),
+    openers=[r"(?:회사|기업|기관|정부|운영사들?|선정\s*기업들?|이\s*펀드|펀드|이들)(?:은|는|이|가|에는)?\s*", r"(?:이를|이번\s*투자를|조달한\s*자금을?)\s*"],
+    no_summary="기사 제목에서 확인되는 핵심 사실 없음",
+    templates=[
+        Template("fund", words=(["펀드"], ["결성", "조성"]), lacking="펀드", instead="{fund} 결성", detail="supporting"),
+        Template("program", words=(["TIPS", "팁스", "LIPS", "립스"],), facts=("amount", "count"), detail="supporting", swaps=((r"^맞손\s*[,.:]*", "협력해"),)),
+        Template("secondary", words=(["세컨더리", "구주", "회수시장", "LP 지분", "GP-led"],), detail="supporting"),
+        Template("support", words=(["모집", "선정", "지원사업", "지원 대상", "지원 확대", "공고"],), facts=("amount", "count"), detail="longer", swaps=((r"^맞손\s*[,.:]*", "협력해"),)),
+        Template("award", "{leading?로 }{bare} 수상", pattern="(?:대상|상|원장상)[\"”'’]?$", facts=(), detail="supporting"),
+        Template(
+            "investment", title_only=True, facts=("amount", "stage"), detail="supporting", lacking=r"투자\s*유치|시드\s*투자|후속\s*투자|투자\s*참여", instead="{clause} 투자 유치",
+            words=(["투자 유치", "투자유치", "시드 투자", "시리즈A", "시리즈B", "시리즈C", "Series A", "Series B", "Series C", "후속 투자", "투자 참여"],),
+        ),
+        Template("technology", words=(["출시", "공개", "기술 개발", "솔루션", "플랫폼", "고도화", "상용화", "개소"],), facts=(), detail="specific"),
+        Template("other", facts=("amount", "stage")),
+    ],
+    title_templates=[
+        Template("investment", "{actor} {stage? 단계에서 }{amount?의 }신규 투자 자금을 확보", r"투자\s*유치|투자유치|시드\s*투자|시리즈\s*[A-Z]"),
+        Template("fund", "{actor} {amount? 규모의 }{target:을} 새로 조성", r"(?=.*펀드).*(?:결성|조성)", cut=r"\s*(?:결성|조성).*$", swaps=((r"^(?:약\s*)?\d[\d,.]*\s*(?:조|억|만)\s*원(?:\s*규모)?\s*", ""),), default="신규 펀드"),
+        Template("selecting", "{actor} {target} 명단을 최종 확정", "선정", subject="(?:부|청|원|센터|은행|공사|재단|진흥원)$", cut=r"\s*선정.*$"),
+        Template("selected", "{actor} {target} 대상 명단에 포함", "선정", cut=r"\s*선정.*$"),
+        Template("recruiting", "{actor} {target} 신청을 접수", "모집", cut=r"\s*모집.*$", swaps=((r"참여\s*기업", "참가 기업"),)),
+        Template("launch", "{actor} {target:을} 시장에 선보임", "출시", cut=r"\s*출시.*$"),
+        Template("held", "{actor} {target} 일정을 진행", "개최", cut=r"\s*개최.*$", swaps=(("밋업데이", "밋업 행사"),)),
+        Template("certified", "{actor} {target:을} 받음", r"인증\s*획득", cut=r"\s*획득.*$"),
+        Template("partners", "{actor} {target} 협력 체계를 구축", "업무협약|MOU|맞손", cut=r"\s*(?:업무협약|MOU|맞손).*$"),
+        Template("award", "{actor} {target} 평가의 수상자 명단에 포함", "수상|대상$", cut=r"\s*(?:수상|대상).*$"),
+    ],
 )

@@ -1,4 +1,4 @@
-"""More of the catalogue: operators over the driver's tables with their SQL, and stated cases with stated results."""
+"""More of the catalogue: operators over the driver's tables with their SQL, and texts made of the tables' rows with what they have to give."""
 
 from __future__ import annotations
 
@@ -16,28 +16,48 @@ from siftwell.plans.queries import _ORDER, _RANKED, ARTICLES, ORACLE, QUERIES, _
 from siftwell.sources import feeds, sinks
 
 
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    return _quoted(value) if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
+class Sql(str):
+    """An expected value as SQL over k (the row's key) and x (its text)."""
 
 
-def stated(name: str, schema: str, results: str, of: Callable[[Column, Column, Column], list[Column]], rows: list[tuple]) -> None:
-    """A query over stated rows, given and expected values in each; its SQL states the expected ones.
+def derived(name: str, of: str, key: str, x: tuple[Column, str], schema: str, results: str, found: Callable[[Column, Column, Column], list[Column]], shapes: list[tuple]) -> None:
+    """A query over texts made of a table's rows: each row takes the shapes that its key falls to, given and expected ones.
 
-    results: the results' names; of: the results, from the given columns u, t and e where there are such.
+    `{k}` in a shape is the key, `{x}` the row's text (as a column and as SQL), `{b}` an old article id that holds
+    https://a.example/ and the key. results: the results' names; found: the results, from the given columns u, t and e
+    where there are such.
     """
-    n_given = len(schema.split(","))
+    given, names = [c.split()[0] for c in schema.split(", ")], results.split(", ")
+    kind = F.pmod(F.col("k"), F.lit(len(shapes))).cast("int")
 
     def run(spark, d):
-        given = spark.createDataFrame([(k, *row[:n_given]) for k, row in enumerate(rows)], f"n int, {schema}")
-        found = of(F.col("u"), F.col("t"), F.col("e"))
-        return given.select("n", *(c.alias(k) for k, c in zip(results.split(", "), found, strict=True)))
-
+        rows = table(spark, d, of).select(F.col(key).cast("long").alias("k"), x[0].cast("string").alias("x"))
+        old = F.translate(F.rtrim(F.base64(F.concat(F.lit("\b\x13\"#"), F.lit("https://a.example/"), F.col("k").cast("string"))), F.lit("=")), "+/", "-_")
+
+        def filled(at: int) -> Column:
+            out = F.get(F.array(*(F.lit(s[at]).cast("string") for s in shapes)), kind)
+            for slot, value in (("{k}", F.col("k").cast("string")), ("{x}", F.col("x")), ("{b}", old)):
+                out = F.when(out.contains(slot), F.replace(out, F.lit(slot), value)).otherwise(out)
+            return out
+
+        rows = rows.select(F.col("k").alias("n"), *(filled(at).alias(c) for at, c in enumerate(given)))
+        return rows.select("n", *(c.alias(n) for n, c in zip(names, found(F.col("u"), F.col("t"), F.col("e")), strict=True)))
+
+    def told(value) -> str:
+        if value is None or isinstance(value, Sql):
+            return value or "NULL"
+        if isinstance(value, str):
+            return f"replace(replace({_quoted(value)}, '{{k}}', CAST(k AS VARCHAR)), '{{x}}', x)" if "{" in value else _quoted(value)
+        return f"CAST({value} AS DOUBLE)" if isinstance(value, float) else str(value).lower()
+
+    case = lambda at: "CASE " + " ".join(f"WHEN k % {len(shapes)} = {n} THEN {told(s[at])}" for n, s in enumerate(shapes)) + " END"
     QUERIES[name] = run
-    values = ", ".join("(" + ", ".join([str(k), *(_literal(v) for v in row[n_given:])]) + ")" for k, row in enumerate(rows))
-    ORACLE[name] = f"SELECT * FROM (VALUES {values}) v(n, {results})"
+    ORACLE[name] = f"SELECT k AS n, {', '.join(f'{case(len(given) + at)} AS {n}' for at, n in enumerate(names))} FROM (SELECT CAST({key} AS BIGINT) AS k, {x[1]} AS x FROM {of})"
+
 
+_HOST = (urls.host(F.col("url")), r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))")
+_CLOCK = (F.date_format("ts", "HH:mm:ss"), "strftime(ts, '%H:%M:%S')")
+_NONE = (F.lit(""), "''")
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
 
@@ -67,7 +87,13 @@ def sitemap_entries(spark, d):
     return feeds.sitemap(pages)
 
 
-stated("fetch_failures", "e string", "reason", lambda u, t, e: [feeds.failure_reason(e)], [("The operation was aborted", "fetch_timeout"), ("request timed out", "fetch_timeout"), ("getaddrinfo ENOTFOUND x", "fetch_dns"), ("EAI_AGAIN", "fetch_dns"), ("socket hang up", "fetch_network"), ("", "fetch_network")])
+derived(
+    "fetch_failures", "events", "event_id", _CLOCK, "e string", "reason", lambda u, t, e: [feeds.failure_reason(e)],
+    [
+        ("The operation was aborted at {x}", "fetch_timeout"), ("request {k} timed out", "fetch_timeout"), ("getaddrinfo ENOTFOUND h{k}.example", "fetch_dns"), ("EAI_AGAIN h{k}.example at {x}", "fetch_dns"),
+        ("socket {k} hang up", "fetch_network"), ("", "fetch_network"),
+    ],
+)
 
 
 @query(
@@ -95,9 +121,13 @@ def archive_index(spark, d):
     return feeds.archive_dates(spark, ["2023-12-31", "no date"], names.union(spark.createDataFrame([("data/archive/index.json",)], "path string")))
 
 
-stated(
-    "source_names", "p string, c string, f string, s string, a string", "source", lambda u, t, e: [feeds.source_name(F.col("p"), F.col("c"), F.col("f"), F.col("s"), F.lit(None).cast("string"), F.col("a"))],
-    [("primary", "A &amp; B", "Feed", "Item", None, "A & B"), ("primary", "", "Feed", "Item", None, "Feed"), ("discovery", "A", "Feed", " <b>Item</b> ", "W", "Item"), ("discovery", "A", "Feed", "", "W", "W"), ("secondary", "A", "Feed", None, None, "Feed")],
+derived(
+    "source_names", "supplier", "s_suppkey", (F.col("s_name"), "s_name"), "p string, c string, f string, s string, a string", "source",
+    lambda u, t, e: [feeds.source_name(F.col("p"), F.col("c"), F.col("f"), F.col("s"), F.lit(None).cast("string"), F.col("a"))],
+    [
+        ("primary", "{x} &amp; B", "Feed", "Item", None, "{x} & B"), ("primary", "", "{x}", "Item", None, "{x}"), ("discovery", "A", "Feed", " <b>{x}</b> ", "W", "{x}"), ("discovery", "A", "Feed", "", "W {k}", "W {k}"),
+        ("secondary", "A", "{x} {k}", None, None, "{x} {k}"),
+    ],
 )
 
 
@@ -145,34 +175,35 @@ def publisher_title_search(spark, d):
 
 # --- URLs ------------------------------------------------------------------------------------------------------------
 
-stated(
-    "url_repair", "u string", "repaired, collected", lambda u, t, e: [urls.repaired(u), urls.collected(u, F.lit("https://x.example/list/"))],
+derived(
+    "url_repair", "pages", "page_id", _HOST, "u string", "repaired, collected", lambda u, t, e: [urls.repaired(u), urls.collected(u, F.lit("https://x.example/list/"))],
     [
-        ("https://a.example/?a=1&amp;b=2", "https://a.example/?a=1&b=2", "https://a.example/?a=1&b=2"), ("https://a.example/?a=1%26amp%3Bb=2#f", "https://a.example/?a=1&b=2#f", "https://a.example/?a=1&b=2"),
-        ("/p?x=1&#38;y=2", "/p?x=1&y=2", "https://x.example/p?x=1&y=2"), ("q.html", "q.html", "https://x.example/list/q.html"), ("mailto:a@b.example", "mailto:a@b.example", None), ("ftp://a.example/x", "ftp://a.example/x", None),
+        ("https://{x}/?a={k}&amp;b=2", "https://{x}/?a={k}&b=2", "https://{x}/?a={k}&b=2"), ("https://{x}/?a=1%26amp%3Bb={k}#f", "https://{x}/?a=1&b={k}#f", "https://{x}/?a=1&b={k}"),
+        ("/p/{k}?x=1&#38;y=2", "/p/{k}?x=1&y=2", "https://x.example/p/{k}?x=1&y=2"), ("q{k}.html", "q{k}.html", "https://x.example/list/q{k}.html"), ("mailto:a{k}@b.example", "mailto:a{k}@b.example", None), ("ftp://{x}/{k}", "ftp://{x}/{k}", None),
     ],
 )
-stated(
-    "url_safety", "u string", "safe, aggregator, href, origin", lambda u, t, e: [urls.is_safe(u), urls.is_aggregator(u), urls.href(u), urls.publisher_origin(F.lit("no url"), u)],
+derived(
+    "url_safety", "pages", "page_id", _HOST, "u string", "safe, aggregator, href, origin", lambda u, t, e: [urls.is_safe(u), urls.is_aggregator(u), urls.href(u), urls.publisher_origin(F.lit("no url"), u)],
     [
-        ("https://a.example/x", True, False, "https://a.example/x", "https://a.example"), ("http://localhost/x", False, False, "http://localhost/x", "http://localhost"), ("http://10.1.2.3/", False, False, "http://10.1.2.3/", "http://10.1.2.3"),
-        ("http://172.20.0.1/", False, False, "http://172.20.0.1/", "http://172.20.0.1"), ("http://172.40.0.1/", True, False, "http://172.40.0.1/", "http://172.40.0.1"), ("https://news.google.com/articles/x", True, True, "https://news.google.com/articles/x", "https://news.google.com"),
-        ("javascript:alert(1)", False, False, "#", None), ("HTTPS://A.Example:8443/y", True, False, "HTTPS://A.Example:8443/y", "https://a.example:8443"),
+        ("https://{x}/{k}", True, False, "https://{x}/{k}", "https://{x}"), ("http://localhost/{k}", False, False, "http://localhost/{k}", "http://localhost"), ("http://10.1.2.3/{k}", False, False, "http://10.1.2.3/{k}", "http://10.1.2.3"),
+        ("http://172.20.0.1/{k}", False, False, "http://172.20.0.1/{k}", "http://172.20.0.1"), ("http://172.40.0.1/{k}", True, False, "http://172.40.0.1/{k}", "http://172.40.0.1"), ("https://news.google.com/articles/{k}", True, True, "https://news.google.com/articles/{k}", "https://news.google.com"),
+        ("javascript:alert({k})", False, False, "#", None), ("HTTPS://A.Example:8443/{k}", True, False, "HTTPS://A.Example:8443/{k}", "https://a.example:8443"),
     ],
 )
-stated(
-    "url_unwrap", "u string", "target, candidate, key", lambda u, t, e: [urls.unwrapped(u), urls.candidate(u), urls.article_key(u)],
+derived(
+    "url_unwrap", "pages", "page_id", _HOST, "u string", "target, candidate, key", lambda u, t, e: [urls.unwrapped(u), urls.candidate(u), urls.article_key(u)],
     [
-        ("https://r.example/go?url=https%3A%2F%2Fa.example%2Fx%3Fy%3D1", "https://a.example/x?y=1", "https://a.example/x?y=1", None), ("https://r.example/go?q=http%3A%2F%2F127.0.0.1%2F", "http://127.0.0.1/", None, None),
-        ("https://news.google.com/rss/articles/CBMiAB?oc=5", "https://news.google.com/rss/articles/CBMiAB?oc=5", None, "CBMiAB"), ("https://a.example/plain", "https://a.example/plain", "https://a.example/plain", None),
+        ("https://r.example/go?url=https%3A%2F%2F{x}%2F{k}%3Fy%3D1", "https://{x}/{k}?y=1", "https://{x}/{k}?y=1", None), ("https://r.example/go?q=http%3A%2F%2F127.0.0.1%2F{k}", "http://127.0.0.1/{k}", None, None),
+        ("https://news.google.com/rss/articles/CBMi{k}?oc=5", "https://news.google.com/rss/articles/CBMi{k}?oc=5", None, "CBMi{k}"), ("https://{x}/plain/{k}", "https://{x}/plain/{k}", "https://{x}/plain/{k}", None),
     ],
 )
-stated(
-    "url_resolution", "u string, r string, m string", "url, status", lambda u, t, e: [urls.resolution(u, F.col("r"), F.col("m"), F.lit(None).cast("string"))["url"], urls.resolution(u, F.col("r"), F.col("m"), F.lit(None).cast("string"))["status"]],
+derived(
+    "url_resolution", "pages", "page_id", _HOST, "u string, r string, m string, s string", "url, status",
+    lambda u, t, e: [urls.resolution(u, F.col("r"), F.col("m"), F.col("s"))["url"], urls.resolution(u, F.col("r"), F.col("m"), F.col("s"))["status"]],
     [
-        ("https://a.example/x", None, None, "https://a.example/x", "not_required"), ("https://news.google.com/articles/abc", "https://b.example/y", None, "https://b.example/y", "http_redirect"),
-        ("https://news.google.com/articles/abc", "https://news.google.com/z", "https://c.example/z", "https://c.example/z", "html_metadata"), ("https://news.google.com/articles/abc", None, None, None, "failed"),
-        ("https://news.google.com/articles/CBMiFWh0dHBzOi8vYS5leGFtcGxlL3gveQ", None, None, "https://a.example/x/y", "legacy_decoded"),
+        ("https://{x}/{k}", None, None, None, "https://{x}/{k}", "not_required"), ("https://news.google.com/articles/abc{k}", "https://{x}/y{k}", None, None, "https://{x}/y{k}", "http_redirect"),
+        ("https://news.google.com/articles/abc{k}", "https://news.google.com/z", "https://{x}/z{k}", None, "https://{x}/z{k}", "html_metadata"), ("https://news.google.com/articles/abc{k}", None, "http://10.0.0.{k}/", None, None, "failed"),
+        ("https://news.google.com/articles/{b}", None, None, None, "https://a.example/{k}", "legacy_decoded"), ("https://news.google.com/read/abc{k}", None, None, "https://{x}/s/{k}", "https://{x}/s/{k}", "publisher_search"),
     ],
 )
 
@@ -217,28 +248,38 @@ def page_extraction(spark, d):
     return table(spark, d, "pages").select("page_id", html.extraction(F.col("html"), PACK).alias("x")).select("page_id", "x.text", "x.failure")
 
 
-_HEAD = '<html><head><meta property="og:title" content="A &amp; B"><meta name=description content=\'Some words\'><meta property="og:url" content="https://a.example/o"><meta property="article:published_time" content="2024-03-05T06:07:08Z"></head><body><h1>Head</h1>{}</body></html>'
-stated(
-    "page_metadata", "h string", "title, configured, description, published, original", lambda u, t, e: [html.title(F.col("h")), html.title(F.col("h"), None, ("meta[x]", ".top")), html.description(F.col("h")), html.published(F.col("h")).cast("string"), html.original_url(F.col("h"))],
+_HEAD = '<html><head><meta property="og:title" content="A {k} &amp; B"><meta name=description content=\'Some words of {x}\'><meta property="og:url" content="https://{x}/o{k}"><meta property="article:published_time" content="2024-03-05T06:07:08Z"></head><body><h1>Head</h1></body></html>'
+derived(
+    "page_metadata", "pages", "page_id", _HOST, "h string", "title, configured, description, published, original",
+    lambda u, t, e: [html.title(F.col("h")), html.title(F.col("h"), None, ("meta[x]", ".top")), html.description(F.col("h")), html.published(F.col("h")).cast("string"), html.original_url(F.col("h"))],
     [
-        (_HEAD.format(""), "A & B", "A & B", "Some words", "2024-03-05 06:07:08", "https://a.example/o"),
-        ('<link rel="canonical" href="https://c.example/x"><h1> One <b>two</b></h1><div class="top">Top</div><time datetime="2024-01-02"></time>', "One two", "Top", "", "2024-01-02 00:00:00", "https://c.example/x"),
-        ('<title>T</title><script>{"datePublished": "2024-02-03T00:00:00Z"}</script><a href="https://d.example/y">x</a>', "T", "T", "", "2024-02-03 00:00:00", "https://d.example/y"),
-        ('<p>on 2024. 5. 6</p>', None, None, "", "2024-05-06 00:00:00", None),
+        (_HEAD, "A {k} & B", "A {k} & B", "Some words of {x}", "2024-03-05 06:07:08", "https://{x}/o{k}"),
+        ('<link rel="canonical" href="https://{x}/{k}"><h1> One <b>two {k}</b></h1><div class="top">Top {k}</div><time datetime="2024-01-02"></time>', "One two {k}", "Top {k}", "", "2024-01-02 00:00:00", "https://{x}/{k}"),
+        ('<title>T {k}</title><script>{"datePublished": "2024-02-03T00:00:00Z"}</script><a href="https://{x}/y">x</a>', "T {k}", "T {k}", "", "2024-02-03 00:00:00", "https://{x}/y"),
+        ('<p>on 2024. 5. 6 it was {k}</p>', None, None, "", "2024-05-06 00:00:00", None),
     ],
 )
-stated("title_source", "t string, s string", "title", lambda u, t, e: [html.without_source(t, F.col("s"))], [("News of today - The Post", "The Post", "News of today"), ("A - B - Post", "Post", "A - B"), ("A | Other", "Post", "A | Other"), ("A - Post", "", "A - Post")])
+derived(
+    "title_source", "documents", "doc_id", (F.coalesce("source", F.lit("Post")), "coalesce(source, 'Post')"), "t string, s string", "title", lambda u, t, e: [html.without_source(t, F.col("s"))],
+    [("News {k} of today - {x}", "{x}", "News {k} of today"), ("A{k} - B - {x}", "{x}", "A{k} - B"), ("A{k} | Other", "{x}", "A{k} | Other"), ("A{k} - {x}", "", "A{k} - {x}")],
+)
 
 # --- texts and times -------------------------------------------------------------------------------------------------
 
-stated(
-    "title_forms", "t string", "decoded, prepared, bare, comma", lambda u, t, e: [text.decode_references(t), text.prepared_title(t), text.without_quotes(t), text.top_comma(t)],
-    [("[속보] A&#39;s plan...", "[속보] A's plan...", "A&#39;s plan", "[속보] A&#39;s plan,", -1), ("‘가나’, 다라 1,000억", "‘가나’, 다라 1,000억", "‘가나’, 다라 1,000억", "가나, 다라 1,000억", 4), ("(a, b) c", "(a, b) c", "(a, b) c", "(a, b) c", -1), ("", "", "", "", -1)],
+derived(
+    "title_forms", "documents", "doc_id", _NONE, "t string", "decoded, prepared, bare, comma", lambda u, t, e: [text.decode_references(t), text.prepared_title(t), text.without_quotes(t), text.top_comma(t)],
+    [
+        ("[속보] A{k}&#39;s plan...", "[속보] A{k}'s plan...", "A{k}&#39;s plan", "[속보] A{k}&#39;s plan,", -1), ("‘가나’, 다라 {k},000억", "‘가나’, 다라 {k},000억", "‘가나’, 다라 {k},000억", "가나, 다라 {k},000억", 4),
+        ("(a, {k}) c", "(a, {k}) c", "(a, {k}) c", "(a, {k}) c", -1), ("", "", "", "", -1),
+    ],
 )
-stated("particles", "t string", "subject, object", lambda u, t, e: [text.subject_particle(t), text.object_particle(t)], [("회사", "는", "를"), ("기업", "은", "을"), ("Acme", "는", "를")])
-stated(
-    "parsed_times", "t string", "parsed, seconds", lambda u, t, e: [times.parsed(t).cast("string"), times.retry_seconds(t)],
-    [("Tue, 05 Mar 2024 06:07:08 GMT", "2024-03-05 06:07:08", None), ("2024-03-05T06:07:08+09:00", "2024-03-04 21:07:08", None), ("2024.03.05", "2024-03-05 00:00:00", None), ("1h2m3.5s", None, 3723.5), ("250ms", None, 0.25), ("soon", None, None)],
+derived("particles", "customer", "c_custkey", _NONE, "t string", "subject, object", lambda u, t, e: [text.subject_particle(t), text.object_particle(t)], [("{k}회사", "가", "를"), ("{k}기업", "이", "을"), ("Acme{k}", "가", "를"), ("", "가", "를")])
+derived(
+    "parsed_times", "events", "event_id", _CLOCK, "t string", "parsed, seconds", lambda u, t, e: [times.parsed(t).cast("string"), times.retry_seconds(t)],
+    [
+        ("Tue, 05 Mar 2024 {x} GMT", "2024-03-05 {x}", None), ("2024-03-05T{x}Z", "2024-03-05 {x}", None), ("2024-03-05T{x}+09:00", Sql("strftime(CAST('2024-03-05 ' || x AS TIMESTAMP) - INTERVAL 9 HOURS, '%Y-%m-%d %H:%M:%S')"), None),
+        ("2024.03.05", "2024-03-05 00:00:00", None), ("{k}h2m3.5s", None, Sql("CAST(k * 3600 + 123.5 AS DOUBLE)")), ("{k}ms", None, Sql("k / 1000")), ("soon {k}", None, None),
+    ],
 )
 
 
@@ -277,9 +318,12 @@ def importance(spark, d):
     return table(spark, d, "documents").select("doc_id", rules.importance((F.col("doc_id") % 20).cast("int"), F.col("lang") == "en", found).alias("importance"))
 
 
-stated(
-    "search_likeness", "a string, b string", "closeness", lambda u, t, e: [F.round(similarity.search_similarity(F.col("a"), F.col("b")), 4)],
-    [("Acme raises money", "ACME raises money!", 1.0), ("abcd", "abcdefgh", 0.5), ("abcd", "abxy", 0.3333), ("", "abc", 0.0)],
+derived(
+    "search_likeness", "part", "p_partkey", (F.col("p_name"), "p_name"), "a string, b string", "closeness", lambda u, t, e: [F.round(similarity.search_similarity(F.col("a"), F.col("b")), 4)],
+    [
+        ("{x} raises {k}", "{x} RAISES {k}!", 1.0), ("{x}", "{x} and more", Sql("round(length(replace(x, ' ', '')) / (length(replace(x, ' ', '')) + 7), 4)")), ("abcd{k}", "", 0.0), ("", "{x}", 0.0), ("abc{k}", "xyz!", 0.0),
+        ("abcd", "abxy", 0.3333), ("{k}{x}", "{k}", Sql("round(length(CAST(k AS VARCHAR)) / (length(CAST(k AS VARCHAR)) + length(replace(x, ' ', ''))), 4)")),
+    ],
 )
 
 # --- aggregates and orders -------------------------------------------------------------------------------------------
@@ -334,9 +378,12 @@ def top_excluded(spark, d):
 
 # --- summaries and checks --------------------------------------------------------------------------------------------
 
-stated("source_ranks", "t string", "rank", lambda u, t, e: [summaries.source_rank(t)], [("openai_body", 5), ("local_extractive", 3), ("description", 2), ("titleFallback", 1), ("unavailable", 0), ("other", 0)])
-stated("model_limits", "e string", "kind", lambda u, t, e: [summaries.limit_kind(e)], [("Limit reached: requests per day (RPD)", "daily"), ("tokens per min (TPM)", "tpm"), ("requests per min", "rpm"), ("bad gateway", "unknown")])
-stated("summary_limits", "t string", "most, similarity", lambda u, t, e: [quality.limits(t)[0], quality.limits(t)[1]], [("openai_description", 120, 1.01), ("structured_overseas", 100, 1.01), ("local_extractive", 100, 0.97), ("description", 100, 0.8)])
+derived("source_ranks", "events", "event_id", _NONE, "t string", "rank", lambda u, t, e: [summaries.source_rank(t)], [("openai_body", 5), ("local_extractive", 3), ("description", 2), ("titleFallback", 1), ("unavailable", 0), ("other {k}", 0), (None, 0)])
+derived(
+    "model_limits", "events", "event_id", _CLOCK, "e string", "kind", lambda u, t, e: [summaries.limit_kind(e)],
+    [("Limit {k} reached at {x}: requests per day (RPD)", "daily"), ("{k} tokens per min (TPM)", "tpm"), ("{k} requests per min", "rpm"), ("bad gateway at {x}", "unknown"), ("daily quota of {k}", "daily")],
+)
+derived("summary_limits", "events", "event_id", _NONE, "t string", "most, similarity", lambda u, t, e: [quality.limits(t)[0], quality.limits(t)[1]], [("openai_description", 120, 1.01), ("structured_overseas", 100, 1.01), ("local_extractive", 100, 0.97), ("description", 100, 0.8)])
 
 
 @query("SELECT count(*) AS requests, count_if(event_type NOT IN ('click', 'view')) AS succeeded, count_if(event_type IN ('click', 'view')) AS failed, count_if(event_type = 'click') AS daily_limits, count_if(event_type = 'view') AS rate_limits, round(sum(value), 3) AS seconds, CAST(sum(user_id) AS BIGINT) AS tokens FROM events")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.times import in_range, local_date
 from siftwell.functions.urls import canonical
-from siftwell.operators import dedup, quality, rules, selection, summaries
+from siftwell.operators import dedup, quality, rules, selection, summaries, titles
 from siftwell.operators.dedup import stored
 from siftwell.operators.joins import event_pairs
 from siftwell.packs import Pack
@@ -48,14 +48,16 @@ def briefing(entries: DataFrame, bodies: DataFrame, pack: Pack, start: Column, e
     by_description = summaries.extractive(eligible.where(summaries.description_eligible(pack, F.col("description"))), pack, "description").withColumnRenamed("summary", "description_summary")
     rows = eligible.join(by_body, "id", "left").join(by_description, "id", "left")
     overseas = F.when(F.col("category") == pack.overseas_category, summaries.overseas_sentence(pack, F.col("title")))
-    titled = F.when(quality.title_eligible(pack, F.col("title")), summaries.title_sentence(pack, F.col("title"), F.col("description")))
+    told = titles.title_summaries(eligible.where(quality.title_eligible(pack, F.col("title"))), pack)
+    rows = rows.join(told.select("id", F.col("summary").alias("title_summary")), "id", "left")
+    titled = F.col("title_summary")
     rows = rows.withColumn("__s", summaries.ladder(F.col("body_summary"), F.col("description_summary"), overseas, titled)).select("*", "__s.*")
     most, close = quality.limits(F.col("summary_source"))
     reason = F.coalesce(quality.summary_reason(pack, F.col("title"), F.col("summary"), most, close), quality.fallback_reason(pack, F.col("title"), F.col("summary"), F.col("source"), F.col("summary_source")))
     reason = F.when(F.col("summary_source") != "unavailable", F.concat(F.lit("summary_"), reason))
     hard = rules.hard_exclusion(pack, F.col("title"), F.col("description"), F.coalesce("body", F.lit("")), F.col("summary"))
     rows = rows.withColumn("exclude_reason", F.coalesce(reason, hard)).withColumn("score", rules.final_score(F.col("score"), F.col("summary_source"), F.lit(False)))
-    summed = stored(rows.drop("__s", "body_summary", "description_summary"))
+    summed = stored(rows.drop("__s", "body_summary", "description_summary", "title_summary"))
     good = summed.where("exclude_reason is null")
 
     both = rules.joined(F.col("title"), F.col("summary"))

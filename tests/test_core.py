@@ -25,7 +25,7 @@ def test_text(spark):
     assert one(spark, text.contains_keyword(F.col("t"), "VC"), text.contains_keyword(F.col("t"), "투자"), t="the vc는 투자유치") == (False, True)
     assert one(spark, text.matches(F.col("t"), r"\bAC\b"), t="AC는 좋다")
     assert one(spark, text.sentences(F.col("t")), text.sentences_with_decimals(F.col("t")), t="It is 8.5 now. Next!\nLast") == (["It is 8.", "5 now.", "Next!", "Last"], ["It is 8.5 now.", "Next!", "Last"])
-    assert one(spark, text.subject_particle(F.col("a")), text.object_particle(F.col("b")), a="기업", b="회사") == ("은", "를")
+    assert one(spark, text.subject_particle(F.col("a")), text.object_particle(F.col("b")), a="기업", b="회사") == ("이", "를")
     assert one(spark, text.top_comma(F.col("t")), t="“a, b” 1,000, c") == 12
 
 
