@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.functions.similarity import close_forms, forms, jaccard, multiset_dice
-from siftwell.functions.text import SPACES, bigrams, clean, contains_keyword, description_hash, fingerprint, hits, let, match_form, matches, mostly_latin, regex, sentences, short_hash, tokens
+from siftwell.functions.similarity import counts_of, dice_of_counts, jaccard, multiset_dice
+from siftwell.functions.text import SPACES, clean, contains_keyword, description_hash, fingerprint, grams_of, hits, let, match_form, matches, mostly_latin, regex, sentences, short_hash, tokens
 from siftwell.functions.urls import canonical
-
 from siftwell.packs import Pack
 
 MOST = 100
@@ -41,52 +40,81 @@ def _points(pairs: list[tuple[Column, int]]) -> Column:
     return total
 
 
-def sentence_score(pack: Pack, sentence: Column, title: Column, category: Column, place: Column, title_forms: Column | None = None, sentence_forms: Column | None = None) -> Column:
-    """What a sentence is worth; forms of title and sentence may come as columns, computed once."""
-    title_forms = forms(title) if title_forms is None else title_forms
-    sentence_forms = forms(sentence) if sentence_forms is None else sentence_forms
-    c, n, form = pack.concept, F.length(sentence), match_form(sentence)
+def title_view(pack: Pack, title: Column) -> Column:
+    """What a title's sentences are compared with, once per title: fingerprint, tokens, and whether it tells of money or support."""
+    plain = clean(title)
+    told = {"investment": pack.concept("investment_title"), "support": pack.concept("support_title")}
+    return F.struct(fingerprint(title).alias("print"), tokens(title).alias("tokens"), *(matches(plain, p).alias(k) for k, p in told.items()))
+
+
+def closeness(view: Column, print_: Column, words: Column) -> Column:
+    """text_similarity of a title's view and a sentence's fingerprint and tokens where it reaches 0.8, else 0.
+
+    Below that it decides nothing. Neither measure reaches it if the sizes differ too much, as they mostly do.
+    """
+    n, m = F.length(view["print"]) - 1, F.length(print_) - 1
+    grams = lambda p: counts_of(grams_of(p))
+    dice = F.when((n > 0) & (m > 0) & (2 * F.least(n, m) >= 0.8 * (n + m) - 1e-9), dice_of_counts(grams(view["print"]), grams(print_))).otherwise(0.0)
+    many = F.least(F.size(view["tokens"]), F.size(words)) >= 0.8 * F.greatest(F.size(view["tokens"]), F.size(words)) - 1e-9
+    share = F.when(many, jaccard(view["tokens"], words)).otherwise(0.0)
+    near = let(F.greatest(share, dice), lambda c: F.when(c >= 0.8, c).otherwise(0.0))
+    return F.when((print_ != "") & (print_ == view["print"]), 1.0).otherwise(near)
+
+
+def sentence_score(pack: Pack, sentence: Column, form: Column, view: Column, words: Column, close: Column, category: Column, place: Column) -> Column:
+    """What a sentence is worth; form: its match form, view: the title's, words: its tokens, close: closeness to the title."""
+    c, n = pack.concept, F.length(sentence)
     has = lambda name: matches(sentence, c(name))
     score = F.when(n < 18, -30).when(n <= 120, 10).when(n <= 180, 3).otherwise(-25)
     score = score + _points([(contains_keyword(form, k), w) for k, w in pack.sentence_weights])
-    for name, words in pack.category_words.items():
-        score = score + F.when(category == name, 5 * hits(form, words)).otherwise(0)
-    invests, supports = matches(clean(title), c("investment_title")), matches(clean(title), c("support_title"))
+    for name, known in pack.category_words.items():
+        score = score + F.when(category == name, 5 * hits(form, known)).otherwise(0)
     invest = F.when(has("investment_fact"), 45).otherwise(-55) + _points([(has("investment_size"), 14), (has("investor"), 11), (has("use_of_funds"), 9)])
     support = F.when(has("support_fact"), 25).otherwise(-12) + _points([(has("support_actor"), 8), (has("support_size"), 9), (has("ceremony") & ~has("support_fact"), -30)])
-    score = score + F.when(invests, invest).otherwise(0) + F.when(supports, support).otherwise(0)
+    score = score + F.when(view["investment"], invest).otherwise(0) + F.when(view["support"], support).otherwise(0)
     score = score + _points([(has("money"), 9), (has("subject"), 5), (has("action"), 8), (has("institution"), 6), (has("weak"), -20), (has("advert"), -35), (has("stock_sentence"), -35), (has("promotion"), -25)])
     score = score + F.greatest(F.lit(0), 4 - place)
-    score = score + F.least(4 * F.size(F.array_intersect(title_forms["tokens"], sentence_forms["tokens"])), F.lit(16))
-    close = close_forms(title_forms, sentence_forms)
+    score = score + F.least(4 * F.size(F.array_intersect(view["tokens"], words)), F.lit(16))
     score = score + F.when(mostly_latin(sentence), F.when(close >= 0.95, -20).when(close >= 0.8, -5).otherwise(0)).otherwise(F.when(close >= 0.96, -50).when(close >= 0.8, -10).otherwise(0))
     return score + F.when(category == pack.tech_category, F.when(has("context"), 12).when(~has("action"), -35).otherwise(0)).otherwise(0)
 
 
 def scored_sentences(articles: DataFrame, pack: Pack, text: str = "body") -> DataFrame:
-    """id, place, sentence, score, usable of each distinct sentence of the articles (id, title, category, source, text)."""
-    articles = articles.select("id", "title", "category", "source", forms(F.col("title")).alias("__title"), F.col(text).alias("__text"))
-    rows = articles.select("id", "title", "category", "source", "__title", F.posexplode(sentences(F.col("__text"))).alias("place", "raw"))
+    """id, place, sentence, score, usable of each distinct sentence of the articles (id, title, category, source, text).
+
+    Repeats are found within the row, by sorting its sentences: nothing is shuffled.
+    """
     meta = pack.concept("sentence_metadata")
-    rows = rows.where(~matches(F.col("raw"), meta)).withColumn("sentence", sanitised(pack, F.col("raw"), F.col("source")))
-    rows = rows.where((F.col("sentence") != "") & ~matches(F.col("sentence"), meta))
-    first = Window.partitionBy("id", F.lower(F.regexp_replace("sentence", SPACES, ""))).orderBy("place")
-    rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").withColumn("__forms", forms(F.col("sentence")))
-    rows = rows.withColumn("score", sentence_score(pack, F.col("sentence"), F.col("title"), F.col("category"), F.col("place"), F.col("__title"), F.col("__forms")))
-    usable = (F.col("score") >= 0) & ~matches(F.col("sentence"), pack.concept("weak")) & (close_forms(F.col("__title"), F.col("__forms")) < 0.96) & complete(pack, F.col("sentence"))
-    return rows.withColumn("usable", usable).select("id", "place", "sentence", "score", "usable")
+    rows = articles.select("id", "category", "source", title_view(pack, F.col("title")).alias("view"), sentences(F.col(text)).alias("raw"))
+    told = F.transform("raw", lambda s, i: F.struct(i.alias("place"), s.alias("raw")))
+    told = F.filter(told, lambda s: ~matches(s["raw"], meta))
+    told = F.transform(told, lambda s: F.struct(s["place"].alias("place"), sanitised(pack, s["raw"], F.col("source")).alias("sentence")))
+    told = F.filter(told, lambda s: (s["sentence"] != "") & ~matches(s["sentence"], meta))
+    keyed = F.array_sort(F.transform(told, lambda s: F.struct(F.lower(F.regexp_replace(s["sentence"], SPACES, "")).alias("key"), s["place"].alias("place"), s["sentence"].alias("sentence"))))
+    rows = rows.select("id", "category", "view", keyed.alias("keyed"))
+    first = F.filter("keyed", lambda s, i: (i == 0) | (F.get(F.col("keyed"), i - 1)["key"] != s["key"]))
+    rows = rows.select("id", "category", "view", F.explode(first).alias("s")).select("id", "category", "view", "s.place", "s.sentence")
+    rows = rows.withColumns({"form": match_form(F.col("sentence")), "print": fingerprint(F.col("sentence")), "words": tokens(F.col("sentence"))})
+    rows = rows.withColumn("close", closeness(F.col("view"), F.col("print"), F.col("words")))
+    score = sentence_score(pack, F.col("sentence"), F.col("form"), F.col("view"), F.col("words"), F.col("close"), F.col("category"), F.col("place"))
+    rows = rows.withColumn("score", score)
+    usable = (F.col("score") >= 0) & (F.col("close") < 0.96) & ~matches(F.col("sentence"), pack.concept("weak")) & complete(pack, F.col("sentence"))
+    return rows.select("id", "place", "sentence", "score", usable.alias("usable"))
 
 
 def extractive(articles: DataFrame, pack: Pack, text: str = "body") -> DataFrame:
     """id and summary: the best usable sentence, and if it is short the next that adds something."""
     rows = scored_sentences(articles, pack, text).where("usable")
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "place")
-    top = rows.withColumn("n", F.row_number().over(order))
-    first = top.where("n = 1").select("id", F.col("sentence").alias("first"))
-    close = F.when(fingerprint(F.col("first")) == fingerprint(F.col("sentence")), 1.0).otherwise(F.greatest(jaccard(tokens(F.col("first")), tokens(F.col("sentence"))), multiset_dice(bigrams(F.col("first")), bigrams(F.col("sentence")))))
-    more = top.where("n > 1").join(first.where(F.length("first") < 45), "id").where((close < 0.65) & (F.length("first") + 1 + F.length("sentence") <= MOST))
-    second = more.groupBy("id").agg(F.min_by("sentence", "n").alias("second"))
-    return first.join(second, "id", "left").select("id", F.concat_ws(" ", "first", "second").alias("summary"))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("worth"), "place", "sentence")))
+    rows = rows.groupBy("id").agg(F.transform(best, lambda s: s["sentence"]).alias("best")).withColumn("first", F.get("best", F.lit(0)))
+
+    def unlike(own: Column, other: Column) -> Column:
+        views = F.struct(fingerprint(own).alias("p"), tokens(own).alias("t"), fingerprint(other).alias("q"), tokens(other).alias("u"))
+        return let(views, lambda v: (v["p"] != v["q"]) & (F.greatest(jaccard(v["t"], v["u"]), multiset_dice(grams_of(v["p"]), grams_of(v["q"]))) < 0.65))
+
+    fits = lambda s, i: (i > 0) & (F.length("first") + 1 + F.length(s) <= MOST) & unlike(F.col("first"), s)
+    second = F.when(F.length("first") < 45, F.get(F.filter("best", fits), F.lit(0)))
+    return rows.select("id", F.concat_ws(" ", "first", second).alias("summary"))
 
 
 def description_eligible(pack: Pack, description: Column) -> Column:
