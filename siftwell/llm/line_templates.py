@@ -14,7 +14,8 @@ of their own, so the lines that form letters or near copies share recur and go.
 template, however many of its lines have it.
 
 Texts are cut into lines once, and the lines kept in a table with hashes (128 bits for a document's row and for a line,
-64 for a leaf). From there a line's text travels only where its leaf recurs, and a document's once, to lose its lines.
+64 for a leaf). From there a line's text travels only where its leaf recurs, and once for each distinct line; a document's
+once, to lose its lines. All tokens of a line in `CONTEXTS` contexts are kept, so only rarer lines are taken apart.
 
 Defined cases: a null text stays null; an empty one stays; blank lines stay, are no part of a context and count as lines; a text
 whose lines all recur becomes empty; a null doc_id is a document like others; repeated rows give repeated rows; extra
@@ -93,27 +94,34 @@ def recurring(docs: DataFrame, contexts: int = CONTEXTS, constant: float = CONST
     rest = _of(every, leaves, few, "left_anti").drop("leaf").withColumn("leaf", F.explode("opened")).select(*columns, "line")
     places = stored(_of(every.select(*columns, "line"), leaves, few).select(*columns, "line").union(_of(rest, more, more.count() <= few_leaves).select(*columns, "line")))
     discard(every, leaves, more)
-    met = stored(places.select("leaf", "line", "context").distinct())
-    lines = stored(met.groupBy("leaf", "line").agg(F.count("*").alias("n")))
-
-    each = met.select("leaf", "context", F.posexplode(F.split("line", " ")).alias("at", "token")).distinct()
-    tokens = lines.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    often = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("leaf", "at", "token", F.lit(True).alias("kept"))
-    shown = tokens.join(often, ["leaf", "at", "token"], "left")
-    shown = shown.groupBy("leaf", "line", "n").agg(
+    key = ["leaf", "k1", "k2"]
+    met = stored(places.select(*key, "context").distinct())
+    texts = places.groupBy("k1", "k2").agg(F.min("line").alias("line"))
+    lines = stored(met.groupBy(*key).agg(F.count("*").alias("n")).join(texts, ["k1", "k2"]))
+
+    rare = lines.where(F.col("n") < contexts)
+    tokens = rare.select(*key, F.posexplode(F.split("line", " ")).alias("at", "token"))
+    each = met.join(rare.select(*key, "line"), key).select("leaf", "context", F.posexplode(F.split("line", " ")).alias("at", "token")).distinct()
+    often = each.groupBy("leaf", "at", "token").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("leaf", "at", "token")
+    sure = lines.where(F.col("n") >= contexts).select("leaf", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    often = often.union(sure).distinct().withColumn("kept", F.lit(True))
+    shown = tokens.join(often, ["leaf", "at", "token"], "left").groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("token")).otherwise("<*>").alias("token")))).alias("tokens"),
         F.avg(F.when(F.col("kept") & (F.col("token") != "<*>"), 1.0).otherwise(0.0)).alias("constant"),
     )
-    shown = stored(shown.where(F.col("constant") >= constant).select("leaf", "line", "n", F.concat_ws(" ", F.col("tokens.token")).alias("template")))
+    shown = shown.where(F.col("constant") >= constant).join(rare, key).select(*key, "line", "n", F.concat_ws(" ", F.col("tokens.token")).alias("template"))
+    words = F.split("line", " ")
+    whole = lines.where((F.col("n") >= contexts) & (F.size(F.filter(words, lambda t: t != "<*>")) / F.size(words) >= constant))
+    shown = stored(shown.union(whole.select(*key, "line", "n", F.col("line").alias("template"))))
     # A line in enough contexts decides for its template; where only several lines together may reach them, theirs are
     # counted (spread by context, as a line may be very common).
     sums = shown.groupBy("template").agg(F.max("n").alias("most"), F.sum("n").alias("m"))
     unsure = shown.join(sums.where((F.col("most") < contexts) & (F.col("m") >= contexts)), "template", "left_semi")
-    unsure = unsure.select("leaf", "line", "template", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    theirs = met.withColumn("part", F.pmod("context", F.lit(SPREAD)).cast("int")).join(unsure, ["leaf", "line", "part"]).select("template", "context").distinct()
+    unsure = unsure.select(*key, "template", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    theirs = met.withColumn("part", F.pmod("context", F.lit(SPREAD)).cast("int")).join(unsure, [*key, "part"]).select("template", "context").distinct()
     reached = theirs.groupBy("template").agg(F.count("*").alias("m")).where(F.col("m") >= contexts).select("template")
     templates = sums.where(F.col("most") >= contexts).select("template").union(reached)
-    found = stored(shown.join(templates, "template", "left_semi").select("line", "template", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), F.col("line")).alias("k2")))
+    found = stored(shown.join(templates, "template", "left_semi").select("line", "template", "k1", "k2"))
     discard(met, lines, shown)
     return places.select("h1", "h2", "pos", "k1", "k2"), found
 
