@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,48 +208,23 @@ def model_input(articles: DataFrame, pack: Pack, lead: int = 1500, most: int = 3
     return articles.select("id", "body").join(keys, "id", "left").select("id", text.alias("text"), (F.ceil(F.length(text) / 2) + 350).alias("estimated_tokens"))
 
 
-class LimitReached(Exception):
-    """The day's requests are used up."""
+#: How a refusal's message tells its kind.
+LIMIT_KINDS = {"daily": r"requests? per day|\brpd\b|daily", "tpm": r"tokens? per min|\btpm\b", "rpm": r"requests? per min|\brpm\b"}
+_DURATION = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001}
 
 
 def limit_kind(message: Column) -> Column:
     """daily, tpm, rpm or unknown."""
-    m = F.lower(message)
-    return F.when(m.rlike(r"requests? per day|\brpd\b|daily"), "daily").when(m.rlike(r"tokens? per min|\btpm\b"), "tpm").when(m.rlike(r"requests? per min|\brpm\b"), "rpm").otherwise("unknown")
-
-
-def backoff_seconds(kind: str, attempt: int, retry_after: float | None, most: float = 120.0) -> float | None:
-    """Seconds to wait, None to stop."""
-    return None if kind == "daily" else min(most, retry_after) if retry_after else 20.0 * attempt
-
-
-def summarised_by(articles: DataFrame, model: Callable[[str, str], str], local: str = "summary", budget: int = 12, spacing: float = 7.0, attempts: int = 2) -> DataFrame:
-    """articles (id, title, text, local summary) through an injected model, one request at a time, spaced, within a budget.
-
-    The model may raise: the local summary stays then, with the error's text. Only the first `budget` rows by id are
-    sent, so they share one task; the others never leave their partitions.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for n, row in enumerate(pdf.itertuples()):
-                text, source, error = getattr(row, local), "local", None
-                for _ in range(attempts):
-                    try:
-                        if n and spacing:
-                            time.sleep(spacing)
-                        text, source, error = model(row.title, row.text), "model", None
-                        break
-                    except LimitReached as e:
-                        error = str(e)
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure leaves the local summary
-                        error = str(e)
-                out.append((row.id, text, source, error))
-            yield pd.DataFrame(out, columns=["id", "summary", "summary_by", "error"])
-
-    sent = articles.orderBy("id").limit(budget)
-    done = sent.select("id", "title", "text", local).mapInPandas(run, f"id {dict(articles.dtypes)['id']}, summary string, summary_by string, error string")
-    rest = articles.join(sent.select("id"), "id", "left_anti").select("id", F.col(local).alias("summary"), F.lit("local").alias("summary_by"), F.lit(None).cast("string").alias("error"))
-    return done.unionByName(rest)
+    out = F.lit("unknown")
+    for kind, pattern in reversed(LIMIT_KINDS.items()):
+        out = F.when(F.lower(message).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def limit_of(message: str) -> tuple[str, float | None]:
+    """A refusal's kind as by limit_kind, and after how many seconds it says to try again."""
+    text = message.lower()
+    kind = next((k for k, pattern in LIMIT_KINDS.items() if re.search(pattern, text)), "unknown")
+    after = re.search(r"(?:try again|retry)[^0-9]*((?:[0-9.]+(?:ms|h|m|s))+)", text)
+    seconds = sum(float(n) * _DURATION[u] for n, u in re.findall(r"([0-9.]+)(ms|h|m|s)", after[1])) if after else None
+    return kind, seconds

@@ -44,6 +44,7 @@ PACK = Pack(
         Signal("support_policy_general", r'지원|모집|선정|정책|협력|인프라', 0, 0, 0),
     ],
     concepts={
+        "claim": r'(?:\d[\d,.]*\s*(?:조|억|만)?\s*원|\d[\d,]*\s*(?:곳|개사|개\s*기업|명|팀)|(?:프리[-\s]?)?시리즈\s*[A-Z]|Series\s*[A-Z])',
         "fact_amount": r'(?:약\s*|최대\s*)?(?:\d[\d,.]*\s*(?:조|억|만)\s*원|\d[\d,.]*\s*(?:달러|원)|\$\s*\d[\d,.]*(?:\s*(?:million|billion))?)',
         "fact_stage": r'(?:프리[-\s]?시리즈\s*[A-Z]|프리[-\s]?[A-Z]|시리즈\s*[A-Z]|Series\s*[A-Z]|시드|브릿지|후속\s*투자|Pre[-\s]?IPO)',
         "fact_count": r'(?:총\s*|신규\s*|최대\s*)?\d[\d,]*\s*(?:곳|개사|개\s*기업|개팀|명|팀)',

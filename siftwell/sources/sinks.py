@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import clean
@@ -39,6 +39,13 @@ def on_date(briefings: DataFrame, date: str) -> DataFrame:
     return briefings.where(F.col("briefing_date") == F.lit(date).cast("date"))
 
 
+def written(rows: DataFrame, path: str, counters: dict[str, Column], mode: str = "overwrite") -> dict:
+    """Writes the rows as Parquet and returns the counters, taken in the pass that writes: rows aren't read for them again."""
+    seen = Observation()
+    rows.observe(seen, *(c.alias(name) for name, c in counters.items())).write.mode(mode).parquet(path)
+    return seen.get
+
+
 def write_status(spark: SparkSession, path: str, ran: dt.datetime, success: bool, raw: int, candidates: int, final: int, sources_ok: int, sources_failed: int, message: str | None = None) -> None:
     row = spark.createDataFrame([(ran, success, raw, candidates, final, sources_ok, sources_failed, message)], "last_run_at timestamp, success boolean, raw_count int, candidate_count int, final_count int, sources_ok int, sources_failed int, message string")
     row.withColumn("message", F.when(F.col("message").isNotNull(), F.substring(clean(F.col("message")), 1, 200))).write.mode("overwrite").json(path)

@@ -179,17 +179,6 @@ def test_quality_and_summaries(spark):
     assert summaries.extractive(df, PACK).first()["summary"].startswith("가나다는 30억 원")
 
 
-def test_model_hook_keeps_local_summary_on_errors(spark):
-    def model(title, body):
-        if title == "bad":
-            raise ValueError("no")
-        return "model " + title
-
-    df = spark.createDataFrame([(1, "good", "x", "l1"), (2, "bad", "x", "l2"), (3, "late", "x", "l3")], "id long, title string, text string, summary string")
-    got = {r["id"]: (r["summary"], r["summary_by"]) for r in summaries.summarised_by(df, model, budget=2, spacing=0).collect()}
-    assert got == {1: ("model good", "model"), 2: ("l2", "local"), 3: ("l3", "local")}
-
-
 def test_feeds(spark):
     rss = "<rss><channel><item><title>A</title><link>http://x/1</link><pubDate>d</pubDate></item><item><title>B</title></item></channel></rss>"
     pages = spark.createDataFrame([("f", rss, 1), ("g", "<broken", 5)], "source string, text string, max_items int")
