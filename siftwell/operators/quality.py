@@ -104,7 +104,7 @@ def item_reason(pack: Pack, required: tuple[str, ...] = ("title", "url", "source
     out = F.when(F.lit(False), "")
     for name in required:
         out = out.when(F.trim(F.coalesce(F.col(name), F.lit(""))) == "", f"missing_{name}")
-    out = out.when((F.trim(F.coalesce("summary", F.lit(""))) == "") & (F.col("summary_type") != "none"), "missing_summary").when(is_aggregator(F.col("url")), "google_news_url_forbidden")
+    out = out.when((F.trim(F.coalesce("summary", F.lit(""))) == "") & (F.col("summary_type") != "unavailable"), "missing_summary").when(is_aggregator(F.col("url")), "google_news_url_forbidden")
     hard = hard_exclusion(pack, F.col("title"), F.col("description"), F.col("body"), F.col("summary"))
     return F.coalesce(out, hard, F.when(~is_http(F.col("url")), "invalid_article_url"))
 

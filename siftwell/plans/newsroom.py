@@ -146,3 +146,184 @@ def run_status(spark, d):
     counts = sinks.written(table(spark, d, "documents").select("doc_id", "source", "lang", "text"), path, counters)
     sources = spark.read.parquet(path).agg(F.count_distinct("source").alias("sources_ok"))
     return sources.select(*(F.lit(counts[name]).cast("long").alias(name) for name in counters), "sources_ok")
+
+
+# --- the batch run's reasons -----------------------------------------------------------------------------------------
+
+#: Title, source (an index of the pack's, or -1), category and reason of entries made of customers.
+JUDGED = [
+    ("코스닥 상장사 {c} 급등주 마감", 0, "hard_exclude_stock_market"), ("{c} 오늘의 날씨와 산책", 0, "broad_signal_missing"), ("삼성 유상증자 결정, 스타트업 {c} 투자", 0, "hard_exclude_public_company_rights_issue"),
+    ("AI 스타트업 {c}, {n}억원 시리즈A 투자 유치", -1, "source_not_allowed_recovery_candidate"),
+]
+
+
+def _entries(spark, d):
+    """Customers as entries of a run; one in five lies before the range."""
+    from siftwell.plans.headlines import _filled
+
+    kind = (F.col("c_custkey") % len(JUDGED)).cast("int")
+    allowed = F.get(F.array(*(F.lit(k >= 0) for _, k, _ in JUDGED)), kind)
+    day = F.when(F.col("c_custkey") % 5 == 4, "2023-12-01").otherwise("2024-01-02").cast("timestamp")
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), _filled([t for t, _, _ in JUDGED], kind).alias("title"), F.lit("").alias("description"), F.when(allowed, PACK.sources[0]).otherwise("어느 블로그").alias("source"),
+        F.concat(F.lit("https://news.example/a/"), "c_custkey").alias("url"), day.alias("published_at"), F.lit("primary").alias("feed_priority"), F.lit(5).alias("source_weight"), F.lit(True).alias("is_domestic"),
+        F.array().cast("array<string>").alias("category_hints"),
+    )
+
+
+@query(f"SELECT c_custkey AS id, [{', '.join(repr(r) for _, _, r in JUDGED)}][CAST(c_custkey % {len(JUDGED)} + 1 AS INTEGER)] AS reason FROM customer WHERE c_custkey % 5 <> 4")
+def news_candidates(spark, d):
+    """The news pack's verdicts on entries in the range."""
+    from siftwell.plans import curation
+
+    rows = curation.candidates(_entries(spark, d), PACK, F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-03").cast("timestamp"))
+    return rows.select("id", F.col("exclude_reason").alias("reason"))
+
+
+# --- sources and documents -------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT page_id AS id, CASE WHEN page_id % 7 = 0 THEN 'network' WHEN page_id % 7 = 1 THEN 'http_404' WHEN page_id % 7 = 2 THEN 'content_type' WHEN page_id % 7 = 3 AND strlen(html) > 3000 THEN 'too_large' END AS reason, "
+    "NOT (page_id % 7 < 3 OR (page_id % 7 = 3 AND strlen(html) > 3000)) AS ok FROM pages WHERE html IS NOT NULL"
+)
+def fetched_pages(spark, d):
+    from siftwell.sources import feeds
+
+    kind = F.col("page_id") % 7
+    rows = table(spark, d, "pages").where("html is not null").select(F.col("page_id").alias("id"), "url", "html", F.when(kind != 0, F.when(kind == 1, 404).otherwise(200)).alias("status"), F.when(kind == 2, "image/png").when(kind > 3, "text/html; charset=utf-8").alias("content_type"))
+    small = rows.where("id % 7 = 3")
+    return feeds.fetched(small, 3000).unionByName(feeds.fetched(rows.where("id % 7 <> 3"))).select("id", "reason", "ok")
+
+
+@query(r"SELECT c_custkey AS id, 'https://news.google.com/rss/search?q=' || replace(url_encode(c_name || ' & ' || c_mktsegment || ' when:2d'), '%20', '+') || '&hl=ko&gl=KR&ceid=KR:ko' AS url FROM customer")
+def discovery_urls(spark, d):
+    from siftwell.sources import feeds
+
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" & ", "c_name", "c_mktsegment").alias("query"))
+    return feeds.discovery_feeds(rows).select("id", "url")
+
+
+@query(
+    "WITH n AS (SELECT count_if(doc_id % 4 = 0) AS strong, count_if(doc_id % 4 = 0 AND lang = 'en') AS domestic, CAST((SELECT count(*) FROM documents) // 4 AS BIGINT) AS quarter FROM documents) "
+    "SELECT k, strong < quarter * k // 2 OR domestic < quarter // 10 * k AS needed FROM n, (VALUES (0), (1), (2), (3), (9)) v(k)"
+)
+def discovery_gate(spark, d):
+    """Whether search feeds run, by ever larger wants."""
+    from siftwell.sources import feeds
+
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.when(F.col("doc_id") % 4 == 0, "A").alias("connection_type"), F.coalesce(F.col("lang") == "en", F.lit(False)).alias("is_domestic"))
+    quarter = docs.count() // 4
+    told = [(k, feeds.discovery_needed(rows, True, quarter * k // 2, quarter // 10 * k)) for k in (0, 1, 2, 3, 9)]
+    return spark.createDataFrame(told, "k int, needed boolean")
+
+
+@query(
+    "WITH p AS (SELECT page_id AS id, page_id % 30 AS g, regexp_extract(url, '^[a-z]+://[^/?#]*') AS origin FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS n FROM p) "
+    "SELECT 'https://list.example/' || CASE WHEN id % 6 = 3 THEN 'private/' ELSE '' END || 'story/' || id AS url, 'The licence of story ' || id AS title, CAST('2024-02-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') AS TIMESTAMP) AS published "
+    "FROM r WHERE id % 5 <> 0 AND id % 6 <> 3 AND n <= 50"
+)
+def list_page_links(spark, d):
+    """Links of list pages whose titles pass the gate, with detail pages' dates, where robots rules allow them."""
+    from siftwell.packs.corpus import PACK as corpus
+    from siftwell.sources import feeds
+
+    rows = table(spark, d, "pages").select("page_id")
+    path = F.concat(F.when(F.col("page_id") % 6 == 3, "private/").otherwise(""), F.lit("story/"), "page_id")
+    named = F.when(F.col("page_id") % 5 == 0, "Zzyx qwrt plgh vbnm").otherwise(F.concat(F.lit("The licence of story "), "page_id"))
+    link = F.concat(F.lit("<li><a class='x headline' href='/"), path, F.lit("#top'>"), named, F.lit("</a></li>"))
+    pages = rows.withColumn("link", link).groupBy((F.col("page_id") % 30).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("link").alias("x")))).alias("held"))
+    pages = pages.select("page_id", F.lit("https://list.example/").alias("url"), F.concat(F.lit("<ul>"), F.array_join("held.x", "\n"), F.lit("</ul><a href='/story/0'>The licence of nobody</a>")).alias("html"))
+    day = F.concat(F.lit("2024-02-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")).cast("timestamp")
+    details = rows.select(F.concat(F.lit("https://list.example/"), path).alias("url"), day.alias("published"))
+    robots_text = rows.limit(1).select(F.lit("https://list.example").alias("origin"), F.lit("User-agent: *\nDisallow: /private").alias("text"))
+    source = feeds.Source("list", link_selectors=("a.headline",), max_items=50)
+    return feeds.html_list(pages, corpus, source, details, robots_text, "siftwell").select("url", "title", "published")
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'sitemap' ELSE 'gopher' END AS type, CASE WHEN s_suppkey % 3 = 2 THEN 'unsupported type: gopher' END AS error, CASE WHEN s_suppkey % 3 < 2 THEN 'https://s.example/' || s_suppkey END AS url FROM supplier")
+def dispatched_sources(spark, d):
+    """Sources by type, each read by its own reader; those without one keep an error."""
+    from siftwell.sources import feeds
+
+    link = F.concat(F.lit("https://s.example/"), "s_suppkey")
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "rss").when(F.col("s_suppkey") % 3 == 1, "sitemap").otherwise("gopher")
+    text = F.when(kind == "rss", F.concat(F.lit("<rss><channel><item><title>t</title><link>"), link, F.lit("</link></item></channel></rss>"))).otherwise(F.concat(F.lit("<urlset><url><loc>"), link, F.lit("</loc><lastmod>2024-01-02</lastmod></url></urlset>")))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), kind.alias("type"), F.col("s_suppkey").cast("string").alias("source"), text.alias("text"), F.array().cast("array<string>").alias("allow"), F.lit(9).alias("max_items"))
+    readers = {"rss": lambda p: feeds.rss(p).select(F.col("feed").alias("source"), F.col("link").alias("url"), F.lit("rss").alias("type")), "sitemap": lambda p: feeds.sitemap(p).select("source", "url", F.lit("sitemap").alias("type"))}
+    read, failed = feeds.dispatched(rows, readers)
+    good = read.select(F.col("source").cast("long").alias("id"), "type", F.lit(None).cast("string").alias("error"), "url")
+    return good.unionByName(failed.select("id", "type", "error", F.lit(None).cast("string").alias("url")))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS latest, n FROM (SELECT max(ts) AS ts, count(DISTINCT CAST(ts AS DATE)) AS n FROM events)")
+def archive_of_briefings(spark, d):
+    """Briefings are written day by day; the index of what is there: its latest date and the number of dates."""
+    path = _folder(spark)
+    rows = table(spark, d, "events").select("event_id", F.to_date("ts").alias("briefing_date"))
+    rows.write.partitionBy("briefing_date").parquet(path)
+    found = sinks.index(sinks.read_briefings(spark, path))
+    return found.select("latest", F.size("dates").cast("long").alias("n"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS summary, max(event_id) % 2 = 0 AS even FROM events GROUP BY user_id")
+def cache_document(spark, d):
+    """A cache written as JSON and read back."""
+    from siftwell.sources import feeds
+
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("summary"), F.max("event_id").alias("last"))
+    path = _folder(spark)
+    sinks.write_cache(rows.select(F.col("user_id").cast("string").alias("key"), "summary", (F.col("last") % 2 == 0).alias("even")), path)
+    return feeds.cached(spark, path).select("key", "summary", "even")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '가온투자유치' WHEN c_custkey % 3 = 1 THEN c_custkey || '나래펀드결성' ELSE 'lab' || c_custkey || '새앱출시' END AS bare FROM customer")
+def without_particles(spark, d):
+    """Titles of one event compare equal whatever their particles."""
+    from siftwell.functions import text
+
+    c = _company()
+    told = F.when(F.col("c_custkey") % 3 == 0, F.concat(c, F.lit("은 투자를 유치함"))).when(F.col("c_custkey") % 3 == 1, F.concat(c, F.lit("가, 펀드를 결성했음!"))).otherwise(F.concat(c, F.lit("에서 새 앱을 출시됐음")))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.without_particles(told, PACK).alias("bare"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Firm' || c_custkey WHEN 1 THEN 'Zed' || c_custkey WHEN 2 THEN c_custkey || '가온' END AS company FROM customer")
+def company_names(spark, d):
+    """By its verb, in quotes, as a sentence's subject, or not at all."""
+    from siftwell.operators import rules
+
+    k = F.col("c_custkey")
+    title = F.when(k % 4 == 0, F.concat(F.lit("Berlin-based Firm"), k, F.lit(" raises €5 million | EU-Startups"))).when(k % 4 == 1, F.concat(F.lit("오늘의 소식 ‘Zed"), k, F.lit("’ 화제"))).otherwise(F.lit("오늘의 소식."))
+    summary = F.when(k % 4 == 2, F.concat(k, F.lit("가온은 30억 원 투자 유치를 마쳤다"))).otherwise("")
+    return table(spark, d, "customer").select(k.alias("id"), rules.company(PACK, title, summary).alias("company"))
+
+
+@query(
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'missing_title' WHEN c_custkey % 6 = 1 THEN 'missing_summary' WHEN c_custkey % 6 = 2 THEN 'google_news_url_forbidden' WHEN c_custkey % 6 = 3 THEN 'hard_exclude_stock_market' WHEN c_custkey % 6 = 4 THEN 'invalid_article_url' END AS reason FROM customer"
+)
+def item_reasons(spark, d):
+    """What keeps an item from being published; every sixth may be, without a summary if none is to be had."""
+    from siftwell.operators import quality
+
+    k = F.col("c_custkey") % 6
+    rows = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.when(k == 0, " ").when(k == 3, "코스닥 급등주 마감").otherwise(F.concat(_company(), F.lit(" 소식"))).alias("title"),
+        F.when(k == 2, "https://news.google.com/articles/x").when(k == 4, "ftp://a.example/x").otherwise("https://a.example/x").alias("url"), F.lit("매체").alias("source"), F.lit("VC / AC").alias("category"),
+        F.when(k == 5, "unavailable").otherwise("description").alias("summary_type"), F.when((k == 1) | (k == 5), "").otherwise("가온이 앱을 출시").alias("summary"), F.lit("").alias("description"), F.lit("").alias("body"),
+    )
+    return rows.select("id", quality.item_reason(PACK).alias("reason"))
+
+
+@query(
+    "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'openai_description_same_as_title' WHEN 1 THEN 'openai_description_too_short' WHEN 2 THEN 'openai_description_missing_event' WHEN 3 THEN 'openai_description_too_long' END AS reason FROM customer"
+)
+def description_reasons(spark, d):
+    """What is wrong with a model's summary of a description."""
+    from siftwell.operators import quality
+
+    c, k = _company(), F.col("c_custkey") % 6
+    title = F.concat(c, F.lit(", 시리즈A 투자 유치"))
+    good = F.concat(c, F.lit("이 물류 로봇의 해외 판로를 넓히려고 시리즈A 투자를 유치"))
+    summary = F.when(k == 0, title).when(k == 1, "로봇 시장 소식").when(k == 2, F.concat(c, F.lit("이 물류 로봇의 해외 판로를 넓히려고 오늘도 길을 걷는다"))).when(k == 3, F.concat(good, F.repeat(F.lit(" 아주 길게"), 30), F.lit(" 유치"))).otherwise(good)
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), quality.model_description_reason(PACK, title, summary, F.lit("매체")).alias("reason"))

@@ -110,11 +110,13 @@ def sitemap(pages: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= F.col("max_items")).drop("n", "allow", "max_items")
 
 
-def html_list(pages: DataFrame, pack: Pack, source: Source, details: DataFrame | None = None) -> DataFrame:
-    """Links of list pages (page_id, url, html) whose title passes the keyword gate, with a date from the detail page or
-    from near the link; links without a date drop. details: url, published."""
+def html_list(pages: DataFrame, pack: Pack, source: Source, details: DataFrame | None = None, robots: DataFrame | None = None, agent: str = "siftwell") -> DataFrame:
+    """Links of list pages (page_id, url, html) whose title passes the keyword gate and which robots rules allow, with a
+    date from the detail page or from near the link; links without a date drop. details: url, published; robots: origin, text."""
     rows = links(pages, "page_id", list(source.link_selectors), list(source.allow), most=source.max_items)
     rows = rows.where(has_signal_or_keyword(pack, F.col("title")))
+    if robots is not None:
+        rows = robots_allowed(rows.withColumn("id", F.xxhash64("page_id", "at")), robots, agent).where("allowed").drop("id", "allowed")
     near = parsed(F.regexp_replace(F.regexp_extract("near", r"(20\d{2}[.\-/]\s?\d{1,2}[.\-/]\s?\d{1,2})", 1), r"[./]\s?", "-"))
     rows = rows.withColumn("near_date", near).drop("near")
     if details is not None:
@@ -213,6 +215,11 @@ def document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def cached(spark: SparkSession, path: str) -> DataFrame:
+    """A cache's entries, one JSON object a line."""
+    return spark.read.json(path)
+
+
 def status(spark: SparkSession, path: str) -> DataFrame | None:
     """The last run's status; None where there is none or it can't be read."""
     try:
