@@ -10,7 +10,8 @@ Labelled rows that aren't held out teach, `LABELLED_ROWS` at most by hash of the
 most; these bounds are for fitting only, every text is scored whole.
 
 Defined cases: null or empty text has content features of zero, null metadata a bucket of its own; rows with a null
-doc_id are scored (held_out false), never learned from; repeated rows get a row each; labels of one class only (or
+doc_id are scored (held_out false), never learned from; repeated rows get a row each, and an id that documents or labels
+repeat teaches once (its least features, its least label); labels of one class only (or
 none) give that class's share (0.5) as every score; extra columns are ignored.
 """
 
@@ -151,14 +152,17 @@ def _typed(docs: DataFrame) -> DataFrame:
 
 
 def learned(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> CoTrained:
-    labels = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality"))
+    labels = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     labels = labels.where(~in_thirds(F.col("__id")))
     part = lambda most, n: min(1.0, most / max(n, 1)) * (1 << 20)
     drawn = labels.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < part(labelled_rows, labels.count()))
     rows = _typed(docs)
-    known = _views(rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).drop("__id")).orderBy(F.xxhash64("doc_id"), "quality", "content", "metadata").toArrow()
+    known = _views(rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).drop("__id"))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct("content", "metadata")).alias("views"))
+    known = known.select("doc_id", "quality", "views.*").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < part(pool_rows, docs.count()))
-    pool = _views(some).orderBy(F.xxhash64("doc_id"), "content", "metadata").toArrow()
+    pool = _views(some.where("doc_id is not null")).groupBy("doc_id").agg(F.min(F.struct("content", "metadata")).alias("views"))
+    pool = pool.select("doc_id", "views.*").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     matrix = lambda table, c, n: np.array(table.column(c).to_pylist(), dtype=float).reshape(-1, n)
     views = lambda table: (matrix(table, "content", N_CONTENT), matrix(table, "metadata", N_META))
     return CoTrained(views(known), known.column("quality").to_numpy().astype(float), views(pool), rounds)

@@ -91,6 +91,14 @@ def test_toxicity_learns(labelled):
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_quality_learns_from_an_id_once(spark, labelled):
+    docs, labels = labelled
+    hot = labels.where("doc_id = 3").crossJoin(spark.range(400)).drop("id").unionByName(labels)
+    more = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(40)).drop("id"))
+    once, often = (quality.learned(d, x) for d, x in ((docs, labels), (more, hot)))
+    assert once.taught == often.taught and all((a.w == b.w).all() for a, b in zip(once.views, often.views))
+
+
 def test_toxicity_without_labels(spark, labelled):
     docs, labels = labelled
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
