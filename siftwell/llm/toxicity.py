@@ -11,8 +11,8 @@ Only labelled rows that are not held out teach, `SAMPLE_ROWS` at most by hash of
 limit, every text is scored whole. doc_id, source and lang are never features.
 
 Defined cases: null and empty texts have features of zero and are scored like others; rows with a null doc_id are
-scored (held_out false) and never learned from; a repeated doc_id among labels or documents teaches once per pair of
-rows; with no labels or one class only, the score is that class's share (0 without labels); texts of another type are cast
+scored (held_out false) and never learned from; an id that labels or documents repeat teaches once (its least label and
+text); with no labels or one class only, the score is that class's share (0 without labels); texts of another type are cast
 to strings; extra columns are ignored, in `without_toxic` kept.
 """
 
@@ -242,12 +242,13 @@ class Model:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    labels = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
     labels = labels.where(~in_thirds(F.col("__id")))
     n = labels.count()
     drawn = labels.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < min(1.0, sample_rows / max(n, 1)) * (1 << 20))
     fold = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", fold)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"), F.min("fold").alias("fold"))
     lexicons = lexicons_of(rows)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
