@@ -5,7 +5,7 @@ The model file (a path, read on the driver and sent along: half a megabyte) give
 that make a piece, the candidate merges by score, then place. A candidate is skipped where a hash keyed by the seed,
 the variant, the run of letters and the candidate's bounds falls below the rate. With rate 0 the result is the plain
 encoding of the model. Pieces never reach past a word's end, so texts are taken word by word, equal words of a
-variant once per batch; all words of a batch process their agendas in step. The variant of a word follows from the
+variant once per batch (with the default, every occurrence is one of its own); all words of a batch process their agendas in step. The variant of a word follows from the
 seed, the doc_id and the word's place in the text.
 
 What no piece spells is written in byte pieces, and so is a literal "▁" (else it would come back as a space):
@@ -33,7 +33,8 @@ from siftwell.llm.common import frugal, mixed, slices, tidy
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 20240501
-VARIANTS = 8
+#: Ways in which one word may come out in a corpus: as many as it has occurrences, for what a hash is worth.
+VARIANTS = 1 << 30
 SLICE_BYTES = 3 << 20
 WORDS_AT_ONCE = 40_000
 #: Longer runs without a word end go through a heap of their own.
