@@ -94,9 +94,13 @@ def unescaped(text: pd.Series) -> pd.Series:
 
 def clean(text: Column, decode=decode_named) -> Column:
     """Tags to spaces, then references (so escaped tags survive as text), zero-width characters out, single spaces."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " ")
-    text = F.regexp_replace(decode(text), r"[\x{200B}-\x{200D}\x{2060}]", "")
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    whole = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(whole, "<[^>]*>", " ")
+    spaced = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"[\x{200B}-\x{200D}\x{2060}]", ""), SPACES, " "))
+    if decode is not decode_named:
+        return spaced(decode(bare))
+    # Most texts have no reference, and need none of the searches for one.
+    return F.when(whole.contains("&"), spaced(decode(bare))).otherwise(spaced(bare))
 
 
 def match_form(text: Column, full: bool = False) -> Column:
@@ -108,9 +112,9 @@ def contains_keyword(text: Column, keyword: str) -> Column:
     """ASCII keywords as whole words of letters and digits, others as substrings; text in match_form."""
     word = keyword.lower()
     if word.isascii():
-        # The word first, then what stands around it: the search goes from one occurrence to the next.
+        # The word first, then what stands around it: the search goes from one occurrence to the next. Most texts lack it.
         own = re.escape(word)
-        return text.rlike(rf"{own}(?<![\p{{L}}\p{{N}}]{own})(?![\p{{L}}\p{{N}}])")
+        return text.contains(word) & text.rlike(rf"{own}(?<![\p{{L}}\p{{N}}]{own})(?![\p{{L}}\p{{N}}])")
     return text.contains(word)
 
 
