@@ -163,14 +163,14 @@ def cache_upsert(spark, d):
 
 @query(
     "WITH a AS (SELECT page_id AS id, 'The story of number ' || page_id AS title, url FROM pages), "
-    "c AS (SELECT id, 'https://www.' || regexp_extract(url, '://([^/?#]*)', 1) || '/s/' || id AS url FROM a WHERE id % 3 = 0) SELECT id, url, 1.0 AS similarity FROM c"
+    "c AS (SELECT id, 'https://www.' || regexp_extract(url, '://([^/?#]*)', 1) || '/s/' || id AS url, 16 + length(CAST(id AS VARCHAR)) AS n FROM a WHERE id % 3 < 2) SELECT id, url, CASE WHEN id % 3 = 0 THEN 1.0 ELSE round(n / (n + 4), 6) END AS similarity FROM c"
 )
 def publisher_title_search(spark, d):
     host = urls.host(F.col("url"))
     rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("The story of number "), F.col("page_id")).alias("title"), F.concat(F.lit("https://"), host, F.lit("/")).alias("publisher"), host.alias("h"))
     link = lambda base, title: rows.select("id", F.concat(F.lit("https://"), base, F.lit("/s/"), "id").alias("url"), title.alias("title"))
-    found = link(F.concat(F.lit("www."), "h"), F.when(F.col("id") % 3 == 0, F.col("title")).otherwise("Weather")).union(link(F.lit("other.example"), F.col("title"))).union(link(F.col("h"), F.lit("Weather")))
-    return feeds.publisher_search(rows.drop("h"), found)
+    found = link(F.concat(F.lit("www."), "h"), F.when(F.col("id") % 3 == 0, F.col("title")).when(F.col("id") % 3 == 1, F.concat("title", F.lit(" told"))).otherwise("Weather")).union(link(F.lit("other.example"), F.col("title"))).union(link(F.col("h"), F.lit("Weather")))
+    return feeds.publisher_search(rows.drop("h"), found).withColumn("similarity", F.round("similarity", 6))
 
 
 # --- URLs ------------------------------------------------------------------------------------------------------------

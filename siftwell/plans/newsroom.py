@@ -327,3 +327,64 @@ def description_reasons(spark, d):
     good = F.concat(c, F.lit("이 물류 로봇의 해외 판로를 넓히려고 시리즈A 투자를 유치"))
     summary = F.when(k == 0, title).when(k == 1, "로봇 시장 소식").when(k == 2, F.concat(c, F.lit("이 물류 로봇의 해외 판로를 넓히려고 오늘도 길을 걷는다"))).when(k == 3, F.concat(good, F.repeat(F.lit(" 아주 길게"), 30), F.lit(" 유치"))).otherwise(good)
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), quality.model_description_reason(PACK, title, summary, F.lit("매체")).alias("reason"))
+
+
+# --- texts of each kind that a rule tells apart ------------------------------------------------------------------------
+
+#: English headlines with what is told of them, or None.
+FUNDED = [
+    ("Berlin-based Firm{k} raises €5 million Series B to build rovers | EU-Startups", "Firm{k} raised €5 million in a Series B round."), ("UK startup Firm{k} raises €5 million to build {m} rovers", "Firm{k} raised €5 million to build {m} rovers."), ("Firm{k} extends seed round to €{m} million", "Firm{k} extended its seed round to €{m} million in total funding."),
+    ("Firm{k} secures $7.5 million to " + "build " * 30, "Firm{k} raised $7.5 million."), ("Firm{k} raises €5.", None), ("Firm{k} raises money", None), ("The market of {k} robots grew by €5 million", None), ("Firm{k} closed £{m} million", "Firm{k} raised £{m} million."),
+]
+#: Titles and bodies with the hard reason that holds, and whether the title is protected.
+EXCLUDED = [
+    ("코스피 {k}호 유상증자 결정", "", "hard_exclude_public_company_rights_issue", False), ("특징주 {k} 급등", "", "hard_exclude_stock_market", False), ("삼성 {k}공장 증설", "", "hard_exclude_large_corp_industrial_investment", False),
+    ("{k}팀 특별 포상 받아", "", "hard_exclude_government_promotion_award", False), ("{k} 그룹 창립 기념", "과거 벤처기업으로 출발했다.", "hard_exclude_historical_venture_origin_only", False), ("스타트업 {k}, 시리즈A 투자 유치", "", None, True),
+    ("팁스 {k}기 선정", "", None, True), ("팁스 {k}기 소식", "", None, False),
+]
+
+
+def _texts(shapes: list[str | None], key) -> object:
+    out = F.get(F.array(*(F.lit(s).cast("string") for s in shapes)), (key % len(shapes)).cast("int"))
+    return F.replace(F.replace(out, F.lit("{k}"), key.cast("string")), F.lit("{m}"), (key % 40 + 2).cast("string"))
+
+
+def _told(values: list, key: str) -> str:
+    quoted = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    listed = f"[{', '.join(map(quoted, values))}][CAST({key} % {len(values)} + 1 AS INTEGER)]"
+    return listed if isinstance(values[0], bool) else f"replace(replace({listed}, '{{k}}', CAST({key} AS VARCHAR)), '{{m}}', CAST({key} % 40 + 2 AS VARCHAR))"
+
+
+@query(f"SELECT o_orderkey AS id, {_told([t for _, t in FUNDED], 'o_orderkey')} AS sentence FROM orders")
+def overseas_funding(spark, d):
+    """Orders as English funding headlines: stages, extensions, cut and missing amounts, purposes too long."""
+    from siftwell.operators import summaries
+
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select(key.alias("id"), summaries.overseas_sentence(PACK, _texts([t for t, _ in FUNDED], key)).alias("sentence"))
+
+
+@query(f"SELECT o_orderkey AS id, {_told([r for _, _, r, _ in EXCLUDED], 'o_orderkey')} AS reason, {_told([p for _, _, _, p in EXCLUDED], 'o_orderkey')} AS protected FROM orders")
+def news_hard_reasons(spark, d):
+    """Each hard reason of the news pack, and titles that selection protects."""
+    from siftwell.operators import rules
+
+    key = F.col("o_orderkey")
+    title, body = _texts([t for t, _, _, _ in EXCLUDED], key), _texts([b for _, b, _, _ in EXCLUDED], key)
+    rows = table(spark, d, "orders").select(key.alias("id"), title.alias("title"), body.alias("body"))
+    return rows.select("id", rules.hard_exclusion(PACK, F.col("title"), F.lit(""), F.col("body"), F.lit("")).alias("reason"), rules.protected(PACK, F.col("title")).alias("protected"))
+
+
+_LONG = "이 회사는 물류 로봇을 만드는 곳으로 알려져 있다. "
+
+
+@query(f"SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'paywall' WHEN 1 THEN 'body_too_short' END AS failure, CASE WHEN page_id % 3 = 2 THEN {12 * len(_LONG)} + length(CAST(page_id AS VARCHAR)) ELSE 0 END AS n FROM pages")
+def paywalled_pages(spark, d):
+    """Pages behind a paywall, with too little text, and whole ones."""
+    from siftwell.functions import html
+
+    key = F.col("page_id")
+    wall = F.when(key % 3 == 0, "<p>이 기사는 유료 회원만 볼 수 있습니다.</p>").otherwise("")
+    story = F.concat(F.when(key % 3 == 2, _LONG * 12).otherwise(_LONG), key.cast("string"))
+    page = F.concat(F.lit("<html><body><article><p>"), story, F.lit("</p></article>"), wall, F.lit("</body></html>"))
+    return table(spark, d, "pages").select(key.alias("id"), html.extraction(page, PACK).alias("x")).select("id", "x.failure", F.length("x.text").cast("long").alias("n"))

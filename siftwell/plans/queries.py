@@ -478,9 +478,9 @@ def first_match_lookup(spark, d):
     return joins.first_lookup(table(spark, d, "nation"), dim, ["n_nationkey"], [F.desc("s_acctbal"), F.asc("s_suppkey")]).select("n_nationkey", "n_name", "s_suppkey")
 
 
-@query("SELECT c_custkey, 'not_selected' AS exclude_reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, 'not_selected' AS exclude_reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_selected(spark, d):
-    chosen = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    chosen = table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return joins.rejected(table(spark, d, "customer").select("c_custkey"), chosen, ["c_custkey"], "not_selected")
 
 
