@@ -199,13 +199,22 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in SOURCE_RANK.items() for x in kv])[source], F.lit(0))
 
 
-def model_input(articles: DataFrame, pack: Pack, lead: int = 1500, most: int = 3500, sentences_at_most: int = 8) -> DataFrame:
-    """id, text (the body's beginning and key sentences beyond it) and an estimate of its tokens."""
-    rows = scored_sentences(articles, pack).join(articles.select("id", F.substring("body", 1, lead).alias("lead")), "id").where(~F.col("lead").contains(F.col("sentence")))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "place")
-    keys = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sentences_at_most).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda s: s["sentence"]), " ").alias("keys"))
-    text = F.substring(F.concat_ws("\n", F.substring("body", 1, lead), "keys"), 1, most)
-    return articles.select("id", "body").join(keys, "id", "left").select("id", text.alias("text"), (F.ceil(F.length(text) / 2) + 350).alias("estimated_tokens"))
+def model_input(articles: DataFrame, pack: Pack, lead: int = 1500, most: int = 3500, keys: int = 8) -> DataFrame:
+    """id, text and estimated_tokens of articles (id, title, source, category, description, body): what a model is given.
+
+    The text is the body's beginning and, beyond it, the first key sentences (20 characters at least, each once), `most`
+    characters at most; all of it is chosen within the row.
+    """
+    rows = articles.select("id", "title", "source", "category", "description", clean(F.col("body")).alias("full")).withColumn("lead", F.trim(F.substring("full", 1, lead)))
+    told = F.filter(F.transform(sentences(F.col("full")), lambda s: clean(s)), lambda s: (F.length(s) >= 20) & matches(s, pack.concept("key_sentence")) & ~matches(s, pack.concept("sentence_metadata")) & ~F.col("lead").contains(s))
+    sorted_ = F.array_sort(F.transform(told, lambda s, i: F.struct(F.lower(F.regexp_replace(s, SPACES, "")).alias("key"), i.alias("place"), s.alias("sentence"))))
+    rows = rows.withColumn("told", sorted_)
+    once = F.filter("told", lambda s, i: (i == 0) | (F.get(F.col("told"), i - 1)["key"] != s["key"]))
+    first = F.slice(F.array_sort(F.transform(once, lambda s: F.struct(s["place"].alias("place"), s["sentence"].alias("sentence")))), 1, keys)
+    listed = F.array_join(F.transform(first, lambda s: s["sentence"]), "\n")
+    text = F.when(F.col("lead") == "", "").otherwise(F.trim(F.substring(F.concat("lead", F.when(listed == "", "").otherwise(F.concat(F.lit(f"\n{pack.key_heading}\n"), listed))), 1, most)))
+    given = F.concat_ws(" ", *(clean(F.col(c)) for c in ("title", "source", "category")), F.substring(clean(F.col("description")), 1, lead), "text")
+    return rows.withColumn("text", text).select("id", "text", (F.ceil(F.length(clean(given)) / 2) + 350).alias("estimated_tokens"))
 
 
 #: How a refusal's message tells its kind.

@@ -92,6 +92,7 @@ class Pack:
     templates: list[Template] = field(default_factory=list)
     title_templates: list[Template] = field(default_factory=list)
     no_summary: str = ""
+    key_heading: str = ""
 
     def concept(self, name: str) -> str:
         """The concept's pattern; one that matches nothing where the pack has none."""

@@ -44,6 +44,7 @@ PACK = Pack(
         Signal("support_policy_general", r'지원|모집|선정|정책|협력|인프라', 0, 0, 0),
     ],
     concepts={
+        "key_sentence": r'투자\s*유치|투자유치|\d[\d,.]*\s*(?:조|억|만)?\s*원|시드|프리[-\s]?A|시리즈\s*[A-Z]|Series\s*[A-Z]|펀드|결성|선정|모집|지원사업|지원|실증|PoC|TIPS|팁스|LIPS|립스|출시|상용화|협약|인수|매각|세컨더리|회수시장|\b(?:funding|raised?|raises?|seed|venture\s+capital|fund|selected?|support(?:ed|s)?|pilot|launched?|acquir(?:ed|es?))\b',
         "claim": r'(?:\d[\d,.]*\s*(?:조|억|만)?\s*원|\d[\d,]*\s*(?:곳|개사|개\s*기업|명|팀)|(?:프리[-\s]?)?시리즈\s*[A-Z]|Series\s*[A-Z])',
         "fact_amount": r'(?:약\s*|최대\s*)?(?:\d[\d,.]*\s*(?:조|억|만)\s*원|\d[\d,.]*\s*(?:달러|원)|\$\s*\d[\d,.]*(?:\s*(?:million|billion))?)',
         "fact_stage": r'(?:프리[-\s]?시리즈\s*[A-Z]|프리[-\s]?[A-Z]|시리즈\s*[A-Z]|Series\s*[A-Z]|시드|브릿지|후속\s*투자|Pre[-\s]?IPO)',
@@ -301,6 +302,7 @@ PACK = Pack(
     ],
     cut_endings="투자 유치|유치|선정|결성|조성|출시|공개|개발|고도화|상용화|확대|모집|지원|참여|수상|개최|개소|매각|인수|합병|추진|퇴장|형성".split("|"),
     openers=[r"(?:회사|기업|기관|정부|운영사들?|선정\s*기업들?|이\s*펀드|펀드|이들)(?:은|는|이|가|에는)?\s*", r"(?:이를|이번\s*투자를|조달한\s*자금을?)\s*"],
+    key_heading="핵심 문장:",
     no_summary="기사 제목에서 확인되는 핵심 사실 없음",
     templates=[
         Template("fund", words=(["펀드"], ["결성", "조성"]), lacking="펀드", instead="{fund} 결성", detail="supporting"),

@@ -388,3 +388,22 @@ def paywalled_pages(spark, d):
     story = F.concat(F.when(key % 3 == 2, _LONG * 12).otherwise(_LONG), key.cast("string"))
     page = F.concat(F.lit("<html><body><article><p>"), story, F.lit("</p></article>"), wall, F.lit("</body></html>"))
     return table(spark, d, "pages").select(key.alias("id"), html.extraction(page, PACK).alias("x")).select("id", "x.failure", F.length("x.text").cast("long").alias("n"))
+
+
+_FILLER = "오늘은 비가 온다. "
+
+
+@query(
+    f"WITH x AS ({_CUSTOMERS}), t AS (SELECT id, c, trim(substring(repeat('{_FILLER}', 150), 1, 1500)) || chr(10) || '핵심 문장:' || chr(10) || c || '은 ' || n || '억 원 투자 유치를 마쳤다고 오늘 밝혔다.' || CASE WHEN id % 2 = 0 THEN chr(10) || '다음 달에는 새 서비스를 ' || m || '개 도시에 출시한다.' ELSE '' END AS text FROM x) "
+    "SELECT id, text, CAST(ceil(length(c || ', 투자 유치 매체 VC / AC ' || replace(text, chr(10), ' ')) / 2) AS BIGINT) + 350 AS estimated_tokens FROM t"
+)
+def model_inputs(spark, d):
+    """What a model is given of a long body: its beginning, and the key sentences beyond it, without repeats, notices and what is too short."""
+    from siftwell.operators import summaries
+
+    n, m = F.floor(F.abs("c_acctbal")).cast("long") % 900 + 10, F.col("c_custkey") % 40 + 2
+    key = F.concat(_company(), F.lit("은 "), n.cast("string"), F.lit("억 원 투자 유치를 마쳤다고 오늘 밝혔다. "))
+    more = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("다음 달에는 새 서비스를 "), m.cast("string"), F.lit("개 도시에 출시한다. "))).otherwise("")
+    body = F.concat(F.lit(_FILLER * 150), key, F.lit("짧은 투자. "), F.replace(key, F.lit("마쳤다고"), F.lit("마쳤다고 ")), more, F.lit("재배포 금지 안내와 함께 30억 원 투자 유치 소식을 전한다. 날씨는 내일도 오늘처럼 아주 흐릴 것으로 보인다."))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(_company(), F.lit(", 투자 유치")).alias("title"), F.lit("매체").alias("source"), F.lit("VC / AC").alias("category"), F.lit("").alias("description"), body.alias("body"))
+    return summaries.model_input(rows, PACK)
