@@ -159,3 +159,17 @@ def test_counts_are_taken_while_writing(spark, tmp_path):
 
     counts = sinks.written(rows.mapInPandas(counting, rows.schema), str(tmp_path / "out"), {"n": F.count("*"), "good": F.count_if("ok")})
     assert counts == {"n": 100, "good": 25} and seen.value == 100 and spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_keyed_cache_forgets(spark, tmp_path):
+    from siftwell.streaming.windows import newest_per_key, upserted
+
+    (tmp_path / "in").mkdir()
+    parts = [[("a", "one", "2026-01-01"), ("b", "x", "2026-01-01")], [("a", "two", "2026-01-05"), ("b", "older", "2025-12-31")], [("c", "tick", "2026-03-01")], [("d", "tick", "2026-03-02")]]
+    for k, part in enumerate(parts):
+        name = tmp_path / "in" / f"{k}.json"
+        name.write_text("\n".join(json.dumps({"key": i, "summary": v, "created_at": f"{t} 00:00:00"}) for i, v, t in part))
+        os.utime(name, (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("key string, summary string, created_at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = {r["key"]: r["summary"] for r in upserted(newest_per_key(stream), ["key"], "created_at", str(tmp_path / "out")).collect()}
+    assert got == {"a": "two", "b": "x", "c": "tick", "d": "tick"}
