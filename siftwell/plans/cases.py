@@ -20,7 +20,7 @@ class Sql(str):
     """An expected value as SQL over k (the row's key) and x (its text)."""
 
 
-def derived(name: str, of: str, key: str, x: tuple[Column, str], schema: str, results: str, found: Callable[[Column, Column, Column], list[Column]], shapes: list[tuple]) -> None:
+def derived(name: str, of: str, key: str, x: tuple[Callable[[], Column], str], schema: str, results: str, found: Callable[[Column, Column, Column], list[Column]], shapes: list[tuple]) -> None:
     """A query over texts made of a table's rows: each row takes the shapes that its key falls to, given and expected ones.
 
     `{k}` in a shape is the key, `{x}` the row's text (as a column and as SQL), `{b}` an old article id that holds
@@ -28,10 +28,10 @@ def derived(name: str, of: str, key: str, x: tuple[Column, str], schema: str, re
     where there are such.
     """
     given, names = [c.split()[0] for c in schema.split(", ")], results.split(", ")
-    kind = F.pmod(F.col("k"), F.lit(len(shapes))).cast("int")
 
     def run(spark, d):
-        rows = table(spark, d, of).select(F.col(key).cast("long").alias("k"), x[0].cast("string").alias("x"))
+        kind = F.pmod(F.col("k"), F.lit(len(shapes))).cast("int")
+        rows = table(spark, d, of).select(F.col(key).cast("long").alias("k"), x[0]().cast("string").alias("x"))
         old = F.translate(F.rtrim(F.base64(F.concat(F.lit("\b\x13\"#"), F.lit("https://a.example/"), F.col("k").cast("string"))), F.lit("=")), "+/", "-_")
 
         def filled(at: int) -> Column:
@@ -55,9 +55,9 @@ def derived(name: str, of: str, key: str, x: tuple[Column, str], schema: str, re
     ORACLE[name] = f"SELECT k AS n, {', '.join(f'{case(len(given) + at)} AS {n}' for at, n in enumerate(names))} FROM (SELECT CAST({key} AS BIGINT) AS k, {x[1]} AS x FROM {of})"
 
 
-_HOST = (urls.host(F.col("url")), r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))")
-_CLOCK = (F.date_format("ts", "HH:mm:ss"), "strftime(ts, '%H:%M:%S')")
-_NONE = (F.lit(""), "''")
+_HOST = (lambda: urls.host(F.col("url")), r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1))")
+_CLOCK = (lambda: F.date_format("ts", "HH:mm:ss"), "strftime(ts, '%H:%M:%S')")
+_NONE = (lambda: F.lit(""), "''")
 
 # --- sources and sinks -----------------------------------------------------------------------------------------------
 
@@ -122,7 +122,7 @@ def archive_index(spark, d):
 
 
 derived(
-    "source_names", "supplier", "s_suppkey", (F.col("s_name"), "s_name"), "p string, c string, f string, s string, a string", "source",
+    "source_names", "supplier", "s_suppkey", (lambda: F.col("s_name"), "s_name"), "p string, c string, f string, s string, a string", "source",
     lambda u, t, e: [feeds.source_name(F.col("p"), F.col("c"), F.col("f"), F.col("s"), F.lit(None).cast("string"), F.col("a"))],
     [
         ("primary", "{x} &amp; B", "Feed", "Item", None, "{x} & B"), ("primary", "", "{x}", "Item", None, "{x}"), ("discovery", "A", "Feed", " <b>{x}</b> ", "W", "{x}"), ("discovery", "A", "Feed", "", "W {k}", "W {k}"),
@@ -260,7 +260,7 @@ derived(
     ],
 )
 derived(
-    "title_source", "documents", "doc_id", (F.coalesce("source", F.lit("Post")), "coalesce(source, 'Post')"), "t string, s string", "title", lambda u, t, e: [html.without_source(t, F.col("s"))],
+    "title_source", "documents", "doc_id", (lambda: F.coalesce("source", F.lit("Post")), "coalesce(source, 'Post')"), "t string, s string", "title", lambda u, t, e: [html.without_source(t, F.col("s"))],
     [("News {k} of today - {x}", "{x}", "News {k} of today"), ("A{k} - B - {x}", "{x}", "A{k} - B"), ("A{k} | Other", "{x}", "A{k} | Other"), ("A{k} - {x}", "", "A{k} - {x}")],
 )
 
@@ -319,7 +319,7 @@ def importance(spark, d):
 
 
 derived(
-    "search_likeness", "part", "p_partkey", (F.col("p_name"), "p_name"), "a string, b string", "closeness", lambda u, t, e: [F.round(similarity.search_similarity(F.col("a"), F.col("b")), 4)],
+    "search_likeness", "part", "p_partkey", (lambda: F.col("p_name"), "p_name"), "a string, b string", "closeness", lambda u, t, e: [F.round(similarity.search_similarity(F.col("a"), F.col("b")), 4)],
     [
         ("{x} raises {k}", "{x} RAISES {k}!", 1.0), ("{x}", "{x} and more", Sql("round(length(replace(x, ' ', '')) / (length(replace(x, ' ', '')) + 7), 4)")), ("abcd{k}", "", 0.0), ("", "{x}", 0.0), ("abc{k}", "xyz!", 0.0),
         ("abcd", "abxy", 0.3333), ("{k}{x}", "{k}", Sql("round(length(CAST(k AS VARCHAR)) / (length(CAST(k AS VARCHAR)) + length(replace(x, ' ', ''))), 4)")),
