@@ -50,7 +50,7 @@ FREQUENT_MOST = 1 << 20
 SHARD_SHINGLES = 3 << 19
 #: Prefix shingles in a range, and in the packets that a task sends out.
 RANGE_ENTRIES = 300_000
-RANGES_LEAST = 8
+RANGES_LEAST = 64
 PACKET_ENTRIES = 600_000
 BLOCK = 64
 #: Shingles in a block of the third pass, and of the groups that one task holds against it (six bytes each on the way, eight in a task).
