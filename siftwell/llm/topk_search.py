@@ -85,7 +85,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     blocks, n_blocks = _dealt(rows, BLOCK_ROWS, "block")
     chunks, _ = _dealt(rows.where(is_query), CHUNK_ROWS, "chunk")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    met = blocks.join(chunks.withColumn("block", everywhere), "block")
+    # Repeated chunks look as small as the chunks themselves, so the planner would send all repeats through the driver.
+    met = blocks.join(chunks.withColumn("block", everywhere).hint("merge"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -60,6 +60,14 @@ def test_topk_empty_and_few(spark):
     assert [tuple(r) for r in topk_search.vector_top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def test_topk_repeats_no_chunks_through_the_driver(spark):
+    df = spark.createDataFrame([(k, [k / 64, 0.5]) for k in range(100)], "vec_id long, embedding array<double>")
+    found = topk_search.vector_top_k(df, F.col("vec_id") % 50 == 0)
+    assert len(found.collect()) == 10
+    ran = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in ran and "Broadcast" not in ran
+
+
 # 2, 7, 10: held-out accuracy on invented languages
 
 
