@@ -10,7 +10,7 @@ from siftwell.functions import urls
 from siftwell.operators import answers, dedup
 from siftwell.packs.startup_news import PACK
 from siftwell.plans.headlines import _CUSTOMERS, _company
-from siftwell.plans.queries import _stream, query, table
+from siftwell.plans.queries import _stream, query, streamed, table
 from siftwell.sources import feed_reader, sinks
 from siftwell.streaming import model_queue, robots
 
@@ -101,7 +101,7 @@ def _rules(origin: str) -> str:
     "SELECT id, NOT (length(origin) % 2 = 1 AND starts_with(path, '/en') AND NOT starts_with(path, '/en/1')) AS allowed FROM p"
 )
 def stream_robots_memo(spark, d):
-    rows = spark.readStream.schema(table(spark, d, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(d).select(F.col("page_id").alias("id"), "url")
+    rows = streamed(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
     return robots.robots_memo(rows, _rules, "siftwell").select("id", "allowed")
 
 

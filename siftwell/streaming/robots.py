@@ -5,7 +5,7 @@ A batch looks its origins up in the memo, a table in the shared folder; only ori
 the memo, its longest rule decides, and rows land with `allowed`. A batch that is run again replaces what it wrote.
 
 Defined cases: an origin whose fetch fails or gives nothing has no rules and allows all, until it is asked again; a null
-URL has the origin '' and is allowed; an empty batch writes nothing.
+URL has the origin '' and is allowed; an empty batch writes nothing, and a stream without rows gives none.
 """
 
 from __future__ import annotations
@@ -69,4 +69,8 @@ def robots_memo(stream: DataFrame, fetch: Callable[[str], str | None], agent: st
 
     query = stream.writeStream.foreachBatch(guarded(write)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(f"id {kind}, url string, allowed boolean").parquet(f"{path}/rows")
+    columns = f"id {kind}, url string, allowed boolean"
+    try:
+        return spark.read.schema(columns).parquet(f"{path}/rows")
+    except AnalysisException:  # no rows have come yet
+        return spark.createDataFrame([], columns)
