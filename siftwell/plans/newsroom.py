@@ -233,7 +233,7 @@ def list_page_links(spark, d):
     path = F.concat(F.when(F.col("page_id") % 6 == 3, "private/").otherwise(""), F.lit("story/"), "page_id")
     named = F.when(F.col("page_id") % 5 == 0, "Zzyx qwrt plgh vbnm").otherwise(F.concat(F.lit("The licence of story "), "page_id"))
     link = F.concat(F.lit("<li><a class='x headline' href='/"), path, F.lit("#top'>"), named, F.lit("</a></li>"))
-    pages = rows.withColumn("link", link).groupBy((F.col("page_id") % 30).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("link").alias("x")))).alias("held"))
+    pages = rows.withColumn("link", link).groupBy((F.col("page_id") % 30).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("page_id").alias("at"), F.col("link").alias("x")))).alias("held"))
     pages = pages.select("page_id", F.lit("https://list.example/").alias("url"), F.concat(F.lit("<ul>"), F.array_join("held.x", "\n"), F.lit("</ul><a href='/story/0'>The licence of nobody</a>")).alias("html"))
     day = F.concat(F.lit("2024-02-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0")).cast("timestamp")
     details = rows.select(F.concat(F.lit("https://list.example/"), path).alias("url"), day.alias("published"))

@@ -30,3 +30,9 @@ def test_a_robots_stream_without_rows_gives_none(spark, tmp_path):
     spark.createDataFrame([], "id long, url string").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long, url string").parquet(f"{tmp_path}/in")
     assert robots.robots_memo(stream, str, "siftwell").collect() == []
+
+
+def test_list_pages_keep_their_first_links_by_id(spark, folder):
+    got = {r["url"] for r in newsroom.list_page_links(spark, folder).collect()}
+    want = {f"https://list.example/story/{k}" for k in range(2000) if k // 30 < 50 and k % 5 and k % 6 != 3}
+    assert got == want
