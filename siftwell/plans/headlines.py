@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import titles
 from siftwell.packs.startup_news import PACK
-from siftwell.plans.queries import ARTICLES, _quoted, articles, query, s_clean, table
+from siftwell.plans.queries import ARTICLES, _quoted, articles, query, s_clean, spread, table
 
 #: Title, description, kind and sentence by the kind of event; {c}: the company, {p}: its particle, {n}, {m}: numbers.
 TOLD = [
@@ -75,7 +75,7 @@ def _sql(rows: list[tuple[str, str]]) -> str:
 def headlines(spark: SparkSession, d: str) -> DataFrame:
     """Customers as articles: id, title, description."""
     kind = (F.col("c_custkey") % len(TOLD)).cast("int")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), _filled([t[0] for t in TOLD], kind).alias("title"), _filled([t[1] for t in TOLD], kind).alias("description"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), _filled([t[0] for t in TOLD], kind).alias("title"), _filled([t[1] for t in TOLD], kind).alias("description"))
 
 
 @query(_sql([(kind, told) for _, _, kind, told in TOLD]))
@@ -86,7 +86,7 @@ def local_summaries(spark, d):
 @query(_sql([(kind, told) for _, kind, told in TITLED]))
 def title_summaries(spark, d):
     kind = (F.col("c_custkey") % len(TITLED)).cast("int")
-    return titles.title_summaries(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), _filled([t[0] for t in TITLED], kind).alias("title")), PACK)
+    return titles.title_summaries(spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), _filled([t[0] for t in TITLED], kind).alias("title")), PACK)
 
 
 @query(f"WITH x AS ({_CUSTOMERS}) SELECT id, c || ' ' || [{', '.join(_quoted(stem) for stem, _ in ENDED)}][CAST(id % {len(ENDED)} + 1 AS INTEGER)] AS clause FROM x")
@@ -94,7 +94,7 @@ def report_endings(spark, d):
     kind = (F.col("c_custkey") % len(ENDED)).cast("int")
     told = F.concat(_company(), F.lit(" "), F.get(F.array(*(F.lit(stem + end) for stem, end in ENDED)), kind), F.when(F.col("c_custkey") % 2 == 0, ".").otherwise(""))
     once = titles.report_ending(PACK, told)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), once.alias("clause"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), once.alias("clause"))
 
 
 _PREPARED = rf"trim(regexp_replace(regexp_replace(regexp_replace({s_clean('title')}, '^\[[^\]]+\]\s*', ''), '\s+(?:外|등)$', ''), '\s+', ' ', 'g'))"

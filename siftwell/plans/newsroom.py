@@ -10,7 +10,7 @@ from siftwell.functions import urls
 from siftwell.operators import answers, dedup
 from siftwell.packs.startup_news import PACK
 from siftwell.plans.headlines import _CUSTOMERS, _company
-from siftwell.plans.queries import _stream, query, streamed, table
+from siftwell.plans.queries import _stream, query, spread, streamed, table
 from siftwell.sources import feed_reader, sinks
 from siftwell.streaming import model_queue, robots
 
@@ -42,7 +42,7 @@ def _stub(title: str, text: str, reason: str) -> str:
 )
 def model_answers(spark, d):
     n = F.floor(F.abs("c_acctbal")).cast("long") % 900 + 10
-    rows = table(spark, d, "customer").select(
+    rows = spread(table(spark, d, "customer")).select(
         F.col("c_custkey").alias("id"), F.concat(_company(), F.lit(", 시리즈A 투자 유치")).alias("title"), F.lit("매체").alias("source"), F.lit("").alias("description"),
         F.concat(_company(), F.lit(" "), n.cast("string"), F.lit("억 원 조달, 시리즈A")).alias("text"), F.lit(False).alias("described"), F.concat(_company(), F.lit(" 소식")).alias("summary"),
     )
@@ -164,7 +164,7 @@ def _entries(spark, d):
     kind = (F.col("c_custkey") % len(JUDGED)).cast("int")
     allowed = F.get(F.array(*(F.lit(k >= 0) for _, k, _ in JUDGED)), kind)
     day = F.when(F.col("c_custkey") % 5 == 4, "2023-12-01").otherwise("2024-01-02").cast("timestamp")
-    return table(spark, d, "customer").select(
+    return spread(table(spark, d, "customer")).select(
         F.col("c_custkey").alias("id"), _filled([t for t, _, _ in JUDGED], kind).alias("title"), F.lit("").alias("description"), F.when(allowed, PACK.sources[0]).otherwise("어느 블로그").alias("source"),
         F.concat(F.lit("https://news.example/a/"), "c_custkey").alias("url"), day.alias("published_at"), F.lit("primary").alias("feed_priority"), F.lit(5).alias("source_weight"), F.lit(True).alias("is_domestic"),
         F.array().cast("array<string>").alias("category_hints"),
@@ -200,7 +200,7 @@ def fetched_pages(spark, d):
 def discovery_urls(spark, d):
     from siftwell.sources import feeds
 
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(" & ", "c_name", "c_mktsegment").alias("query"))
+    rows = spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), F.concat_ws(" & ", "c_name", "c_mktsegment").alias("query"))
     return feeds.discovery_feeds(rows).select("id", "url")
 
 
@@ -285,7 +285,7 @@ def without_particles(spark, d):
 
     c = _company()
     told = F.when(F.col("c_custkey") % 3 == 0, F.concat(c, F.lit("은 투자를 유치함"))).when(F.col("c_custkey") % 3 == 1, F.concat(c, F.lit("가, 펀드를 결성했음!"))).otherwise(F.concat(c, F.lit("에서 새 앱을 출시됐음")))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.without_particles(told, PACK).alias("bare"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), text.without_particles(told, PACK).alias("bare"))
 
 
 @query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Firm' || c_custkey WHEN 1 THEN 'Zed' || c_custkey WHEN 2 THEN c_custkey || '가온' END AS company FROM customer")
@@ -296,7 +296,7 @@ def company_names(spark, d):
     k = F.col("c_custkey")
     title = F.when(k % 4 == 0, F.concat(F.lit("Berlin-based Firm"), k, F.lit(" raises €5 million | EU-Startups"))).when(k % 4 == 1, F.concat(F.lit("오늘의 소식 ‘Zed"), k, F.lit("’ 화제"))).otherwise(F.lit("오늘의 소식."))
     summary = F.when(k % 4 == 2, F.concat(k, F.lit("가온은 30억 원 투자 유치를 마쳤다"))).otherwise("")
-    return table(spark, d, "customer").select(k.alias("id"), rules.company(PACK, title, summary).alias("company"))
+    return spread(table(spark, d, "customer")).select(k.alias("id"), rules.company(PACK, title, summary).alias("company"))
 
 
 @query(
@@ -307,7 +307,7 @@ def item_reasons(spark, d):
     from siftwell.operators import quality
 
     k = F.col("c_custkey") % 6
-    rows = table(spark, d, "customer").select(
+    rows = spread(table(spark, d, "customer")).select(
         F.col("c_custkey").alias("id"), F.when(k == 0, " ").when(k == 3, "코스닥 급등주 마감").otherwise(F.concat(_company(), F.lit(" 소식"))).alias("title"),
         F.when(k == 2, "https://news.google.com/articles/x").when(k == 4, "ftp://a.example/x").otherwise("https://a.example/x").alias("url"), F.lit("매체").alias("source"), F.lit("VC / AC").alias("category"),
         F.when(k == 5, "unavailable").otherwise("description").alias("summary_type"), F.when((k == 1) | (k == 5), "").otherwise("가온이 앱을 출시").alias("summary"), F.lit("").alias("description"), F.lit("").alias("body"),
@@ -326,7 +326,7 @@ def description_reasons(spark, d):
     title = F.concat(c, F.lit(", 시리즈A 투자 유치"))
     good = F.concat(c, F.lit("이 물류 로봇의 해외 판로를 넓히려고 시리즈A 투자를 유치"))
     summary = F.when(k == 0, title).when(k == 1, "로봇 시장 소식").when(k == 2, F.concat(c, F.lit("이 물류 로봇의 해외 판로를 넓히려고 오늘도 길을 걷는다"))).when(k == 3, F.concat(good, F.repeat(F.lit(" 아주 길게"), 30), F.lit(" 유치"))).otherwise(good)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), quality.model_description_reason(PACK, title, summary, F.lit("매체")).alias("reason"))
+    return spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), quality.model_description_reason(PACK, title, summary, F.lit("매체")).alias("reason"))
 
 
 # --- texts of each kind that a rule tells apart ------------------------------------------------------------------------
@@ -361,7 +361,7 @@ def overseas_funding(spark, d):
     from siftwell.operators import summaries
 
     key = F.col("o_orderkey")
-    return table(spark, d, "orders").select(key.alias("id"), summaries.overseas_sentence(PACK, _texts([t for t, _ in FUNDED], key)).alias("sentence"))
+    return spread(table(spark, d, "orders")).select(key.alias("id"), summaries.overseas_sentence(PACK, _texts([t for t, _ in FUNDED], key)).alias("sentence"))
 
 
 @query(f"SELECT o_orderkey AS id, {_told([r for _, _, r, _ in EXCLUDED], 'o_orderkey')} AS reason, {_told([p for _, _, _, p in EXCLUDED], 'o_orderkey')} AS protected FROM orders")
@@ -371,7 +371,7 @@ def news_hard_reasons(spark, d):
 
     key = F.col("o_orderkey")
     title, body = _texts([t for t, _, _, _ in EXCLUDED], key), _texts([b for _, b, _, _ in EXCLUDED], key)
-    rows = table(spark, d, "orders").select(key.alias("id"), title.alias("title"), body.alias("body"))
+    rows = spread(table(spark, d, "orders")).select(key.alias("id"), title.alias("title"), body.alias("body"))
     return rows.select("id", rules.hard_exclusion(PACK, F.col("title"), F.lit(""), F.col("body"), F.lit("")).alias("reason"), rules.protected(PACK, F.col("title")).alias("protected"))
 
 
@@ -405,5 +405,5 @@ def model_inputs(spark, d):
     key = F.concat(_company(), F.lit("은 "), n.cast("string"), F.lit("억 원 투자 유치를 마쳤다고 오늘 밝혔다. "))
     more = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("다음 달에는 새 서비스를 "), m.cast("string"), F.lit("개 도시에 출시한다. "))).otherwise("")
     body = F.concat(F.lit(_FILLER * 150), key, F.lit("짧은 투자. "), F.replace(key, F.lit("마쳤다고"), F.lit("마쳤다고 ")), more, F.lit("재배포 금지 안내와 함께 30억 원 투자 유치 소식을 전한다. 날씨는 내일도 오늘처럼 아주 흐릴 것으로 보인다."))
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(_company(), F.lit(", 투자 유치")).alias("title"), F.lit("매체").alias("source"), F.lit("VC / AC").alias("category"), F.lit("").alias("description"), body.alias("body"))
+    rows = spread(table(spark, d, "customer")).select(F.col("c_custkey").alias("id"), F.concat(_company(), F.lit(", 투자 유치")).alias("title"), F.lit("매체").alias("source"), F.lit("VC / AC").alias("category"), F.lit("").alias("description"), body.alias("body"))
     return summaries.model_input(rows, PACK)

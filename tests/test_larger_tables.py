@@ -36,3 +36,30 @@ def test_list_pages_keep_their_first_links_by_id(spark, folder):
     got = {r["url"] for r in newsroom.list_page_links(spark, folder).collect()}
     want = {f"https://list.example/story/{k}" for k in range(2000) if k // 30 < 50 and k % 5 and k % 6 != 3}
     assert got == want
+
+
+def test_rows_of_one_file_go_to_all_cores(spark, tmp_path):
+    row = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("A title\nA text.").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    row.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(64).select(F.col("id").alias("c_custkey"), F.lit(5.0).alias("c_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for rows in (queries.connection_type(spark, str(tmp_path)), newsroom.description_reasons(spark, str(tmp_path))):
+        assert rows.select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def test_cleaning_is_the_same_with_and_without_its_guard(spark):
+    from siftwell.functions.text import SPACES, clean, decode_named
+
+    texts = ["plain text", " ends ", "two  spaces", "a\tb", "a b", "a​b", "x &amp;lt; y", "<b>bold</b> & <", "&LT;p&gt;", "﻿x", "", None, " ", "a\n", "a  ", "가온 투자"]
+    plain = F.regexp_replace(decode_named(F.regexp_replace(F.coalesce("t", F.lit("")), "<[^>]*>", " ")), r"[\x{200B}-\x{200D}\x{2060}]", "")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(clean(F.col("t")).alias("got"), F.trim(F.regexp_replace(plain, SPACES, " ")).alias("want"))
+    assert all(r["got"] == r["want"] for r in rows.collect())
+
+
+def test_a_summarys_sentences_are_scored_once(spark):
+    from siftwell.operators import summaries
+    from siftwell.packs.corpus import PACK
+
+    rows = spark.createDataFrame([(1, "t", "c", "s", "The fund closed a deal. " * 3)], "id long, title string, category string, source string, body string")
+    plan = summaries.extractive(rows, PACK)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line and "LIKE(sentence" in line.replace(" ", "")]
+    assert not any("Filter" in line and line.count("RLIKE") > 5 for line in plan.splitlines())
