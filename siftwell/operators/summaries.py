@@ -102,9 +102,10 @@ def scored_sentences(articles: DataFrame, pack: Pack, text: str = "body") -> Dat
 
 def extractive(articles: DataFrame, pack: Pack, text: str = "body") -> DataFrame:
     """id and summary: the best usable sentence, and if it is short the next that adds something."""
-    rows = scored_sentences(articles, pack, text).where("usable")
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("worth"), "place", "sentence")))
-    rows = rows.groupBy("id").agg(F.transform(best, lambda s: s["sentence"]).alias("best")).withColumn("first", F.get("best", F.lit(0)))
+    # Gathered by a condition, not filtered: a filter would sink below the scores and compute them all again, column by column.
+    best = F.sort_array(F.collect_list(F.when(F.col("usable"), F.struct((-F.col("score")).alias("worth"), "place", "sentence"))))
+    rows = scored_sentences(articles, pack, text).groupBy("id").agg(best.alias("best")).where(F.size("best") > 0)
+    rows = rows.select("id", F.transform("best", lambda s: s["sentence"]).alias("best")).withColumn("first", F.get("best", F.lit(0)))
 
     def unlike(own: Column, other: Column) -> Column:
         views = F.struct(fingerprint(own).alias("p"), tokens(own).alias("t"), fingerprint(other).alias("q"), tokens(other).alias("u"))
@@ -206,7 +207,8 @@ def model_input(articles: DataFrame, pack: Pack, lead: int = 1500, most: int = 3
     characters at most; all of it is chosen within the row.
     """
     rows = articles.select("id", "title", "source", "category", "description", clean(F.col("body")).alias("full")).withColumn("lead", F.trim(F.substring("full", 1, lead)))
-    told = F.filter(F.transform(sentences(F.col("full")), lambda s: clean(s)), lambda s: (F.length(s) >= 20) & matches(s, pack.concept("key_sentence")) & ~matches(s, pack.concept("sentence_metadata")) & ~F.col("lead").contains(s))
+    # Cheap tests first: most sentences are short or in the lead.
+    told = F.filter(F.transform(sentences(F.col("full")), lambda s: clean(s)), lambda s: (F.length(s) >= 20) & ~F.col("lead").contains(s) & matches(s, pack.concept("key_sentence")) & ~matches(s, pack.concept("sentence_metadata")))
     sorted_ = F.array_sort(F.transform(told, lambda s, i: F.struct(F.lower(F.regexp_replace(s, SPACES, "")).alias("key"), i.alias("place"), s.alias("sentence"))))
     rows = rows.withColumn("told", sorted_)
     once = F.filter("told", lambda s, i: (i == 0) | (F.get(F.col("told"), i - 1)["key"] != s["key"]))
