@@ -17,8 +17,12 @@ def reason_counts(rows: DataFrame, reason: str = "exclude_reason") -> DataFrame:
 
 
 def failure_rollup(rows: DataFrame, reason: str, source: str) -> DataFrame:
-    """Failures by reason and by reason and source in one pass."""
-    return rows.where(F.col(reason).isNotNull()).rollup(reason, source).agg(F.count("*").alias("n"))
+    """Failures by reason and by reason and source in one pass.
+
+    Counted before the null reasons go: a filter on the reason would sink below it and compute it twice.
+    """
+    held = rows.groupBy(reason, source).agg(F.count(reason).alias("__n")).where("__n > 0")
+    return held.rollup(reason, source).agg(F.sum("__n").alias("n"))
 
 
 def success_rates(rows: DataFrame, source: str, ok: Column) -> DataFrame:

@@ -63,3 +63,13 @@ def test_a_summarys_sentences_are_scored_once(spark):
     plan = summaries.extractive(rows, PACK)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line and "LIKE(sentence" in line.replace(" ", "")]
     assert not any("Filter" in line and line.count("RLIKE") > 5 for line in plan.splitlines())
+
+
+def test_a_rollup_computes_its_reason_once(spark):
+    from siftwell.operators import aggregates
+
+    rows = spark.createDataFrame([("a", "s"), ("a", None), ("b", "s"), (None, "s")], "t string, source string").withColumn("reason", F.when(F.col("t").rlike("a+"), "x").when(F.col("t").rlike("b+"), "y"))
+    found = aggregates.failure_rollup(rows, "reason", "source")
+    got = sorted(((r["reason"], r["source"], r["n"]) for r in found.collect()), key=str)
+    assert got == sorted([("x", "s", 1), ("x", None, 1), ("y", "s", 1), ("x", None, 2), ("y", None, 1), (None, None, 3)], key=str)
+    assert not any("Filter" in line and "RLIKE" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
