@@ -73,3 +73,22 @@ def test_a_rollup_computes_its_reason_once(spark):
     got = sorted(((r["reason"], r["source"], r["n"]) for r in found.collect()), key=str)
     assert got == sorted([("x", "s", 1), ("x", None, 1), ("y", "s", 1), ("x", None, 2), ("y", None, 1), (None, None, 3)], key=str)
     assert not any("Filter" in line and "RLIKE" in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_prose_of_like_bigrams_loses_no_similar_pair(spark, monkeypatch):
+    """Titles that share most bigrams, in several blocks, against brute force."""
+    import random
+    from collections import Counter
+
+    from siftwell.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(joins, "STEP", 16)
+    rng, words = random.Random(5), ["thein", "there", "nthe", "anth", "hean", "inre"]
+    titles = ["".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    titles = sorted({*titles, *(t[:-1] + "x" for t in titles[:30])})
+    grams = [Counter(t[k : k + 2] for k in range(len(t) - 1)) for t in titles]
+    dice = lambda a, b: 2 * (a & b).total() / (a.total() + b.total())
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if dice(grams[i], grams[j]) >= 0.88}
+    got = joins.similar_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(want) > 30
