@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import html, similarity, text, times, urls
-from siftwell.operators import aggregates, dedup, joins, quality, rules, selection, summaries
+from siftwell.operators import aggregates, dedup, quality, rules, selection, summaries
 from siftwell.packs.corpus import PACK
 from siftwell.plans import serving
-from siftwell.plans.queries import _ORDER, _RANKED, ARTICLES, ORACLE, QUERIES, _quoted, _ranked, articles, query, s_case, s_clean, s_form, s_grams, s_has, s_hits, s_jaccard, s_joined, s_keyword, s_match, s_print, s_tokens, table
+from siftwell.plans.queries import _ORDER, _RANKED, ARTICLES, ORACLE, QUERIES, _quoted, _ranked, articles, query, s_case, s_clean, s_form, s_grams, s_has, s_hits, s_jaccard, s_joined, s_keyword, s_match, s_print, s_tokens, spread, table
 from siftwell.sources import feeds, sinks
 
 
@@ -519,8 +519,9 @@ def fallback_quality_reason(spark, d):
 def _events(spark, d) -> DataFrame:
     """Articles with an amount and a round in their titles, so that events have facts in common."""
     told = F.concat("title", F.lit(" "), F.col("id") % 13 + 1, F.lit("억원 series "), F.substring(F.lit("abc"), (F.col("id") % 3 + 1).cast("int"), F.lit(1)))
-    rows = articles(spark, d).withColumn("title", told)
-    return rows.select("id", "title", rules.event_type(PACK, F.col("title")).alias("event"), rules.entities(PACK, F.col("title")).alias("entities"), rules.event_amounts(F.col("title")).alias("amounts"), rules.event_rounds(F.col("title")).alias("rounds"))
+    # Placed before titles are searched, as sorting reads its rows twice.
+    rows, t = dedup.ranked(articles(spark, d).select("id", told.alias("title")), [F.asc("id")]), F.col("title")
+    return spread(rows).select("rank", "id", "title", rules.event_type(PACK, t).alias("event"), rules.entities(PACK, t).alias("entities"), rules.event_amounts(t).alias("amounts"), rules.event_rounds(t).alias("rounds"))
 
 
 _BARE = rf"regexp_replace(regexp_replace({s_form('title')}, '\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '[^\p{{L}}\p{{N}}&·_-]+', ' ', 'g')"
@@ -544,6 +545,4 @@ g AS (SELECT b AS id, min(a) AS a, min_by(reason, a) AS reason FROM p1 WHERE a I
 SELECT g.id, n1.title, m.title AS kept_title, g.reason FROM g JOIN n1 USING (id) JOIN n1 m ON m.id = g.a"""
 )
 def event_dedup(spark, d):
-    items = dedup.ranked(_events(spark, d), [F.asc("id")])
-    pairs = joins.event_pairs(items.select(F.col("rank").alias("id"), "title", "event", "entities", "amounts", "rounds"))
-    return dedup.by_event(items, pairs)[1].select("id", "title", "kept_title", "reason")
+    return dedup.by_event(_events(spark, d))[1].select("id", "title", "kept_title", "reason")

@@ -18,7 +18,6 @@ from siftwell.functions.times import in_range, local_date
 from siftwell.functions.urls import canonical
 from siftwell.operators import answers, dedup, quality, rules, selection, summaries, titles
 from siftwell.operators.dedup import stored
-from siftwell.operators.joins import event_pairs
 from siftwell.packs import Pack
 
 
@@ -119,8 +118,7 @@ def briefing(entries: DataFrame, bodies: DataFrame, pack: Pack, start: Column, e
     both = rules.joined(F.col("title"), F.col("summary"))
     order = [summaries.source_rank(F.col("summary_source")).desc(), F.desc("score"), F.asc("id")]
     placed = dedup.ranked(good.withColumns({"event": rules.event_type(pack, both), "entities": rules.entities(pack, F.col("title")), "amounts": rules.event_amounts(both), "rounds": rules.event_rounds(both)}), order)
-    pairs = event_pairs(placed.select(F.col("rank").alias("id"), "title", "event", "entities", "amounts", "rounds"))
-    unique, removed = dedup.by_event(placed, pairs)
+    unique, removed = dedup.by_event(placed)
     final = selection.constrained(unique.withColumn("published", local_date(F.col("published_at"))), limits)
     items = unique.join(final.select("id"), "id", "left_semi").withColumn("facts", rules.facts(pack, F.col("title"), F.col("summary")))
 

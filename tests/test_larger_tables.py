@@ -92,3 +92,54 @@ def test_prose_of_like_bigrams_loses_no_similar_pair(spark, monkeypatch):
     want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if dice(grams[i], grams[j]) >= 0.88}
     got = joins.similar_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
     assert {(r["a"], r["b"]) for r in got} == want and len(want) > 30
+
+
+def test_rows_of_an_event_meet_those_that_stay_only(spark, monkeypatch):
+    """Greedy removal in blocks against brute force; copies of one event make rows, not pairs of all of them."""
+    import random
+    from collections import Counter
+
+    from siftwell.operators import dedup
+
+    made, pairs_of = [], dedup.event_pairs
+
+    def counted(earlier, later):
+        found = pairs_of(earlier, later)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(dedup, "event_pairs", counted)
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    monkeypatch.setattr(dedup, "MOST_BLOCK", 8)
+    monkeypatch.setattr(dedup, "BLOCK_ITEMS", 400)
+    rng, words = random.Random(7), ["gaon", "narae", "robot", "fund", "north", "harbour", "lamp", "stone", "field", "glass"]
+    items = []
+    for k in range(120):
+        named = rng.sample(words, 3)
+        items.append((k, 1000 + k, " ".join(named) + f" {k % 7}", rng.choice(["deal", "fund", None]), named[: rng.randint(0, 3)], [f"{k % 5}억"] if k % 3 == 0 else [], ["시리즈a"] if k % 11 == 0 else []))
+    items += [(k, 1000 + k, "gaon series", "launch", ["gaon", "series"], ["9억"], []) for k in range(120, 420)]
+
+    def reason(x, y):
+        both = lambda c: [v for v in y[c] if v in x[c]]
+        if x[3] is None or x[3] != y[3] or not both(4):
+            return None
+        out = f"same_event:{y[3]}, entity:{both(4)[0]}"
+        if both(5) or both(6):
+            return out + "".join(f", {name}:{both(c)[0]}" for name, c in (("amount", 5), ("round", 6)) if both(c))
+        prints = [r[2].replace(" ", "") for r in (x, y)]
+        a, b = (Counter(p[i : i + 2] for i in range(len(p) - 1)) for p in prints)
+        s, t = ({w for w in r[2].split() if len(w) > 1} for r in (x, y))
+        close = 1.0 if prints[0] == prints[1] else max(len(s & t) / len(s | t), 2 * (a & b).total() / (a.total() + b.total()))
+        return f"{out}, similar_title" if close >= 0.55 else None
+
+    kept, want = [], set()
+    for y in items:
+        first = next(((x, reason(x, y)) for x in kept if reason(x, y)), None)
+        if first:
+            want.add((y[1], y[2], first[0][2], first[1]))
+        else:
+            kept.append(y)
+    rows = spark.createDataFrame(items, "rank long, id long, title string, event string, entities array<string>, amounts array<string>, rounds array<string>")
+    stay, gone = dedup.by_event(rows)
+    assert {tuple(r) for r in gone.collect()} == want and {r["id"] for r in stay.collect()} == {x[1] for x in kept}
+    assert len(want) > 320 and sum(made) < 2000
