@@ -143,3 +143,24 @@ def test_rows_of_an_event_meet_those_that_stay_only(spark, monkeypatch):
     stay, gone = dedup.by_event(rows)
     assert {tuple(r) for r in gone.collect()} == want and {r["id"] for r in stay.collect()} == {x[1] for x in kept}
     assert len(want) > 320 and sum(made) < 2000
+
+
+def test_long_titles_without_a_likeness_are_no_candidates(spark, monkeypatch):
+    """More bigrams than slots: unlike titles of 6,000 letters aren't compared in full, a near copy is."""
+    import random
+
+    from siftwell.operators import joins
+
+    made, pairs_of = [], joins._dice_pairs
+
+    def seen(rows, least):
+        found = pairs_of(rows, least)
+        made.extend((r["a"], r["b"]) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(joins, "_dice_pairs", seen)
+    rng = random.Random(3)
+    titles = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz가나다라마바사아") for _ in range(6000)) for _ in range(6)]
+    titles.append(titles[2][:5900] + "z" * 50)
+    got = joins.similar_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(2, 6)] and made == [(2, 6)]
