@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,24 +33,13 @@ def distinct_urls(articles: DataFrame, url: str = "url", ts: str = "published_at
 
 
 def newest_per_key(entries: DataFrame, key: str = "key", ts: str = "created_at", value: str = "summary", days: int = 30) -> DataFrame:
-    """A cache as state: the newest value per key, forgotten after the days."""
-
-    def keep(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        for pdf in frames:
-            top = pdf.sort_values([ts, value]).iloc[-1]
-            stamp = int(top[ts].value // 1000)
-            if held is None or stamp >= held[0]:
-                held = (stamp, top[value])
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[0] // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]], "created_at": [pd.Timestamp(held[0], unit="us")], value: [held[1]]})
-
-    rows = entries.withWatermark(ts, "1 hour")
-    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} string, created_at timestamp, {value} string", "created bigint, value string", "update", "EventTimeTimeout")
+    """A cache as state: the newest value per key (of equal times the larger), held by periods of so many days and forgotten with them.
+
+    Each period tells its own newest, so that an update may be older than one before; `upserted` goes by time. What is
+    forgotten is older than any row that the watermark still lets in.
+    """
+    rows = entries.withWatermark(ts, "1 hour").groupBy(F.window(ts, f"{days} days"), key).agg(F.max(F.struct(ts, value)).alias("x"))
+    return rows.select(F.col(key).cast("string").alias(key), F.col(f"x.{ts}").alias("created_at"), F.col(f"x.{value}").cast("string").alias(value))
 
 
 def guarded(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

@@ -164,3 +164,18 @@ def test_long_titles_without_a_likeness_are_no_candidates(spark, monkeypatch):
     titles.append(titles[2][:5900] + "z" * 50)
     got = joins.similar_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
     assert [(r["a"], r["b"]) for r in got] == [(2, 6)] and made == [(2, 6)]
+
+
+def test_a_keyed_cache_costs_no_python_per_key(spark, tmp_path):
+    """Rows of one batch in any order, over several periods; equal times go to the larger value."""
+    from siftwell.streaming.windows import newest_per_key, upserted
+
+    rows = spark.range(4000).select((F.col("id") % 500).cast("string").alias("key"), F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("summary"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 4000 * 3000 - F.col("id") * 7919 % 4000 * 3000 % 6000).alias("created_at"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = newest_per_key(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    assert "Pandas" not in stream._jdf.queryExecution().logical().toString()
+    got = {(r["key"], r["created_at"], r["summary"]) for r in upserted(stream, ["key"], "created_at", f"{tmp_path}/out").collect()}
+    want = {}
+    for r in rows.collect():
+        want[r["key"]] = max(want.get(r["key"], (r["created_at"], r["summary"])), (r["created_at"], r["summary"]))
+    assert got == {(k, *v) for k, v in want.items()}
