@@ -179,3 +179,44 @@ def test_a_keyed_cache_costs_no_python_per_key(spark, tmp_path):
     for r in rows.collect():
         want[r["key"]] = max(want.get(r["key"], (r["created_at"], r["summary"])), (r["created_at"], r["summary"]))
     assert got == {(k, *v) for k, v in want.items()}
+
+
+def test_a_queues_requests_wait_in_blocks():
+    """A batch of several runs, over a state kept in dicts: served in order, and never more at once than a block."""
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from siftwell.streaming.model_queue import Limits, ModelQueue
+
+    class Value:
+        def __init__(self):
+            self.held = None
+
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, held):
+            self.held = held
+
+    class Map(dict):
+        getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+        def updateValue(self, key, value):
+            assert len(json.loads(value[0])) <= 3
+            self[key] = value
+
+    timers = []
+    handle = SimpleNamespace(getValueState=lambda *_: Value(), getMapState=lambda *_: Map(), listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
+    queue = ModelQueue(lambda text, retry: text.upper(), Limits(budget=100), block=3, run=5)
+    queue.init(handle)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms, getCurrentProcessingTimeInMs=lambda: ms)
+    order = [7, 3, 11, 0, 9, 14, 2, 5, 13, 1, 8, 4, 12, 6, 10]
+    frames = [pd.DataFrame({"id": order[k : k + 2], "text": [f"t{i}" for i in order[k : k + 2]], "ts": pd.to_datetime([i // 4 for i in order[k : k + 2]], unit="s")}) for k in range(0, 15, 2)]
+    first = list(queue.handleInputRows(("q",), iter(frames), at(30_000)))
+    assert [i for f in first for i in f["id"]] == [0, 1, 2, 3, 4] and max(map(len, first)) <= 3
+    assert timers == [35_000] and len(queue.waiting) == 4 and not queue.sorting
+    rest = list(queue.handleExpiredTimer(("q",), at(200_000), None))
+    assert [(i, a) for f in rest for i, a in zip(f["id"], f["answer"], strict=True)] == [(i, f"T{i}") for i in range(5, 15)]
+    assert not timers and not queue.waiting
