@@ -16,7 +16,8 @@ of a set to a block, and they matter only to pairs right below the line).
 5. Second pass: a group outside its run's largest class is compared with the one of that class next to it in size.
 6. Third pass: blocks hold groups that the first passes brought together, linked or not, of a bounded number of
    shingles. A group goes to each block that holds a group of another class whose size and place in a shared run allow
-   a link, and meets all members there by term-at-a-time accumulation over the block's postings: prefixes first, then
+   a link (once for each pair of groups, mostly: where the first shingles that both carry tell that they share an earlier one,
+   they meet in that one's run), and meets all members there by term-at-a-time accumulation over the block's postings: prefixes first, then
    whole sets where what prefixes share leaves a link possible. None is capped, so classes are exact, and rows number groups times blocks, not pairs. (Place: the first shingle that two
    linked sets share stands early enough in both for the needed overlap to follow. Each run tests this on its own, and
    that first shingle's run always passes it.)
@@ -61,6 +62,8 @@ LONG_RUN = 1024
 FEW_EDGES = 500_000
 #: log2 of the bits, at most, of the filter over ids that is sent to all tasks (8 MB).
 FILTER_BITS = 26
+#: First prefix shingles of a group that it carries where runs meet: two groups that share one of them meet only where they share the first.
+FIRSTS = 4
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -196,18 +199,25 @@ def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
     return values[:keep].copy()  # not a view that holds the whole set
 
 
+def _firsts(head: np.ndarray, group: int) -> np.ndarray:
+    """A prefix's first shingles as they travel; where there are fewer, bits of the group's own."""
+    out = np.full(FIRSTS, group, dtype=np.int64)
+    out[: len(head)] = head[:FIRSTS].view(np.int64)
+    return out & np.int64(_LOW)
+
+
 def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: int, percent: int) -> DataFrame:
     """Prefix shingles of groups, packed per range of shingles: per entry groups, n, tokens and rest (how many shingles of
-    the set come from here on). Rows of a negative range hold members instead: groups, and set ids as tokens."""
+    the set come from here on). Rows of a negative range hold members instead: groups, set ids as tokens, first shingles as rest."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     schema = pa.schema([("range", pa.int64()), ("groups", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary()), ("rest", pa.binary())])
 
     def row(at: int, *columns: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(schema.names[1:], columns, strict=True)}, schema=schema)
 
-    def packet(members: list[tuple[int, int]], heads: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def packet(members: list[tuple[int, int]], heads: list[tuple[int, int, np.ndarray]], firsts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         both = np.array(members, dtype=np.int64)
-        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.empty(0))
+        yield row(-1 - int(mixed(both[:1, 0].view(np.uint64))[0] % _U64(ranges)), both[:, 1], np.empty(0), both[:, 0], np.stack(firsts))
         token = np.concatenate([h[2] for h in heads])
         owner = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h[2]) for h in heads])
         group, n = np.array([h[0] for h in heads], dtype=np.int64), np.array([h[1] for h in heads], dtype=np.int32)
@@ -219,7 +229,7 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
             yield row(int(to[mine[0]]), group[at], planes(n[at]), narrow(token[mine]), planes(rest[mine]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, heads, many = [], [], 0
+        members, heads, firsts, many = [], [], [], 0
         seen, grouped = set(), set()
         for part in (x for b in batches for x in slices(b, "text", SLICE_BYTES)):
             for s in shingle_sets(byte_texts(part.column("text"))):
@@ -233,20 +243,21 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
                     heads.append((group, len(s), head))
                     many += len(head)
                 members.append((key, group))
+                firsts.append(_firsts(head, group))
             pa.default_memory_pool().release_unused()
             if many >= PACKET_ENTRIES:
-                yield from packet(members, heads)
-                members, heads, many = [], [], 0
+                yield from packet(members, heads, firsts)
+                members, heads, firsts, many = [], [], [], 0
                 seen, grouped = set(), set()
         if members:
-            yield from packet(members, heads)
+            yield from packet(members, heads, firsts)
 
     return _texts(docs).drop("text_key").mapInArrow(tidy(run), "range bigint, groups binary, n binary, tokens binary, rest binary")
 
 
 def _runs(packets: DataFrame) -> DataFrame:
-    """Per range: its runs of two groups or more (ends of runs; group, n and rest per entry), or members (groups and ids)."""
-    names = ["ends", "groups", "n", "rest", "member_groups", "member_ids", "long", "lengths"]
+    """Per range: its runs of two groups or more (ends of runs; group, n and rest per entry), or members (groups, ids and first shingles)."""
+    names = ["ends", "groups", "n", "rest", "member_groups", "member_ids", "firsts", "long", "lengths"]
     schema = pa.schema([("range", pa.int64()), *((k, pa.binary()) for k in names)])
     none = np.empty(0, dtype=np.int64)
 
@@ -257,8 +268,9 @@ def _runs(packets: DataFrame) -> DataFrame:
         at = table.column("range")[0].as_py()
         group = np.concatenate(joined(table, "groups", np.int64))
         if at < 0:
-            pairs = np.unique(np.stack([group, np.concatenate(joined(table, "tokens", np.int64))]), axis=1)
-            columns = (none, none, none, none, pairs[0], pairs[1], none, none)
+            firsts = np.concatenate(joined(table, "rest", np.int64)).reshape(-1, FIRSTS)
+            rows = np.unique(np.column_stack([group, np.concatenate(joined(table, "tokens", np.int64)), firsts]), axis=0)
+            columns = (none, none, none, none, rows[:, 0], rows[:, 1], rows[:, 2:], none, none)
         else:
             token = np.concatenate([wide(x) for x in table.column("tokens").to_pylist()])
             size, rest = (np.concatenate([from_planes(x) for x in table.column(c).to_pylist()]) for c in ("n", "rest"))
@@ -277,30 +289,37 @@ def _runs(packets: DataFrame) -> DataFrame:
             lengths = np.diff(np.concatenate(([0], ends)))
             keep = np.repeat(lengths > 1, lengths)  # a group may have met itself only
             of_run = token[ends - 1][lengths > LONG_RUN] if len(ends) else token
-            columns = (np.cumsum(lengths[lengths > 1]), group[keep], size[keep].astype(np.int32), rest[keep].astype(np.int32), none, none, of_run, lengths[lengths > LONG_RUN])
+            columns = (np.cumsum(lengths[lengths > 1]), group[keep], size[keep].astype(np.int32), rest[keep].astype(np.int32), none, none, none, of_run, lengths[lengths > LONG_RUN])
         return pa.Table.from_pydict({"range": [at]} | {k: [packed(v)] for k, v in zip(names, columns, strict=True)}, schema=schema)
 
     return packets.groupBy("range").applyInArrow(run, "range bigint, " + ", ".join(f"{k} binary" for k in names))
 
 
+def _column(values: np.ndarray) -> pa.Array:
+    """One number a row, or a row's numbers packed."""
+    if values.ndim == 1:
+        return pa.array(values)
+    return pa.array([packed(narrow(x)) for x in values], pa.binary())
+
+
 def _unpacked(runs: DataFrame, schema: str, names: list[str], make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {x: batch.column(x)[k].as_py() for x in batch.schema.names}
-                arrays = make(row["range"], *(np.frombuffer(row[x], dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32), ("member_groups", np.int64), ("member_ids", np.int64))))
+                arrays = make(row["range"], *(np.frombuffer(row[x], dtype=t) for x, t in (("ends", np.int64), ("groups", np.int64), ("n", np.int32), ("member_groups", np.int64), ("member_ids", np.int64), ("firsts", np.int64))))
                 for at in range(0, len(arrays[0]), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 18)]) for a in arrays], names=names)
+                    yield pa.RecordBatch.from_arrays([_column(a[at : at + (1 << 18)]) for a in arrays], names=names)
 
     return runs.mapInArrow(tidy(run), schema)
 
 
-def _members(range_no, ends, groups, n, member_groups, member_ids):
-    return member_groups, member_ids
+def _members(range_no, ends, groups, n, member_groups, member_ids, firsts):
+    return member_groups, member_ids, firsts.reshape(-1, FIRSTS)
 
 
 def _neighbours(percent: int):
-    def make(range_no, ends, groups, n, member_groups, member_ids):
+    def make(range_no, ends, groups, n, member_groups, member_ids, firsts):
         """Pairs of groups in a run, a block's first with the rest, and block firsts in turn: larger, smaller, shared shingles."""
         if not len(ends):
             return (np.empty(0, np.int64),) * 4
@@ -316,20 +335,23 @@ def _neighbours(percent: int):
     return make
 
 
-def _ranged(range_no, ends, groups, n, member_groups, member_ids):
+def _ranged(range_no, ends, groups, n, member_groups, member_ids, firsts):
     own = np.unique(groups)
     return np.full(len(own), range_no, dtype=np.int64), own
 
 
 def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """g, other and shared of the groups in a run with one of another class (g, c, block) that they may link with.
+    """g, other and shared of the groups in a run with one of another class (g, c, block, firsts) that they may link with.
 
-    With `nearest`, for each group outside a run's largest class the one of that class next to it in size, and in how
-    many runs; else the blocks that hold any.
+    With `nearest`, for each group outside a run's largest class the one of that class next to it in size, and about how
+    many prefix shingles they share; else the blocks that hold any.
+
+    A run leaves out two groups whose first shingles tell that they share an earlier one: they meet in that one's run, and
+    the first shingle that linked sets share is never left out. So like sets don't meet in each range anew.
     """
     labels = _unpacked(runs, "range bigint, g bigint", ["range", "g"], _ranged).join(of_group, "g")
-    labels = labels.groupBy("range").agg(F.collect_list(F.struct("g", "c", "block")).alias("held"))
-    labels = labels.select("range", F.col("held.g").alias("known"), F.col("held.c").alias("label"), F.col("held.block").alias("block"))
+    labels = labels.groupBy("range").agg(F.collect_list(F.struct("g", "c", "block", "firsts")).alias("held"))
+    labels = labels.select("range", F.col("held.g").alias("known"), F.col("held.c").alias("label"), F.col("held.block").alias("block"), F.col("held.firsts").alias("firsts"))
     schema = pa.schema([("g", pa.int64()), ("other", pa.int64()), ("shared", pa.int64())])
 
     def counted(found: list[np.ndarray]) -> np.ndarray:
@@ -342,7 +364,19 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
         """Whether sets of m1 and m2 shingles can link if this is the first one they share."""
         return (100 + percent) * np.minimum(rest1, rest2) >= percent * (m1 + m2)
 
-    def of_run(own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray) -> Iterator[np.ndarray]:
+    def common(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        """For each of the first shingles in `one`, whether those in `two` hold it."""
+        return [np.logical_or.reduce([one[:, a] == two[:, b] for b in range(FIRSTS)]) for a in range(FIRSTS)]
+
+    def earlier(one: np.ndarray, place: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether two groups' first shingles have one in common before the place in `one` of what a run shares."""
+        return np.logical_or.reduce([held & (place > a) for a, held in enumerate(common(one, two))])
+
+    def about(one: np.ndarray, two: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """How many prefix shingles two groups share, by their first ones; 1 if these have none in common, as each run counts then."""
+        return np.maximum(1, np.sum(common(one, two), axis=0) * (m * (100 - percent) // 100) // FIRSTS)
+
+    def of_run(own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray, firsts: np.ndarray) -> Iterator[np.ndarray]:
         """What a run yields; its entries come in order of size."""
         values, counts = np.unique(of, return_counts=True)
         largest = values[np.argmax(counts)]
@@ -351,24 +385,33 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
             inner = np.flatnonzero(of == largest)
             at = np.searchsorted(inner, outer)
             near = np.where((at > 0) & ((at == len(inner)) | (outer - inner[np.maximum(at - 1, 0)] <= inner[np.minimum(at, len(inner) - 1)] - outer)), inner[np.maximum(at - 1, 0)], inner[np.minimum(at, len(inner) - 1)])
-            fit = fits(m[outer], m[near], rest[outer], rest[near])
-            yield np.stack([own[outer], own[near], np.ones(len(outer), np.int64)])[:, fit]
+            fit = fits(m[outer], m[near], rest[outer], rest[near]) & ~earlier(firsts[outer], (m - rest)[outer], firsts[near])
+            outer, near = outer[fit], near[fit]
+            yield np.stack([own[outer], own[near], about(firsts[outer], firsts[near], m[outer])])
             return
         for k in outer.tolist():
             low, high = np.searchsorted(m, -(-percent * m[k] // 100)), np.searchsorted(m, 100 * m[k] // percent, side="right")
             # With the largest class every pair counts here, with others the pair counts at its first.
             other = (of[low:high] == largest) | ((of[low:high] != of[k]) & (np.arange(low, high) > k))
-            to = np.unique(block[low:high][other & fits(m[k], m[low:high], rest[k], rest[low:high])])
+            meets = low + np.flatnonzero(other & fits(m[k], m[low:high], rest[k], rest[low:high]))
+            if len(meets) and (place := min(FIRSTS, m[k] - rest[k])):
+                meets = meets[~(firsts[meets][:, :, None] == firsts[k, :place]).any(axis=(1, 2))]
+            if not len(meets):
+                continue
+            to = np.unique(block[meets])
             yield np.stack([np.full(len(to), own[k]), to, np.ones(len(to), np.int64)])
 
-    def of_pairs(at: np.ndarray, own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    def of_pairs(at: np.ndarray, own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """What of_run yields for runs of two groups, that begin at `at`, all at once."""
         first = of[at] < of[at + 1]
         inner, outer = np.where(first, at, at + 1), np.where(first, at + 1, at)
         fit = fits(m[outer], m[inner], rest[outer], rest[inner])
         if not nearest:
             fit &= (m[inner] >= -(-percent * m[outer] // 100)) & (m[inner] <= 100 * m[outer] // percent)
-        return np.stack([own[outer], own[inner] if nearest else block[inner], np.ones(len(at), np.int64)])[:, fit]
+        outer, inner = outer[fit], inner[fit]
+        new = ~earlier(firsts[outer], (m - rest)[outer], firsts[inner])
+        outer, inner = outer[new], inner[new]
+        return np.stack([own[outer], own[inner], about(firsts[outer], firsts[inner], m[outer])] if nearest else [own[outer], block[inner], np.ones(len(outer), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,15 +420,15 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
                 known, label, block = (batch.column(x)[r].values.to_numpy() for x in ("known", "label", "block"))
                 order = np.argsort(known)
                 at = order[np.searchsorted(known[order], groups)]
-                c, b = label[at], block[at]
+                c, b, f = label[at], block[at], wide(b"".join(batch.column("firsts")[r].values.to_pylist())).reshape(-1, FIRSTS)[at]
                 begins = np.concatenate(([0], ends[:-1]))
                 several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins)
                 pairs = several & (ends - begins == 2)
-                found = [of_pairs(begins[pairs], groups, c, b, n.astype(np.int64), rest.astype(np.int64))] if pairs.any() else []
+                found = [of_pairs(begins[pairs], groups, c, b, n.astype(np.int64), rest.astype(np.int64), f)] if pairs.any() else []
                 several &= ~pairs
                 many = sum(x.shape[1] for x in found)
                 for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-                    for x in of_run(groups[first:last], c[first:last], b[first:last], n[first:last].astype(np.int64), rest[first:last].astype(np.int64)):
+                    for x in of_run(groups[first:last], c[first:last], b[first:last], n[first:last].astype(np.int64), rest[first:last].astype(np.int64), f[first:last]):
                         if x.shape[1]:
                             found.append(x)
                             many += x.shape[1]
@@ -584,7 +627,7 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
             break
         discard(runs)
 
-    members = stored(_unpacked(runs.where("range < 0"), "g bigint, key bigint", ["g", "key"], _members).distinct())
+    members = stored(_unpacked(runs.where("range < 0"), "g bigint, key bigint, firsts binary", ["g", "key", "firsts"], _members).dropDuplicates(["g", "key"]))
     runs = runs.where("range >= 0 and octet_length(ends) > 0")
     heads = members.groupBy("g").agg(F.min("key").alias("key"))
     near = _unpacked(runs, "g bigint, h bigint, n bigint, shared bigint", ["g", "h", "n", "shared"], _neighbours(percent)).groupBy("g", "h", "n").agg(F.sum("shared").alias("shared"))
@@ -599,13 +642,13 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
 
     sizes = described.where("kind = 0 and n > 0").groupBy("key").agg(F.first("n").alias("n"))
     placed = members.join(sizes, "key").join(found.withColumnRenamed("node", "key"), "key", "left")
-    placed = stored(placed.select("g", "key", "n", F.coalesce("label", "key").alias("label")))
+    placed = stored(placed.select("g", "key", "n", "firsts", F.coalesce("label", "key").alias("label")))
     discard(found)
 
     def of_groups(placed: DataFrame) -> DataFrame:
-        """g, c (its class; a group whose members are in several classes is a class of its own here), mixed."""
-        ends = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("key"), F.sum("n").alias("n"))
-        return ends.select("g", "key", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("c"), (F.col("low") != F.col("high")).alias("mixed"))
+        """g, c (its class; a group whose members are in several classes is a class of its own here), mixed, firsts."""
+        ends = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("key").alias("key"), F.sum("n").alias("n"), F.max("firsts").alias("firsts"))
+        return ends.select("g", "key", "n", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("g")).alias("c"), (F.col("low") != F.col("high")).alias("mixed"), "firsts")
 
     def merged(placed: DataFrame, bridges: DataFrame) -> DataFrame:
         root = components(bridges)
@@ -615,7 +658,7 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
         return after
 
     # Second pass: one partner for each group, by the members of the smallest ids.
-    near = _open(runs, of_groups(placed).select("g", "c", F.lit(0).cast("bigint").alias("block")), percent, nearest=True)
+    near = _open(runs, of_groups(placed).select("g", "c", F.lit(0).cast("bigint").alias("block"), "firsts"), percent, nearest=True)
     near = near.groupBy("g").agg(F.max_by("other", F.struct("shared", "other")).alias("h"), F.max("shared").alias("shared"))
     near = near.join(of_groups(placed).select("g", "n"), "g").where(40 * F.col("shared") >= F.col("n")).select("g", "h")
     pairs = near.join(heads.withColumnRenamed("key", "x"), "g").join(heads.select(F.col("g").alias("h"), F.col("key").alias("y")), "h")
@@ -632,8 +675,8 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]
     groups = of_groups(placed).join(near, "key", "left").withColumn("about", F.coalesce("about", "key"))
     parts = groups.groupBy("about").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
     groups = groups.join(parts, "about").withColumn("block", F.xxhash64("about", F.pmod(F.xxhash64("g"), F.col("parts"))))
-    groups = stored(groups.select("g", "c", "mixed", "block"))
-    visits = _open(runs, groups.select("g", "c", "block"), percent, nearest=False).select("g", F.col("other").alias("block"))
+    groups = stored(groups.select("g", "c", "mixed", "block", "firsts"))
+    visits = _open(runs, groups.select("g", "c", "block", "firsts"), percent, nearest=False).select("g", F.col("other").alias("block"))
     visits = stored(visits.unionByName(groups.where("mixed").select("g", "block")).distinct())
     held = stored(placed.join(groups.select("g", "block"), "g"))
     near = stored(_bridges(docs, visits, held, described, percent, frequent).select(F.col("a").alias("g"), F.col("b").alias("block")).distinct())

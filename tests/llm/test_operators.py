@@ -641,6 +641,28 @@ def test_jaccard_classes(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [k for k, _, c in got if k == c] and kept.columns == df.columns
 
 
+def test_jaccard_like_sets_meet_once(spark, monkeypatch):
+    """Sets that share many shingles without a link meet in about one run, not in each of the ranges (before: 37 times a pair)."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(30):
+        base = prose(rng, 360).split()
+        texts += [" ".join(base), " ".join(base[:270] + prose(rng, 90).split())]
+    seen, own = [], jaccard_groups._open
+
+    def spied(runs, of_group, percent, nearest):
+        found = own(runs, of_group, percent, nearest)
+        if not nearest:
+            seen.append(found.agg({"shared": "sum", "*": "count"}).first())
+        return found
+
+    monkeypatch.setattr(jaccard_groups, "_open", spied)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_groups.classes(docs_of(spark, texts)).collect())
+    assert got == brute_classes(texts) and len({c for _, _, c in got}) > 30
+    met, pairs = seen[0]["sum(shared)"], seen[0]["count(1)"]
+    assert pairs >= 15 and met <= 4 * pairs, (met, pairs)
+
+
 def test_components_in_rounds_and_in_one_task(spark):
     edges = [(k + 1, k) for k in range(300)] + [(1000, 900), (901, 900), (5, 5)]
     df = spark.createDataFrame(edges, "a long, b long")
