@@ -7,7 +7,8 @@ of a set to a block, and they matter only to pairs right below the line).
 
 1. Every text gives its set, its set id and size; equal sets are one member from here on.
 2. Shingles are ordered: first those that no shard of the corpus found frequent, by hash, then frequent ones by
-   count. (Any one order gives the same links. It keeps passages that many documents share out of the prefixes.)
+   count. (Any one order gives the same links. It keeps passages that many documents share out of the prefixes. The lower
+   hashes, which lead, are counted in shards of more documents.)
 3. A set's prefix holds its first n - ceil(0.75 n) + 1 shingles: linked sets share a prefix shingle. Members with
    the same prefix and size are one group; groups are packed by ranges of scrambled shingles, of about equal numbers of
    entries, and each range yields its runs of groups that share a shingle.
@@ -45,9 +46,13 @@ from siftwell.llm.common import byte_texts, discard, frugal, mixed, packed, slic
 WORDS = 5
 PERCENT = 75
 SLICE_BYTES = 1 << 20
-#: Shingles that this many documents of a shard share are reported as frequent; so many at most are ordered by count.
+#: Shingles that this many documents of a shard share are reported, and are frequent from so many in all shards on; so many at most are ordered by count.
 FREQUENT_IN_SHARD = 3
+FREQUENT_LEAST = 3
 FREQUENT_MOST = 1 << 20
+#: The lower hashes, of which prefixes mostly consist, are counted in shards of their own: these span more documents, and two tell.
+LEADING = int(0.4 * 2**64)
+LEADING_IN_SHARD = 2
 SHARD_SHINGLES = 3 << 19
 #: Prefix shingles in a range, and in the packets that a task sends out.
 RANGE_ENTRIES = 300_000
@@ -62,14 +67,18 @@ LONG_RUN = 1024
 FEW_EDGES = 500_000
 #: log2 of the bits, at most, of the filter over ids that is sent to all tasks (8 MB).
 FILTER_BITS = 26
-#: First prefix shingles of a group that it carries where runs meet: two groups that share one of them meet only where they share the first.
+#: First prefix shingles of a group that it carries where runs meet, and first frequent ones (copies of one text that were edited
+#: apart share these only): two groups that share one of them meet only where they share the first.
 FIRSTS = 4
+OFTEN = 2
+CARRIED = FIRSTS + OFTEN
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = mixed(np.arange(1, WORDS + 65, dtype=np.uint64)) | np.uint64(1)
 _U64 = np.uint64
 _LOW = np.uint64((1 << 40) - 1)
+_LEADING = np.uint64(LEADING)
 
 
 def narrow(values: np.ndarray, width: int = 5) -> np.ndarray:
@@ -145,36 +154,41 @@ def _described(docs: DataFrame) -> DataFrame:
     """kind 0: doc_id, text_key, key (set id), n; kind 1: a shingle frequent in a shard as key, with its count as n."""
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+    def frequent(held: list[np.ndarray], least: int) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= FREQUENT_IN_SHARD
+        often = counts >= least
         n = int(often.sum())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many, seen = [], 0, set()
+        shards = {LEADING_IN_SHARD: [], FREQUENT_IN_SHARD: []}
+        many, seen = dict.fromkeys(shards, 0), {least: set() for least in shards}
         for part in (x for b in batches for x in slices(b, "text", SLICE_BYTES)):
             sets = shingle_sets(byte_texts(part.column("text")))
             ids = [set_id(s) for s in sets]
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), part.column("doc_id"), part.column("text_key"), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], schema=schema)
             for s, key in zip(sets, ids, strict=True):
-                if len(s) and key not in seen:
-                    seen.add(key)
-                    held.append(s)
-                    many += len(s)
-            if many >= SHARD_SHINGLES:
-                yield frequent(held)
-                held, many, seen = [], 0, set()
-        if held:
-            yield frequent(held)
+                cut = np.searchsorted(s, _LEADING)
+                for least, x in ((LEADING_IN_SHARD, s[:cut]), (FREQUENT_IN_SHARD, s[cut:])):
+                    if len(x) and key not in seen[least]:
+                        seen[least].add(key)
+                        shards[least].append(x.copy())
+                        many[least] += len(x)
+            for least in shards:
+                if many[least] >= SHARD_SHINGLES:
+                    yield frequent(shards[least], least)
+                    shards[least], many[least], seen[least] = [], 0, set()
+        for least, held in shards.items():
+            if held:
+                yield frequent(held, least)
 
     return _texts(docs).mapInArrow(tidy(run), "kind tinyint, doc_id bigint, text_key bigint, key bigint, n bigint")
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, sorted, and their counts: the FREQUENT_MOST of the highest counts at most."""
-    counts = described.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = described.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST)
     tail = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().orderBy(F.desc("level")).collect()
     least, many = 0, 0
     for row in tail:
@@ -186,7 +200,8 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys, found.column("n").to_numpy()[first]
 
 
-def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, int]:
+    """A set's prefix, and how many shingles in it come before the frequent ones."""
     keep = prefix_size(len(values), percent)
     keys, counts = frequent
     if len(keys):
@@ -194,15 +209,17 @@ def _prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent
         at = np.searchsorted(keys, low)
         at[at == len(keys)] = 0
         count = np.where(keys[at] == low, counts[at], 0)
-        if count.any():
-            return values[np.argsort(count, kind="stable")[:keep]]
-    return values[:keep].copy()  # not a view that holds the whole set
+        if often := np.count_nonzero(count):
+            return values[np.argsort(count, kind="stable")[:keep]], min(keep, len(values) - often)
+    return values[:keep].copy(), keep  # not a view that holds the whole set
 
 
-def _firsts(head: np.ndarray, group: int) -> np.ndarray:
-    """A prefix's first shingles as they travel; where there are fewer, bits of the group's own."""
-    out = np.full(FIRSTS, group, dtype=np.int64)
-    out[: len(head)] = head[:FIRSTS].view(np.int64)
+def _firsts(head: np.ndarray, rare: int, group: int) -> np.ndarray:
+    """A prefix's first shingles and its first frequent ones as they travel (where there are fewer, bits of the group's own), and the place of the latter."""
+    out = np.full(CARRIED + 1, group, dtype=np.int64)
+    for at, x in ((0, head[:FIRSTS]), (FIRSTS, head[rare : rare + OFTEN])):
+        out[at : at + len(x)] = x.view(np.int64)
+    out[-1] = rare
     return out & np.int64(_LOW)
 
 
@@ -236,14 +253,14 @@ def _packets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], ranges: i
                 if not len(s) or (key := set_id(s)) in seen:
                     continue
                 seen.add(key)
-                head = _prefix(s, shared.value, percent)
+                head, rare = _prefix(s, shared.value, percent)
                 group = set_id(np.append(head, _U64(len(s))))
                 if group not in grouped:
                     grouped.add(group)
                     heads.append((group, len(s), head))
                     many += len(head)
                 members.append((key, group))
-                firsts.append(_firsts(head, group))
+                firsts.append(_firsts(head, rare, group))
             pa.default_memory_pool().release_unused()
             if many >= PACKET_ENTRIES:
                 yield from packet(members, heads, firsts)
@@ -268,7 +285,7 @@ def _runs(packets: DataFrame) -> DataFrame:
         at = table.column("range")[0].as_py()
         group = np.concatenate(joined(table, "groups", np.int64))
         if at < 0:
-            firsts = np.concatenate(joined(table, "rest", np.int64)).reshape(-1, FIRSTS)
+            firsts = np.concatenate(joined(table, "rest", np.int64)).reshape(-1, CARRIED + 1)
             rows = np.unique(np.column_stack([group, np.concatenate(joined(table, "tokens", np.int64)), firsts]), axis=0)
             columns = (none, none, none, none, rows[:, 0], rows[:, 1], rows[:, 2:], none, none)
         else:
@@ -315,20 +332,28 @@ def _unpacked(runs: DataFrame, schema: str, names: list[str], make) -> DataFrame
 
 
 def _members(range_no, ends, groups, n, member_groups, member_ids, firsts):
-    return member_groups, member_ids, firsts.reshape(-1, FIRSTS)
+    return member_groups, member_ids, firsts.reshape(-1, CARRIED + 1)
 
 
 def _neighbours(percent: int):
     def make(range_no, ends, groups, n, member_groups, member_ids, firsts):
-        """Pairs of groups in a run, a block's first with the rest, and block firsts in turn: larger, smaller, shared shingles."""
+        """Pairs of groups in a run, a block's pivot with the rest, and block pivots in turn: group, pivot, n of the group, shared shingles.
+
+        Pivots are told by a hash, as the runs of a large class lack a few of its groups each: a place in them is one group here and another there.
+        """
         if not len(ends):
             return (np.empty(0, np.int64),) * 4
         begins = np.concatenate(([0], ends[:-1]))
         place = np.arange(len(groups)) - np.repeat(begins, ends - begins)
-        other = np.where(place % BLOCK, place - place % BLOCK, place - BLOCK)
-        has = other >= 0
-        to = (np.repeat(begins, ends - begins) + other)[has]
-        fit = 100 * n[to].astype(np.int64) >= percent * n[has].astype(np.int64)
+        heads = np.flatnonzero(place % BLOCK == 0)
+        lengths = np.diff(np.append(heads, len(groups)))
+        order = mixed(groups.view(np.uint64))
+        pivots = np.flatnonzero(order == np.repeat(np.minimum.reduceat(order, heads), lengths))
+        to = np.repeat(pivots, lengths)
+        to[pivots] = np.where(place[heads] > 0, np.roll(pivots, 1), -1)
+        has = to >= 0
+        to = to[has]
+        fit = 100 * np.minimum(n[to], n[has]).astype(np.int64) >= percent * np.maximum(n[to], n[has]).astype(np.int64)
         pairs, counts = np.unique(np.stack([groups[has][fit], groups[to][fit], n[has][fit]]), axis=1, return_counts=True)
         return pairs[0], pairs[1], pairs[2], counts.astype(np.int64)
 
@@ -364,17 +389,23 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
         """Whether sets of m1 and m2 shingles can link if this is the first one they share."""
         return (100 + percent) * np.minimum(rest1, rest2) >= percent * (m1 + m2)
 
-    def common(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-        """For each of the first shingles in `one`, whether those in `two` hold it."""
-        return [np.logical_or.reduce([one[:, a] == two[:, b] for b in range(FIRSTS)]) for a in range(FIRSTS)]
+    def common(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """For each of the first shingles in `one` (a row each), whether those of its kind in `two` hold it."""
+        return np.stack([np.logical_or.reduce([one[a] == two[b] for b in kind]) for kind in (range(FIRSTS), range(FIRSTS, CARRIED)) for a in kind])
+
+    def places(firsts: np.ndarray) -> np.ndarray:
+        """The places of the first shingles in their prefix."""
+        return np.concatenate((np.broadcast_to(np.arange(FIRSTS)[:, None], (FIRSTS, firsts.shape[1])), firsts[-1].astype(np.int64) + np.arange(OFTEN)[:, None]))
 
     def earlier(one: np.ndarray, place: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether two groups' first shingles have one in common before the place in `one` of what a run shares."""
-        return np.logical_or.reduce([held & (place > a) for a, held in enumerate(common(one, two))])
+        return (common(one, two) & (place > places(one))).any(axis=0)
 
     def about(one: np.ndarray, two: np.ndarray, m: np.ndarray) -> np.ndarray:
         """How many prefix shingles two groups share, by their first ones; 1 if these have none in common, as each run counts then."""
-        return np.maximum(1, np.sum(common(one, two), axis=0) * (m * (100 - percent) // 100) // FIRSTS)
+        held, rare = common(one, two), one[-1].astype(np.int64)
+        often = np.maximum(0, m * (100 - percent) // 100 - rare)
+        return np.maximum(1, held[:FIRSTS].sum(axis=0) * rare // FIRSTS + held[FIRSTS:].sum(axis=0) * often // OFTEN)
 
     def of_run(own: np.ndarray, of: np.ndarray, block: np.ndarray, m: np.ndarray, rest: np.ndarray, firsts: np.ndarray) -> Iterator[np.ndarray]:
         """What a run yields; its entries come in order of size."""
@@ -385,17 +416,19 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
             inner = np.flatnonzero(of == largest)
             at = np.searchsorted(inner, outer)
             near = np.where((at > 0) & ((at == len(inner)) | (outer - inner[np.maximum(at - 1, 0)] <= inner[np.minimum(at, len(inner) - 1)] - outer)), inner[np.maximum(at - 1, 0)], inner[np.minimum(at, len(inner) - 1)])
-            fit = fits(m[outer], m[near], rest[outer], rest[near]) & ~earlier(firsts[outer], (m - rest)[outer], firsts[near])
+            fit = fits(m[outer], m[near], rest[outer], rest[near]) & ~earlier(firsts[:, outer], (m - rest)[outer], firsts[:, near])
             outer, near = outer[fit], near[fit]
-            yield np.stack([own[outer], own[near], about(firsts[outer], firsts[near], m[outer])])
+            yield np.stack([own[outer], own[near], about(firsts[:, outer], firsts[:, near], m[outer])])
             return
+        place, at = m - rest, places(firsts)
         for k in outer.tolist():
             low, high = np.searchsorted(m, -(-percent * m[k] // 100)), np.searchsorted(m, 100 * m[k] // percent, side="right")
             # With the largest class every pair counts here, with others the pair counts at its first.
             other = (of[low:high] == largest) | ((of[low:high] != of[k]) & (np.arange(low, high) > k))
             meets = low + np.flatnonzero(other & fits(m[k], m[low:high], rest[k], rest[low:high]))
-            if len(meets) and (place := min(FIRSTS, m[k] - rest[k])):
-                meets = meets[~(firsts[meets][:, :, None] == firsts[k, :place]).any(axis=(1, 2))]
+            if len(meets) and (before := np.flatnonzero(place[k] > at[:, k])).size:
+                held = firsts[:CARRIED, meets]
+                meets = meets[~np.logical_or.reduce([(held == firsts[a, k]).any(axis=0) for a in before])]
             if not len(meets):
                 continue
             to = np.unique(block[meets])
@@ -409,9 +442,9 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
         if not nearest:
             fit &= (m[inner] >= -(-percent * m[outer] // 100)) & (m[inner] <= 100 * m[outer] // percent)
         outer, inner = outer[fit], inner[fit]
-        new = ~earlier(firsts[outer], (m - rest)[outer], firsts[inner])
+        new = ~earlier(firsts[:, outer], (m - rest)[outer], firsts[:, inner])
         outer, inner = outer[new], inner[new]
-        return np.stack([own[outer], own[inner], about(firsts[outer], firsts[inner], m[outer])] if nearest else [own[outer], block[inner], np.ones(len(outer), np.int64)])
+        return np.stack([own[outer], own[inner], about(firsts[:, outer], firsts[:, inner], m[outer])] if nearest else [own[outer], block[inner], np.ones(len(outer), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,7 +453,8 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
                 known, label, block = (batch.column(x)[r].values.to_numpy() for x in ("known", "label", "block"))
                 order = np.argsort(known)
                 at = order[np.searchsorted(known[order], groups)]
-                c, b, f = label[at], block[at], wide(b"".join(batch.column("firsts")[r].values.to_pylist())).reshape(-1, FIRSTS)[at]
+                f = wide(b"".join(batch.column("firsts")[r].values.to_pylist())).reshape(-1, CARRIED + 1)
+                c, b, f = label[at], block[at], np.ascontiguousarray(f.T)[:, at]
                 begins = np.concatenate(([0], ends[:-1]))
                 several = np.minimum.reduceat(c, begins) != np.maximum.reduceat(c, begins)
                 pairs = several & (ends - begins == 2)
@@ -428,7 +462,7 @@ def _open(runs: DataFrame, of_group: DataFrame, percent: int, nearest: bool) ->
                 several &= ~pairs
                 many = sum(x.shape[1] for x in found)
                 for first, last in zip(begins[several].tolist(), ends[several].tolist(), strict=True):
-                    for x in of_run(groups[first:last], c[first:last], b[first:last], n[first:last].astype(np.int64), rest[first:last].astype(np.int64), f[first:last]):
+                    for x in of_run(groups[first:last], c[first:last], b[first:last], n[first:last].astype(np.int64), rest[first:last].astype(np.int64), f[:, first:last]):
                         if x.shape[1]:
                             found.append(x)
                             many += x.shape[1]
@@ -530,7 +564,7 @@ def _bridges(docs: DataFrame, visits: DataFrame, placed: DataFrame, described: D
     come = visitors.join(tasks, "block").withColumn("part", F.pmod(F.xxhash64("key"), F.col("tasks"))).select(task, "block", "g", "key", "label", "n", F.lit(True).alias("visits"))
     held = placed.join(tasks, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).select(task, "block", "g", "key", "label", "n", F.lit(False).alias("visits"))
     rows = stored(come.unionByName(held).distinct())
-    head = (lambda s: _prefix(s, shared.value, percent)) if shared else None
+    head = (lambda s: _prefix(s, shared.value, percent)[0]) if shared else None
     sets = _sets_of(docs, rows.select("key").distinct(), described, head).dropDuplicates(["key"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
