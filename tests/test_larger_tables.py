@@ -220,3 +220,38 @@ def test_a_queues_requests_wait_in_blocks():
     rest = list(queue.handleExpiredTimer(("q",), at(200_000), None))
     assert [(i, a) for f in rest for i, a in zip(f["id"], f["answer"], strict=True)] == [(i, f"T{i}") for i in range(5, 15)]
     assert not timers and not queue.waiting
+
+
+def test_titles_of_common_words_meet_by_signatures(spark, monkeypatch):
+    """All pairs by words and by bigrams against brute force, in small blocks; words that many titles share make no rows of pairs."""
+    import random
+    from collections import Counter
+
+    from siftwell.operators import joins
+
+    joined, prefix_pairs = [], joins._prefix_pairs
+
+    def seen(rows, items, least):
+        joined.append(items)
+        return prefix_pairs(rows, items, least)
+
+    monkeypatch.setattr(joins, "_prefix_pairs", seen)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(joins, "STEP", 16)
+    rng, words = random.Random(11), [f"w{a}{b}" for a in "aeiou" for b in "lmnrst"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(160)]
+    titles = sorted({*titles, *(" ".join(reversed(t.split())) for t in titles[:30]), *(t + " wal" for t in titles[30:60]), "x", "y", "[a] x"})
+    prints = [t.replace("[a]", "").replace(" ", "") for t in titles]
+    sets = [{w for w in t.strip("[").replace("]", "").split() if len(w) > 1} for t in titles]
+    grams = [Counter(p[k : k + 2] for k in range(len(p) - 1)) for p in prints]
+    want = {}
+    for i in range(len(titles)):
+        for j in range(i + 1, len(titles)):
+            share = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] and sets[j] else 0.0
+            both = grams[i].total() + grams[j].total()
+            close = 1.0 if prints[i] == prints[j] else 2 * (grams[i] & grams[j]).total() / both if grams[i] and grams[j] else 0.0
+            if share >= 0.72 or close >= 0.88:
+                want[i, j] = (share, close)
+    got = joins.similar_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
+    assert {(r["a"], r["b"]): (r["jaccard"], r["dice"]) for r in got} == want and len(want) > 60
+    assert joined == ["fps"]
