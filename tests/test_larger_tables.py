@@ -255,3 +255,34 @@ def test_titles_of_common_words_meet_by_signatures(spark, monkeypatch):
     got = joins.similar_title_pairs(spark.createDataFrame(list(enumerate(titles)), "id long, title string")).collect()
     assert {(r["a"], r["b"]): (r["jaccard"], r["dice"]) for r in got} == want and len(want) > 60
     assert joined == ["fps"]
+
+
+def test_titles_meet_those_that_stay_not_all_others(spark, monkeypatch):
+    """Greedy removal by URL and title in rounds against brute force; few URLs leave few titles to be compared."""
+    import random
+
+    from siftwell.operators import dedup
+
+    made, pairs_of = [], dedup.similar_title_pairs
+
+    def counted(titles):
+        made.append(titles.count())
+        return pairs_of(titles)
+
+    monkeypatch.setattr(dedup, "similar_title_pairs", counted)
+    monkeypatch.setattr(dedup, "FIRST_ROWS", 40, raising=False)
+    rng, words = random.Random(2), [f"{a}{b}{a}" for a in "bcdfg" for b in "aeiou"]
+    items = []
+    for k in range(600):
+        title = "" if k % 40 == 7 else items[-rng.randint(1, 50)][2] if k > 50 and rng.random() < 0.3 else " ".join(rng.sample(words, 6))
+        items.append((k, f"https://a.example/{rng.choice(['', k % 3, k % 3]) if k % 50 else k}x{k % 40}", title))
+    word_set = lambda t: {w for w in t.split() if len(w) > 1}
+    urls, kept = set(), []
+    for k, url, title in items:
+        own = word_set(title)
+        if url not in urls and not any(own and len(own & s) / len(own | s) >= 0.72 for s in (word_set(items[i][2]) for i in kept)):
+            kept.append(k)
+            urls.add(url)
+    got = dedup.articles(spark.createDataFrame(items, "id long, url string, title string"), [F.asc("id")]).collect()
+    assert sorted(r["id"] for r in got) == kept and len(made) > 1
+    assert sum(made) < len({t for _, _, t in items})
