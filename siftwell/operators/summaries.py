@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.similarity import counts_of, dice_of_counts, jaccard, multiset_dice
-from siftwell.functions.text import SPACES, clean, contains_keyword, description_hash, fingerprint, grams_of, hits, let, match_form, matches, mostly_latin, regex, sentences, short_hash, tokens
+from siftwell.functions.text import SPACES, addresses_only, clean, contains_keyword, description_hash, fingerprint, grams_of, hits, let, match_form, matches, mostly_latin, regex, sentences, short_hash, single_spaces, tokens
 from siftwell.functions.urls import canonical
 from siftwell.packs import Pack
 
@@ -19,8 +19,9 @@ def sanitised(pack: Pack, sentence: Column, source: Column) -> Column:
     """Without tags, agency marks, dates, addresses and bullets; '' if only the source's name is left."""
     out = clean(sentence)
     for pattern, instead in pack.strip:
-        out = F.regexp_replace(out, pattern if pattern.startswith("(?") else f"(?iu){pattern}", instead)
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, SPACES, " "), r"^[▶◆■●※]\s*", ""))
+        cut = lambda t: F.regexp_replace(t, pattern if pattern.startswith("(?") else f"(?iu){pattern}", instead)  # noqa: B023, E731
+        out = let(out, lambda t: F.when(t.contains("@"), cut(t)).otherwise(t)) if addresses_only(pattern) else cut(out)  # noqa: B023
+    out = F.trim(F.regexp_replace(single_spaces(out), r"^[▶◆■●※]\s*", ""))
     only = F.trim(F.regexp_replace(F.lower(out), r"[\s|·:.-]+$", "")) == F.lower(clean(source))
     return F.when(only, "").otherwise(out)
 
@@ -88,7 +89,8 @@ def scored_sentences(articles: DataFrame, pack: Pack, text: str = "body") -> Dat
     told = F.filter(told, lambda s: ~matches(s["raw"], meta))
     told = F.transform(told, lambda s: F.struct(s["place"].alias("place"), sanitised(pack, s["raw"], F.col("source")).alias("sentence")))
     told = F.filter(told, lambda s: (s["sentence"] != "") & ~matches(s["sentence"], meta))
-    keyed = F.array_sort(F.transform(told, lambda s: F.struct(F.lower(F.regexp_replace(s["sentence"], SPACES, "")).alias("key"), s["place"].alias("place"), s["sentence"].alias("sentence"))))
+    # A sanitised sentence has plain spaces only.
+    keyed = F.array_sort(F.transform(told, lambda s: F.struct(F.lower(F.translate(s["sentence"], " ", "")).alias("key"), s["place"].alias("place"), s["sentence"].alias("sentence"))))
     rows = rows.select("id", "category", "view", keyed.alias("keyed"))
     first = F.filter("keyed", lambda s, i: (i == 0) | (F.get(F.col("keyed"), i - 1)["key"] != s["key"]))
     rows = rows.select("id", "category", "view", F.explode(first).alias("s")).select("id", "category", "view", "s.place", "s.sentence")

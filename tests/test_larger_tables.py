@@ -286,3 +286,25 @@ def test_titles_meet_those_that_stay_not_all_others(spark, monkeypatch):
     got = dedup.articles(spark.createDataFrame(items, "id long, url string, title string"), [F.asc("id")]).collect()
     assert sorted(r["id"] for r in got) == kept and len(made) > 1
     assert sum(made) < len({t for _, _, t in items})
+
+
+def test_texts_are_searched_for_addresses_and_spaces_where_there_are_some(spark):
+    """The short ways give what the whole patterns give, on texts with white space, signs and addresses of all kinds."""
+    import random
+
+    from siftwell.functions import text
+    from siftwell.operators import rules
+    from siftwell.packs.corpus import PACK
+
+    rng = random.Random(4)
+    signs = [*"ab @.<>&;| \t\n\x0b\f\r", "\u00a0", "\u200b", "\u2003", "\u3000", "\ufeff", "\x85", "é", "&amp;", "&nbsp;", "<b>", "a.b@c.de", "rights", "!!", "licensed", "the"]
+    rows = spark.createDataFrame([("".join(rng.choice(signs) for _ in range(rng.randint(0, 14))),) for _ in range(1500)], "t string")
+    t, address = F.col("t"), r"copyright|[a-z0-9._]+@[a-z0-9.]+"
+    assert text.addresses_only("[a-z]+@[a-z]+") and not text.addresses_only(address) and not text.addresses_only("a@?b") and not text.addresses_only("(a@b|c)")
+    found = rows.select(text.matches(t, address).alias("own"), t.rlike(text.regex(address)).alias("whole"), text.single_spaces(t).alias("spaced"), F.regexp_replace(t, text.SPACES, " ").alias("plain"))
+    assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert not found.where("own <> whole or spaced <> plain").count() and found.where("own").count() > 50
+    assert not rows.where(text.matches(t, PACK.concept("none"))).count()
+    null = F.lit("")
+    reasons = rows.select(rules.hard_exclusion(PACK, t, t, t, null).alias("a"), rules.hard_exclusion(PACK, t, text.single_spaces(t), t, null).alias("b"))
+    assert not reasons.where("not a <=> b").count()
