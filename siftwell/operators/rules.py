@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import times
-from siftwell.functions.text import any_matches, clean, contains_keyword, hits, let, match_form, matches, regex
+from siftwell.functions.text import any_matches, clean, contains_keyword, hits, let, match_form, matches, regex, single_spaces
 from siftwell.packs import Pack
 
 
@@ -175,8 +175,8 @@ def category(pack: Pack, title: Column, description: Column, hints: Column, best
     return out.when(kind == "C", pack.investment_category).otherwise(pack.default_category)
 
 
-def exclusion(pack: Pack, title: Column, description: Column, category_of: Column, domestic: Column, link: Connection, defer: bool) -> Column:
-    """The first reason to exclude, or null. With `defer`, weak connections wait for the body."""
+def exclusion(pack: Pack, title: Column, description: Column, category_of: Column, domestic: Column, link: Connection, defer: bool, spaced: Column | None = None) -> Column:
+    """The first reason to exclude, or null. With `defer`, weak connections wait for the body; spaced: the description in single spaces, if at hand."""
     c, context = pack.concept, joined(title, description)
     weak = link.kind.isNull()
     out = F.when(matches(context, c("market_noise")) & weak, "stock_market_noise").when(matches(context, c("editorial")), "low_value_editorial_article")
@@ -184,7 +184,7 @@ def exclusion(pack: Pack, title: Column, description: Column, category_of: Colum
         out = out.when(link.large_company & weak, "public_company_or_large_corp_general").when(link.general_industry & weak, "general_industry_article").when(weak, "strong_connection_missing")
     overseas = ~domestic & (category_of == pack.overseas_category) & (~matches(context, c("overseas")) | matches(context, c("advice")))
     out = out.when(overseas if not defer else overseas & ~weak, "overseas_vc_signal_missing")
-    return F.coalesce(hard_exclusion(pack, title, description, F.lit(""), F.lit("")), out)
+    return F.coalesce(hard_exclusion(pack, title, description if spaced is None else spaced, F.lit(""), F.lit("")), out)
 
 
 def editorial_adjustment(pack: Pack, title: Column, description: Column, body: Column | None, category_of: Column) -> Column:
@@ -233,7 +233,9 @@ def evaluated(articles: DataFrame, pack: Pack, start: Column, end: Column) -> Da
     matched_signals, connection_type, is_large_company, is_general_industry, missing_signals, category, score,
     exclude_reason and provisional_reason."""
     t, d, hints = F.col("title"), F.col("description"), F.col("category_hints")
-    articles = articles.withColumn("__link", connection_struct(pack, t, d, F.lit("")))
+    # White space is put right once: what cleans a text again, alone or joined, then finds little to do.
+    articles = articles.withColumn("__d", single_spaces(d))
+    articles = articles.withColumn("__link", connection_struct(pack, t, F.col("__d"), F.lit("")))
     link = connection_of(F.col("__link"))
     rows = articles.withColumns(
         {
@@ -242,7 +244,7 @@ def evaluated(articles: DataFrame, pack: Pack, start: Column, end: Column) -> Da
             "is_large_company": link.large_company,
             "is_general_industry": link.general_industry,
             "missing_signals": link.missing,
-            "__scores": category_scores(pack, t, d, hints),
+            "__scores": category_scores(pack, t, F.col("__d"), hints),
         }
     )
     held = Connection(F.col("connection_type"), F.col("is_large_company"), F.col("is_general_industry"), F.col("missing_signals"))
@@ -252,25 +254,26 @@ def evaluated(articles: DataFrame, pack: Pack, start: Column, end: Column) -> Da
     weak = held.kind.isNull()
     score = score + F.when(weak, -14).otherwise(10) - F.when(held.large_company & weak, 12).otherwise(0) - F.when(held.general_industry & weak, 10).otherwise(0)
     none = F.size("matched_signals") == 0
-    reason = F.when(none, "broad_signal_missing").otherwise(exclusion(pack, t, d, F.col("category"), F.col("is_domestic"), held, defer=True))
+    reason = F.when(none, "broad_signal_missing").otherwise(exclusion(pack, t, d, F.col("category"), F.col("is_domestic"), held, defer=True, spaced=F.col("__d")))
     provisional = F.when(held.large_company, "public_company_or_large_corp_general").when(held.general_industry, "general_industry_article").otherwise("strong_connection_missing")
-    return rows.withColumns({"score": score.cast("int"), "exclude_reason": reason}).withColumn("provisional_reason", F.when(weak & F.col("exclude_reason").isNull(), provisional)).drop("__scores", "__link")
+    return rows.withColumns({"score": score.cast("int"), "exclude_reason": reason}).withColumn("provisional_reason", F.when(weak & F.col("exclude_reason").isNull(), provisional)).drop("__scores", "__link", "__d")
 
 
 def rescored(articles: DataFrame, pack: Pack) -> DataFrame:
     """evaluated() articles with a body: judged again without deferral; body score, late connections and signals added."""
     t, d, b = F.col("title"), F.col("description"), F.coalesce("body", F.lit(""))
     both = joined(d, b)
-    articles = articles.withColumn("__link", connection_struct(pack, t, d, b))
+    articles = articles.withColumns({"__d": single_spaces(d), "__b": single_spaces(b)})
+    articles = articles.withColumn("__link", connection_struct(pack, t, F.col("__d"), F.col("__b")))
     link = connection_of(F.col("__link"))
     rows = articles.withColumns({"__kind": link.kind, "__large": link.large_company, "__general": link.general_industry, "__signals": signals(pack, t, d, b)})
     held = Connection(F.col("__kind"), F.col("__large"), F.col("__general"), F.array())
     rows = rows.withColumn("category", category(pack, t, both, F.col("category_hints"), None, F.col("is_domestic"), held.kind))
     late = F.col("connection_type").isNull() & held.kind.isNotNull()
     score = F.col("score") + body_adjustment(pack, b) + F.when(late, 24).otherwise(0)
-    rows = rows.withColumn("post_reason", exclusion(pack, t, both, F.col("category"), F.col("is_domestic"), held, defer=False))
+    rows = rows.withColumn("post_reason", exclusion(pack, t, both, F.col("category"), F.col("is_domestic"), held, defer=False, spaced=joined(F.col("__d"), F.col("__b"))))
     rows = rows.withColumns({"score": score.cast("int"), "matched_signals": F.array_distinct(F.concat("matched_signals", "__signals")), "connection_type": held.kind, "is_large_company": held.large_company, "is_general_industry": held.general_industry})
-    return rows.withColumn("exclude_reason", F.coalesce("exclude_reason", "post_reason")).drop("__link", "__kind", "__large", "__general", "__signals", "post_reason")
+    return rows.withColumn("exclude_reason", F.coalesce("exclude_reason", "post_reason")).drop("__link", "__kind", "__large", "__general", "__signals", "post_reason", "__d", "__b")
 
 
 def final_score(score: Column, summary_source: Column, unresolved: Column) -> Column:
